@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from journeyloom.config import SkewConfig
 from journeyloom.functions.calendar import whole_seconds
 from journeyloom.operators.skew import lookup_join
+from journeyloom.sources.workspace import settle
 
 RELIABLE = "RELIABLE_TRANSACTION_ID"
 CONFLICTING = "FALLBACK_CONFLICTING_TRANSACTION_ID"
@@ -95,14 +98,25 @@ def assign_transaction_key(classified: DataFrame) -> DataFrame:
     return classified.withColumn("transaction_key", F.concat(prefix, identity))
 
 
-def fct_transactions(staged: DataFrame, skew: SkewConfig = SkewConfig()) -> DataFrame:
+def _keep(df: DataFrame) -> DataFrame:
+    return settle(df, "purchase_events")
+
+
+def fct_transactions(
+    staged: DataFrame,
+    skew: SkewConfig = SkewConfig(),
+    hold: Callable[[DataFrame], DataFrame] = _keep,
+) -> DataFrame:
     """One row per canonical transaction: the earliest measurement of every key.
 
+    Purchases are a small part of the events but lie in every file, so they are read out of the
+    events once and held (written to the shared folder by default) for the profile and the join.
+
     The choice is an aggregate (smallest struct), not a window.  It combines before the shuffle,
     so a transaction repeated a million times is one row per map task by then, and the struct
     carries all columns, which makes the result independent of the input order.
     """
-    purchases = purchase_events(staged)
+    purchases = hold(purchase_events(staged))
     keyed = assign_transaction_key(
         classify_key_method(purchases, transaction_id_profile(purchases), skew)
     )

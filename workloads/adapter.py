@@ -5,8 +5,12 @@ Deterministic and built from integers and strings, so that the SQL side can repe
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from journeyloom.sources.workspace import shared_root
+
 # Event type of the given table -> event name.
 EVENT_NAMES = {
     "purchase": "purchase",
@@ -28,8 +32,6 @@ ACQUISITION = {
     9: ("x", "other", None),
 }
 
-VALUE = "struct<string_value:string,int_value:bigint,float_value:double,double_value:double>"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,20 +85,32 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nested_events(spark: SparkSession, sf_dir: str, with_items: bool = True) -> DataFrame:
-    """Nested event export built from events, customer, nation, region and line items."""
+_written: dict[tuple[str, str], str] = {}
+
+
+def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested event export, written once per session as the table the library starts from."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = f"{shared_root(spark)}/nested-events-{uuid.uuid4().hex}"
+        shape_events(spark, sf_dir).write.parquet(_written[key])
+    return spark.read.parquet(_written[key])
+
+
+def shape_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested events built from events, customer, nation, region and line items."""
     geo = (
         table(spark, sf_dir, "customer")
         .join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("c_custkey").alias("user_id"), "r_name", "n_name", "c_mktsegment")
     )
-    events = table(spark, sf_dir, "events").join(geo, "user_id", "left")
-    if with_items:
-        events = events.join(line_items(spark, sf_dir), "event_id", "left")
-    else:
-        events = events.withColumn("items", F.lit(None).cast(_items_type()))
+    events = (
+        table(spark, sf_dir, "events")
+        .join(geo, "user_id", "left")
+        .join(line_items(spark, sf_dir), "event_id", "left")
+    )
     names = F.create_map(*[F.lit(x) for pair in EVENT_NAMES.items() for x in pair])
     events = events.withColumns(
         {
@@ -188,14 +202,6 @@ def nested_events(spark: SparkSession, sf_dir: str, with_items: bool = True) ->
     )
 
 
-def _items_type() -> str:
-    return (
-        "array<struct<item_id:string,item_name:string,item_brand:string,item_variant:string,"
-        "item_category:string,price:double,price_in_usd:double,quantity:bigint,item_revenue:double,"
-        "item_revenue_in_usd:double>>"
-    )
-
-
 def geo_sessions(spark: SparkSession, sf_dir: str, one_market: bool = True) -> DataFrame:
     """Every order as a session of its customer, with the customer's nation as region.
 
