@@ -24,7 +24,8 @@ def query(sql: str) -> str:
             text += STEPS[name]
     if not chosen:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS (\n{STEPS[n]}\n)" for n in chosen) + "\n" + sql
+    recursive = "RECURSIVE " if "walk" in chosen else ""
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS (\n{STEPS[n]}\n)" for n in chosen) + "\n" + sql
 
 
 def fin(sql: str, ints: str = "", floats: str = "", dates: str = "", stamps: str = "", lists: str = "") -> str:
@@ -858,3 +859,742 @@ WHERE f.attribution_model <> 'last_touch' AND f.analysis_population = 'all_obser
   AND cb.attribution_model = 'last_touch'
 """
 )
+
+# ---- geo panel ----------------------------------------------------------------------------------
+
+START, PRE_END, TEST_START, END = "1995-01-01", "1999-12-25", "1999-12-26", "2001-08-04"
+GEO_LIMITS = {"weeks": 180, "sessions": 345, "transactions": 262, "revenue": 66_500_000, "cv": 1.15}
+
+
+def _geo_sessions(country: str) -> str:
+    return f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS session_key, CAST(o_custkey AS VARCHAR) AS user_pseudo_id,
+  CAST(o_orderdate AS DATE) AS session_date,
+  CAST(o_orderdate AS DATE) - CAST(dayofweek(o_orderdate) AS INTEGER) AS week_start_date,
+  CASE WHEN o_custkey % 40 = 7 THEN '(not set)' ELSE {country} END AS geo_country,
+  CASE WHEN o_custkey % 30 = 3 THEN 'Unknown' ELSE n_name END AS geo_region,
+  o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_engaged_session, o_orderstatus = 'O' AS is_new_user_session,
+  o_orderkey % 7 AS view_item_event_count, o_orderkey % 3 AS add_to_cart_event_count,
+  o_orderkey % 2 AS begin_checkout_event_count,
+  CAST(CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END AS BIGINT) AS canonical_transaction_count,
+  CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice) ELSE 0 END AS canonical_revenue_usd,
+  CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 5 + 1 ELSE 0 END AS canonical_item_quantity,
+  o_custkey % 40 <> 7 AND o_custkey % 30 <> 3 AS is_valid_geography
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+JOIN region ON r_regionkey = n_regionkey
+WHERE o_orderdate >= DATE '{START}' AND o_orderdate < DATE '{END}' + 1
+"""
+
+
+step("places", _geo_sessions("r_name"))
+step("world", _geo_sessions("'World'"))
+step(
+    "weeks",
+    f"""
+SELECT CAST(w AS DATE) AS week_start_date, CASE WHEN w <= DATE '{PRE_END}' THEN 'PRE' ELSE 'TEST' END AS period_name
+FROM generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 7 DAY) g(w)
+""",
+)
+step(
+    "place_weeks",
+    """
+SELECT u.geo_country, u.geo_region, w.week_start_date, w.period_name, count(p.session_key) AS session_count,
+  count(DISTINCT p.user_pseudo_id) AS weekly_unique_users,
+  coalesce(sum(p.canonical_transaction_count), 0) AS canonical_transaction_count,
+  coalesce(sum(p.canonical_revenue_usd), 0) AS canonical_revenue_usd
+FROM (SELECT DISTINCT geo_country, geo_region FROM places WHERE is_valid_geography) u CROSS JOIN weeks w
+LEFT JOIN places p ON p.geo_country = u.geo_country AND p.geo_region = u.geo_region
+  AND p.week_start_date = w.week_start_date AND p.is_valid_geography
+GROUP BY ALL
+""",
+)
+
+
+def _reason(sessions: str, transactions: str) -> str:
+    g = GEO_LIMITS
+    return f"""
+CASE WHEN pre_active_session_weeks < {g['weeks']} THEN 'INSUFFICIENT_ACTIVE_WEEKS'
+  WHEN {sessions} < {g['sessions']} THEN 'INSUFFICIENT_PRE_SESSIONS'
+  WHEN {transactions} < {g['transactions']} THEN 'INSUFFICIENT_PRE_TRANSACTIONS'
+  WHEN pre_revenue_usd < {g['revenue']} THEN 'INSUFFICIENT_PRE_REVENUE'
+  WHEN pre_revenue_coefficient_of_variation IS NULL THEN 'UNDEFINED_PRE_REVENUE_VARIATION'
+  WHEN pre_revenue_coefficient_of_variation > {g['cv']} THEN 'UNSTABLE_PRE_REVENUE' ELSE 'ELIGIBLE' END"""
+
+
+step(
+    "place_profile",
+    f"""
+SELECT *, eligibility_status = 'ELIGIBLE' AS meets_initial_eligibility FROM (
+SELECT *, {_reason('pre_sessions', 'pre_transactions')} AS eligibility_status FROM (
+SELECT *, pre_transactions / nullif(pre_sessions, 0) AS pre_transaction_rate,
+  pre_revenue_usd / nullif(pre_sessions, 0) AS pre_revenue_per_session_usd,
+  pre_weekly_revenue_stddev_usd / nullif(pre_average_weekly_revenue_usd, 0) AS pre_revenue_coefficient_of_variation
+FROM (
+SELECT geo_country, geo_region, geo_country || ' | ' || geo_region AS geo_key, count(*) AS total_panel_weeks,
+  count(*) FILTER (pre AND session_count > 0) AS pre_active_session_weeks,
+  count(*) FILTER (pre AND canonical_transaction_count > 0) AS pre_transaction_active_weeks,
+  CAST(sum(session_count) FILTER (pre) AS BIGINT) AS pre_sessions,
+  CAST(sum(canonical_transaction_count) FILTER (pre) AS BIGINT) AS pre_transactions,
+  sum(canonical_revenue_usd) FILTER (pre) AS pre_revenue_usd,
+  avg(canonical_revenue_usd) FILTER (pre) AS pre_average_weekly_revenue_usd,
+  stddev_samp(canonical_revenue_usd) FILTER (pre) AS pre_weekly_revenue_stddev_usd,
+  count(*) FILTER (pre AND canonical_revenue_usd = 0) AS pre_zero_revenue_weeks,
+  count(*) FILTER (NOT pre AND session_count > 0) AS test_active_session_weeks,
+  CAST(sum(session_count) FILTER (NOT pre) AS BIGINT) AS test_sessions,
+  CAST(sum(canonical_transaction_count) FILTER (NOT pre) AS BIGINT) AS test_transactions,
+  sum(canonical_revenue_usd) FILTER (NOT pre) AS test_revenue_usd
+FROM (SELECT *, period_name = 'PRE' AS pre FROM place_weeks) GROUP BY ALL)
+JOIN (SELECT geo_country, geo_region, count(DISTINCT user_pseudo_id) AS distinct_users FROM places
+  WHERE is_valid_geography GROUP BY ALL) USING (geo_country, geo_region)))
+""",
+)
+step("target", "SELECT * FROM world WHERE geo_country = 'World' AND geo_region <> 'Unknown'")
+_rate = "observed_transaction_count / nullif(observed_session_count, 0)"
+step(
+    "outcome",
+    f"""
+SELECT *, eligibility_status = 'ELIGIBLE' AS meets_initial_eligibility, 'PUBLIC_GA4_OBSERVED' AS data_origin,
+  'UNASSIGNED' AS treatment_assignment_status, false AS is_synthetic_outcome FROM (
+SELECT *, {_reason('pre_session_count', 'pre_transaction_count')} AS eligibility_status FROM (
+SELECT *, pre_transaction_count / nullif(pre_session_count, 0) AS pre_transaction_rate,
+  pre_revenue_usd / nullif(pre_session_count, 0) AS pre_revenue_per_session_usd,
+  pre_weekly_revenue_stddev_usd / nullif(pre_average_weekly_revenue_usd, 0) AS pre_revenue_coefficient_of_variation,
+  observed_engaged_sessions / nullif(observed_session_count, 0) AS observed_engagement_rate,
+  {_rate} AS observed_transaction_rate,
+  observed_revenue_usd / nullif(observed_session_count, 0) AS observed_revenue_per_session_usd,
+  observed_revenue_usd / nullif(observed_transaction_count, 0) AS observed_average_order_value_usd
+FROM (
+SELECT *, count(*) FILTER (pre AND observed_session_count > 0) OVER r AS pre_active_session_weeks,
+  count(*) FILTER (pre AND observed_transaction_count > 0) OVER r AS pre_transaction_active_weeks,
+  CAST(sum(observed_session_count) FILTER (pre) OVER r AS BIGINT) AS pre_session_count,
+  CAST(sum(observed_transaction_count) FILTER (pre) OVER r AS BIGINT) AS pre_transaction_count,
+  sum(observed_revenue_usd) FILTER (pre) OVER r AS pre_revenue_usd,
+  avg(observed_revenue_usd) FILTER (pre) OVER r AS pre_average_weekly_revenue_usd,
+  stddev_samp(observed_revenue_usd) FILTER (pre) OVER r AS pre_weekly_revenue_stddev_usd,
+  count(*) FILTER (pre AND observed_revenue_usd = 0) OVER r AS pre_zero_revenue_weeks
+FROM (
+SELECT 'World | ' || u.geo_region AS geo_key, 'World' AS geo_country, u.geo_region, w.week_start_date,
+  w.week_start_date + 6 AS week_end_date, (w.week_start_date - DATE '{START}') // 7 + 1 AS analysis_week_number,
+  w.period_name, w.period_name = 'PRE' AS pre,
+  (w.week_start_date - CASE w.period_name WHEN 'PRE' THEN DATE '{START}' ELSE DATE '{TEST_START}' END) // 7 + 1
+    AS period_week_number,
+  count(t.session_key) AS observed_session_count, count(DISTINCT t.user_pseudo_id) AS observed_unique_users,
+  count(*) FILTER (t.is_engaged_session) AS observed_engaged_sessions,
+  count(*) FILTER (t.is_new_user_session) AS observed_new_user_sessions,
+  CAST(coalesce(sum(t.view_item_event_count), 0) AS BIGINT) AS observed_view_item_events,
+  CAST(coalesce(sum(t.add_to_cart_event_count), 0) AS BIGINT) AS observed_add_to_cart_events,
+  CAST(coalesce(sum(t.begin_checkout_event_count), 0) AS BIGINT) AS observed_begin_checkout_events,
+  CAST(coalesce(sum(t.canonical_transaction_count), 0) AS BIGINT) AS observed_transaction_count,
+  coalesce(sum(t.canonical_revenue_usd), 0) AS observed_revenue_usd,
+  CAST(coalesce(sum(t.canonical_item_quantity), 0) AS BIGINT) AS observed_item_quantity
+FROM (SELECT DISTINCT geo_region FROM target) u CROSS JOIN weeks w
+LEFT JOIN target t ON t.geo_region = u.geo_region AND t.week_start_date = w.week_start_date
+GROUP BY ALL)
+WINDOW r AS (PARTITION BY geo_region))))
+""",
+)
+_pre_columns = (
+    "geo_key geo_country geo_region week_start_date week_end_date analysis_week_number period_week_number "
+    "observed_session_count observed_unique_users observed_engaged_sessions observed_new_user_sessions "
+    "observed_transaction_count observed_revenue_usd observed_item_quantity observed_transaction_rate "
+    "observed_revenue_per_session_usd observed_average_order_value_usd pre_session_count pre_transaction_count "
+    "pre_revenue_usd pre_revenue_coefficient_of_variation data_origin treatment_assignment_status is_synthetic_outcome"
+).split()
+step(
+    "early",
+    f"SELECT {', '.join(_pre_columns)} FROM outcome WHERE meets_initial_eligibility AND period_name = 'PRE'",
+)
+step(
+    "feature",
+    """
+SELECT geo_region, count(*) AS pre_weeks, CAST(sum(s) AS DOUBLE) AS pre_sessions, CAST(sum(t) AS DOUBLE) AS pre_transactions,
+  sum(r) AS pre_revenue_usd, 100e0 * sum(t) / sum(s) AS pre_transaction_rate_pct,
+  sum(r) / sum(s) AS pre_revenue_per_session_usd, sum(r) / sum(t) AS pre_average_order_value_usd,
+  avg(r) AS average_weekly_revenue_usd, stddev_samp(r) AS weekly_revenue_stddev_usd,
+  stddev_samp(r) / avg(r) AS revenue_cv, count(*) FILTER (r = 0) AS zero_revenue_weeks,
+  100 * regr_slope(s, n) / avg(s) AS session_trend_pct_per_week,
+  100 * regr_slope(t, n) / avg(t) AS transaction_trend_pct_per_week,
+  100 * regr_slope(r, n) / avg(r) AS revenue_trend_pct_per_week,
+  max(pre_revenue_coefficient_of_variation) AS warehouse_revenue_cv,
+  ln(1 + sum(s)) AS log_pre_sessions, ln(1 + sum(r)) AS log_pre_revenue
+FROM (SELECT *, observed_session_count AS s, observed_transaction_count AS t, observed_revenue_usd AS r,
+  period_week_number AS n FROM early) GROUP BY geo_region
+""",
+)
+_six = (
+    "log_pre_sessions log_pre_revenue pre_transaction_rate_pct revenue_cv session_trend_pct_per_week "
+    "revenue_trend_pct_per_week"
+).split()
+step(
+    "zraw",
+    f"""
+SELECT *, (z_log_pre_sessions + z_log_pre_revenue) / 2 AS scale_index FROM (
+SELECT geo_region, pre_sessions, pre_transactions, pre_revenue_usd, {', '.join(_six)},
+  {', '.join(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z_{c}' for c in _six)} FROM feature)
+""",
+)
+step(
+    "zed",
+    "SELECT *, (scale_index - avg(scale_index) OVER ()) / stddev_pop(scale_index) OVER () AS z_scale_index FROM zraw",
+)
+step(
+    "trail",
+    """
+SELECT geo_region, week_start_date, observed_session_count AS s, observed_revenue_usd AS r,
+  avg(observed_session_count) OVER p AS ms, avg(observed_revenue_usd) OVER p AS mr
+FROM early WINDOW p AS (PARTITION BY geo_region)
+""",
+)
+
+
+def _gap(columns: list[str]) -> str:
+    return "sqrt(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in columns) + ")"
+
+
+_z = [f"z_{c}" for c in _six]
+step(
+    "duo",
+    f"""
+SELECT a.geo_region || '__' || b.geo_region AS pair_id, a.geo_region AS region_a, b.geo_region AS region_b,
+  {_gap(['z_scale_index'] + _z[2:])} AS category_balanced_feature_distance,
+  {_gap(_z)} AS six_feature_distance_sensitivity, w.session_correlation, w.revenue_correlation,
+  w.session_shape_nrmse, w.revenue_shape_nrmse,
+  least(a.pre_sessions, b.pre_sessions) / greatest(a.pre_sessions, b.pre_sessions) AS session_scale_ratio,
+  least(a.pre_transactions, b.pre_transactions) / greatest(a.pre_transactions, b.pre_transactions)
+    AS transaction_scale_ratio,
+  least(a.pre_revenue_usd, b.pre_revenue_usd) / greatest(a.pre_revenue_usd, b.pre_revenue_usd) AS revenue_scale_ratio
+FROM zed a JOIN zed b ON a.geo_region < b.geo_region
+JOIN (
+  SELECT x.geo_region AS ra, y.geo_region AS rb, corr(x.s, y.s) AS session_correlation, corr(x.r, y.r) AS revenue_correlation,
+    sqrt(avg(pow(x.s / x.ms - y.s / y.ms, 2))) AS session_shape_nrmse,
+    sqrt(avg(pow(x.r / x.mr - y.r / y.mr, 2))) AS revenue_shape_nrmse
+  FROM trail x JOIN trail y ON x.week_start_date = y.week_start_date AND x.geo_region < y.geo_region GROUP BY ALL
+) w ON w.ra = a.geo_region AND w.rb = b.geo_region
+""",
+)
+
+def _pct(c: str) -> str:
+    return (
+        f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0) / count(*) OVER ()"
+    )
+
+
+step(
+    "scored",
+    f"""
+SELECT *, 100 * (1 - composite_dissimilarity) AS match_quality_score FROM (
+SELECT *, 0.5e0 * feature_distance_percentile + 0.25e0 * session_shape_percentile
+  + 0.25e0 * revenue_shape_percentile AS composite_dissimilarity FROM (
+SELECT *, {_pct('category_balanced_feature_distance')} AS feature_distance_percentile,
+  {_pct('session_shape_nrmse')} AS session_shape_percentile,
+  {_pct('revenue_shape_nrmse')} AS revenue_shape_percentile FROM duo))
+""",
+)
+_limits = {
+    "maximum_feature_distance": ("category_balanced_feature_distance", 0),
+    "minimum_session_correlation": ("session_correlation", 1),
+    "minimum_revenue_correlation": ("revenue_correlation", 1),
+    "minimum_session_scale_ratio": ("session_scale_ratio", 2),
+    "minimum_revenue_scale_ratio": ("revenue_scale_ratio", 2),
+}
+_designs = {"CONSERVATIVE": (0.25, 0.5, 0.5), "BALANCED": (0.4, 0.4, 0.4), "BROAD": (0.5, 0.25, 0.25)}
+step(
+    "limits",
+    " UNION ALL ".join(
+        f"SELECT '{d}' AS design_name, "
+        + ", ".join(f"quantile_cont({c}, {q[i]}) AS {t}" for t, (c, i) in _limits.items())
+        + " FROM duo"
+        for d, q in _designs.items()
+    ),
+)
+step(
+    "edge",
+    "SELECT l.design_name, s.* FROM scored s JOIN limits l ON "
+    + " AND ".join(
+        f"s.{c} {'<=' if t.startswith('max') else '>='} l.{t}" for t, (c, _) in _limits.items()
+    ),
+)
+step(
+    "queue",
+    "SELECT *, row_number() OVER (PARTITION BY design_name ORDER BY composite_dissimilarity, pair_id) AS turn FROM edge",
+)
+# Edges one at a time, lightest first: taken when both of its regions are still free.
+step(
+    "walk",
+    """
+SELECT DISTINCT design_name, CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS used, CAST([] AS VARCHAR[]) AS picked
+FROM queue
+UNION ALL
+SELECT w.design_name, q.turn,
+  CASE WHEN list_has_any(w.used, [q.region_a, q.region_b]) THEN w.used
+    ELSE list_concat(w.used, [q.region_a, q.region_b]) END,
+  CASE WHEN list_has_any(w.used, [q.region_a, q.region_b]) THEN w.picked ELSE list_append(w.picked, q.pair_id) END
+FROM walk w JOIN queue q ON q.design_name = w.design_name AND q.turn = w.turn + 1
+""",
+)
+step(
+    "chosen",
+    """
+SELECT e.design_name, row_number() OVER (PARTITION BY e.design_name ORDER BY e.composite_dissimilarity, e.pair_id)
+  AS candidate_pair_number, e.* EXCLUDE (design_name), 'CANDIDATE_PAIR_ONLY' AS assignment_status
+FROM edge e JOIN (
+  SELECT design_name, unnest(picked) AS pair_id FROM walk
+  QUALIFY row_number() OVER (PARTITION BY design_name ORDER BY turn DESC) = 1
+) USING (design_name, pair_id)
+""",
+)
+
+_pair_floats = (
+    "category_balanced_feature_distance six_feature_distance_sensitivity session_correlation revenue_correlation "
+    "session_shape_nrmse revenue_shape_nrmse session_scale_ratio transaction_scale_ratio revenue_scale_ratio"
+)
+_score_floats = _pair_floats + (
+    " feature_distance_percentile session_shape_percentile revenue_shape_percentile composite_dissimilarity"
+    " match_quality_score"
+)
+_feature_floats = (
+    "pre_transaction_rate_pct pre_revenue_per_session_usd pre_average_order_value_usd average_weekly_revenue_usd "
+    "weekly_revenue_stddev_usd revenue_cv session_trend_pct_per_week transaction_trend_pct_per_week "
+    "revenue_trend_pct_per_week warehouse_revenue_cv log_pre_sessions log_pre_revenue"
+)
+_profile_floats = (
+    "pre_revenue_usd pre_average_weekly_revenue_usd pre_weekly_revenue_stddev_usd pre_transaction_rate "
+    "pre_revenue_per_session_usd pre_revenue_coefficient_of_variation"
+)
+_observed_floats = (
+    "observed_revenue_usd observed_transaction_rate observed_revenue_per_session_usd observed_average_order_value_usd"
+)
+
+ORACLES["week_spine"] = fin(
+    "SELECT w.week_start_date, count(t.session_key) AS session_count FROM weeks w LEFT JOIN world t "
+    "USING (week_start_date) GROUP BY ALL",
+    dates="week_start_date",
+)
+ORACLES["normalize_geo_sessions"] = fin(
+    "SELECT * FROM places", dates="session_date week_start_date", floats="canonical_revenue_usd"
+)
+ORACLES["balanced_panel"] = fin(
+    "SELECT * FROM place_weeks",
+    dates="week_start_date",
+    ints="canonical_transaction_count",
+    floats="canonical_revenue_usd",
+)
+ORACLES["week_numbers"] = fin(
+    f"""
+SELECT w.week_start_date, w.period_name, (SELECT count(*) FROM world t WHERE t.week_start_date = w.week_start_date)
+    AS session_count, w.week_start_date + 6 AS week_end_date,
+  row_number() OVER (ORDER BY w.week_start_date) AS analysis_week_number,
+  row_number() OVER (PARTITION BY w.period_name ORDER BY w.week_start_date) AS period_week_number FROM weeks w
+""",
+    dates="week_start_date week_end_date",
+)
+ORACLES["geo_profile"] = fin(
+    "SELECT * FROM place_profile", floats=_profile_floats + " test_revenue_usd"
+)
+ORACLES["eligibility"] = fin(
+    "SELECT geo_key, pre_active_session_weeks, pre_sessions, pre_transactions, pre_revenue_usd, "
+    "pre_revenue_coefficient_of_variation, meets_initial_eligibility, eligibility_status FROM place_profile",
+    floats="pre_revenue_usd pre_revenue_coefficient_of_variation",
+)
+ORACLES["geo_coverage"] = fin(
+    "SELECT count(*) AS sessions_in_analysis_window, count(*) FILTER (is_valid_geography) AS sessions_with_valid_geography, "
+    "round(count(*) FILTER (is_valid_geography) / count(*), 4) AS valid_geography_session_share, "
+    "sum(canonical_transaction_count) AS total_transactions, "
+    "sum(canonical_transaction_count) FILTER (is_valid_geography) AS transactions_with_valid_geography, "
+    "round(sum(canonical_transaction_count) FILTER (is_valid_geography) / sum(canonical_transaction_count), 4) "
+    "AS valid_geography_transaction_share, round(sum(canonical_revenue_usd), 2) AS total_revenue_usd, "
+    "round(sum(canonical_revenue_usd) FILTER (is_valid_geography), 2) AS revenue_with_valid_geography_usd, "
+    "round(sum(canonical_revenue_usd) FILTER (is_valid_geography) / sum(canonical_revenue_usd), 4) "
+    "AS valid_geography_revenue_share FROM places",
+    ints="total_transactions transactions_with_valid_geography",
+)
+ORACLES["country_feasibility"] = fin(
+    "SELECT geo_country, count(*) AS profiled_regions, count(*) FILTER (meets_initial_eligibility) AS eligible_regions, "
+    "sum(p.pre_sessions) AS pre_sessions, sum(p.pre_transactions) AS pre_transactions, "
+    "round(sum(p.pre_revenue_usd), 2) AS pre_revenue_usd, "
+    "round(sum(p.pre_transactions) / sum(p.pre_sessions), 4) AS pre_transaction_rate, "
+    "sum(test_sessions) AS historical_test_window_sessions, sum(test_transactions) AS historical_test_window_transactions, "
+    "round(sum(test_revenue_usd), 2) AS historical_test_window_revenue_usd FROM place_profile p GROUP BY geo_country",
+    ints="pre_sessions pre_transactions historical_test_window_sessions historical_test_window_transactions",
+)
+ORACLES["region_candidates"] = query(
+    "SELECT row_number() OVER (ORDER BY p.meets_initial_eligibility DESC, p.pre_revenue_usd DESC, p.geo_country, p.geo_region) "
+    "AS display_order, dense_rank() OVER (PARTITION BY p.geo_country ORDER BY p.pre_revenue_usd DESC) "
+    "AS country_pre_revenue_rank, geo_country, geo_region, geo_key, total_panel_weeks, distinct_users, "
+    "pre_active_session_weeks, pre_transaction_active_weeks, pre_sessions, pre_transactions, "
+    "round(p.pre_revenue_usd, 2) AS pre_revenue_usd, "
+    "round(p.pre_average_weekly_revenue_usd, 2) AS pre_average_weekly_revenue_usd, "
+    "round(p.pre_weekly_revenue_stddev_usd, 2) AS pre_weekly_revenue_stddev_usd, "
+    "round(p.pre_revenue_coefficient_of_variation, 4) AS pre_revenue_coefficient_of_variation, pre_zero_revenue_weeks, "
+    "round(p.pre_transaction_rate, 4) AS pre_transaction_rate, "
+    "round(p.pre_revenue_per_session_usd, 4) AS pre_revenue_per_session_usd, test_active_session_weeks, test_sessions, "
+    "test_transactions, round(p.test_revenue_usd, 2) AS test_revenue_usd, meets_initial_eligibility, eligibility_status "
+    "FROM place_profile p"
+)
+ORACLES["geo_weekly_outcomes"] = fin(
+    "SELECT * EXCLUDE (pre) FROM outcome",
+    dates="week_start_date week_end_date",
+    floats=f"{_profile_floats} {_observed_floats} observed_engagement_rate",
+)
+ORACLES["eligible_pre_panel"] = fin(
+    "SELECT * FROM early",
+    dates="week_start_date week_end_date",
+    floats=f"{_observed_floats} pre_revenue_usd pre_revenue_coefficient_of_variation",
+)
+ORACLES["outcome_matrix"] = fin(
+    "SELECT week_start_date, "
+    + ", ".join(f"max(observed_revenue_usd) FILTER (geo_region = 'NATION_{i}') AS NATION_{i}" for i in range(25))
+    + " FROM outcome GROUP BY week_start_date",
+    dates="week_start_date",
+)
+
+# ---- geo design ---------------------------------------------------------------------------------
+
+ORACLES["region_summary"] = fin(
+    "SELECT geo_region, pre_weeks, pre_sessions, pre_transactions, pre_revenue_usd, average_weekly_revenue_usd, "
+    "weekly_revenue_stddev_usd, warehouse_revenue_cv AS revenue_coefficient_of_variation FROM feature",
+    ints="pre_sessions pre_transactions",
+    floats="average_weekly_revenue_usd weekly_revenue_stddev_usd revenue_coefficient_of_variation",
+)
+ORACLES["region_features"] = fin("SELECT * FROM feature", floats=_feature_floats)
+ORACLES["csv_export"] = fin(
+    "SELECT geo_region, pre_weeks, pre_sessions, pre_revenue_usd, revenue_cv FROM feature", floats="revenue_cv"
+)
+
+
+def _distribution(relation: str, columns: list[str], points: dict[str, float], extra: str) -> str:
+    marks = ", ".join(
+        f'round(quantile_cont({{c}}, {q}), 4) + 0e0 AS "{name}"' for name, q in points.items()
+    )
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS metric, {marks}, round(avg({c}), 4) + 0e0 AS mean{extra} FROM {relation}".replace("{c}", c)
+        for c in columns
+    )
+
+
+_range_columns = (
+    "pre_sessions pre_transactions pre_revenue_usd pre_transaction_rate_pct pre_revenue_per_session_usd "
+    "pre_average_order_value_usd revenue_cv session_trend_pct_per_week transaction_trend_pct_per_week "
+    "revenue_trend_pct_per_week"
+).split()
+ORACLES["feature_range_summary"] = query(
+    _distribution("feature", _range_columns, {"min": 0, "median": 0.5, "max": 1}, "")
+)
+ORACLES["pair_metric_summary"] = query(
+    _distribution(
+        "duo",
+        _pair_floats.split(),
+        {"min": 0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "max": 1},
+        ', count({c}) AS "count", round(stddev_samp({c}), 4) AS std',
+    )
+)
+_corr_columns = (
+    "log_pre_sessions log_pre_revenue pre_transaction_rate_pct pre_revenue_per_session_usd pre_average_order_value_usd "
+    "revenue_cv session_trend_pct_per_week transaction_trend_pct_per_week revenue_trend_pct_per_week"
+).split()
+ORACLES["feature_correlations"] = query(
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 2) + 0e0 AS correlation FROM feature"
+        for a in _corr_columns
+        for b in _corr_columns
+    )
+)
+ORACLES["standardize"] = fin(
+    "SELECT * FROM zed", floats=" ".join(_six + _z) + " scale_index z_scale_index"
+)
+ORACLES["pair_metrics"] = fin("SELECT * FROM duo", floats=_pair_floats)
+ORACLES["top_feature_pairs"] = fin(
+    "SELECT * FROM duo ORDER BY category_balanced_feature_distance, pair_id LIMIT 20", floats=_pair_floats
+)
+ORACLES["composite_score"] = fin("SELECT * FROM scored", floats=_score_floats)
+ORACLES["pair_distance_sensitivity"] = fin(
+    f"""
+SELECT corr(p, s) AS distance_rank_correlation,
+  count(*) FILTER (turn_p <= 20 AND turn_s <= 20) AS top_pair_overlap
+FROM (SELECT {_pct('category_balanced_feature_distance')} AS p, {_pct('six_feature_distance_sensitivity')} AS s,
+  row_number() OVER (ORDER BY category_balanced_feature_distance, pair_id) AS turn_p,
+  row_number() OVER (ORDER BY six_feature_distance_sensitivity, pair_id) AS turn_s FROM duo)
+""",
+    floats="distance_rank_correlation",
+)
+ORACLES["threshold_summary"] = fin("SELECT * FROM limits", floats=" ".join(_limits))
+ORACLES["candidate_edges"] = fin("SELECT * FROM edge", floats=_score_floats)
+ORACLES["match_pairs"] = fin("SELECT * FROM chosen", floats=_score_floats)
+ORACLES["design_summary"] = fin(
+    """
+SELECT e.design_name, e.n AS candidate_edge_count, count(c.pair_id) AS selected_pair_count,
+  2 * count(c.pair_id) AS represented_region_count, avg(match_quality_score) AS mean_match_quality_score,
+  min(match_quality_score) AS minimum_match_quality_score,
+  avg(category_balanced_feature_distance) AS mean_feature_distance,
+  avg(session_correlation) AS mean_session_correlation, avg(revenue_correlation) AS mean_revenue_correlation,
+  avg(session_scale_ratio) AS mean_session_scale_ratio, avg(revenue_scale_ratio) AS mean_revenue_scale_ratio
+FROM (SELECT design_name, count(*) AS n FROM edge GROUP BY ALL) e LEFT JOIN chosen c USING (design_name)
+GROUP BY ALL
+""",
+    floats="mean_match_quality_score minimum_match_quality_score mean_feature_distance mean_session_correlation "
+    "mean_revenue_correlation mean_session_scale_ratio mean_revenue_scale_ratio",
+)
+
+# ---- reconciliation -----------------------------------------------------------------------------
+
+ORACLES["reconcile_events"] = fin(
+    """
+SELECT n AS source_event_rows, n AS staging_event_rows, 0 AS event_row_difference, true AS event_rows_match,
+  u AS source_unique_users, u AS staging_unique_users, true AS unique_users_match,
+  e AS source_distinct_event_names, e AS staging_distinct_event_names, true AS event_name_counts_match,
+  d0 AS source_first_event_date, d0 AS staging_first_event_date, d1 AS source_last_event_date,
+  d1 AS staging_last_event_date, true AS date_range_matches, b AS source_purchase_event_rows,
+  b AS staging_purchase_event_rows, true AS purchase_event_rows_match, b AS staging_purchase_events_with_session_id,
+  cur AS staging_purchase_events_with_currency, 0 AS null_event_date_rows, 0 AS null_event_timestamp_rows,
+  0 AS invalid_session_key_rows, 0 AS invalid_transaction_normalization_rows,
+  CASE WHEN cur = b THEN 'PASS' ELSE 'REVIEW' END AS reconciliation_status
+FROM (SELECT count(*) AS n, count(DISTINCT user_id) AS u, count(DISTINCT event_name) AS e, min(d) AS d0, max(d) AS d1,
+  count(*) FILTER (buys) AS b, count(*) FILTER (buys AND k % 50 <> 49) AS cur FROM shaped)
+""",
+    dates="source_first_event_date staging_first_event_date source_last_event_date staging_last_event_date",
+)
+ORACLES["reconcile_items"] = fin(
+    """
+SELECT n AS source_item_rows, n AS staging_item_rows, 0 AS item_row_difference, true AS item_rows_match,
+  names AS compared_event_names, 0 AS event_names_with_item_row_mismatch, b AS source_purchase_item_rows,
+  b AS staging_purchase_item_rows, true AS purchase_item_rows_match, priced AS purchase_item_rows_with_item_revenue,
+  b - priced AS purchase_item_rows_without_item_revenue, 0 AS invalid_item_offset_rows, 0 AS null_item_fingerprint_rows,
+  blank AS rows_without_item_identity, 0 AS invalid_session_key_rows, 0 AS invalid_transaction_normalization_rows,
+  n - keys AS duplicate_item_fingerprints, 'PASS' AS reconciliation_status
+FROM (SELECT count(*) AS n, count(DISTINCT event_name) AS names, count(*) FILTER (is_purchase_event) AS b,
+  count(*) FILTER (is_purchase_event AND item_revenue_in_usd IS NOT NULL) AS priced,
+  count(*) FILTER (item_identity IS NULL) AS blank, count(DISTINCT item_record_fingerprint) AS keys FROM stg_items)
+"""
+)
+ORACLES["reconcile_transactions"] = fin(
+    """
+SELECT b AS source_purchase_event_rows, b AS represented_purchase_event_rows, true AS all_purchase_events_represented,
+  n AS fact_transaction_rows, n AS distinct_transaction_keys, 0 AS duplicate_transaction_keys,
+  b - n AS purchase_rows_removed_by_deduplication, b - n AS duplicate_measurement_rows_removed,
+  raw AS source_raw_purchase_revenue_usd, raw AS represented_raw_purchase_revenue_usd, true AS raw_revenue_reconciles,
+  rev AS canonical_transaction_revenue_usd, raw - rev AS duplicate_measurement_revenue_removed_usd,
+  m1 AS reliable_transaction_id_rows, m2 AS conflicting_id_fallback_rows, m3 AS missing_id_fallback_rows,
+  m4 AS not_set_fallback_rows, 0 AS null_transaction_key_rows, 0 AS null_transaction_revenue_rows,
+  0 AS unreliable_rows_classified_as_reliable, 0 AS grouped_fallback_transaction_rows, 'PASS' AS reconciliation_status
+FROM (SELECT count(*) AS b, sum(revenue) AS raw FROM shaped WHERE buys),
+  (SELECT count(*) AS n, sum(transaction_revenue_usd) AS rev,
+    count(*) FILTER (starts_with(transaction_key, 'TRANSACTION_ID|')) AS m1,
+    count(*) FILTER (starts_with(transaction_key, 'CONFLICTING_ID|')) AS m2,
+    count(*) FILTER (starts_with(transaction_key, 'MISSING_ID|')) AS m3,
+    count(*) FILTER (starts_with(transaction_key, 'NOT_SET|')) AS m4 FROM tx)
+"""
+)
+ORACLES["reconcile_sessions"] = fin(
+    """
+SELECT n AS source_event_rows, ev_n AS represented_event_rows, n = ev_n AS all_events_represented,
+  keys AS source_distinct_sessions, s AS fact_session_rows, s AS distinct_fact_session_keys,
+  keys = s AS session_counts_match, true AS session_keys_are_unique, u AS source_unique_users, su AS fact_unique_users,
+  u = su AS user_counts_match, 0 AS source_events_without_session_key, b AS source_purchase_measurement_events,
+  sb AS represented_purchase_measurement_events, b = sb AS purchase_measurement_events_match,
+  t AS source_canonical_transactions, st AS represented_canonical_transactions, t = st AS canonical_transactions_match,
+  rev AS source_canonical_revenue_usd, srev AS represented_canonical_revenue_usd, rev = srev AS canonical_revenue_matches,
+  b - t AS expected_duplicate_purchase_measurement_rows, dup AS duplicate_purchase_measurement_rows,
+  conv AS converting_sessions, multi AS sessions_with_multiple_transactions, nostart AS sessions_without_session_start_event,
+  0 AS transactions_without_session_key, 0 AS negative_session_duration_rows, 0 AS null_session_source_rows,
+  0 AS null_session_medium_rows, 0 AS null_session_channel_group_rows,
+  CASE WHEN n = ev_n AND keys = s AND u = su AND b = sb AND t = st AND rev = srev AND dup = b - t
+    THEN 'PASS' ELSE 'REVIEW' END AS reconciliation_status
+FROM (SELECT count(*) AS n, count(DISTINCT session_key) AS keys, count(DISTINCT user_pseudo_id) AS u,
+    count(*) FILTER (is_purchase_event) AS b FROM stg),
+  (SELECT count(*) AS t, sum(transaction_revenue_usd) AS rev FROM tx),
+  (SELECT count(*) AS s, count(DISTINCT user_pseudo_id) AS su, CAST(sum(event_count) AS BIGINT) AS ev_n,
+    CAST(sum(raw_purchase_measurement_event_count) AS BIGINT) AS sb,
+    CAST(sum(canonical_transaction_count) AS BIGINT) AS st, sum(canonical_revenue_usd) AS srev,
+    CAST(sum(duplicate_purchase_measurement_rows) AS BIGINT) AS dup, count(*) FILTER (is_converting_session) AS conv,
+    count(*) FILTER (canonical_transaction_count > 1) AS multi, count(*) FILTER (session_start_event_count = 0) AS nostart
+  FROM ses)
+"""
+)
+ORACLES["reconcile_bridge"] = fin(
+    """
+SELECT t AS source_transaction_count, jt AS represented_transaction_count, t = jt AS transaction_counts_match,
+  u AS source_transaction_users, ju AS represented_transaction_users, u = ju AS transaction_user_counts_match,
+  rev AS source_canonical_revenue_usd, jrev AS represented_canonical_revenue_usd, rev = jrev AS canonical_revenue_matches,
+  fb AS source_fallback_transactions, jfb AS represented_fallback_transactions, fb = jfb AS fallback_transaction_counts_match,
+  rows_n AS bridge_row_count, lo AS minimum_touchpoints_per_transaction, round(rows_n / jt, 2) AS average_touchpoints_per_transaction,
+  hi AS maximum_touchpoints_per_transaction, multi AS multi_touch_transactions, only_direct AS direct_only_transactions,
+  censored AS left_censored_transactions, t - conv AS conversion_session_errors, 0 AS first_touchpoint_flag_errors,
+  0 AS last_touchpoint_flag_errors, t - named AS last_non_direct_flag_errors, 0 AS future_touchpoint_rows,
+  0 AS outside_lookback_rows, 0 AS null_required_identifier_rows, 0 AS null_attribution_dimension_rows,
+  0 AS duplicate_transaction_touchpoint_pairs,
+  CASE WHEN t = jt AND u = ju AND rev = jrev AND fb = jfb AND lo >= 1 AND conv = t AND named = t
+    THEN 'PASS' ELSE 'FAIL' END AS reconciliation_status
+FROM (SELECT count(*) AS t, count(DISTINCT user_pseudo_id) AS u, sum(transaction_revenue_usd) AS rev,
+    count(*) FILTER (uses_fallback_transaction_key) AS fb FROM tx),
+  (SELECT count(*) AS rows_n, count(*) FILTER (z) AS jt, count(DISTINCT user_pseudo_id) AS ju,
+    sum(transaction_revenue_usd) FILTER (z) AS jrev, count(*) FILTER (z AND uses_fallback_transaction_key) AS jfb,
+    min(touchpoint_count) AS lo, max(touchpoint_count) AS hi, count(*) FILTER (z AND touchpoint_count > 1) AS multi,
+    count(*) FILTER (z AND non_direct_touchpoint_count = 0) AS only_direct,
+    count(*) FILTER (z AND is_lookback_left_censored) AS censored, count(*) FILTER (is_conversion_session) AS conv,
+    count(*) FILTER (is_last_non_direct_attribution_touchpoint) AS named
+  FROM (SELECT *, is_last_touchpoint AS z FROM bridge))
+"""
+)
+ORACLES["reconcile_credits"] = fin(
+    """
+SELECT attribution_model_order, attribution_model,
+  CASE WHEN attribution_model_order < 4 THEN t ELSE bn END AS expected_model_credit_rows, n AS model_credit_rows,
+  n = CASE WHEN attribution_model_order < 4 THEN t ELSE bn END AS model_credit_row_count_matches,
+  t AS source_transactions, ct AS represented_transactions, t = ct AS transaction_count_matches,
+  u AS source_users, cu AS represented_users, u = cu AS user_count_matches, whole AS complete_window_transactions,
+  w AS total_attribution_weight, w AS total_attributed_conversions, rev AS source_revenue_usd,
+  crev AS total_attributed_revenue_usd, abs(rev - crev) < 0.01 AS revenue_matches,
+  complete AS complete_window_attributed_revenue_usd, censored AS left_censored_attributed_revenue_usd,
+  dw AS direct_attributed_conversions, drev AS direct_attributed_revenue_usd, channels AS credited_channel_count,
+  0 AS transaction_weight_errors, 0 AS transaction_conversion_credit_errors,
+  (SELECT count(*) FROM credit) AS total_credit_rows, 5 AS distinct_attribution_models, 0 AS invalid_weight_rows,
+  0 AS null_required_field_rows, 0 AS duplicate_credit_pair_groups,
+  CASE WHEN n = CASE WHEN attribution_model_order < 4 THEN t ELSE bn END AND t = ct AND u = cu AND w = t
+    AND abs(rev - crev) < 0.01 THEN 'PASS' ELSE 'FAIL' END AS model_reconciliation_status
+FROM (SELECT attribution_model_order, attribution_model, count(*) AS n, count(DISTINCT transaction_key) AS ct,
+    count(DISTINCT user_pseudo_id) AS cu, count(DISTINCT transaction_key) FILTER (is_complete_lookback_window) AS whole,
+    round(sum(attribution_weight), 6) AS w, round(sum(attributed_revenue_usd), 2) AS crev,
+    round(sum(attributed_revenue_usd) FILTER (is_complete_lookback_window), 2) AS complete,
+    round(sum(attributed_revenue_usd) FILTER (is_lookback_left_censored), 2) AS censored,
+    round(sum(attribution_weight) FILTER (is_direct_touchpoint), 6) AS dw,
+    round(sum(attributed_revenue_usd) FILTER (is_direct_touchpoint), 2) AS drev,
+    count(DISTINCT touchpoint_channel_group) AS channels FROM credit GROUP BY ALL),
+  (SELECT count(*) AS t, count(DISTINCT user_pseudo_id) AS u, sum(transaction_revenue_usd) AS rev FROM tx),
+  (SELECT count(*) AS bn FROM bridge)
+"""
+)
+ORACLES["reconcile_comparison"] = fin(
+    """
+SELECT m.analysis_population_order, m.analysis_population, m.attribution_model_order, m.attribution_model,
+  count(*) AS represented_channel_rows, count(DISTINCT m.touchpoint_channel_group) AS represented_channels,
+  any_value(p.t) AS expected_conversions, any_value(p.rev) AS expected_revenue_usd,
+  round(sum(m.attributed_conversion_credit), 6) AS attributed_conversions,
+  round(sum(m.attributed_revenue_usd), 2) AS attributed_revenue_usd,
+  round(sum(m.model_conversion_share), 6) AS conversion_share_sum, round(sum(m.model_revenue_share), 6) AS revenue_share_sum,
+  round(sum(m.conversion_delta_vs_last_touch), 6) + 0e0 AS net_conversion_delta_vs_last_touch,
+  round(sum(m.revenue_delta_vs_last_touch_usd), 2) + 0e0 AS net_revenue_delta_vs_last_touch_usd,
+  round(sum(abs(m.revenue_delta_vs_last_touch_usd)) / 2, 2) AS revenue_reallocated_vs_last_touch_usd,
+  0e0 AS last_touch_baseline_error, 0e0 AS last_non_direct_baseline_error, 0 AS negative_metric_rows,
+  0 AS null_required_field_rows, 70 AS total_table_rows, 10 AS model_population_combinations, 5 AS represented_models,
+  2 AS represented_populations, 0 AS duplicate_population_model_channel_groups,
+  CASE WHEN count(*) = 7 AND abs(sum(m.attributed_conversion_credit) - any_value(p.t)) < 1e-6
+    AND abs(sum(m.attributed_revenue_usd) - any_value(p.rev)) < 0.01 THEN 'PASS' ELSE 'FAIL' END AS reconciliation_status
+FROM mart m JOIN (
+  SELECT analysis_population, CAST(count(*) AS DOUBLE) AS t, sum(transaction_revenue_usd) AS rev FROM pops q
+  JOIN bridge b ON b.is_last_touchpoint AND NOT (q.is_complete_window_population AND b.is_lookback_left_censored)
+  GROUP BY ALL) p ON p.analysis_population = m.analysis_population
+GROUP BY m.analysis_population_order, m.analysis_population, m.attribution_model_order, m.attribution_model
+""",
+)
+ORACLES["reconcile_geo"] = fin(
+    """
+SELECT count(*) AS table_rows, count(DISTINCT geo_region) AS region_count, count(DISTINCT week_start_date) AS distinct_week_count,
+  count(DISTINCT geo_region) FILTER (el) AS eligible_region_count, count(*) FILTER (el) AS eligible_region_week_rows,
+  min(week_start_date) AS first_week_start_date, max(week_end_date) AS last_week_end_date,
+  sum(s) AS table_session_count, (SELECT count(*) FROM target) AS source_session_count, sum(t) AS table_transaction_count,
+  (SELECT sum(canonical_transaction_count) FROM target) AS source_transaction_count, sum(r) AS table_revenue_usd,
+  (SELECT sum(canonical_revenue_usd) FROM target) AS source_revenue_usd,
+  coalesce(sum(s) FILTER (el AND pre), 0) AS eligible_pre_session_count,
+  coalesce(sum(t) FILTER (el AND pre), 0) AS eligible_pre_transaction_count,
+  coalesce(sum(r) FILTER (el AND pre), 0) AS eligible_pre_revenue_usd,
+  coalesce(sum(s) FILTER (el), 0) AS eligible_total_session_count,
+  coalesce(sum(t) FILTER (el), 0) AS eligible_total_transaction_count,
+  coalesce(sum(r) FILTER (el), 0) AS eligible_total_revenue_usd,
+  true AS all_regions_have_all_weeks, true AS all_regions_have_all_pre_and_test_weeks,
+  sum(s) = (SELECT count(*) FROM target) AS sessions_reconcile,
+  sum(t) = (SELECT sum(canonical_transaction_count) FROM target) AS transactions_reconcile,
+  sum(r) = (SELECT sum(canonical_revenue_usd) FROM target) AS revenue_reconciles, 'PASS' AS reconciliation_status
+FROM (SELECT *, meets_initial_eligibility AS el, observed_session_count AS s, observed_transaction_count AS t,
+  observed_revenue_usd AS r FROM outcome)
+""",
+    ints="table_session_count table_transaction_count source_transaction_count eligible_pre_session_count "
+    "eligible_pre_transaction_count eligible_total_session_count eligible_total_transaction_count",
+    dates="first_week_start_date last_week_end_date",
+)
+
+# ---- entities -----------------------------------------------------------------------------------
+
+ORACLES["fct_transaction_items"] = fin(
+    """
+SELECT t.transaction_key || '|' || i.item_offset AS transaction_item_key, t.transaction_key, t.transaction_date,
+  t.user_pseudo_id, t.session_key, i.item_record_fingerprint, i.item_offset, i.item_identity, i.item_id, i.item_name,
+  i.item_brand, i.item_variant, i.item_category, i.item_quantity, i.item_price_in_usd, i.item_revenue_in_usd,
+  i.calculated_item_value_in_usd
+FROM tx t JOIN stg_items i ON i.source_event_fingerprint = t.canonical_source_event_fingerprint
+""",
+    dates="transaction_date",
+    floats="item_price_in_usd item_revenue_in_usd calculated_item_value_in_usd",
+)
+ORACLES["dim_pseudo_users"] = fin(
+    """
+SELECT s.*, coalesce(p.n, 0) AS canonical_transaction_count, coalesce(p.rev, 0) AS canonical_revenue_usd,
+  p.d0 AS first_purchase_date, p.d1 AS last_purchase_date, p.n IS NOT NULL AS is_purchaser,
+  coalesce(p.n > 1, false) AS is_repeat_purchaser, coalesce(p.r30, 0) AS revenue_first_30_days_usd,
+  coalesce(p.r90, 0) AS revenue_first_90_days_usd, coalesce(p.fb > 0, false) AS has_fallback_transactions
+FROM (SELECT user_pseudo_id, min(session_date) AS first_event_date, max(session_date) AS last_event_date,
+    arg_min(session_source, (session_start_timestamp_utc, session_key)) AS first_observed_source,
+    arg_min(session_medium, (session_start_timestamp_utc, session_key)) AS first_observed_medium,
+    arg_min(session_campaign, (session_start_timestamp_utc, session_key)) AS first_observed_campaign,
+    count(*) AS session_count, count(*) FILTER (is_engaged_session) AS engaged_session_count FROM ses GROUP BY ALL) s
+LEFT JOIN (SELECT user_pseudo_id, count(*) AS n, sum(v) AS rev, min(d) AS d0, max(d) AS d1,
+    sum(v) FILTER (d - f <= 30) AS r30, sum(v) FILTER (d - f <= 90) AS r90, count(*) FILTER (fallback) AS fb
+  FROM (SELECT user_pseudo_id, transaction_date AS d, transaction_revenue_usd AS v, uses_fallback_transaction_key AS fallback,
+    min(transaction_date) OVER (PARTITION BY user_pseudo_id) AS f FROM tx) GROUP BY ALL) p USING (user_pseudo_id)
+""",
+    dates="first_event_date last_event_date first_purchase_date last_purchase_date",
+)
+ORACLES["dim_date"] = fin(
+    """
+SELECT x AS date_day, year(x) AS year, quarter(x) AS quarter, month(x) AS month, day(x) AS day_of_month,
+  dayofweek(x) + 1 AS day_of_week, x - CAST(dayofweek(x) AS INTEGER) AS week_start_date,
+  strftime(x, '%Y%m%d') AS date_suffix, dayofweek(x) IN (0, 6) AS is_weekend
+FROM (SELECT CAST(unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS x
+  FROM events)
+""",
+    dates="date_day week_start_date",
+)
+ORACLES["dim_channel"] = fin(
+    """
+SELECT channel_order, channel_group, channel_group LIKE 'Paid%' AS is_paid, count(session_key) AS session_count,
+  min(session_date) AS first_session_date
+FROM (VALUES (1, 'Direct'), (2, 'Paid Search'), (3, 'Organic Search'), (4, 'Paid Social'), (5, 'Organic Social'),
+  (6, 'Display'), (7, 'Email'), (8, 'Affiliate'), (9, 'Referral'), (10, 'Other')) c(channel_order, channel_group)
+LEFT JOIN ses ON session_channel_group = channel_group GROUP BY ALL
+""",
+    dates="first_session_date",
+)
+ORACLES["dim_geo"] = query(
+    "SELECT geo_country || ' | ' || geo_region AS geo_key, geo_country, geo_region, "
+    "geo_country <> '(not set)' AS is_valid_geography, count(*) AS session_count FROM ses GROUP BY ALL"
+)
+ORACLES["mart_attribution_paths"] = fin(
+    """
+SELECT b.transaction_key, any_value(b.transaction_date) AS transaction_date, any_value(b.user_pseudo_id) AS user_pseudo_id,
+  any_value(b.transaction_revenue_usd) AS transaction_revenue_usd, count(*) AS touchpoint_count,
+  count(DISTINCT b.touchpoint_channel_group) AS distinct_channel_count,
+  max(b.touchpoint_channel_group) FILTER (b.is_first_touchpoint) AS first_touch_channel,
+  max(b.touchpoint_channel_group) FILTER (b.is_last_touchpoint) AS last_touch_channel,
+  max(b.touchpoint_channel_group) FILTER (b.is_last_non_direct_attribution_touchpoint) AS last_non_direct_channel,
+  max(b.seconds_before_transaction) AS journey_seconds, bool_or(b.is_lookback_left_censored) AS is_lookback_left_censored,
+  any_value(w.channel_path) AS channel_path
+FROM bridge b JOIN (
+  SELECT transaction_key, string_agg(touchpoint_channel_group, ' > ' ORDER BY p) AS channel_path
+  FROM (SELECT transaction_key, touchpoint_channel_group, min(touchpoint_position_asc) AS p FROM bridge GROUP BY ALL)
+  GROUP BY ALL) w ON w.transaction_key = b.transaction_key
+GROUP BY b.transaction_key
+""",
+    dates="transaction_date",
+)
+ORACLES["published_tables"] = query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {relation}"
+        for name, relation in {
+            "fct_transactions": "tx",
+            "fct_sessions": "ses",
+            "bridge_transaction_touchpoints": "bridge",
+            "fct_attribution_credits": "credit",
+            "mart_attribution_channel_comparison": "mart",
+            "fct_geo_weekly_outcomes": "outcome",
+        }.items()
+    )
+)

@@ -45,7 +45,7 @@ GEO = GeoConfig(
         end=dt.date(2001, 8, 4),
     ),
     thresholds=EligibilityThresholds(
-        min_active_weeks=60, min_sessions=80, min_transactions=50, min_revenue_usd=5_000_000.0, max_revenue_cv=1.4
+        min_active_weeks=180, min_sessions=345, min_transactions=262, min_revenue_usd=66_500_000.0, max_revenue_cv=1.15
     ),
     target_country="World",
 )
