@@ -121,8 +121,9 @@ def _cells(transactions: DataFrame, sessions: DataFrame, config: AttributionConf
     )
 
     crowded = (
-        hot_keys(right.groupBy("_user", "_cell").agg(F.count(F.lit(1)).alias("_n")), "_n", skew)
-        .select(
+        hot_keys(
+            right.groupBy("_user", "_cell").agg(F.count(F.lit(1)).alias("_n")), ["_user", "_cell"], "_n", skew
+        ).select(
             F.col("_user").alias("_hu"),
             F.col("_cell").alias("_hc"),
             F.ceil(F.col("_n") / skew.min_hot_rows).cast("int").alias("_lanes"),

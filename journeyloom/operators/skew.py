@@ -7,15 +7,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from journeyloom.config import SkewConfig
 
 
-def hot_keys(counted: DataFrame, weight: str, skew: SkewConfig) -> DataFrame:
-    """The most frequent rows of ``counted``, never more than ``skew.max_hot_keys``.
+def hot_keys(counted: DataFrame, keys: list[str], weight: str, skew: SkewConfig) -> DataFrame:
+    """The most frequent keys of ``counted``, never more than ``skew.max_hot_keys``.
 
     The bound makes the result safe to broadcast; every key left out is behind
     ``max_hot_keys`` more frequent ones and so cannot hold more than 1/max_hot_keys of the rows.
+    The order is total, so that two evaluations choose the same keys.
     """
     return (
         counted.where(F.col(weight) >= skew.min_hot_rows)
-        .orderBy(F.desc(weight))
+        .orderBy(F.desc(weight), *keys)
         .limit(skew.max_hot_keys)
     )
 
@@ -36,7 +37,7 @@ def lookup_join(
     ``spread`` rather than sent to one.
     """
     values = [c for c in lookup.columns if c != key]
-    hot = hot_keys(lookup, weight, skew).select(
+    hot = hot_keys(lookup, [key], weight, skew).select(
         F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")
     )
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")

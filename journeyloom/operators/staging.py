@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from journeyloom.functions.calendar import day_from_suffix
-from journeyloom.functions.params import EVENT_PARAMS, Param, repeats_a_key, typed_value
+from journeyloom.functions.params import EVENT_PARAMS, Param, largest_value
 from journeyloom.functions.text import blank_to_null, pipe_join, sha256_hex, strip, tag
 
 # Spellings of an unset transaction ID and of the engagement flag.
@@ -82,9 +82,7 @@ def extract_params(
     events: DataFrame, specs: tuple[Param, ...] = EVENT_PARAMS, params: str = "event_params"
 ) -> DataFrame:
     """Add one typed column per parameter and drop nothing."""
-    marked = events.withColumn("_repeated", repeats_a_key(F.col(params)))
-    typed = {s.column: typed_value(F.col(params), F.col("_repeated"), s) for s in specs}
-    return marked.withColumns(typed).drop("_repeated")
+    return events.withColumns({s.column: largest_value(F.col(params), s.key, s.kind) for s in specs})
 
 
 def _paths(mapping: dict[str, str]) -> list[Column]:

@@ -31,6 +31,11 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def application_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared root; all its written frames live here."""
+    return f"{shared_root(spark)}/journeyloom-{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once to the shared folder and go on from the written table.
 
@@ -38,6 +43,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs a re-read instead of the whole lineage.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/journeyloom-{uuid.uuid4().hex}/{name}"
+    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the frames this application has settled; call it when its results are published."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

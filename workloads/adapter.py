@@ -5,11 +5,9 @@ Deterministic and built from integers and strings, so that the SQL side can repe
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from journeyloom.sources.workspace import shared_root
+from journeyloom.sources.workspace import settle
 
 # Event type of the given table -> event name.
 EVENT_NAMES = {
@@ -85,7 +83,7 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str], DataFrame] = {}
 
 
 def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +91,8 @@ def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        _written[key] = f"{shared_root(spark)}/nested-events-{uuid.uuid4().hex}"
-        shape_events(spark, sf_dir).write.parquet(_written[key])
-    return spark.read.parquet(_written[key])
+        _written[key] = settle(shape_events(spark, sf_dir), "nested_events")
+    return _written[key]
 
 
 def shape_events(spark: SparkSession, sf_dir: str) -> DataFrame:
