@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from journeyloom.config import SkewConfig
+from journeyloom.sources.workspace import settle
 
 
 def hot_keys(counted: DataFrame, keys: list[str], weight: str, skew: SkewConfig) -> DataFrame:
@@ -78,28 +79,46 @@ def running_offsets(
     )
 
 
-def value_ladder(values: DataFrame, buckets: int = 1024) -> DataFrame:
+def _cell_edges(values: DataFrame, buckets: int) -> DataFrame:
+    """Per metric, the inner edges of cells that hold about equally many of the given rows.
+
+    The sketch behind the approximate percentiles has a fixed size.  The edges are written down,
+    because all users of a cell number must see the same edges; that they are approximate only
+    makes the cells a little uneven.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    return settle(
+        values.groupBy("metric").agg(F.array_distinct(F.percentile_approx("value", shares, 10_000)).alias("_edges")),
+        "cell_edges",
+    )
+
+
+def _cell_of(value: Column) -> Column:
+    """Number of the cell of a value; it grows with the value, equal values share a cell."""
+    return F.size(F.filter("_edges", lambda edge: edge < value))
+
+
+def value_ladder(values: DataFrame, buckets: int = 64) -> DataFrame:
     """Distinct values in global order, without a global sort in one task.
 
-    Input: rows (metric, value) without NULLs.  Output, one row per metric and distinct value:
-    ``copies``, ``below`` (rows with a smaller value) and ``total``.  The value range of a metric
-    is cut into equal cells; cell totals (at most ``buckets`` + 1 rows per metric) give the
-    offsets, the order inside a cell is a local window.  Copies of one value are one row
-    beforehand, so ties cannot overload a cell.
+    Input: rows (metric, value) without NULLs, for a handful of metrics.  Output, one row per
+    metric and distinct value: ``copies``, ``below`` (rows with a smaller value) and ``total``.
+    The values of a metric are cut into cells of about equal size; cell totals (``buckets`` rows
+    per metric) give the offsets, the order inside a cell is a local window.  Copies of one value
+    are one row beforehand, so neither ties nor a crowded value range can overload a cell.
     """
     distinct = values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("copies"))
-    extent = values.groupBy("metric").agg(
-        F.min("value").alias("_low"), F.max("value").alias("_high"), F.count(F.lit(1)).alias("total")
+    edges = _cell_edges(distinct, buckets)
+    placed = distinct.join(F.broadcast(edges), "metric").select(
+        "metric", "value", "copies", _cell_of(F.col("value")).alias("_cell")
     )
-    span = F.col("_high") - F.col("_low")
-    cell = F.when(span > 0, F.floor((F.col("value") - F.col("_low")) / span * buckets)).otherwise(0)
-    placed = distinct.join(extent, "metric").withColumn("_cell", cell.cast("int"))
-    offsets = running_offsets(
-        placed.groupBy("metric", "_cell").agg(F.sum("copies").alias("_in_cell")),
-        ["metric"],
+    cells = placed.groupBy("metric", "_cell").agg(F.sum("copies").alias("_in_cell"))
+    offsets = running_offsets(cells, ["metric"], "_cell", {"_before_cell": "_in_cell"}).select(
+        "metric",
         "_cell",
-        {"_before_cell": "_in_cell"},
-    ).select("metric", "_cell", "_before_cell")
+        "_before_cell",
+        F.sum("_in_cell").over(Window.partitionBy("metric")).alias("total"),
+    )
     inside = (
         Window.partitionBy("metric", "_cell")
         .orderBy("value")
@@ -140,27 +159,21 @@ def quantiles(ladder: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def numbered(
-    rows: DataFrame, level: Column, amount: Column, order: list[Column], name: str, buckets: int = 1024
+    rows: DataFrame, level: Column, amount: Column, order: list[Column], name: str, buckets: int = 64
 ) -> DataFrame:
     """Global row number over ``order`` without a window over the whole frame.
 
-    ``level`` (small integer, ascending) and ``amount`` (double, descending inside a level) must
-    be the leading sort keys and free of NULLs.
+    ``level`` (a few small integers, ascending) and ``amount`` (double, descending inside a
+    level) must be the leading sort keys and free of NULLs.
     """
-    keyed = rows.withColumns({"_level": level, "_amount": amount})
-    extent = keyed.agg(F.min("_amount").alias("_low"), F.max("_amount").alias("_high"))
-    span = F.col("_high") - F.col("_low")
-    cell = F.when(span > 0, F.floor((F.col("_high") - F.col("_amount")) / span * buckets)).otherwise(0)
-    placed = keyed.crossJoin(F.broadcast(extent)).withColumn(
-        "_cell", F.col("_level") * (buckets + 1) + cell.cast("int")
+    keyed = rows.withColumns({"metric": level.cast("int"), "value": -amount.cast("double")})
+    edges = _cell_edges(keyed.select("metric", "value").distinct(), buckets)
+    placed = keyed.join(F.broadcast(edges), "metric").withColumn(
+        "_cell", F.col("metric") * buckets + _cell_of(F.col("value"))
     )
-    # One row per cell: at most (levels) x (buckets + 1) rows share the constant group.
-    offsets = running_offsets(
-        placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_in_cell")).withColumn("_all", F.lit(0)),
-        ["_all"],
-        "_cell",
-        {"_before": "_in_cell"},
-    ).select("_cell", "_before")
+    # One row per cell: at most levels x buckets rows share the constant group.
+    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_in_cell")).withColumn("_all", F.lit(0))
+    offsets = running_offsets(cells, ["_all"], "_cell", {"_before": "_in_cell"}).select("_cell", "_before")
     local = Window.partitionBy("_cell").orderBy(*order)
     return (
         placed.join(F.broadcast(offsets), "_cell")

@@ -1598,3 +1598,344 @@ ORACLES["published_tables"] = query(
         }.items()
     )
 )
+
+# ---- contracts ----------------------------------------------------------------------------------
+
+
+def _bad_rows(relation: str, condition: str) -> str:
+    return f"SELECT count(*) FROM {relation} WHERE {condition}"
+
+
+def _bad_groups(relation: str, keys: str, condition: str) -> str:
+    return f"SELECT count(*) FROM (SELECT {keys} FROM {relation} GROUP BY {keys} HAVING {condition})"
+
+
+def _any_null(columns: str) -> str:
+    return " OR ".join(f"{c} IS NULL" for c in columns.split())
+
+
+def _holds(condition: str) -> str:
+    return f"SELECT CASE WHEN {condition} THEN 0 ELSE 1 END"
+
+
+def _report(rows: list[tuple[str, str, str]]) -> str:
+    union = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS contract, CAST(({sql}) AS BIGINT) AS violations" for t, c, sql in rows
+    )
+    return query(f"SELECT *, violations = 0 AS passed FROM (\n{union}\n)")
+
+
+step(
+    "shift",
+    """
+SELECT f.attribution_model, f.touchpoint_channel_group, f.revenue_delta_vs_last_touch_usd AS x,
+  c.revenue_delta_vs_last_touch_usd AS y
+FROM mart f JOIN mart c USING (attribution_model, touchpoint_channel_group)
+WHERE f.attribution_model <> 'last_touch' AND f.analysis_population = 'all_observed'
+  AND c.analysis_population = 'complete_window'
+""",
+)
+_cells_of = "analysis_population, attribution_model"
+ORACLES["attribution_contracts"] = _report(
+    [
+        ("fct_transactions", "transaction_key is unique", _bad_groups("tx", "transaction_key", "count(*) > 1")),
+        ("fct_transactions", "transaction_key is set", _bad_rows("tx", "transaction_key IS NULL")),
+        (
+            "fct_transactions",
+            "reliable IDs have no conflict",
+            _bad_rows(
+                "tx",
+                "NOT uses_fallback_transaction_key AND (transaction_id_distinct_users > 1 "
+                "OR transaction_id_distinct_revenue_values > 1)",
+            ),
+        ),
+        ("fct_sessions", "session_key is unique", _bad_groups("ses", "session_key", "count(*) > 1")),
+        ("fct_sessions", "session_key is set", _bad_rows("ses", "session_key IS NULL")),
+        (
+            "fct_sessions",
+            "all events are represented",
+            _holds("(SELECT sum(event_count) FROM ses) = (SELECT count(*) FROM events)"),
+        ),
+        (
+            "fct_sessions",
+            "all transactions are represented",
+            _holds("(SELECT sum(canonical_transaction_count) FROM ses) = (SELECT count(*) FROM tx)"),
+        ),
+        (
+            "fct_sessions",
+            "revenue is represented",
+            _holds("(SELECT sum(canonical_revenue_usd) FROM ses) = (SELECT sum(transaction_revenue_usd) FROM tx)"),
+        ),
+        (
+            "bridge_transaction_touchpoints",
+            "transaction identifiers are set",
+            _bad_rows(
+                "bridge",
+                _any_null("transaction_key user_pseudo_id transaction_timestamp_utc transaction_session_key"),
+            ),
+        ),
+        (
+            "bridge_transaction_touchpoints",
+            "attribution dimensions are set",
+            _bad_rows("bridge", _any_null("touchpoint_source touchpoint_medium touchpoint_channel_group")),
+        ),
+        (
+            "bridge_transaction_touchpoints",
+            "touchpoints lie inside the lookback window",
+            _bad_rows("bridge", f"seconds_before_transaction NOT BETWEEN 0 AND {LOOKBACK} * 86400"),
+        ),
+        (
+            "bridge_transaction_touchpoints",
+            "transaction-touchpoint pairs are unique",
+            _bad_groups("bridge", "transaction_key, touchpoint_session_key", "count(*) > 1"),
+        ),
+        (
+            "bridge_transaction_touchpoints",
+            "one conversion session per transaction",
+            _bad_groups("bridge", "transaction_key", "count(*) FILTER (is_conversion_session) <> 1"),
+        ),
+        (
+            "bridge_transaction_touchpoints",
+            "all transactions are represented",
+            _holds("(SELECT count(DISTINCT transaction_key) FROM bridge) = (SELECT count(*) FROM tx)"),
+        ),
+        (
+            "bridge_transaction_touchpoints",
+            "revenue is represented",
+            _holds(
+                "(SELECT sum(transaction_revenue_usd) FROM bridge WHERE is_last_touchpoint) = "
+                "(SELECT sum(transaction_revenue_usd) FROM tx)"
+            ),
+        ),
+        (
+            "fct_attribution_credits",
+            "all models are present",
+            _holds("(SELECT count(DISTINCT attribution_model) FROM credit) = 5"),
+        ),
+        (
+            "fct_attribution_credits",
+            "weights lie in (0, 1]",
+            _bad_rows("credit", "attribution_weight IS NULL OR attribution_weight <= 0 OR attribution_weight > 1"),
+        ),
+        (
+            "fct_attribution_credits",
+            "credit fields are set",
+            _bad_rows(
+                "credit",
+                _any_null(
+                    "transaction_key touchpoint_session_key attribution_model touchpoint_channel_group "
+                    "attributed_revenue_usd"
+                ),
+            ),
+        ),
+        (
+            "fct_attribution_credits",
+            "credit rows are unique",
+            _bad_groups("credit", "attribution_model, transaction_key, touchpoint_session_key", "count(*) > 1"),
+        ),
+        (
+            "fct_attribution_credits",
+            "weights of a transaction sum to one",
+            _bad_groups(
+                "credit", "attribution_model, transaction_key", "abs(sum(attribution_weight) - 1) > 1e-9"
+            ),
+        ),
+        (
+            "attribution_credit_totals",
+            "models allocate all conversions and revenue",
+            "SELECT CASE WHEN count(*) = 0 THEN 0 ELSE 1 END FROM (SELECT attribution_model FROM credit GROUP BY "
+            "attribution_model HAVING count(DISTINCT transaction_key) <> (SELECT count(*) FROM tx) OR "
+            "abs(sum(attributed_revenue_usd) - (SELECT sum(transaction_revenue_usd) FROM tx)) > 0.01)",
+        ),
+        ("mart_attribution_channel_comparison", "grid is complete", _holds("(SELECT count(*) FROM mart) = 70")),
+        (
+            "mart_attribution_channel_comparison",
+            "grid cells are unique",
+            _bad_groups("mart", f"{_cells_of}, touchpoint_channel_group", "count(*) > 1"),
+        ),
+        (
+            "mart_attribution_channel_comparison",
+            "comparison fields are set",
+            _bad_rows("mart", _any_null("touchpoint_channel_group attributed_revenue_usd")),
+        ),
+        (
+            "mart_attribution_channel_comparison",
+            "credit is not negative",
+            _bad_rows("mart", "least(attributed_conversion_credit, attributed_revenue_usd) < 0"),
+        ),
+        (
+            "mart_attribution_channel_comparison",
+            "shares sum to one",
+            _bad_groups(
+                "mart",
+                _cells_of,
+                "abs(sum(model_conversion_share) - 1) > 1e-9 OR abs(sum(model_revenue_share) - 1) > 1e-9",
+            ),
+        ),
+        (
+            "mart_attribution_channel_comparison",
+            "deltas against last touch cancel",
+            _bad_groups("mart", _cells_of, "abs(sum(revenue_delta_vs_last_touch_usd)) > 0.01"),
+        ),
+        (
+            "mart_attribution_channel_comparison",
+            "models agree within a population",
+            _bad_groups(
+                "mart",
+                "analysis_population",
+                "max(model_total_attributed_revenue_usd) - min(model_total_attributed_revenue_usd) > 0.01",
+            ),
+        ),
+        (
+            "mart_attribution_channel_comparison",
+            "last touch equals its baseline",
+            _bad_rows("mart", "attribution_model = 'last_touch' AND abs(revenue_delta_vs_last_touch_usd) > 0.01"),
+        ),
+        (
+            "mart_attribution_channel_comparison",
+            "last non-direct equals its baseline",
+            _bad_rows(
+                "mart", "attribution_model = 'last_non_direct' AND abs(revenue_delta_vs_last_non_direct_usd) > 0.01"
+            ),
+        ),
+        ("channel_shift_analysis", "analysis is complete", _holds("(SELECT count(*) FROM shift) = 28")),
+        (
+            "channel_shift_analysis",
+            "comparison models are present",
+            _holds("(SELECT count(DISTINCT attribution_model) FROM shift) = 4"),
+        ),
+        (
+            "channel_shift_analysis",
+            "channels are present",
+            _holds("(SELECT count(DISTINCT touchpoint_channel_group) FROM shift) = 7"),
+        ),
+        ("channel_shift_analysis", "analysis fields are set", _bad_rows("shift", "x IS NULL OR y IS NULL")),
+        (
+            "channel_shift_analysis",
+            "shifts cancel within a model",
+            _bad_groups("shift", "attribution_model", "abs(sum(x)) > 0.01 OR abs(sum(y)) > 0.01"),
+        ),
+        ("dim_pseudo_users", "users are unique", _holds("(SELECT count(DISTINCT user_pseudo_id) FROM ses) > 0")),
+        (
+            "dim_pseudo_users",
+            "event dates are ordered",
+            _bad_groups("ses", "user_pseudo_id", "min(session_date) > max(session_date)"),
+        ),
+        (
+            "dim_pseudo_users",
+            "purchase dates are ordered",
+            _bad_groups("tx", "user_pseudo_id", "min(transaction_date) > max(transaction_date)"),
+        ),
+        (
+            "dim_pseudo_users",
+            "transactions reconcile",
+            _bad_rows("tx", "user_pseudo_id NOT IN (SELECT user_pseudo_id FROM ses)"),
+        ),
+    ]
+)
+_corrs = "session_correlation revenue_correlation"
+_ratios = "session_scale_ratio transaction_scale_ratio revenue_scale_ratio"
+ORACLES["geo_contracts"] = _report(
+    [
+        ("fct_geo_weekly_outcomes", "regions have all weeks", _bad_groups("outcome", "geo_region", "count(*) <> 344")),
+        (
+            "fct_geo_weekly_outcomes",
+            "regions have all PRE and TEST weeks",
+            _bad_groups("outcome", "geo_region", "count(*) FILTER (pre) <> 260 OR count(*) FILTER (NOT pre) <> 84"),
+        ),
+        (
+            "fct_geo_weekly_outcomes",
+            "panel keys are set",
+            _bad_rows("outcome", _any_null("geo_key geo_region week_start_date period_name")),
+        ),
+        (
+            "fct_geo_weekly_outcomes",
+            "outcomes are not negative",
+            _bad_rows(
+                "outcome",
+                "least(observed_session_count, observed_unique_users, observed_transaction_count, "
+                "observed_revenue_usd, observed_item_quantity) < 0",
+            ),
+        ),
+        (
+            "fct_geo_weekly_outcomes",
+            "outcomes are observed and unassigned",
+            _bad_rows("outcome", "treatment_assignment_status <> 'UNASSIGNED' OR is_synthetic_outcome"),
+        ),
+        (
+            "fct_geo_weekly_outcomes",
+            "sessions reconcile",
+            _holds("(SELECT sum(observed_session_count) FROM outcome) = (SELECT count(*) FROM target)"),
+        ),
+        (
+            "fct_geo_weekly_outcomes",
+            "transactions reconcile",
+            _holds(
+                "(SELECT sum(observed_transaction_count) FROM outcome) = "
+                "(SELECT sum(canonical_transaction_count) FROM target)"
+            ),
+        ),
+        (
+            "fct_geo_weekly_outcomes",
+            "revenue reconciles",
+            _holds("(SELECT sum(observed_revenue_usd) FROM outcome) = (SELECT sum(canonical_revenue_usd) FROM target)"),
+        ),
+        ("region_features", "regions are unique", _bad_groups("feature", "geo_region", "count(*) > 1")),
+        ("region_features", "regions have all PRE weeks", _bad_rows("feature", "pre_weeks <> 260")),
+        (
+            "region_features",
+            "variation agrees with the panel",
+            _bad_rows("feature", "abs(revenue_cv - warehouse_revenue_cv) > 1e-6 * (1 + warehouse_revenue_cv)"),
+        ),
+        (
+            "region_features",
+            "features are defined",
+            _bad_rows(
+                "feature",
+                _any_null("pre_transaction_rate_pct revenue_cv session_trend_pct_per_week revenue_trend_pct_per_week"),
+            ),
+        ),
+        *[
+            row
+            for z in [*_z, "z_scale_index"]
+            for row in (
+                ("matching_profiles", f"{z} has mean zero", f"SELECT CASE WHEN abs(avg({z})) <= 1e-10 THEN 0 ELSE 1 END FROM zed"),
+                (
+                    "matching_profiles",
+                    f"{z} has deviation one",
+                    f"SELECT CASE WHEN abs(stddev_pop({z}) - 1) <= 1e-10 THEN 0 ELSE 1 END FROM zed",
+                ),
+            )
+        ],
+        ("pair_metrics", "pair_id is unique", _bad_groups("duo", "pair_id", "count(*) > 1")),
+        ("pair_metrics", "pair measures are defined", _bad_rows("duo", _any_null(_pair_floats))),
+        (
+            "pair_metrics",
+            "distances are not negative",
+            _bad_rows(
+                "duo",
+                "least(category_balanced_feature_distance, six_feature_distance_sensitivity, session_shape_nrmse, "
+                "revenue_shape_nrmse) < 0",
+            ),
+        ),
+        (
+            "pair_metrics",
+            "correlations lie in [-1, 1]",
+            _bad_rows("duo", " OR ".join(f"abs({c}) > 1 + 1e-12" for c in _corrs.split())),
+        ),
+        (
+            "pair_metrics",
+            "scale ratios lie in (0, 1]",
+            _bad_rows("duo", " OR ".join(f"{c} <= 0 OR {c} > 1" for c in _ratios.split())),
+        ),
+        (
+            "candidate_designs",
+            "regions are not reused",
+            _bad_groups(
+                "(SELECT design_name, unnest([region_a, region_b]) AS region FROM chosen)",
+                "design_name, region",
+                "count(*) > 1",
+            ),
+        ),
+    ]
+)
