@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-DAY_MICROS = 86_400_000_000
+HOUR_MICROS = 3_600_000_000
+DAY_MICROS = 24 * HOUR_MICROS
 
 
 def day_from_suffix(c: Column) -> Column:

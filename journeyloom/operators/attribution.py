@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from journeyloom.config import AttributionConfig, SkewConfig
-from journeyloom.functions.calendar import DAY_MICROS, whole_seconds
+from journeyloom.functions.calendar import DAY_MICROS, HOUR_MICROS, whole_seconds
 from journeyloom.functions.numeric import ratio, rows_where
 from journeyloom.operators.sessions import (
     DIRECT_CHANNEL,
@@ -191,21 +191,21 @@ def eligible_touchpoints(
 def rank_touchpoints(touchpoints: DataFrame) -> DataFrame:
     """Journey positions of every touchpoint, from the front and from the back.
 
-    A journey is ranked day by day: the day totals of a journey (at most one row per day of the
-    lookback) give the offset of each day, and the sort runs inside a day only.  A journey of
-    millions of touchpoints is thereby spread over its days, and the positions from the back
+    A journey is ranked hour by hour: the hour totals of a journey (at most one row per hour of
+    the lookback) give the offset of each hour, and the sort runs inside an hour only.  A journey
+    of millions of touchpoints is thereby spread over its hours, and the positions from the back
     follow from the totals without a second sort.
     """
     non_direct = ~F.col("is_direct_touchpoint")
-    dated = touchpoints.withColumn(
-        "_day", F.floor(F.unix_micros("touchpoint_start_timestamp_utc") / DAY_MICROS)
+    timed = touchpoints.withColumn(
+        "_hour", F.floor(F.unix_micros("touchpoint_start_timestamp_utc") / HOUR_MICROS)
     )
-    days = dated.groupBy("transaction_key", "_day").agg(
+    hours = timed.groupBy("transaction_key", "_hour").agg(
         F.count(F.lit(1)).alias("_rows"), rows_where(non_direct).alias("_named")
     )
     journey = Window.partitionBy("transaction_key")
     offsets = (
-        running_offsets(days, ["transaction_key"], "_day", {"_rows_before": "_rows", "_named_before": "_named"})
+        running_offsets(hours, ["transaction_key"], "_hour", {"_rows_before": "_rows", "_named_before": "_named"})
         .withColumns(
             {
                 "touchpoint_count": F.sum("_rows").over(journey),
@@ -214,14 +214,14 @@ def rank_touchpoints(touchpoints: DataFrame) -> DataFrame:
         )
         .drop("_rows", "_named")
     )
-    inside = Window.partitionBy("transaction_key", "_day").orderBy(
+    inside = Window.partitionBy("transaction_key", "_hour").orderBy(
         "touchpoint_start_timestamp_utc", "touchpoint_session_key"
     )
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     front = F.col("touchpoint_position_asc")
     named_front = F.col("non_direct_touchpoint_position_asc")
     return (
-        dated.join(offsets, ["transaction_key", "_day"])
+        timed.join(offsets, ["transaction_key", "_hour"])
         .withColumns(
             {
                 "touchpoint_position_asc": F.col("_rows_before") + F.row_number().over(inside),
@@ -236,7 +236,7 @@ def rank_touchpoints(touchpoints: DataFrame) -> DataFrame:
                 "non_direct_touchpoint_position_desc": F.col("non_direct_touchpoint_count") + 1 - named_front,
             }
         )
-        .drop("_day", "_rows_before", "_named_before")
+        .drop("_hour", "_rows_before", "_named_before")
     )
 
 

@@ -99,7 +99,7 @@ def assign_transaction_key(classified: DataFrame) -> DataFrame:
 
 
 def _keep(df: DataFrame) -> DataFrame:
-    return settle(df, "purchase_events")
+    return settle(df, "purchases")
 
 
 def fct_transactions(
@@ -110,16 +110,16 @@ def fct_transactions(
     """One row per canonical transaction: the earliest measurement of every key.
 
     Purchases are a small part of the events but lie in every file, so they are read out of the
-    events once and held (written to the shared folder by default) for the profile and the join.
+    events once and held (written to the shared folder by default) for the profile and the join;
+    so is the profile, which serves hot and ordinary IDs separately.
 
     The choice is an aggregate (smallest struct), not a window.  It combines before the shuffle,
     so a transaction repeated a million times is one row per map task by then, and the struct
     carries all columns, which makes the result independent of the input order.
     """
     purchases = hold(purchase_events(staged))
-    keyed = assign_transaction_key(
-        classify_key_method(purchases, transaction_id_profile(purchases), skew)
-    )
+    profile = hold(transaction_id_profile(purchases))
+    keyed = assign_transaction_key(classify_key_method(purchases, profile, skew))
     order = ["event_timestamp_utc", "event_timestamp_micros", "source_event_fingerprint"]
     rest = [c for c in keyed.columns if c not in order and c != "transaction_key"]
     collapsed = keyed.groupBy("transaction_key").agg(

@@ -1815,7 +1815,11 @@ ORACLES["attribution_contracts"] = _report(
             "shifts cancel within a model",
             _bad_groups("shift", "attribution_model", "abs(sum(x)) > 0.01 OR abs(sum(y)) > 0.01"),
         ),
-        ("dim_pseudo_users", "users are unique", _holds("(SELECT count(DISTINCT user_pseudo_id) FROM ses) > 0")),
+        (
+            "dim_pseudo_users",
+            "users are unique",
+            _bad_groups("(SELECT DISTINCT user_pseudo_id FROM ses)", "user_pseudo_id", "count(*) > 1"),
+        ),
         (
             "dim_pseudo_users",
             "event dates are ordered",
