@@ -1,39 +1,56 @@
-"""Where intermediate tables live: the shared folder the cluster names in spark.checkpoint.dir."""
+"""Where intermediate tables live: the shared folder the cluster names in spark.checkpoint.dir.
+
+Scratch (frames that are read more than once) and results (tables a caller publishes) have folders
+of their own, so scratch can be dropped without touching a published table.
+"""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_roots: dict[str, str] = {}
+_watchers: list[list[str]] = []
+_at_exit: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of the session.
 
-    Only a local master may do without one: there a temporary folder is shared by definition.
+    Where the setting is missing, a local master sets a folder inside its warehouse, which all of
+    its tasks reach; any other master has to name one.
     """
     configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        root = tempfile.mkdtemp(prefix="journeyloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        _local_roots[app] = root
-    return _local_roots[app]
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    spark.conf.set(_SETTING, own)
+    return own
 
 
 def application_folder(spark: SparkSession) -> str:
-    """The folder of this application below the shared root; all its written frames live here."""
-    return f"{shared_root(spark)}/journeyloom-{spark.sparkContext.applicationId}"
+    """The folder of this application below the shared root; it goes when the application ends."""
+    folder = f"{shared_root(spark)}/journeyloom-{spark.sparkContext.applicationId}"
+    if folder not in _at_exit:
+        _at_exit.add(folder)
+        path, system = _located(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return folder
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    return f"{application_folder(spark)}/scratch"
+
+
+def results_folder(spark: SparkSession) -> str:
+    """For tables published by queries; dropping scratch leaves them alone."""
+    return f"{application_folder(spark)}/results"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -43,12 +60,36 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs a re-read instead of the whole lineage.
     """
     spark = df.sparkSession
-    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    for seen in _watchers:
+        seen.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def watched_frames() -> Iterator[list[str]]:
+    """The paths of all frames settled inside the block, for ``drop_frames`` later on."""
+    seen: list[str] = []
+    _watchers.append(seen)
+    try:
+        yield seen
+    finally:
+        _watchers[:] = [w for w in _watchers if w is not seen]
+
+
+def drop_frames(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete settled frames whose results have been written elsewhere."""
+    for name in paths:
+        path, system = _located(spark, name)
+        system.delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete the frames this application has settled; call it when its results are published."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete every frame this application has settled; published results stay."""
+    drop_frames(spark, [scratch_folder(spark)])
+
+
+def _located(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

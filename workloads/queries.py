@@ -32,7 +32,7 @@ from journeyloom.operators import (
 )
 from journeyloom.plans.warehouse import AttributionChain, GeoChain, publish_attribution, publish_geo
 from journeyloom.sources import tables
-from journeyloom.sources.workspace import application_folder, settle
+from journeyloom.sources.workspace import results_folder, settle
 from workloads.adapter import geo_sessions, nested_events
 
 LOOKBACK_DAYS = 7
@@ -96,7 +96,7 @@ def _on_geo(op: Callable[[GeoChain], DataFrame], one_market: bool = True) -> Que
 
 def read_events_pruned(spark: SparkSession, sf: str) -> DataFrame:
     """Write the events by day, read the whole span back through the partition filter."""
-    path = f"{application_folder(spark)}/events-by-day"
+    path = f"{results_folder(spark)}/events-by-day"
     nested_events(spark, sf).repartition("event_date").write.mode("overwrite").partitionBy(
         "event_date"
     ).parquet(path)
@@ -116,7 +116,7 @@ def verify_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 def published_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Publish the attribution tables and the geo table behind their contracts; count their rows."""
-    root = f"{application_folder(spark)}/marts"
+    root = f"{results_folder(spark)}/marts"
     chain = _chain(spark, sf)
     out = publish_attribution(chain, root, channels=7)
     out["fct_geo_weekly_outcomes"] = publish_geo(_geo(spark, sf), root)
@@ -131,7 +131,7 @@ def published_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 def csv_export(spark: SparkSession, sf: str) -> DataFrame:
     """Export the region features as CSV and read them back."""
-    path = f"{application_folder(spark)}/region_features.csv"
+    path = f"{results_folder(spark)}/region_features.csv"
     tables.write_csv(plain(_geo(spark, sf).features), path)
     names = ["geo_region", "pre_weeks", "pre_sessions", "pre_revenue_usd", "revenue_cv"]
     back = spark.read.option("header", True).csv(path)
