@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from journeyloom.llm import packing
+from journeyloom.llm import line_dedup, packing, url_filters
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_url_filters": url_filters.op5_url_filters,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op5_url_filters": url_filters.oracle_sql(),
+}
