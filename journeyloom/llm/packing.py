@@ -13,6 +13,7 @@ window inside a bucket, so a length that holds a large part of all rows is sprea
 
 from __future__ import annotations
 
+import math
 import os
 import unicodedata
 import zlib
@@ -48,7 +49,7 @@ class WordIds:
     ``2 * keep`` words of up to 40 characters are remembered.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -177,7 +178,7 @@ def minimum_slack_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> l
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...; length 1 to capacity) with sequence_id and offset.
 
     Starts jobs: pieces are written once, as ranks and plan must see the same rows.  Equal pieces take
@@ -195,7 +196,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 50_000)
     steps = plan.groupBy("length").agg(
         F.sort_array(F.collect_list(F.struct("first", "copies", "bins", "bin", "place"))).alias("_steps")
     )
-    buckets = 1 + sum(histogram.values()) // bucket_rows
+    # As many buckets as a bucket of the most frequent length may have rows.
+    buckets = 1 + math.isqrt(sum(histogram.values()))
     keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sizes = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

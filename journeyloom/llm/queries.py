@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from journeyloom.llm import line_dedup, packing, url_filters
+from journeyloom.llm import hmm_lm, line_dedup, packing, url_filters
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": url_filters.op5_url_filters,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op6_hmm_language_model": hmm_lm.op6_hmm_language_model,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 LLM_ORACLES: dict[str, str] = {
