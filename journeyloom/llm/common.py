@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -16,20 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Arrow batches to Python are cut by bytes, so very long texts do not pile up in one."""
-    spark.conf.set(BATCH_BYTES, size)
-
-
-def chunked(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def prepare_workers(spark: SparkSession, size: str = "16m") -> None:
+    """Call before Python runs on executors.
 
-
-def strings(column: pa.Array) -> list[str]:
-    """Values as text, null as empty."""
-    return [x or "" for x in column.to_pylist()]
+    Arrow batches are cut by bytes, so very long texts do not pile up in one; and workers on this
+    machine find the package where the driver found it (a cluster gets it by --py-files).
+    """
+    spark.conf.set(BATCH_BYTES, size)
+    env = spark.sparkContext.environment
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH")) if x)
 
 
 def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from journeyloom.llm.common import bounded_batches, table, word_codes
+from journeyloom.llm.common import prepare_workers, table, word_codes
 from journeyloom.sources.workspace import settle
 
 END = "\n"  # no word holds white space
@@ -41,6 +41,7 @@ def ending_class(word: str) -> int:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over a frame with one text column: its words, A-Z folded, and one end per text."""
+    prepare_workers(texts.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +91,7 @@ ENCODED = (
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row per document: its classes, what is known of its frequent words, and its other words."""
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     ship = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

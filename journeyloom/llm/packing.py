@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from journeyloom.llm.common import bounded_batches, spread, table, word_codes
+from journeyloom.llm.common import prepare_workers, spread, table, word_codes
 from journeyloom.sources.workspace import settle
 
 CAPACITY = 4096
@@ -104,7 +104,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     A null text counts as empty and is the end id alone; a null doc_id stays null; repeated rows are
     pieces of their own; further columns are dropped.
     """
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(path or tokenizer_path())

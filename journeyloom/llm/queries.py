@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from journeyloom.llm import hmm_lm, line_dedup, packing, url_filters
+from journeyloom.llm import hmm_lm, line_dedup, packing, toxicity, url_filters
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filters": url_filters.op5_url_filters,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op6_hmm_language_model": hmm_lm.op6_hmm_language_model,
