@@ -61,7 +61,12 @@ def chunks_of(docs: DataFrame, text: str = "text", long_line: int = 50) -> DataF
 def repeated_chunks(docs: DataFrame, long_line: int = 50) -> DataFrame:
     """Per document key the repeated chunks that are not the kept one: ``_marks`` of (no, chunk)."""
     keyed = docs.select(_key(), "text")
-    chunks = chunks_of(keyed, "text", long_line).select("_doc", F.posexplode("_chunks").alias("_no", "_chunk"))
+    # The outer form, else the optimizer derives a filter on the list and repeats its steps below it.
+    chunks = (
+        chunks_of(keyed, "text", long_line)
+        .select("_doc", F.posexplode_outer("_chunks").alias("_no", "_chunk"))
+        .where("_chunk is not null")
+    )
     # Same bytes, same group; the partial aggregate leaves one row per task of however hot a chunk.
     kept = (
         chunks.groupBy("_chunk")
