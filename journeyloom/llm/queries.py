@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from journeyloom.llm import hmm_lm, line_dedup, packing, token_counts, toxicity, url_filters, warc_bundles
+from journeyloom.llm import hmm_lm, line_dedup, near_vectors, packing, token_counts, toxicity, url_filters, warc_bundles
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": warc_bundles.op1_warc_bundles,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filters": url_filters.op5_url_filters,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_near_vectors": near_vectors.op10_near_vectors,
     "op6_hmm_language_model": hmm_lm.op6_hmm_language_model,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
