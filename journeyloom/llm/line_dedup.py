@@ -97,6 +97,27 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_doc")
 
 
+def _with_bitmap(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Adds ``_marked``: whether a row's document may have marks (exact: a bit per key).
+
+    32,768 keys share a row of 4 KB, so the bitmap is a small part of the marks; Spark sends it to all
+    tasks or shuffles for it, by its size at run time.
+    """
+    bits = marks.groupBy(F.bitmap_bucket_number("_doc").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_doc")).alias("_bits")
+    )
+    at = F.bitmap_bit_position("_doc")
+    octet = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.expr("shiftright(_octet, _shift) & 1") == 1
+    return (
+        rows.withColumn("_bucket", F.bitmap_bucket_number("_doc"))
+        .join(bits, "_bucket", "left")
+        .withColumns({"_octet": F.coalesce(octet, F.lit(0)), "_shift": (at % 8).cast("int")})
+        .withColumn("_marked", held)
+        .drop("_bucket", "_bits", "_octet", "_shift")
+    )
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; all rows and all other columns stay.
 
@@ -107,7 +128,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50) -> Da
     marks = repeated_chunks(docs, long_line)
     names = docs.columns
     rows = docs.select(_key(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
-    cut = chunks_of(rows.join(marks, "_doc", "left"), "_text", long_line)
+    rows = _with_bitmap(rows, marks)
+    # Only texts that lose something are shuffled.
+    untouched = rows.where("not _marked").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    cut = chunks_of(rows.where("_marked").join(marks, "_doc"), "_text", long_line)
     # Expected text per chunk number: as many markers as numbers passed since the mark before.
     gaps = F.zip_with(
         "_marks",
@@ -121,7 +145,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50) -> Da
         lambda c, e: F.when(c.isNull(), F.lit("")).when(c.eqNullSafe(e), c).otherwise(F.concat(F.lit(_MARK), c, F.lit(_MARK))),
     )
     # Even parts are runs of repeated chunks, odd parts are kept chunks.
-    parts = F.when(F.col("_marks").isNotNull(), F.split(F.array_join(kept_apart, ""), _MARK, -1))
+    parts = F.split(F.array_join(kept_apart, ""), _MARK, -1)
     rest = F.transform(
         "_parts",
         lambda p, i: F.when((i % 2 == 0) & (F.regexp_count(p, F.lit(r"\S+")) >= min_words), F.lit("")).otherwise(p),
@@ -130,9 +154,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50) -> Da
     done = (
         cut.withColumn("_expected", expected)
         .withColumn("_parts", parts)
-        .withColumn("_clean", F.when(F.col("_marks").isNull(), F.col("_text")).otherwise(clean))
+        .withColumn("_clean", clean)
     )
-    return done.select(*[(F.col("_clean") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in names])
+    return untouched.unionByName(done.select(*[(F.col("_clean") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in names]))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
