@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from journeyloom.llm import hmm_lm, jaccard_join, line_dedup, near_vectors, packing, token_counts, toxicity, url_filters, warc_bundles
+from journeyloom.llm import decontaminate, hmm_lm, jaccard_join, line_dedup, near_vectors, packing, token_counts, toxicity, url_filters, warc_bundles
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": warc_bundles.op1_warc_bundles,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filters": url_filters.op5_url_filters,
