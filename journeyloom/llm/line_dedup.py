@@ -60,7 +60,7 @@ def chunks_of(docs: DataFrame, text: str = "text", long_line: int = 50) -> DataF
 
 def repeated_chunks(docs: DataFrame, long_line: int = 50) -> DataFrame:
     """Per document key the repeated chunks that are not the kept one: ``_marks`` of (no, chunk)."""
-    keyed = docs.select(_key(), "text")
+    keyed = docs.select(document_key(), "text")
     # The outer form, else the optimizer derives a filter on the list and repeats its steps below it.
     chunks = (
         chunks_of(keyed, "text", long_line)
@@ -93,11 +93,11 @@ def repeated_chunks(docs: DataFrame, long_line: int = 50) -> DataFrame:
     return ordered.select("_doc", F.sort_array(loose).alias("_marks")).where(F.size("_marks") > 0)
 
 
-def _key() -> Column:
+def document_key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_doc")
 
 
-def _with_bitmap(rows: DataFrame, marks: DataFrame) -> DataFrame:
+def with_bitmap(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Adds ``_marked``: whether a row's document may have marks (exact: a bit per key).
 
     32,768 keys share a row of 4 KB, so the bitmap is a small part of the marks; Spark sends it to all
@@ -127,8 +127,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50) -> Da
     """
     marks = repeated_chunks(docs, long_line)
     names = docs.columns
-    rows = docs.select(_key(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
-    rows = _with_bitmap(rows, marks)
+    rows = docs.select(document_key(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
+    rows = with_bitmap(rows, marks)
     # Only texts that lose something are shuffled.
     untouched = rows.where("not _marked").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
     cut = chunks_of(rows.where("_marked").join(marks, "_doc"), "_text", long_line)
