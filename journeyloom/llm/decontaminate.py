@@ -29,11 +29,11 @@ _TRIM = ".,;:!?\"'()[]{}<>|*&%$#@~`_-+=/\\"
 @dataclass(frozen=True)
 class Retrieval:
     terms: int = 2048
-    rank: int = 48
+    rank: int = 64
     oversample: int = 8
     passage: int = 64  # words of a passage in the decomposition
     window: int = 32  # words of a passage in the search, which moves by half of it
-    cosine: float = 0.5
+    cosine: float = 0.42
     overlap: float = 0.6  # of the item's words, in order
     answer: float = 0.5  # of the answer's words, in order
     certain: float = 0.85  # overlap from which the answer does not matter
@@ -185,7 +185,11 @@ def search(streams: DataFrame, items: Items, space: np.ndarray, r: Retrieval) ->
     def judge(stream: np.ndarray, item: int, at: int) -> tuple[float, float]:
         words, reach = state["words"][item], len(state["words"][item]) // 2 + half
         span = stream[max(0, at - reach) : at + len(words) + reach].tolist()
-        overlap = common_length(state["bits"][item], len(words), span) / len(words)
+        bits = state["bits"][item]
+        # No common subsequence is longer than the number of words that occur in both.
+        if sum(map(bits.__contains__, span)) < r.overlap * len(words):
+            return 0.0, 0.0
+        overlap = common_length(bits, len(words), span) / len(words)
         if overlap < r.overlap:
             return overlap, 0.0
         answer = state["answers"][item]

@@ -3,9 +3,9 @@
 Vectors are scaled by the largest norm and given one more coordinate that makes them unit vectors, so
 the largest inner product is the smallest distance.  A table hashes a vector by a few p-stable
 functions floor((a.v + b) / w) to a bucket.  A query visits buckets in the order of their estimated
-chance to hold a neighbour, until the chances add up to ``success``; several tables are merged.  The
-chance model (how a neighbour's projection spreads around the query's) is fitted on the true
-neighbours of a bounded sample of queries, found among all rows.
+chance to hold a neighbour, until the chances add up to a level; several tables are merged.  The
+chance model (how a neighbour's projection spreads around the query's) and the level that reaches the
+wanted recall are fitted on the true neighbours of a bounded sample of queries, found among all rows.
 
 Equal vectors are one entry with their smallest ids (one more than asked for is all that can ever be
 returned), equal queries are searched once.  A crowded bucket is cut into blocks; vectors of a block
@@ -31,13 +31,16 @@ from journeyloom.sources.workspace import settle
 class Search:
     k: int = 20
     tables: int = 2
-    success: float = 0.82  # chance per table that a neighbour lies in a visited bucket
+    recall: float = 0.96  # of the sampled queries' true neighbours; sets how many buckets are visited
     width: float = 2.0  # of a cell, in standard deviations of the projections
     block_rows: int = 2048
     sample_queries: int = 64
     seed: int = 11
 
 
+LEVELS = (0.5, 0.6, 0.7, 0.78, 0.85, 0.9, 0.94, 0.97, 0.985, 0.995, 0.999)
+
+
 class Hashing:
     """Functions of all tables, cell width and chance model: bounded by the dimension."""
 
@@ -48,7 +51,7 @@ class Hashing:
         self.search, self.norm, self.tables = search, norm, search.tables
         self.directions = rng.standard_normal((search.tables * self.functions, dimension + 1))
         self.shift = rng.random(len(self.directions))
-        self.spread, self.slope, self.noise = 1.0, 1.0, 0.5
+        self.spread, self.slope, self.noise, self.success = 1.0, 1.0, 0.5, LEVELS[-1]
 
     def project(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
         if query:
@@ -65,6 +68,15 @@ class Hashing:
         self.spread = float(y.std()) or 1.0
         self.slope = float((x * y).sum() / max((x * x).sum(), 1e-12))
         self.noise = max(float((y - self.slope * x).std()), 1e-3)
+        # The lowest level at which enough of the true neighbours lie in a visited bucket.
+        distinct, which = np.unique(queries, axis=0, return_inverse=True)
+        projected, keys = self.project(distinct, True), self.keys(neighbours)
+        for level in LEVELS:
+            self.success = level
+            visited = [set(self.probes(p)) for p in projected]
+            hits = [any(pair in visited[q] for pair in enumerate(own)) for q, own in zip(which.ravel().tolist(), keys)]
+            if np.mean(hits) >= self.search.recall:
+                break
 
     def cells(self, projections: np.ndarray) -> np.ndarray:
         return np.floor(projections / (self.search.width * self.spread) + self.shift).astype(np.int64)
@@ -86,7 +98,7 @@ class Hashing:
                 options.append(sorted(((edge[c + 1] - edge[c], low + c) for c in range(high + 1 - low)), reverse=True))
             first = (0,) * self.functions
             heap, seen, total = [(-math.prod(o[0][0] for o in options), first)], {first}, 0.0
-            while heap and total < self.search.success:
+            while heap and total < self.success:
                 chance, at = heapq.heappop(heap)
                 total -= chance
                 out.append((t, ",".join(str(o[k][1]) for o, k in zip(options, at))))
