@@ -20,20 +20,37 @@ from journeyloom.sources.workspace import settle
 # Below this size a mean, total or deviation counts as zero.
 NEAR_ZERO = 1e-8
 
-MATCHING_FEATURES = (
-    "log_pre_sessions log_pre_revenue pre_transaction_rate_pct revenue_cv "
-    "session_trend_pct_per_week revenue_trend_pct_per_week"
-).split()
-RANGE_FEATURES = (
-    "pre_sessions pre_transactions pre_revenue_usd pre_transaction_rate_pct pre_revenue_per_session_usd "
-    "pre_average_order_value_usd revenue_cv session_trend_pct_per_week transaction_trend_pct_per_week "
-    "revenue_trend_pct_per_week"
-).split()
-CORRELATION_FEATURES = (
-    "log_pre_sessions log_pre_revenue pre_transaction_rate_pct pre_revenue_per_session_usd "
-    "pre_average_order_value_usd revenue_cv session_trend_pct_per_week transaction_trend_pct_per_week "
-    "revenue_trend_pct_per_week"
-).split()
+MATCHING_FEATURES = [
+    "log_pre_sessions",
+    "log_pre_revenue",
+    "pre_transaction_rate_pct",
+    "revenue_cv",
+    "session_trend_pct_per_week",
+    "revenue_trend_pct_per_week",
+]
+RANGE_FEATURES = [
+    "pre_sessions",
+    "pre_transactions",
+    "pre_revenue_usd",
+    "pre_transaction_rate_pct",
+    "pre_revenue_per_session_usd",
+    "pre_average_order_value_usd",
+    "revenue_cv",
+    "session_trend_pct_per_week",
+    "transaction_trend_pct_per_week",
+    "revenue_trend_pct_per_week",
+]
+CORRELATION_FEATURES = [
+    "log_pre_sessions",
+    "log_pre_revenue",
+    "pre_transaction_rate_pct",
+    "pre_revenue_per_session_usd",
+    "pre_average_order_value_usd",
+    "revenue_cv",
+    "session_trend_pct_per_week",
+    "transaction_trend_pct_per_week",
+    "revenue_trend_pct_per_week",
+]
 PRIMARY_DISTANCE, SENSITIVITY_DISTANCE = (
     "category_balanced_feature_distance",
     "six_feature_distance_sensitivity",

@@ -367,14 +367,32 @@ def geo_weekly_outcomes(sessions: DataFrame, config: GeoConfig = GeoConfig()) ->
     )
 
 
-PRE_PANEL_COLUMNS = (
-    "geo_key geo_country geo_region week_start_date week_end_date analysis_week_number "
-    "period_week_number observed_session_count observed_unique_users observed_engaged_sessions "
-    "observed_new_user_sessions observed_transaction_count observed_revenue_usd observed_item_quantity "
-    "observed_transaction_rate observed_revenue_per_session_usd observed_average_order_value_usd "
-    "pre_session_count pre_transaction_count pre_revenue_usd pre_revenue_coefficient_of_variation "
-    "data_origin treatment_assignment_status is_synthetic_outcome"
-).split()
+PRE_PANEL_COLUMNS = [
+    "geo_key",
+    "geo_country",
+    "geo_region",
+    "week_start_date",
+    "week_end_date",
+    "analysis_week_number",
+    "period_week_number",
+    "observed_session_count",
+    "observed_unique_users",
+    "observed_engaged_sessions",
+    "observed_new_user_sessions",
+    "observed_transaction_count",
+    "observed_revenue_usd",
+    "observed_item_quantity",
+    "observed_transaction_rate",
+    "observed_revenue_per_session_usd",
+    "observed_average_order_value_usd",
+    "pre_session_count",
+    "pre_transaction_count",
+    "pre_revenue_usd",
+    "pre_revenue_coefficient_of_variation",
+    "data_origin",
+    "treatment_assignment_status",
+    "is_synthetic_outcome",
+]
 
 
 def eligible_pre_panel(outcomes: DataFrame) -> DataFrame:

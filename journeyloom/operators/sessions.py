@@ -25,11 +25,20 @@ EVENT_COUNTERS = {
     "raw_purchase_measurement_event_count": "purchase",
 }
 
-FIRST_EVENT_FIELDS = (
-    "first_user_source first_user_medium first_user_campaign geo_country geo_region geo_city "
-    "device_category device_operating_system device_browser analytics_storage ads_storage "
-    "uses_transient_token"
-).split()
+FIRST_EVENT_FIELDS = [
+    "first_user_source",
+    "first_user_medium",
+    "first_user_campaign",
+    "geo_country",
+    "geo_region",
+    "geo_city",
+    "device_category",
+    "device_operating_system",
+    "device_browser",
+    "analytics_storage",
+    "ads_storage",
+    "uses_transient_token",
+]
 
 # Time first; the other two settle ties, which the source leaves open.
 EVENT_ORDER = ["event_timestamp_micros", "event_bundle_sequence_id", "event_name"]

@@ -114,19 +114,61 @@ def _fingerprint_of_row() -> Column:
     )
 
 
-EVENT_COLUMNS = (
-    "source_event_fingerprint source_table_suffix event_date event_timestamp_utc event_timestamp_micros "
-    "event_name user_pseudo_id event_bundle_sequence_id event_server_timestamp_offset platform "
-    "ga_session_id ga_session_number session_key session_engaged engagement_time_msec "
-    "engaged_session_event debug_mode event_source event_medium event_campaign "
-    "first_user_source first_user_medium first_user_campaign page_location page_title page_referrer "
-    "geo_country geo_region geo_city device_category device_operating_system device_browser "
-    "transaction_id_raw transaction_id_normalized transaction_id_status "
-    "ecommerce_purchase_revenue ecommerce_purchase_revenue_in_usd ecommerce_total_item_quantity "
-    "currency event_value item_record_count items_json gclid gclsrc dclid "
-    "analytics_storage ads_storage uses_transient_token "
-    "is_purchase_event has_user_pseudo_id has_session_id has_item_records has_click_identifier"
-).split()
+EVENT_COLUMNS = [
+    "source_event_fingerprint",
+    "source_table_suffix",
+    "event_date",
+    "event_timestamp_utc",
+    "event_timestamp_micros",
+    "event_name",
+    "user_pseudo_id",
+    "event_bundle_sequence_id",
+    "event_server_timestamp_offset",
+    "platform",
+    "ga_session_id",
+    "ga_session_number",
+    "session_key",
+    "session_engaged",
+    "engagement_time_msec",
+    "engaged_session_event",
+    "debug_mode",
+    "event_source",
+    "event_medium",
+    "event_campaign",
+    "first_user_source",
+    "first_user_medium",
+    "first_user_campaign",
+    "page_location",
+    "page_title",
+    "page_referrer",
+    "geo_country",
+    "geo_region",
+    "geo_city",
+    "device_category",
+    "device_operating_system",
+    "device_browser",
+    "transaction_id_raw",
+    "transaction_id_normalized",
+    "transaction_id_status",
+    "ecommerce_purchase_revenue",
+    "ecommerce_purchase_revenue_in_usd",
+    "ecommerce_total_item_quantity",
+    "currency",
+    "event_value",
+    "item_record_count",
+    "items_json",
+    "gclid",
+    "gclsrc",
+    "dclid",
+    "analytics_storage",
+    "ads_storage",
+    "uses_transient_token",
+    "is_purchase_event",
+    "has_user_pseudo_id",
+    "has_session_id",
+    "has_item_records",
+    "has_click_identifier",
+]
 
 
 def items_json(items: Column) -> Column:
@@ -183,19 +225,62 @@ ITEM_FIELDS = {
     "item_revenue_in_usd": "item_revenue_in_usd",
 }
 
-ITEM_COLUMNS = (
-    "item_record_fingerprint source_event_fingerprint item_offset source_table_suffix "
-    "event_date event_timestamp_utc event_timestamp_micros event_name event_bundle_sequence_id "
-    "event_server_timestamp_offset platform user_pseudo_id ga_session_id ga_session_number session_key "
-    "transaction_id_raw transaction_id_normalized transaction_id_status is_purchase_event "
-    "event_purchase_revenue_in_usd event_total_item_quantity currency "
-    "item_id item_id_normalized item_name item_name_normalized item_identity "
-    "item_brand item_variant item_category item_price item_price_in_usd item_quantity "
-    "item_revenue item_revenue_in_usd calculated_item_value_in_usd "
-    "event_source event_medium event_campaign first_user_source first_user_medium first_user_campaign "
-    "geo_country geo_region geo_city device_category device_operating_system device_browser "
-    "analytics_storage ads_storage uses_transient_token has_item_id has_item_name has_session_id"
-).split()
+ITEM_COLUMNS = [
+    "item_record_fingerprint",
+    "source_event_fingerprint",
+    "item_offset",
+    "source_table_suffix",
+    "event_date",
+    "event_timestamp_utc",
+    "event_timestamp_micros",
+    "event_name",
+    "event_bundle_sequence_id",
+    "event_server_timestamp_offset",
+    "platform",
+    "user_pseudo_id",
+    "ga_session_id",
+    "ga_session_number",
+    "session_key",
+    "transaction_id_raw",
+    "transaction_id_normalized",
+    "transaction_id_status",
+    "is_purchase_event",
+    "event_purchase_revenue_in_usd",
+    "event_total_item_quantity",
+    "currency",
+    "item_id",
+    "item_id_normalized",
+    "item_name",
+    "item_name_normalized",
+    "item_identity",
+    "item_brand",
+    "item_variant",
+    "item_category",
+    "item_price",
+    "item_price_in_usd",
+    "item_quantity",
+    "item_revenue",
+    "item_revenue_in_usd",
+    "calculated_item_value_in_usd",
+    "event_source",
+    "event_medium",
+    "event_campaign",
+    "first_user_source",
+    "first_user_medium",
+    "first_user_campaign",
+    "geo_country",
+    "geo_region",
+    "geo_city",
+    "device_category",
+    "device_operating_system",
+    "device_browser",
+    "analytics_storage",
+    "ads_storage",
+    "uses_transient_token",
+    "has_item_id",
+    "has_item_name",
+    "has_session_id",
+]
 
 
 def stage_items(events: DataFrame) -> DataFrame:

@@ -24,18 +24,42 @@ KEY_PREFIX = {
     MISSING: "MISSING_ID|",
 }
 
-CONTEXT = (
-    "event_source event_medium event_campaign first_user_source first_user_medium first_user_campaign "
-    "page_location geo_country geo_region geo_city device_category device_operating_system device_browser "
-    "analytics_storage ads_storage uses_transient_token"
-).split()
-
-PURCHASE_COLUMNS = (
-    "source_event_fingerprint event_date event_timestamp_utc event_timestamp_micros user_pseudo_id "
-    "ga_session_id ga_session_number session_key transaction_id_raw transaction_id_normalized "
-    "transaction_id_status ecommerce_purchase_revenue_in_usd ecommerce_total_item_quantity "
-    "item_record_count currency"
-).split() + CONTEXT
+CONTEXT = [
+    "event_source",
+    "event_medium",
+    "event_campaign",
+    "first_user_source",
+    "first_user_medium",
+    "first_user_campaign",
+    "page_location",
+    "geo_country",
+    "geo_region",
+    "geo_city",
+    "device_category",
+    "device_operating_system",
+    "device_browser",
+    "analytics_storage",
+    "ads_storage",
+    "uses_transient_token",
+]
+
+PURCHASE_COLUMNS = [
+    "source_event_fingerprint",
+    "event_date",
+    "event_timestamp_utc",
+    "event_timestamp_micros",
+    "user_pseudo_id",
+    "ga_session_id",
+    "ga_session_number",
+    "session_key",
+    "transaction_id_raw",
+    "transaction_id_normalized",
+    "transaction_id_status",
+    "ecommerce_purchase_revenue_in_usd",
+    "ecommerce_total_item_quantity",
+    "item_record_count",
+    "currency",
+] + CONTEXT
 
 PROFILE_COLUMNS = [
     "transaction_id_purchase_event_rows",

@@ -9,18 +9,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from journeyloom.functions.calendar import weekly_dates
 
 # Leaf paths the staging views read.
-REQUIRED_PATHS = (
-    "event_date event_timestamp event_name user_pseudo_id event_bundle_sequence_id "
-    "event_server_timestamp_offset platform event_params.key event_params.value.string_value "
-    "event_params.value.int_value event_params.value.float_value event_params.value.double_value "
-    "traffic_source.name traffic_source.medium traffic_source.source "
-    "ecommerce.transaction_id ecommerce.purchase_revenue ecommerce.purchase_revenue_in_usd "
-    "ecommerce.total_item_quantity items.item_id items.item_name items.item_brand items.item_variant "
-    "items.item_category items.price items.price_in_usd items.quantity items.item_revenue "
-    "items.item_revenue_in_usd geo.country geo.region geo.city device.category "
-    "device.operating_system device.web_info.browser privacy_info.analytics_storage "
-    "privacy_info.ads_storage privacy_info.uses_transient_token"
-).split()
+REQUIRED_PATHS = [
+    "event_date",
+    "event_timestamp",
+    "event_name",
+    "user_pseudo_id",
+    "event_bundle_sequence_id",
+    "event_server_timestamp_offset",
+    "platform",
+    "event_params.key",
+    "event_params.value.string_value",
+    "event_params.value.int_value",
+    "event_params.value.float_value",
+    "event_params.value.double_value",
+    "traffic_source.name",
+    "traffic_source.medium",
+    "traffic_source.source",
+    "ecommerce.transaction_id",
+    "ecommerce.purchase_revenue",
+    "ecommerce.purchase_revenue_in_usd",
+    "ecommerce.total_item_quantity",
+    "items.item_id",
+    "items.item_name",
+    "items.item_brand",
+    "items.item_variant",
+    "items.item_category",
+    "items.price",
+    "items.price_in_usd",
+    "items.quantity",
+    "items.item_revenue",
+    "items.item_revenue_in_usd",
+    "geo.country",
+    "geo.region",
+    "geo.city",
+    "device.category",
+    "device.operating_system",
+    "device.web_info.browser",
+    "privacy_info.analytics_storage",
+    "privacy_info.ads_storage",
+    "privacy_info.uses_transient_token",
+]
 
 
 def read_events(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:

@@ -59,8 +59,11 @@ def _acquisition(place: int) -> Column:
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repeated item field of an event: the lines of the order with its number."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    """The repeated item field of an event: the lines of the orders with its number.
+
+    There are more orders than events, so order numbers count modulo the number of events.
+    """
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     item = F.struct(
         F.when(F.col("l_partkey") % 13 != 0, F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).alias("item_id"),
         F.when(F.col("l_partkey") % 11 != 0, F.concat(F.lit(" Part "), F.col("l_partkey").cast("string"))).alias(
@@ -75,11 +78,13 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("item_revenue"),
         F.when(F.col("l_linenumber") < 5, F.floor("l_extendedprice").cast("double")).alias("item_revenue_in_usd"),
     )
+    total = table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("_events"))  # one row
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
+        .crossJoin(F.broadcast(total))
+        .groupBy((F.col("l_orderkey") % F.col("_events")).alias("event_id"))
         .agg(F.array_sort(F.collect_list(F.struct(*order, item.alias("item")))).alias("_lines"))
-        .select(F.col("l_orderkey").alias("event_id"), F.col("_lines.item").alias("items"))
+        .select("event_id", F.col("_lines.item").alias("items"))
     )
 
 

@@ -45,7 +45,7 @@ def fin(sql: str, ints: str = "", floats: str = "", dates: str = "", stamps: str
 step(
     "line_rows",
     """
-SELECT l_orderkey AS event_id, pos, l_extendedprice AS price,
+SELECT event_id, pos, l_extendedprice AS price,
        CASE WHEN l_partkey % 13 <> 0 THEN 'P' || l_partkey END AS item_id,
        CASE WHEN l_partkey % 11 <> 0 THEN ' Part ' || l_partkey END AS item_name,
        'B' || l_suppkey AS item_brand, l_returnflag AS item_variant, l_linestatus AS item_category,
@@ -54,8 +54,8 @@ SELECT l_orderkey AS event_id, pos, l_extendedprice AS price,
        CASE WHEN l_linenumber < 5 THEN floor(l_extendedprice) END AS item_revenue_in_usd
 FROM (
   SELECT *, row_number() OVER (
-    PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos
-  FROM lineitem)
+    PARTITION BY event_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos
+  FROM (SELECT *, l_orderkey % (SELECT count(*) FROM events) AS event_id FROM lineitem))
 """,
 )
 step(
@@ -246,10 +246,20 @@ FUNNEL = {
     "raw_purchase_measurement_event_count": "purchase",
 }
 _funnel = ",\n  ".join(f"count(*) FILTER (event_name = '{e}') AS {c}" for c, e in FUNNEL.items())
-_first = (
-    "first_user_source first_user_medium first_user_campaign geo_country geo_region geo_city device_category "
-    "device_operating_system device_browser analytics_storage ads_storage uses_transient_token"
-).split()
+_first = [
+    "first_user_source",
+    "first_user_medium",
+    "first_user_campaign",
+    "geo_country",
+    "geo_region",
+    "geo_city",
+    "device_category",
+    "device_operating_system",
+    "device_browser",
+    "analytics_storage",
+    "ads_storage",
+    "uses_transient_token",
+]
 _at = "(event_timestamp_micros, event_bundle_sequence_id)"
 step(
     "ses_raw",
@@ -460,7 +470,7 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["read_events_pruned"] = query(
     "SELECT suffix AS event_date, count(*) AS event_count, count(DISTINCT uid) AS unique_pseudo_users "
-    "FROM shaped GROUP BY suffix"
+    "FROM shaped WHERE suffix BETWEEN '20240108' AND '20240121' GROUP BY suffix"
 )
 ORACLES["register_views"] = fin(
     "SELECT event_name, count(*) AS event_rows, sum(item_n) AS nested_items, "
@@ -993,13 +1003,32 @@ GROUP BY ALL)
 WINDOW r AS (PARTITION BY geo_region))))
 """,
 )
-_pre_columns = (
-    "geo_key geo_country geo_region week_start_date week_end_date analysis_week_number period_week_number "
-    "observed_session_count observed_unique_users observed_engaged_sessions observed_new_user_sessions "
-    "observed_transaction_count observed_revenue_usd observed_item_quantity observed_transaction_rate "
-    "observed_revenue_per_session_usd observed_average_order_value_usd pre_session_count pre_transaction_count "
-    "pre_revenue_usd pre_revenue_coefficient_of_variation data_origin treatment_assignment_status is_synthetic_outcome"
-).split()
+_pre_columns = [
+    "geo_key",
+    "geo_country",
+    "geo_region",
+    "week_start_date",
+    "week_end_date",
+    "analysis_week_number",
+    "period_week_number",
+    "observed_session_count",
+    "observed_unique_users",
+    "observed_engaged_sessions",
+    "observed_new_user_sessions",
+    "observed_transaction_count",
+    "observed_revenue_usd",
+    "observed_item_quantity",
+    "observed_transaction_rate",
+    "observed_revenue_per_session_usd",
+    "observed_average_order_value_usd",
+    "pre_session_count",
+    "pre_transaction_count",
+    "pre_revenue_usd",
+    "pre_revenue_coefficient_of_variation",
+    "data_origin",
+    "treatment_assignment_status",
+    "is_synthetic_outcome",
+]
 step(
     "early",
     f"SELECT {', '.join(_pre_columns)} FROM outcome WHERE meets_initial_eligibility AND period_name = 'PRE'",
@@ -1021,10 +1050,14 @@ FROM (SELECT *, observed_session_count AS s, observed_transaction_count AS t, ob
   period_week_number AS n FROM early) GROUP BY geo_region
 """,
 )
-_six = (
-    "log_pre_sessions log_pre_revenue pre_transaction_rate_pct revenue_cv session_trend_pct_per_week "
-    "revenue_trend_pct_per_week"
-).split()
+_six = [
+    "log_pre_sessions",
+    "log_pre_revenue",
+    "pre_transaction_rate_pct",
+    "revenue_cv",
+    "session_trend_pct_per_week",
+    "revenue_trend_pct_per_week",
+]
 step(
     "zraw",
     f"""
@@ -1272,11 +1305,18 @@ def _distribution(relation: str, columns: list[str], points: dict[str, float], e
     )
 
 
-_range_columns = (
-    "pre_sessions pre_transactions pre_revenue_usd pre_transaction_rate_pct pre_revenue_per_session_usd "
-    "pre_average_order_value_usd revenue_cv session_trend_pct_per_week transaction_trend_pct_per_week "
-    "revenue_trend_pct_per_week"
-).split()
+_range_columns = [
+    "pre_sessions",
+    "pre_transactions",
+    "pre_revenue_usd",
+    "pre_transaction_rate_pct",
+    "pre_revenue_per_session_usd",
+    "pre_average_order_value_usd",
+    "revenue_cv",
+    "session_trend_pct_per_week",
+    "transaction_trend_pct_per_week",
+    "revenue_trend_pct_per_week",
+]
 ORACLES["feature_range_summary"] = query(
     _distribution("feature", _range_columns, {"min": 0, "median": 0.5, "max": 1}, "")
 )
@@ -1288,10 +1328,17 @@ ORACLES["pair_metric_summary"] = query(
         ', count({c}) AS "count", round(stddev_samp({c}), 4) AS std',
     )
 )
-_corr_columns = (
-    "log_pre_sessions log_pre_revenue pre_transaction_rate_pct pre_revenue_per_session_usd pre_average_order_value_usd "
-    "revenue_cv session_trend_pct_per_week transaction_trend_pct_per_week revenue_trend_pct_per_week"
-).split()
+_corr_columns = [
+    "log_pre_sessions",
+    "log_pre_revenue",
+    "pre_transaction_rate_pct",
+    "pre_revenue_per_session_usd",
+    "pre_average_order_value_usd",
+    "revenue_cv",
+    "session_trend_pct_per_week",
+    "transaction_trend_pct_per_week",
+    "revenue_trend_pct_per_week",
+]
 ORACLES["feature_correlations"] = query(
     " UNION ALL ".join(
         f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 2) + 0e0 AS correlation FROM feature"
@@ -1567,6 +1614,13 @@ ORACLES["dim_geo"] = query(
     "SELECT geo_country || ' | ' || geo_region AS geo_key, geo_country, geo_region, "
     "geo_country <> '(not set)' AS is_valid_geography, count(*) AS session_count FROM ses GROUP BY ALL"
 )
+ORACLES["attribution_path_steps"] = fin(
+    """
+SELECT transaction_key, touchpoint_position_asc AS step_number, touchpoint_channel_group AS channel_group, transaction_date, transaction_revenue_usd
+FROM bridge
+""",
+    dates="transaction_date",
+)
 ORACLES["mart_attribution_paths"] = fin(
     """
 SELECT b.transaction_key, any_value(b.transaction_date) AS transaction_date, any_value(b.user_pseudo_id) AS user_pseudo_id,
@@ -1578,8 +1632,11 @@ SELECT b.transaction_key, any_value(b.transaction_date) AS transaction_date, any
   max(b.seconds_before_transaction) AS journey_seconds, bool_or(b.is_lookback_left_censored) AS is_lookback_left_censored,
   any_value(w.channel_path) AS channel_path
 FROM bridge b JOIN (
-  SELECT transaction_key, string_agg(touchpoint_channel_group, ' > ' ORDER BY p) AS channel_path
-  FROM (SELECT transaction_key, touchpoint_channel_group, min(touchpoint_position_asc) AS p FROM bridge GROUP BY ALL)
+  SELECT transaction_key, string_agg(touchpoint_channel_group || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, ' > ' ORDER BY p) AS channel_path
+  FROM (SELECT transaction_key, touchpoint_channel_group, min(touchpoint_position_asc) AS p, count(*) AS n
+        FROM (SELECT *, row_number() OVER (PARTITION BY transaction_key ORDER BY touchpoint_position_asc)
+                - row_number() OVER (PARTITION BY transaction_key, touchpoint_channel_group ORDER BY touchpoint_position_asc) AS island FROM bridge)
+        GROUP BY transaction_key, touchpoint_channel_group, island)
   GROUP BY ALL) w ON w.transaction_key = b.transaction_key
 GROUP BY b.transaction_key
 """,

@@ -95,12 +95,12 @@ def _on_geo(op: Callable[[GeoChain], DataFrame], one_market: bool = True) -> Que
 
 
 def read_events_pruned(spark: SparkSession, sf: str) -> DataFrame:
-    """Write the events by day, read the whole span back through the partition filter."""
+    """Write the events by day, read two weeks of them back through the partition filter."""
     path = f"{results_folder(spark)}/events-by-day"
-    nested_events(spark, sf).repartition("event_date").write.mode("overwrite").partitionBy(
+    nested_events(spark, sf).write.mode("overwrite").partitionBy(
         "event_date"
     ).parquet(path)
-    back = tables.read_events(spark, path, "20240101", "20240131")
+    back = tables.read_events(spark, path, "20240108", "20240121")
     return plain(
         back.groupBy("event_date").agg(
             F.count(F.lit(1)).alias("event_count"),
@@ -444,5 +444,6 @@ QUERIES: dict[str, Query] = {
     "dim_date": _on_events(lambda ev: entities.dim_date(staging.stage_events(ev), "event_date")),
     "dim_channel": _on_chain(lambda c: entities.dim_channel(c.sessions)),
     "dim_geo": _on_chain(lambda c: entities.dim_geo(c.sessions)),
+    "attribution_path_steps": _on_chain(lambda c: entities.attribution_path_steps(c.settled_bridge)),
     "mart_attribution_paths": _on_chain(lambda c: entities.mart_attribution_paths(c.settled_bridge)),
 }
