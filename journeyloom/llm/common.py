@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare_workers(spark: SparkSession, size: str = "16m") -> None:
+def prepare_workers(spark: SparkSession, size: str = "8m") -> None:
     """Call before Python runs on executors.
 
     Arrow batches are cut by bytes, so very long texts do not pile up in one; and workers on this

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from journeyloom.llm.common import prepare_workers, table, word_codes
+from journeyloom.llm.common import prepare_workers, summed_arrays, table, word_codes
 from journeyloom.sources.workspace import settle
 
 END = "\n"  # no word holds white space
 STATES, ROUNDS, ENDINGS = 8, 5, 256
 OWN_CLASSES, KNOWN_WORDS = 8191, 65_536
-SEGMENT, GROUP_TOKENS = 256, 400_000
+SEGMENT, GROUP_TOKENS = 256, 150_000
 
 
 def remainder(column: str, base: int) -> Column:
@@ -91,7 +91,7 @@ ENCODED = (
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row per document: its classes, what is known of its frequent words, and its other words."""
-    prepare_workers(docs.sparkSession)
+    prepare_workers(docs.sparkSession, "6m")
     ship = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +237,10 @@ def train_round(encoded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
     the model's own state shares; the cut bounds memory, nothing is left out.
     """
     states, classes = len(model.start), len(model.emit)
+    ship = encoded.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*ship.value)
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
         for _, held in _groups(batches, SEGMENT):
             a, b, c = expected_counts(held, model)
@@ -249,28 +251,12 @@ def train_round(encoded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
             ["lane", "part", "counts"],
         )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            values, cuts = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
-            for lane, part, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts[:-1], cuts[1:]):
-                key = (lane, part)
-                sums[key] = sums[key] + values[a:b] if key in sums else values[a:b].copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))],
-                ["lane", "part", "counts"],
-            )
-
     kind = "lane bigint, part bigint, counts array<double>"
     each = encoded.where("not held_out").select("uid", "classes").mapInArrow(run, kind)
-    lanes = each.repartition(64, "lane", "part").mapInArrow(add, kind)
-    # At most 64 lanes of three arrays of fixed size are left.
-    got = [np.zeros(states), np.zeros(states * states), np.zeros(classes * states)]
-    for r in lanes.toLocalIterator():
-        got[r["part"]] += np.array(r["counts"])
+    got = summed_arrays(each)
     start, move, emit = got[0] + 1.0, got[1].reshape(states, states) + 1.0, got[2].reshape(classes, states)
-    emit = emit + 2.0 * unigram[:, None] * min(1000.0, 1.0 + emit.sum() / 1000)
+    # Half a count per class over all states, as in the unigram shares, and a hundredth of those in every state.
+    emit = emit + 0.5 / states + 0.01 * emit.sum(0) * unigram[:, None]
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
@@ -288,11 +274,12 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     if vocabulary.tokens:
         for _ in range(rounds):
             model = train_round(encoded, model, vocabulary.unigram)
-    ship = docs.sparkSession.sparkContext.broadcast(model)
+    ship = docs.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
 
     def forward(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*ship.value)
         for keys, held in _groups(batches, None):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(log10_likelihood(held, ship.value))], ["uid", "hmm"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(log10_likelihood(held, model))], ["uid", "hmm"])
 
     hmm = encoded.select("uid", "classes").mapInArrow(forward, "uid bigint, hmm double")
     places = encoded.where(F.size("rare") > 0).select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("_r"))
