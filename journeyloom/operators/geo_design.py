@@ -501,6 +501,79 @@ def match_pairs(edges: DataFrame, weight: str = "composite_dissimilarity") -> Da
     )
 
 
+def _swaps(edges: DataFrame, taken: DataFrame, through: int) -> DataFrame:
+    """Ways to win a pair: paths between two free regions that alternate between candidate and chosen edges.
+
+    ``taken`` is (design_name, pair_id, region_a, region_b).  A row has the regions it touches, the
+    edges that come and the edges that go; ``through`` is the number of chosen edges on the way.
+    """
+    both = lambda df: df.select("design_name", "pair_id", F.col("region_a").alias("at"), F.col("region_b").alias("to"), *[c for c in df.columns if c == "_w"]).unionByName(
+        df.select("design_name", "pair_id", F.col("region_b").alias("at"), F.col("region_a").alias("to"), *[c for c in df.columns if c == "_w"])
+    )
+    held = both(taken)
+    step = both(edges)
+    busy = held.select("design_name", F.col("at").alias("region"))
+    free_start = step.join(busy.withColumnRenamed("region", "at"), ["design_name", "at"], "left_anti")
+    path = free_start.select(
+        "design_name", F.array("at").alias("regions"), F.col("to").alias("end"), F.array("pair_id").alias("come"), F.array().cast("array<string>").alias("go"), F.col("_w").alias("gain")
+    )
+    for _ in range(through):
+        across = held.select("design_name", F.col("at").alias("end"), F.col("to").alias("far"), F.col("pair_id").alias("old"))
+        onward = step.select("design_name", F.col("at").alias("far"), F.col("to").alias("next"), F.col("pair_id").alias("new"), F.col("_w").alias("more"))
+        path = (
+            path.join(across, ["design_name", "end"])
+            .join(onward, ["design_name", "far"])
+            .where(~F.array_contains("regions", F.col("end")) & ~F.array_contains("regions", F.col("far")) & (F.col("next") != F.col("end")))
+            .where(~F.array_contains("regions", F.col("next")))
+            .select(
+                "design_name",
+                F.concat("regions", F.array("end", "far")).alias("regions"),
+                F.col("next").alias("end"),
+                F.concat("come", F.array("new")).alias("come"),
+                F.concat("go", F.array("old")).alias("go"),
+                (F.col("gain") + F.col("more")).alias("gain"),
+            )
+        )
+    ends_free = path.join(busy.withColumnRenamed("region", "end"), ["design_name", "end"], "left_anti")
+    one_way = ends_free.where(F.col("regions")[0] < F.col("end"))
+    return one_way.select("design_name", F.concat("regions", F.array("end")).alias("regions"), "come", "go", "gain")
+
+
+def extend_matching(edges: DataFrame, matched: DataFrame, weight: str = "composite_dissimilarity") -> DataFrame:
+    """``matched`` with more pairs: (design_name, pair_id) after all paths of three and five edges are used up.
+
+    Such a path leads from one free region to another over one or two chosen edges; exchanging its
+    edges wins a pair.  In a round every region names the lightest path it lies on, and a path named
+    by all of its regions is carried out.  Without a path of up to five edges at least three quarters
+    of the largest possible number of pairs are chosen; ``matching_sizes`` reports what is reached.
+    The number of paths is bounded by the regions, not by the events; frames of a round are written.
+    """
+    weighed = settle(edges.select("design_name", "pair_id", "region_a", "region_b", F.col(weight).alias("_w")), "matching_edges")
+    chosen = settle(matched.select("design_name", "pair_id"), "matching")
+    through = 1
+    while through <= 2:
+        taken = weighed.join(chosen, ["design_name", "pair_id"]).select("design_name", "pair_id", "region_a", "region_b")
+        paths = settle(_swaps(weighed, taken, through).withColumn("id", F.concat_ws(",", "come")), "swap_paths")
+        if paths.isEmpty():
+            through += 1
+            continue
+        rank = F.struct("gain", "id")
+        named = paths.select("design_name", F.explode("regions").alias("region"), rank.alias("path")).groupBy("design_name", "region").agg(F.min("path").alias("path"))
+        votes = named.groupBy("design_name", F.col("path.id").alias("id")).agg(F.count(F.lit(1)).alias("votes"))
+        done = settle(paths.join(votes, ["design_name", "id"]).where(F.col("votes") == F.size("regions")), "swaps")
+        gone = done.select("design_name", F.explode("go").alias("pair_id"))
+        come = done.select("design_name", F.explode("come").alias("pair_id"))
+        chosen = settle(chosen.join(gone, ["design_name", "pair_id"], "left_anti").unionByName(come), "matching")
+        through = 1
+    return chosen
+
+
+def matching_sizes(edges: DataFrame, matched: DataFrame) -> DataFrame:
+    """Chosen pairs per design after the extension; designs without edges have no row."""
+    chosen = extend_matching(edges, matched).groupBy("design_name").agg(F.count(F.lit(1)).alias("pair_count"))
+    return edges.select("design_name").distinct().join(chosen, "design_name", "left").fillna(0, ["pair_count"])
+
+
 def design_summary(edges: DataFrame, matched: DataFrame) -> DataFrame:
     """Size and average quality of every design."""
     offered = edges.groupBy("design_name").agg(F.count(F.lit(1)).alias("candidate_edge_count"))

@@ -177,6 +177,32 @@ def test_matching_is_greedy_maximal_and_without_reuse(spark):
     assert G.match_pairs(edges.limit(0)).count() == 0
 
 
+def _largest(edges):
+    """Pairs of the largest matching, by enumeration."""
+    covered = {frozenset()}
+    for a, b in edges:
+        covered |= {c | {a, b} for c in covered if not {a, b} & c}
+    return max(map(len, covered)) // 2
+
+
+def test_extended_matching_on_random_graphs(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for g in range(12):
+        edges = [(a, b) for a, b in itertools.combinations("abcdefghij", 2) if rng.random() < 0.2]
+        rows += [(f"D{g}", f"{a}__{b}", a, b, rng.randrange(8) / 8) for a, b in edges]
+        if edges:
+            want[f"D{g}"] = _largest(edges)
+    frame = spark.createDataFrame(rows, "design_name string, pair_id string, region_a string, region_b string, composite_dissimilarity double")
+    matched = G.match_pairs(frame)
+    pairs = G.extend_matching(frame, matched).join(frame, ["design_name", "pair_id"]).collect()
+    for name in want:
+        ends = [x for r in pairs if r.design_name == name for x in (r.region_a, r.region_b)]
+        assert len(ends) == len(set(ends)) and len(ends) // 2 >= 0.75 * want[name]
+    lost = sum(want.values()) - len(pairs)
+    assert lost == 0, f"{lost} pairs fewer than possible"
+
+
 def test_distance_sensitivity_and_distribution(pairs):
     _, df = pairs
     pdf = df.toPandas()

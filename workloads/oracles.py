@@ -24,7 +24,7 @@ def query(sql: str) -> str:
             text += STEPS[name]
     if not chosen:
         return sql
-    recursive = "RECURSIVE " if "walk" in chosen else ""
+    recursive = "RECURSIVE " if {"walk", "covered"} & set(chosen) else ""
     return f"WITH {recursive}" + ",\n".join(f"{n} AS (\n{STEPS[n]}\n)" for n in chosen) + "\n" + sql
 
 
@@ -1366,6 +1366,28 @@ FROM (SELECT {_pct('category_balanced_feature_distance')} AS p, {_pct('six_featu
 )
 ORACLES["threshold_summary"] = fin("SELECT * FROM limits", floats=" ".join(_limits))
 ORACLES["candidate_edges"] = fin("SELECT * FROM edge", floats=_score_floats)
+# Every set of regions that some matching covers, edge by edge: the largest matching by enumeration.
+step(
+    "numbered_edge",
+    """
+WITH bits AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS b FROM (SELECT region_a AS region FROM edge UNION SELECT region_b FROM edge))
+SELECT q.design_name, q.turn, (1::BIGINT << x.b) | (1::BIGINT << y.b) AS mask
+FROM queue q JOIN bits x ON x.region = q.region_a JOIN bits y ON y.region = q.region_b
+""",
+)
+step(
+    "covered",
+    """
+SELECT DISTINCT design_name, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS mask FROM numbered_edge
+UNION
+SELECT c.design_name, c.at + 1, CASE WHEN way THEN c.mask | e.mask ELSE c.mask END
+FROM covered c JOIN numbered_edge e ON e.design_name = c.design_name AND e.turn = c.at + 1, (VALUES (true), (false)) w(way)
+WHERE NOT way OR c.mask & e.mask = 0
+""",
+)
+ORACLES["matching_sizes"] = fin(
+    "SELECT design_name, CAST(max(bit_count(mask)) / 2 AS BIGINT) AS pair_count FROM covered GROUP BY design_name"
+)
 ORACLES["match_pairs"] = fin("SELECT * FROM chosen", floats=_score_floats)
 ORACLES["design_summary"] = fin(
     """

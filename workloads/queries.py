@@ -412,6 +412,7 @@ QUERIES: dict[str, Query] = {
     "threshold_summary": _on_geo(lambda c: c.thresholds),
     "candidate_edges": _on_geo(lambda c: c.edges),
     "match_pairs": _on_geo(lambda c: c.matched),
+    "matching_sizes": _on_geo(lambda c: geo_design.matching_sizes(c.edges, c.matched)),
     "design_summary": _on_geo(lambda c: geo_design.design_summary(c.edges, c.matched)),
     # contracts and reconciliation
     "attribution_contracts": _on_chain(attribution_contracts),
