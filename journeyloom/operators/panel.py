@@ -404,8 +404,8 @@ def eligible_pre_panel(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def outcome_matrix(panel: DataFrame, measure: str, regions: list[str] | None = None) -> DataFrame:
-    """Week x region matrix of one measure, for output."""
+def outcome_matrix(panel: DataFrame, measure: str, regions: list[str]) -> DataFrame:
+    """Week x region matrix of one measure for the named regions, for output."""
     return (
         panel.groupBy("week_start_date")
         .pivot("geo_region", regions)
