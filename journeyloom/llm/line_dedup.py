@@ -8,7 +8,7 @@ chunk by itself.
 
 Chunks are grouped over all documents by their bytes.  The document with the smallest doc_id keeps a
 repeated chunk, at its first place; everywhere else it goes, if the run of repeated chunks it stands
-in has at least ``min_words`` words.  Before a chunk goes, its bytes are compared with the kept text.
+in has at least ``min_words`` words.
 
 All steps are linear in the length of a text: lists are cut and aligned by writing markers into the
 text and splitting at them, never by looking up list elements one by one.
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from journeyloom.llm.common import table
+from journeyloom.sources.workspace import settle
 
 # An escape character, what stands for it inside a text, and the marker between parts.
 _ESCAPE, _ESCAPED, _MARK = "\u0001", "\u0001\u0003", "\u0001\u0002"
@@ -58,8 +59,17 @@ def chunks_of(docs: DataFrame, text: str = "text", long_line: int = 50) -> DataF
     )
 
 
+def _second_hash(chunk: Column) -> Column:
+    """Another hash than ``xxhash64(chunk)``: it starts from another seed."""
+    return F.xxhash64(F.lit("second"), chunk)
+
+
 def repeated_chunks(docs: DataFrame, long_line: int = 50) -> DataFrame:
-    """Per document key the repeated chunks that are not the kept one: ``_marks`` of (no, chunk)."""
+    """Per document key the repeated chunks that are not the kept one: ``_marks`` of (no, hash).
+
+    Chunks are grouped by their bytes.  Their places carry a 64-bit hash only; whoever applies the
+    marks compares a second, independent hash of the chunk it has before it.
+    """
     keyed = docs.select(document_key(), "text")
     # The outer form, else the optimizer derives a filter on the list and repeats its steps below it.
     chunks = (
@@ -72,21 +82,19 @@ def repeated_chunks(docs: DataFrame, long_line: int = 50) -> DataFrame:
         chunks.groupBy("_chunk")
         .agg(F.count("*").alias("_n"), F.min("_doc").alias("_first"))
         .where("_n > 1")
-        .select(F.xxhash64("_chunk").alias("_hash"), "_chunk", "_first")
+        .select(F.xxhash64("_chunk").alias("_hash"), _second_hash(F.col("_chunk")).alias("_again"), "_first")
     )
     places = chunks.select("_doc", "_no", F.xxhash64("_chunk").alias("_hash"))
     found = places.join(kept, "_hash").groupBy("_doc").agg(
-        F.collect_set(F.struct("_chunk", "_no", (F.col("_doc") == F.col("_first")).alias("_own"))).alias("_found")
+        F.collect_set(F.struct("_again", "_no", (F.col("_doc") == F.col("_first")).alias("_own"))).alias("_found")
     )
     # In the keeping document all but the first place of a chunk count as repeats.
-    ordered = found.withColumn("_found", F.sort_array("_found")).withColumn(
-        "_last", F.slice(F.concat(F.array(F.lit(None).cast("string")), F.col("_found._chunk")), F.lit(1), F.size("_found"))
-    )
+    ordered = found.withColumn("_found", F.sort_array("_found")).withColumn("_last", _before(F.col("_found._again")))
     loose = F.filter(
         F.zip_with(
             "_found",
             "_last",
-            lambda x, last: F.struct(x["_no"].alias("no"), x["_chunk"].alias("chunk"), (~x["_own"] | x["_chunk"].eqNullSafe(last)).alias("out")),
+            lambda x, last: F.struct(x["_no"].alias("no"), x["_again"].alias("hash"), (~x["_own"] | x["_again"].eqNullSafe(last)).alias("out")),
         ),
         lambda x: x["out"],
     )
@@ -106,6 +114,7 @@ def with_bitmap(rows: DataFrame, marks: DataFrame) -> DataFrame:
     bits = marks.groupBy(F.bitmap_bucket_number("_doc").alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_doc")).alias("_bits")
     )
+    bits = settle(bits, "marked_documents")  # so its size is known when the join is planned
     at = F.bitmap_bit_position("_doc")
     octet = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = F.expr("shiftright(_octet, _shift) & 1") == 1
@@ -123,26 +132,26 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50) -> Da
 
     Null and empty texts stay as they are.  Rows with one doc_id count as one document (rows without
     as the last one), so an exactly repeated row keeps its text.  A text all of whose chunks are kept
-    elsewhere becomes empty.  Columns may have any names; only doc_id and text are used.
+    elsewhere becomes empty.  Columns may have any names; only doc_id and text are used.  Starts jobs.
     """
-    marks = repeated_chunks(docs, long_line)
+    marks = settle(repeated_chunks(docs, long_line), "marks")
     names = docs.columns
     rows = docs.select(document_key(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
     rows = with_bitmap(rows, marks)
     # Only texts that lose something are shuffled.
     untouched = rows.where("not _marked").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
     cut = chunks_of(rows.where("_marked").join(marks, "_doc"), "_text", long_line)
-    # Expected text per chunk number: as many markers as numbers passed since the mark before.
+    # Expected hash per chunk number: as many markers as numbers passed since the mark before.
     gaps = F.zip_with(
         "_marks",
         F.slice(F.concat(F.array(F.lit(0)), F.col("_marks.no")), F.lit(1), F.size("_marks")),
-        lambda m, last: F.concat(F.repeat(F.lit(_MARK), m["no"] - last), m["chunk"]),
+        lambda m, last: F.concat(F.repeat(F.lit(_MARK), m["no"] - last), m["hash"].cast("string")),
     )
     expected = F.split(F.array_join(gaps, ""), _MARK, -1)
     kept_apart = F.zip_with(
         "_chunks",
         "_expected",
-        lambda c, e: F.when(c.isNull(), F.lit("")).when(c.eqNullSafe(e), c).otherwise(F.concat(F.lit(_MARK), c, F.lit(_MARK))),
+        lambda c, e: F.when(c.isNull(), F.lit("")).when(_second_hash(c).cast("string").eqNullSafe(e), c).otherwise(F.concat(F.lit(_MARK), c, F.lit(_MARK))),
     )
     # Even parts are runs of repeated chunks, odd parts are kept chunks.
     parts = F.split(F.array_join(kept_apart, ""), _MARK, -1)
