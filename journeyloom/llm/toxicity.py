@@ -36,6 +36,7 @@ class Sample:
     fit_each: int = 600  # of either kind, for the weights of the chain
     fit_chars: int = 20_000  # longer documents count for the forms, but do not fit the chain
     forms: int = 4000
+    telling: float = 16.0  # least log-likelihood ratio of a form
 
 
 def forms_of(word: str) -> list[str]:
@@ -200,7 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Chai
     sizes = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
     odds = F.log((F.col("bad") + 0.1) / n_bad) - F.log((F.col("good") + 0.5) / n_good)
-    kept = counted.where(F.col("bad") >= (3 if n_bad >= 30 else 2)).withColumn("odds", odds).where(F.col("odds") > np.log(4))
+    # Log-likelihood ratio against an even spread: chance finds among many forms stay out.
+    even = (F.col("bad") + F.col("good")) * n_bad / (n_bad + n_good)
+    telling = 2 * F.col("bad") * F.log(F.col("bad") / even)
+    kept = counted.where("bad > 0").where(telling >= sample.telling).withColumn("odds", odds).where(F.col("odds") > np.log(4))
     found = {r["form"]: r["odds"] for r in kept.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "form").limit(sample.forms).collect()}
     fit = None
     for kind in (1, 0):
