@@ -59,8 +59,8 @@ def hashed_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, words binary")
 
 
-def _passages(batches: Iterable[pa.RecordBatch], r: Retrieval, most: int = 1000) -> Iterator[np.ndarray]:
-    """Term counts (passages x terms) of whole passages and what is left at the end of a text."""
+def _passages(batches: Iterable[pa.RecordBatch], r: Retrieval, most: int = 1000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of passages, and per word its term and its cell in a (passages x terms) table; what is left at the end of a text is a passage."""
     sizes, held, size = [], [], 0
     for batch in batches:
         for body in batch.column(batch.num_columns - 1).to_pylist():
@@ -70,16 +70,16 @@ def _passages(batches: Iterable[pa.RecordBatch], r: Retrieval, most: int = 1000)
                 held.append(part)
                 sizes += [min(r.passage, len(part) - b) for b in range(0, len(part), r.passage)]
                 if len(sizes) >= most:
-                    yield _counts(held, sizes, r)
+                    yield _cells(held, sizes, r)
                     sizes, held = [], []
     if sizes:
-        yield _counts(held, sizes, r)
+        yield _cells(held, sizes, r)
 
 
-def _counts(held: list[np.ndarray], sizes: list[int], r: Retrieval) -> np.ndarray:
+def _cells(held: list[np.ndarray], sizes: list[int], r: Retrieval) -> tuple[int, np.ndarray, np.ndarray]:
     term = (np.concatenate(held) % np.uint32(r.terms)).astype(np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    return np.bincount(row * r.terms + term, minlength=len(sizes) * r.terms).reshape(len(sizes), r.terms)
+    return len(sizes), term, row * r.terms + term
 
 
 def _emit(lane_arrays: list[np.ndarray]) -> pa.RecordBatch:
@@ -93,9 +93,11 @@ def _emit(lane_arrays: list[np.ndarray]) -> pa.RecordBatch:
 def inverse_frequency(streams: DataFrame, r: Retrieval) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = np.zeros(r.terms), 0
-        for counts in _passages(batches, r):
-            found += (counts > 0).sum(0)
-            n += len(counts)
+        for rows, _, cell in _passages(batches, r):
+            seen = np.zeros(rows * r.terms, bool)
+            seen[cell] = True
+            found += seen.reshape(rows, r.terms).sum(0)
+            n += rows
         yield _emit([np.append(found, n)])
 
     got = summed_arrays(streams.select("words").mapInArrow(run, "lane bigint, part bigint, counts array<double>")).get(0, np.zeros(r.terms + 1))
@@ -115,9 +117,11 @@ def latent_space(streams: DataFrame, r: Retrieval) -> np.ndarray:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(basis.shape)
-            for counts in _passages(batches, r):
-                a = counts.astype(np.float32) * weight
-                a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
+            for rows, term, cell in _passages(batches, r):
+                a = np.zeros(rows * r.terms, np.float32)
+                np.add.at(a, cell, weight[term])
+                a = a.reshape(rows, r.terms)
+                a /= np.maximum(np.sqrt(np.einsum("ij,ij->i", a, a)), 1e-9)[:, None]
                 total += a.T @ (a @ basis)
             yield _emit([total])
 
