@@ -2,9 +2,11 @@
 
 A text is a list of lines; lines are wrapped behind punctuation, so a passage that fills one line has
 lines of its own.  Every line is hashed, a rolling hash over two line hashes slides over the list, and
-a local minimum of it opens a chunk.  A boundary depends on four lines around it and nothing else, so
-the chunks of a passage are the same wherever it stands.  A line of ``long_line`` words or more is a
-chunk by itself.
+a local minimum of it opens a chunk.  Behind a line of 16 octets or more and before one of 48 or more a
+chunk opens as well, so most lines are chunks of their own and only very short ones are put together: a
+passage that is repeated loses its first few words and its last short lines at most.  A boundary
+depends on four lines around it and nothing else, so the chunks of a passage are the same wherever it
+stands.  A line of ``long_line`` words or more is a chunk by itself.
 
 Chunks are grouped over all documents by their bytes.  The document with the smallest doc_id keeps a
 repeated chunk, at its first place; everywhere else it goes, if the run of repeated chunks it stands
@@ -23,6 +25,8 @@ from journeyloom.sources.workspace import settle
 
 # An escape character, what stands for it inside a text, and the marker between parts.
 _ESCAPE, _ESCAPED, _MARK = "\u0001", "\u0001\u0003", "\u0001\u0002"
+# Octets of a line from which it ends a chunk, and from which it opens one.
+_ENDS, _OPENS = 16, 48
 
 
 def _before(values: Column) -> Column:
@@ -49,13 +53,16 @@ def chunks_of(docs: DataFrame, text: str = "text", long_line: int = 50) -> DataF
         .withColumn("_roll", F.zip_with(_before(F.col("_hash")), F.col("_hash"), lambda a, b: F.xxhash64(a, b)))
         .withColumn("_near", F.zip_with(_before(F.col("_roll")), _behind(F.col("_roll")), lambda a, b: F.least(a, b)))
         .withColumn("_low", F.zip_with("_roll", "_near", lambda r, near: (r < near).cast("bigint")))
+        .withColumn("_size", F.transform("_lines", lambda u: F.octet_length(u).cast("bigint")))
         .withColumn("_forced", F.zip_with(_before(F.col("_long")), F.col("_long"), lambda a, b: a + b))
+        .withColumn("_dense", F.zip_with(_before(F.col("_size")), F.col("_size"), lambda a, b: ((a >= _ENDS) | (b >= _OPENS)).cast("bigint")))
+        .withColumn("_forced", F.zip_with("_forced", "_dense", lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
         .withColumn("_opens", F.zip_with("_low", "_forced", lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) > 0))
     )
     marked = F.zip_with("_lines", "_opens", lambda u, opens: F.when(opens, F.concat(F.lit(_MARK), u)).otherwise(u))
     parts = F.split(F.array_join(marked, ""), _MARK, -1)
     return cut.withColumn("_chunks", F.filter(parts, lambda c: F.octet_length(c) > 0)).drop(
-        "_lines", "_hash", "_long", "_roll", "_near", "_low", "_forced", "_opens"
+        "_lines", "_hash", "_long", "_roll", "_near", "_low", "_size", "_forced", "_dense", "_opens"
     )
 
 

@@ -364,6 +364,25 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("own_lines", [True, False])
+def test_line_dedup_finds_passages_of_51_to_100_words(spark, own_lines):
+    rng = random.Random(31)
+    number = iter(range(10**6))
+
+    def text(words: int) -> str:  # all words distinct; a line every six words
+        return "".join(f"w{next(number)}" + (rng.choice((",", ".")) if k % 6 == 5 else "") + " " for k in range(words)).strip()
+
+    texts, sizes = [], {}
+    for k in range(400):
+        passage, gap = text(rng.randint(51, 100)), ".\n" if own_lines else " "
+        texts += [(2 * k + c, gap.join((text(rng.randint(20, 90)), passage, text(rng.randint(20, 90))))) for c in (0, 1)]
+        sizes[2 * k + 1] = len(passage.split())
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    for doc, before in texts:
+        lost = len(before.split()) - len(got[doc].split())
+        assert lost == 0 if doc not in sizes else sizes[doc] - 20 <= lost <= sizes[doc], (doc, lost)
+
+
 # ---- 10 -----------------------------------------------------------------------------------------
 
 
