@@ -452,6 +452,21 @@ def candidate_edges(
     return attach_row(pairs, limits).select(F.explode(admitted).alias("design_name"), *pairs.columns)
 
 
+def _numbered_pairs(edges: DataFrame, picked: DataFrame, weight: str) -> DataFrame:
+    """The edges named by ``picked`` (design_name, pair_id), numbered per design, lightest first."""
+    place = F.row_number().over(Window.partitionBy("design_name").orderBy(weight, "pair_id"))
+    return (
+        edges.join(picked, ["design_name", "pair_id"], "left_semi")
+        .withColumn("candidate_pair_number", place)
+        .select(
+            "design_name",
+            "candidate_pair_number",
+            *[c for c in edges.columns if c != "design_name"],
+            F.lit("CANDIDATE_PAIR_ONLY").alias("assignment_status"),
+        )
+    )
+
+
 def match_pairs(edges: DataFrame, weight: str = "composite_dissimilarity") -> DataFrame:
     """Choose non-overlapping pairs per design, lightest first.
 
@@ -488,17 +503,7 @@ def match_pairs(edges: DataFrame, weight: str = "composite_dissimilarity") -> Da
             left = left.join(taken, ["design_name", end], "left_anti")
         left = settle(left, f"edges-{len(chosen)}")
     picked = reduce(DataFrame.unionByName, chosen) if chosen else edges.select("design_name", "pair_id").limit(0)
-    place = F.row_number().over(Window.partitionBy("design_name").orderBy(weight, "pair_id"))
-    return (
-        edges.join(picked, ["design_name", "pair_id"], "left_semi")
-        .withColumn("candidate_pair_number", place)
-        .select(
-            "design_name",
-            "candidate_pair_number",
-            *[c for c in edges.columns if c != "design_name"],
-            F.lit("CANDIDATE_PAIR_ONLY").alias("assignment_status"),
-        )
-    )
+    return _numbered_pairs(edges, picked, weight)
 
 
 def _swaps(edges: DataFrame, taken: DataFrame, through: int) -> DataFrame:
@@ -568,6 +573,11 @@ def extend_matching(edges: DataFrame, matched: DataFrame, weight: str = "composi
     return chosen
 
 
+def extended_pairs(edges: DataFrame, matched: DataFrame, weight: str = "composite_dissimilarity") -> DataFrame:
+    """The pairs of ``extend_matching`` in the form of ``match_pairs``."""
+    return _numbered_pairs(edges, extend_matching(edges, matched, weight), weight)
+
+
 def matching_sizes(edges: DataFrame, matched: DataFrame) -> DataFrame:
     """Chosen pairs per design after the extension; designs without edges have no row."""
     chosen = extend_matching(edges, matched).groupBy("design_name").agg(F.count(F.lit(1)).alias("pair_count"))

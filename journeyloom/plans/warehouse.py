@@ -134,6 +134,11 @@ class GeoChain:
     def matched(self) -> DataFrame:
         return geo_design.match_pairs(self.edges)
 
+    @cached_property
+    def extended(self) -> DataFrame:
+        """The larger design: ``matched`` and what alternating paths win."""
+        return geo_design.extended_pairs(self.edges, self.matched)
+
 
 def publish_attribution(chain: AttributionChain, root: str, channels: int) -> dict[str, DataFrame]:
     """Publish the attribution tables in order, each behind its contracts.

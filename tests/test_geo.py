@@ -203,6 +203,26 @@ def test_extended_matching_on_random_graphs(spark):
     assert lost == 0, f"{lost} pairs fewer than possible"
 
 
+def test_extended_pairs_reach_the_largest_size(spark):
+    # Lightest first takes the middle of a path of three edges, where two pairs exist; twice in a path of five.
+    rows = [("D", "b__c", "b", "c", 0.1), ("D", "a__b", "a", "b", 0.5), ("D", "c__d", "c", "d", 0.5)]
+    rows += [("E", f"{a}__{b}", a, b, w) for (a, b), w in zip(("pq", "qr", "rs", "st", "tu"), (0.5, 0.1, 0.6, 0.1, 0.5))]
+    frame = spark.createDataFrame(rows, "design_name string, pair_id string, region_a string, region_b string, composite_dissimilarity double")
+    matched = G.match_pairs(frame)
+    got = G.extended_pairs(frame, matched)
+    assert got.columns == matched.columns and matched.count() == 3
+    found = [(r.design_name, r.candidate_pair_number, r.pair_id) for r in got.orderBy("design_name", "candidate_pair_number").collect()]
+    assert found == [("D", 1, "a__b"), ("D", 2, "c__d"), ("E", 1, "p__q"), ("E", 2, "t__u"), ("E", 3, "r__s")]
+    for name in "DE":
+        assert sum(f[0] == name for f in found) == _largest([(r[2], r[3]) for r in rows if r[0] == name])
+
+
+def test_extended_designs_are_registered():
+    from workloads.queries import QUERIES
+
+    assert {"extended_pairs", "extended_design_summary"} <= set(QUERIES)
+
+
 def test_distance_sensitivity_and_distribution(pairs):
     _, df = pairs
     pdf = df.toPandas()

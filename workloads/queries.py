@@ -418,6 +418,8 @@ QUERIES: dict[str, Query] = {
     "match_pairs": _on_geo(lambda c: c.matched),
     "matching_sizes": _on_geo(lambda c: geo_design.matching_sizes(c.edges, c.matched)),
     "design_summary": _on_geo(lambda c: geo_design.design_summary(c.edges, c.matched)),
+    "extended_pairs": _on_geo(lambda c: c.extended),
+    "extended_design_summary": _on_geo(lambda c: geo_design.design_summary(c.edges, c.extended)),
     # contracts and reconciliation
     "attribution_contracts": _on_chain(attribution_contracts),
     "geo_contracts": _on_geo(geo_contracts),
