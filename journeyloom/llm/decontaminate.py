@@ -4,8 +4,9 @@ Texts become streams of word hashes (A-Z folded, no punctuation around words), w
 Their passages, weighted by TF-IDF over hashed terms, go through a randomised singular value
 decomposition: the sketch (terms x rank, a fixed size) is multiplied task by task and summed by Spark.
 In the latent space, with all directions scaled alike, every passage of every document is compared
-with every passage of the benchmark.  Pairs above a cosine are candidates; the longest common
-subsequence of the item and the text around, and of its answer (its last sentence), decides.
+with every passage of the benchmark.  Pairs above a cosine are candidates, and so are places where three
+words of an item follow each other (all of its words, if it has fewer), so that an item word for word
+is never missed; the longest common subsequence of the item and the text around, and of its answer (its last sentence), decides.
 """
 
 from __future__ import annotations
@@ -153,17 +154,30 @@ def _bits(words: list[int]) -> dict[int, int]:
     return out
 
 
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of every n words in a row; equal keys of different words cost a check only."""
+    key = words[: max(0, len(words) - n + 1)].astype(np.uint64)
+    for k in range(1, n):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(key)]
+    return key
+
+
 class Items:
     """A block of benchmark items: word hashes, answers, and latent vectors of their windows."""
 
     def __init__(self, rows: list, space: np.ndarray, r: Retrieval):
         self.ids, self.words, self.answers, vectors, self.owner, self.shift = [], [], [], [], [], []
+        self.first, grams = [], {}
         for item_id, text in rows:
             words = [word_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
             if not words:
                 continue
             sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
             answer = [word_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", sentences[-1])]
+            self.first.append(len(self.owner))
+            n = min(3, len(words))
+            keys = _grams(np.array(words, np.uint32), n)
+            grams.setdefault(n, []).append((keys, np.full(len(keys), len(self.ids)), np.arange(len(keys))))
             for at in range(0, max(1, len(words) - r.window + r.window // 2), r.window // 2):
                 part = np.array(words[at : at + r.window], np.uint32)
                 vectors.append(space[part % np.uint32(r.terms)].sum(0))
@@ -174,6 +188,13 @@ class Items:
             self.answers.append(answer)
         stacked = np.array(vectors, np.float32).reshape(-1, space.shape[1])
         self.vectors = stacked / np.maximum(np.linalg.norm(stacked, axis=1, keepdims=True), 1e-9)
+        # Per length the keys in order, and the item and the place in it of each.
+        self.grams = {}
+        for n, parts in grams.items():
+            keys, item, place = map(np.concatenate, zip(*parts))
+            order = np.argsort(keys, kind="stable")
+            self.grams[n] = keys[order], item[order], place[order]
+        self.last = [*self.first[1:], len(self.owner)]
         self.bits = [_bits(w) for w in self.words]
         self.answer_bits = [_bits(w) for w in self.answers]
 
@@ -216,12 +237,24 @@ def search(streams: DataFrame, items: Items, space: np.ndarray, r: Retrieval) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in HIT.split(", ")])
             rows = []
 
+    def shared_grams(flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in ``flat``, items and places in them where both have the same words in a row."""
+        for n, (keys, item, place) in state["grams"].items():
+            own = _grams(flat, n)
+            low = np.searchsorted(keys, own)
+            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == own)
+            low, times = low[hit], np.searchsorted(keys, own[hit], side="right") - low[hit]
+            which = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
+            yield np.repeat(hit, times), item[which], place[which]
+
     def compare(texts: list[tuple]) -> list[tuple]:
         blocks, owner, place = [], [], []
         flat = np.concatenate([s for _, s in texts])
-        starts, at = [], 0
+        starts, at, begins, rows_at = [], 0, [], []
         for n, (_, stream) in enumerate(texts):
             cuts = range(0, len(stream), half)
+            begins.append(at)
+            rows_at.append(len(starts))
             starts += [at + c for c in cuts]
             owner += [n] * len(cuts)
             place += list(cuts)
@@ -235,15 +268,25 @@ def search(streams: DataFrame, items: Items, space: np.ndarray, r: Retrieval) ->
         best: dict[tuple[int, int], tuple] = {}
         done: set[tuple[int, int, int]] = set()
         cos = joined @ state["vectors"].T
-        for row, column in zip(*np.nonzero(cos >= r.cosine)):
-            item, n = state["owner"][column], int(owner[row])
-            begin = max(0, int(place[row]) - state["shift"][column])
+
+        def check(n: int, item: int, begin: int, row: int, column: int) -> None:
             if (n, item, begin // half) in done:
-                continue
+                return
             done.add((n, item, begin // half))
             overlap, answer = judge(texts[n][1], item, begin)
             if overlap >= r.certain or overlap >= r.overlap and answer >= r.answer:
                 best[n, item] = max(best.get((n, item), (0.0,)), (overlap, answer, float(cos[row, column])))
+
+        for row, column in zip(*np.nonzero(cos >= r.cosine)):
+            begin = max(0, int(place[row]) - state["shift"][column])
+            check(int(owner[row]), state["owner"][column], begin, row, column)
+        for spot, item, inside in shared_grams(flat):
+            text = np.searchsorted(begins, spot, side="right") - 1
+            local = spot - np.array(begins)[text]
+            begin = np.maximum(0, local - inside)
+            _, one = np.unique(np.stack([text, item, begin // half]), axis=1, return_index=True)
+            for n, i, at, p, q in zip(*(x[one].tolist() for x in (text, item, begin, local, inside))):
+                check(n, i, at, rows_at[n] + p // half, min(state["first"][i] + q // half, state["last"][i] - 1))
         return [(texts[n][0], state["ids"][item], *found) for (n, item), found in best.items()]
 
     return streams.select("doc_id", "words").mapInArrow(run, HIT)

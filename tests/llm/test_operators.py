@@ -86,6 +86,17 @@ def test_decontamination_finds_exact_and_paraphrased_items(spark):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_does_not_hang_on_the_cosine(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, n).replace("\n", " ")) for k, n in enumerate((1, 2, 3, 9, 17, 22, 31, 70))]
+    items[0], items[1] = (0, "solitary"), (1, "two together")
+    docs = frame(spark, [(k, f"{prose(rng, 57)} {item} {prose(rng, 61)}") for k, item in items] + [(90, prose(rng, 200)), (91, None)])
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contaminated(docs, bench, decontaminate.Retrieval(cosine=1.1)).collect()
+    assert {(k, k, 1.0) for k, _ in items} <= {(r["doc_id"], r["item_id"], r["overlap"]) for r in found}
+    assert not {90, 91} & {r["doc_id"] for r in found}
+
+
 def test_common_length():
     rng = random.Random(1)
     for _ in range(50):
