@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from journeyloom.llm import decontaminate, hmm_lm, jaccard_join, line_dedup, near_vectors, packing, token_counts, toxicity, url_filters, warc_bundles
+from journeyloom.llm import decontaminate, hmm_lm, jaccard_join, line_dedup, near_vectors, packing, periodic_runs, token_counts, toxicity, url_filters, warc_bundles
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": warc_bundles.op1_warc_bundles,
@@ -19,6 +19,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hmm_language_model": hmm_lm.op6_hmm_language_model,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 LLM_ORACLES: dict[str, str] = {
     "op1_warc_bundles": warc_bundles.oracle_sql(),
