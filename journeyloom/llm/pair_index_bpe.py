@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 from journeyloom.llm.common import prepare_workers, spread, table, word_codes
 
 TOKENIZER = "word_bpe_49k.json"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20
 KNOWN_BYTES = 24 << 20
 # What one remembered word costs besides its characters and ids.
 _ENTRY_BYTES = 240
@@ -58,59 +58,79 @@ class PairIndex:
         if any(made.get(side, -1) >= rank for rank, m in enumerate(merges) for side in m[:2]):
             raise ValueError("a product takes part in an earlier merge")
         self.merges = merges
-        self.ranks = {left << 32 | right: rank for rank, (left, right, _) in enumerate(merges)}
-
-    def merge(self, words: list[list[int]]) -> list[list[int]]:
-        """The final symbols of every word."""
-        symbol: list[int] = []
-        for word in words:
-            symbol += word
-            symbol.append(-1)  # a break: no pair reaches over it
+        keys = np.array([left << 32 | right for left, right, _ in merges], np.int64)
+        self._rank = np.argsort(keys)
+        self._keys = keys[self._rank]
+
+    def ranks(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
+        """Ranks of pairs, -1 where there is none."""
+        keys = left << 32 | right
+        if not len(self._keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._rank[at], -1)
+
+    def merge(self, symbol: np.ndarray) -> np.ndarray:
+        """The final symbols of a chain of words, -1 behind each word; ``symbol`` is used up."""
         size = len(symbol)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        ranks, places = self.ranks, {}
-        for at in range(size - 1):
-            # A break makes the key negative, which no pair has.
-            rank = ranks.get(symbol[at] << 32 | symbol[at + 1]) if symbol[at + 1] >= 0 else None
-            if rank is not None:
-                places.setdefault(rank, []).append(at)
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        # A break makes the key negative, which no pair has.
+        first = self.ranks(symbol[:-1], np.where(symbol[1:] < 0, -1, symbol[1:]))
+        places: dict[int, list] = {}
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        groups = np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else []
+        for group in groups:
+            places[int(first[group[0]])] = [group]
         active = list(places)
         heapq.heapify(active)
         while active:
             rank = heapq.heappop(active)
             left, right, product = self.merges[rank]
-            listed = places.pop(rank)
+            lists = places.pop(rank)
+            at = lists[0] if len(lists) == 1 else np.concatenate(lists)
             if left == right:
-                listed.sort()  # of overlapping pairs the first one counts
-            for at in listed:
-                then = after[at]
-                if symbol[at] != left or symbol[then] != right:
-                    continue  # another merge took one of the two
-                symbol[at], symbol[then] = product, -2
-                follows, leads = after[then], before[at]
-                after[at], before[follows] = follows, at
-                if symbol[follows] >= 0:
-                    fresh = ranks.get(product << 32 | symbol[follows])
-                    if fresh is not None:
-                        if fresh not in places:
-                            places[fresh] = []
-                            heapq.heappush(active, fresh)
-                        places[fresh].append(at)
-                if leads >= 0 and symbol[leads] >= 0:
-                    fresh = ranks.get(symbol[leads] << 32 | product)
-                    if fresh is not None:
-                        if fresh not in places:
-                            places[fresh] = []
-                            heapq.heappush(active, fresh)
-                        places[fresh].append(leads)
-        out, word = [], []
-        for s in symbol:
-            if s >= 0:
-                word.append(s)
-            elif s == -1:
-                out.append(word)
-                word = []
-        return out
+                at = np.unique(at)
+            # Where another merge took one of the two, the pair is gone.
+            at = at[symbol[at] == left]
+            then = after[at]
+            there = symbol[then] == right
+            at, then = at[there], then[there]
+            if left == right and len(at) > 1 and (at[1:] == then[:-1]).any():
+                alone = _first_of_overlapping(at.tolist(), then.tolist())
+                at, then = at[alone], then[alone]
+            if not len(at):
+                continue
+            follows = after[then]
+            symbol[at], symbol[then] = product, -2
+            after[at], before[follows] = follows, at
+            leads = before[at]
+            right_of, left_of = symbol[follows], np.where(leads >= 0, symbol[leads], -1)
+            fresh = np.concatenate((self.ranks(product, right_of), self.ranks(left_of, product)))
+            found = np.flatnonzero(fresh >= 0)
+            if not len(found):
+                continue
+            spots, fresh = np.concatenate((at, leads))[found], fresh[found]
+            order = np.argsort(fresh, kind="stable")
+            spots, fresh = spots[order], fresh[order]
+            cuts = [0, *(np.flatnonzero(np.diff(fresh)) + 1).tolist(), len(fresh)]
+            for rank, a, b in zip(fresh[cuts[:-1]].tolist(), cuts[:-1], cuts[1:]):
+                if rank in places:
+                    places[rank].append(spots[a:b])
+                else:
+                    places[rank] = [spots[a:b]]
+                    heapq.heappush(active, rank)
+        return symbol[symbol != -2]
+
+
+def _first_of_overlapping(at: list[int], then: list[int]) -> list[int]:
+    """Of pairs that share a symbol, the first one of two neighbours (as the merge goes from the left)."""
+    kept, taken = [], -1
+    for k, (a, b) in enumerate(zip(at, then)):
+        if a != taken:
+            kept.append(k)
+            taken = b
+    return kept
 
 
 class WordEncoder:
@@ -134,8 +154,8 @@ class WordEncoder:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.index = PairIndex([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         letters = byte_letters()
-        self.inner = [vocab[c] for c in letters]
-        self.last = [vocab[c + self.end] for c in letters]
+        self.inner = np.array([vocab[c] for c in letters])
+        self.last = np.array([vocab[c + self.end] for c in letters])
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
@@ -162,6 +182,20 @@ class WordEncoder:
                 out += [bytes(self.byte_of[c] for c in letters) for letters, _ in cut if letters]
         return out
 
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces, merged all together."""
+        if not pieces:
+            return []
+        flat = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1
+        symbol = self.inner[flat]
+        symbol[ends - 1] = self.last[flat[ends - 1]]
+        symbol[ends] = -1
+        done = self.index.merge(symbol)
+        stops = np.flatnonzero(done < 0)
+        ids, cuts = done[done >= 0].astype("<u4").tobytes(), (4 * (stops - np.arange(len(stops)))).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+
     def of(self, words: list[str]) -> list[bytes]:
         if self.held > self.known_bytes:
             self.known, self.held = {}, 0
@@ -169,9 +203,7 @@ class WordEncoder:
         open_at = [k for k, ids in enumerate(out) if ids is None]
         cuts = [self.parts(words[k]) for k in open_at]
         pieces = list(dict.fromkeys(p for cut in cuts for p in cut if isinstance(p, bytes)))
-        inner, last = self.inner, self.last
-        merged = self.index.merge([[inner[b] for b in p[:-1]] + [last[p[-1]]] for p in pieces])
-        coded = {p: array("I", ids).tobytes() for p, ids in zip(pieces, merged)}
+        coded = dict(zip(pieces, self._merged(pieces)))
         for k, cut in zip(open_at, cuts):
             out[k] = ids = b"".join(coded[p] if isinstance(p, bytes) else array("I", [p]).tobytes() for p in cut)
             self.known[words[k]] = ids
@@ -205,7 +237,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     a text without words has no ids.  A null doc_id stays null, repeated rows are rows of their own,
     further columns are left out.
     """
-    prepare_workers(docs.sparkSession, "4m")
+    prepare_workers(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path or tokenizer_path())

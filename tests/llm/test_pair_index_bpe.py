@@ -52,7 +52,9 @@ def test_merges_equal_the_rule_applied_one_by_one():
                 symbols.append(product)
         ranks = {m[:2]: (r, m[2]) for r, m in enumerate(merges)}
         words = [[rng.randrange(3) for _ in range(rng.randint(1, 20))] for _ in range(20)]
-        assert bpe.PairIndex(merges).merge(words) == [merged_one_by_one(ranks, w) for w in words]
+        chain = np.array([s for w in words for s in [*w, -1]])
+        expected = [s for w in words for s in [*merged_one_by_one(ranks, w), -1]]
+        assert bpe.PairIndex(merges).merge(chain).tolist() == expected
 
 
 def test_merges_out_of_order_are_refused():
