@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from journeyloom.llm import decontaminate, hmm_lm, jaccard_join, line_dedup, near_vectors, packing, pair_index_bpe, periodic_runs, token_counts, toxicity, url_filters, warc_bundles
+from journeyloom.llm import conversation_repair, decontaminate, hmm_lm, jaccard_join, line_dedup, near_vectors, packing, pair_index_bpe, periodic_runs, token_counts, toxicity, url_filters, warc_bundles
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": warc_bundles.op1_warc_bundles,
@@ -21,6 +21,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_bpe_encoding": pair_index_bpe.op12_bpe_encoding,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 LLM_ORACLES: dict[str, str] = {
     "op1_warc_bundles": warc_bundles.oracle_sql(),
