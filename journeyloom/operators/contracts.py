@@ -1,13 +1,19 @@
-"""Data contracts: named checks on a frame, evaluated together in as few passes as possible."""
+"""Data contracts: named checks on a frame.
+
+All checks of a table are answered by one aggregate over it, and by one over each frame it is
+reconciled with, however many checks there are.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from journeyloom.operators.comparison import ALL_OBSERVED
+from journeyloom.operators.onepass import GroupCounts, attach_row, distinct, one_pass
+
 
 class ContractViolation(Exception):
     """Raised with the names of the contracts that failed."""
@@ -17,17 +23,23 @@ class ContractViolation(Exception):
 class Contract:
     """One check.
 
-    ``rows``  - condition of a bad row; violations are counted.
-    ``total`` - condition over aggregates of the whole frame that must hold.
-    ``group`` - condition over aggregates of a key group that marks the group as bad.
-    ``other`` - like ``total``, with the columns of further one-row frames in reach.
+    ``rows``      - condition of a bad row; violations are counted.
+    ``total``     - condition over aggregates of the whole frame that must hold.
+    ``group``     - condition over aggregates of a key group that marks the group as bad.
+    ``keys``      - the number of distinct keys must be ``expected``.
+    ``reconcile`` - an aggregate, or the number of distinct keys, must be that of another frame.
+
+    ``against`` are further one-row frames whose columns a condition may name.
     """
 
     name: str
     kind: str
-    condition: Column
+    condition: Column | None = None
     keys: tuple[str, ...] = ()
     against: tuple[DataFrame, ...] = field(default=(), compare=False)
+    source: DataFrame | None = field(default=None, compare=False)
+    expected: Column | float | None = field(default=None, compare=False)
+    tolerance: float = 0
 
     @staticmethod
     def unique(name: str, *keys: str) -> Contract:
@@ -50,66 +62,67 @@ class Contract:
         return Contract(name, "total", F.abs(aggregate - F.lit(expected)) <= tolerance)
 
     @staticmethod
-    def per_group(name: str, keys: tuple[str, ...], bad: Column) -> Contract:
-        return Contract(name, "group", bad, keys)
+    def key_count(name: str, expected: int, *keys: str) -> Contract:
+        return Contract(name, "keys", keys=keys, expected=expected)
+
+    @staticmethod
+    def per_group(name: str, keys: tuple[str, ...], bad: Column, *against: DataFrame) -> Contract:
+        return Contract(name, "group", bad, keys, against)
 
     @staticmethod
     def reconcile(
         name: str, measure: Column, source: DataFrame, source_measure: Column, tolerance: float = 0
     ) -> Contract:
-        one_row = source.agg(source_measure.alias("_source"))
-        gap = F.abs(measure - F.max("_source"))
-        return Contract(name, "other", F.coalesce(gap <= tolerance, F.lit(False)), against=(one_row,))
+        return Contract(name, "reconcile", measure, source=source, expected=source_measure, tolerance=tolerance)
+
+    @staticmethod
+    def reconcile_keys(name: str, keys: tuple[str, ...], source: DataFrame, source_measure: Column) -> Contract:
+        return Contract(name, "reconcile", keys=keys, source=source, expected=source_measure)
 
 
 def _failed(holds: Column) -> Column:
     return F.when(holds, 0).otherwise(1)
 
 
-def _long(one_row: DataFrame, names: list[str]) -> DataFrame:
-    return one_row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("contract"), F.col(f"c{i}").cast("bigint").alias("violations"))
-                    for i, n in enumerate(names)
-                ]
-            )
-        )
-    )
-
-
 def check(df: DataFrame, contracts: list[Contract]) -> DataFrame:
     """Evaluate contracts: one row each with the number of violations.
 
-    Row and total checks share one aggregate, group checks on the same keys another one.
+    The frame is read once, and so is every frame it is reconciled with.
     """
-    reports: list[DataFrame] = []
-    simple = [c for c in contracts if c.kind in ("rows", "total")]
-    if simple:
-        one_row = df.agg(
-            *[
-                (F.count_if(c.condition) if c.kind == "rows" else _failed(c.condition)).alias(f"c{i}")
-                for i, c in enumerate(simple)
-            ]
-        )
-        reports.append(_long(one_row, [c.name for c in simple]))
-    by_keys: dict[tuple[str, ...], list[Contract]] = defaultdict(list)
-    for c in contracts:
-        if c.kind == "group":
-            by_keys[c.keys].append(c)
-    for keys, group in by_keys.items():
-        flags = df.groupBy(*keys).agg(*[c.condition.alias(f"bad{i}") for i, c in enumerate(group)])
-        one_row = flags.agg(*[F.count_if(f"bad{i}").alias(f"c{i}") for i in range(len(group))])
-        reports.append(_long(one_row, [c.name for c in group]))
-    for c in contracts:
-        if c.kind == "other":
-            wide = df
-            for extra in c.against:
-                wide = wide.crossJoin(F.broadcast(extra))
-            reports.append(_long(wide.agg(_failed(c.condition).alias("c0")), [c.name]))
-    report = reduce(DataFrame.unionByName, reports)
-    return report.withColumn("passed", F.col("violations") == 0)
+    reached: dict[int, DataFrame] = {id(f): f for c in contracts for f in c.against}
+    wide = reduce(attach_row, reached.values(), df)
+    totals: dict[str, Column] = {}
+    groups: list[GroupCounts] = []
+    sources: dict[int, tuple[DataFrame, dict[str, Column]]] = {}
+    for i, c in enumerate(contracts):
+        name = f"c{i}"
+        if c.kind == "rows":
+            totals[name] = F.count_if(c.condition)
+        elif c.kind == "total":
+            totals[name] = _failed(c.condition)
+        elif c.kind == "group":
+            groups.append(GroupCounts(c.keys, {name: c.condition}))
+        elif c.keys:
+            groups.append(distinct(name, *c.keys))
+        else:
+            totals[name] = c.condition
+        if c.kind == "reconcile":
+            sources.setdefault(id(c.source), (c.source, {}))[1][f"s{i}"] = c.expected
+    one_row = one_pass(wide, totals, groups)
+    for source, measures in sources.values():
+        one_row = attach_row(one_row, source.agg(*[m.alias(name) for name, m in measures.items()]))
+
+    def violations(i: int, c: Contract) -> Column:
+        if c.kind in ("keys", "reconcile"):
+            wanted = F.lit(c.expected) if c.kind == "keys" else F.col(f"s{i}")
+            return _failed(F.abs(F.col(f"c{i}") - wanted) <= c.tolerance)
+        return F.col(f"c{i}")
+
+    rows = [
+        F.struct(F.lit(c.name).alias("contract"), violations(i, c).cast("bigint").alias("violations"))
+        for i, c in enumerate(contracts)
+    ]
+    return one_row.select(F.inline(F.array(*rows))).withColumn("passed", F.col("violations") == 0)
 
 
 def enforce(df: DataFrame, contracts: list[Contract]) -> None:
@@ -128,6 +141,10 @@ def session_contracts(staged: DataFrame, transactions: DataFrame) -> list[Contra
     return [
         Contract.unique("session_key is unique", "session_key"),
         Contract.not_null("session_key is set", "session_key"),
+        Contract.no_row(
+            "sessions do not end before they start",
+            F.col("session_start_timestamp_utc") > F.col("session_end_timestamp_utc"),
+        ),
         Contract.reconcile(
             "all events are represented", F.sum("event_count"), staged, F.count("session_key")
         ),
@@ -140,14 +157,14 @@ def session_contracts(staged: DataFrame, transactions: DataFrame) -> list[Contra
         Contract.reconcile(
             "revenue is represented",
             F.sum("canonical_revenue_usd"),
-            transactions.where(F.col("session_key").isNotNull()),
-            F.coalesce(F.sum("transaction_revenue_usd"), F.lit(0.0)),
+            transactions,
+            F.coalesce(F.sum(F.when(F.col("session_key").isNotNull(), F.col("transaction_revenue_usd"))), F.lit(0.0)),
             1e-6,
         ),
     ]
 
 
-def transaction_contracts() -> list[Contract]:
+def transaction_contracts(staged: DataFrame) -> list[Contract]:
     reliable = F.col("transaction_key_method") == "RELIABLE_TRANSACTION_ID"
     return [
         Contract.unique("transaction_key is unique", "transaction_key"),
@@ -157,6 +174,12 @@ def transaction_contracts() -> list[Contract]:
             reliable
             & (F.col("transaction_id_cross_user_conflict") | F.col("transaction_id_revenue_conflict")),
         ),
+        Contract.reconcile(
+            "all purchase events are kept or counted as duplicates",
+            F.sum("measurement_event_rows"),
+            staged,
+            F.count_if("is_purchase_event"),
+        ),
     ]
 
 
@@ -188,11 +211,8 @@ def bridge_contracts(transactions: DataFrame, lookback_days: int) -> list[Contra
             ("transaction_key",),
             F.count_if("is_conversion_session") != 1,
         ),
-        Contract.reconcile(
-            "all transactions are represented",
-            F.count_if("is_last_touchpoint"),
-            transactions,
-            F.count(F.lit(1)),
+        Contract.reconcile_keys(
+            "all transactions are represented", ("transaction_key",), transactions, F.count(F.lit(1))
         ),
         Contract.reconcile(
             "revenue is represented",
@@ -204,10 +224,20 @@ def bridge_contracts(transactions: DataFrame, lookback_days: int) -> list[Contra
     ]
 
 
-def credit_contracts(models: int = 5) -> list[Contract]:
+def credit_contracts(bridge: DataFrame, models: int = 5) -> list[Contract]:
+    """``bridge`` is what the credits were built from.
+
+    Three models credit one touchpoint of a journey, two credit all of them.
+    """
     weight = F.sum("attribution_weight")
     return [
-        Contract.equals("all models are present", F.count_distinct("attribution_model"), models),
+        Contract.key_count("all models are present", models, "attribution_model"),
+        Contract.reconcile(
+            "credit rows follow from the bridge",
+            F.count(F.lit(1)),
+            bridge,
+            3 * F.count_if("is_last_touchpoint") + 2 * F.count(F.lit(1)),
+        ),
         Contract.no_row(
             "weights lie in (0, 1]",
             F.col("attribution_weight").isNull()
@@ -242,12 +272,30 @@ def credit_total_contracts(transactions: DataFrame) -> list[Contract]:
     revenue_off = F.abs(F.col("attributed_revenue_usd") - F.col("_revenue")) > 0.01
     bad = (F.col("represented_transactions") != F.col("_n")) | conversions_off | revenue_off
     return [
-        Contract("models allocate all conversions and revenue", "other", F.count_if(bad) == 0, against=(one,))
+        Contract("models allocate all conversions and revenue", "total", F.count_if(bad) == 0, against=(one,))
     ]
 
 
-def comparison_contracts(channels: int, models: int = 5, populations: int = 2) -> list[Contract]:
+def population_totals(bridge: DataFrame) -> DataFrame:
+    """Transactions and revenue of all journeys and of those with a complete window, one row."""
+    closing = F.col("is_last_touchpoint")
+    complete = closing & ~F.col("is_lookback_left_censored")
+    paid = lambda which: F.coalesce(F.sum(F.when(which, F.col("transaction_revenue_usd"))), F.lit(0.0))
+    return bridge.agg(
+        F.count_if(closing).alias("_all_transactions"),
+        paid(closing).alias("_all_revenue"),
+        F.count_if(complete).alias("_complete_transactions"),
+        paid(complete).alias("_complete_revenue"),
+    )
+
+
+def comparison_contracts(
+    channels: int, bridge: DataFrame, models: int = 5, populations: int = 2
+) -> list[Contract]:
+    """``bridge`` is the independent source of the population totals."""
     keys = ("analysis_population", "attribution_model")
+    whole = F.max("analysis_population") == ALL_OBSERVED
+    expected = lambda what: F.when(whole, F.max(f"_all_{what}")).otherwise(F.max(f"_complete_{what}"))
     off = lambda c, target, tol: F.abs(F.sum(c) - target) > tol
     own = lambda model, c, tol: (F.col("attribution_model") == model) & (F.abs(F.col(c)) > tol)
     return [
@@ -263,6 +311,13 @@ def comparison_contracts(channels: int, models: int = 5, populations: int = 2) -
         Contract.nonnegative(
             "credit is not negative", "attributed_conversion_credit", "attributed_revenue_usd"
         ),
+        Contract.per_group(
+            "totals are those of the population",
+            keys,
+            (F.abs(F.sum("attributed_conversion_credit") - expected("transactions")) > 1e-6)
+            | (F.abs(F.sum("attributed_revenue_usd") - expected("revenue")) > 0.01),
+            population_totals(bridge),
+        ),
         Contract.per_group(
             "shares sum to one",
             keys,
@@ -300,8 +355,8 @@ def shift_contracts(channels: int, models: int = 4) -> list[Contract]:
     moved = [f"{side}_revenue_delta_vs_last_touch_usd" for side in ("full", "complete")]
     return [
         Contract.equals("analysis is complete", F.count(F.lit(1)), channels * models),
-        Contract.equals("comparison models are present", F.count_distinct("attribution_model"), models),
-        Contract.equals("channels are present", F.count_distinct("touchpoint_channel_group"), channels),
+        Contract.key_count("comparison models are present", models, "attribution_model"),
+        Contract.key_count("channels are present", channels, "touchpoint_channel_group"),
         Contract.not_null(
             "analysis fields are set",
             "attribution_model",
@@ -429,3 +484,46 @@ def user_contracts(transactions: DataFrame) -> list[Contract]:
             F.count("user_pseudo_id"),
         ),
     ]
+
+
+def item_contracts(transactions: DataFrame) -> list[Contract]:
+    """For one row per transaction and item position."""
+    return [
+        Contract.unique("transaction_item_key is unique", "transaction_item_key"),
+        Contract.not_null("items are linked", "transaction_item_key", "transaction_key", "item_record_fingerprint"),
+        Contract.nonnegative("quantities are not negative", "item_quantity"),
+        Contract.reconcile(
+            "all items of transactions are present", F.count(F.lit(1)), transactions, F.sum("item_record_count")
+        ),
+        Contract.reconcile_keys(
+            "transactions with items are present",
+            ("transaction_key",),
+            transactions,
+            F.count_if(F.col("item_record_count") > 0),
+        ),
+    ]
+
+
+def path_contracts(transactions: DataFrame) -> list[Contract]:
+    """For one row per conversion journey."""
+    return [
+        Contract.unique("journeys are unique", "transaction_key"),
+        Contract.not_null("paths are set", "channel_path", "first_touch_channel", "last_touch_channel"),
+        Contract.reconcile("all transactions have a path", F.count(F.lit(1)), transactions, F.count(F.lit(1))),
+        Contract.reconcile(
+            "revenue is represented",
+            F.sum("transaction_revenue_usd"),
+            transactions,
+            F.sum("transaction_revenue_usd"),
+            0.01,
+        ),
+    ]
+
+
+def dimension_contracts(sessions: DataFrame, *key: str) -> list[Contract]:
+    """For a dimension that says how many sessions a member has."""
+    return [
+        Contract.unique("members are unique", *key),
+        Contract.not_null("members are named", *key),
+        Contract.reconcile("all sessions have a member", F.sum("session_count"), sessions, F.count(F.lit(1))),
+    ]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from journeyloom.config import COMPOSITE_BLEND, DESIGNS, DesignSpec, SkewConfig
 from journeyloom.functions.numeric import min_max_ratio, ratio, rows_where
-from journeyloom.operators.profiling import attach_row
+from journeyloom.operators.onepass import attach_row
 from journeyloom.operators.skew import lookup_join, quantiles, value_ladder
 from journeyloom.sources.tables import const_relation
 from journeyloom.sources.workspace import settle

@@ -16,6 +16,7 @@ from journeyloom.functions.calendar import day_from_suffix, whole_seconds
 from journeyloom.functions.numeric import agrees, differs, percent, rows_where, sum_where
 from journeyloom.functions.params import READERS, first_value
 from journeyloom.functions.text import blank_to_null, double_text, pipe_join, sha256_hex
+from journeyloom.operators.onepass import attach_row
 from journeyloom.operators.skew import lookup_join
 from journeyloom.operators.staging import items_json
 from journeyloom.sources.workspace import settle
@@ -27,11 +28,6 @@ def _keep(df: DataFrame) -> DataFrame:
     return settle(df, "purchases")
 
 
-def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a global aggregate, which is one row by construction."""
-    return df.crossJoin(F.broadcast(one_row))
-
-
 def _listed_order(c: str, labels: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(c))
 

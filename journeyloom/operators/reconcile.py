@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from journeyloom.functions.numeric import rows_where, sum_where
 from journeyloom.operators.attribution import MODELS, journeys
 from journeyloom.operators.comparison import POPULATIONS
-from journeyloom.operators.profiling import attach_row
+from journeyloom.operators.onepass import attach_row
 from journeyloom.functions.calendar import day_from_suffix
 from journeyloom.operators.transactions import CONFLICTING, MISSING, NOT_SET, RELIABLE
 from journeyloom.sources.tables import const_relation

@@ -12,6 +12,7 @@ from journeyloom.operators import (
     attribution,
     comparison,
     contracts,
+    entities,
     geo_design,
     panel,
     sessions as session_ops,
@@ -140,70 +141,90 @@ class GeoChain:
         return geo_design.extended_pairs(self.edges, self.matched)
 
 
+# Published table -> columns its files are laid out by, and the key that cuts ranges of equal values.
+LAYOUT: dict[str, tuple[list[str], str | None]] = {
+    "fct_transactions": (["transaction_date", "transaction_key_method", "user_pseudo_id"], "transaction_key"),
+    "fct_transaction_items": (["transaction_date", "item_category", "item_id"], "transaction_item_key"),
+    "fct_sessions": (["session_date", "session_channel_group", "user_pseudo_id"], "session_key"),
+    "dim_pseudo_users": (["user_pseudo_id"], None),
+    "dim_date": (["date_day"], None),
+    "dim_channel": (["channel_order"], None),
+    "dim_geo": (["geo_country", "geo_region"], None),
+    "bridge_transaction_touchpoints": (
+        ["transaction_date", "touchpoint_channel_group", "user_pseudo_id"],
+        "touchpoint_session_key",
+    ),
+    "mart_attribution_paths": (["transaction_date", "transaction_key"], None),
+    "fct_attribution_credits": (
+        ["transaction_date", "attribution_model", "touchpoint_channel_group", "user_pseudo_id"],
+        "touchpoint_session_key",
+    ),
+    "mart_attribution_channel_comparison": (
+        ["analysis_population", "attribution_model", "touchpoint_channel_group"],
+        None,
+    ),
+    "mart_attribution_channel_shifts": (["attribution_model", "touchpoint_channel_group"], None),
+    "fct_geo_weekly_outcomes": (["geo_region", "period_name"], "geo_key"),
+}
+
+
+def _put(out: dict[str, DataFrame], root: str, name: str, df: DataFrame, checks: list[contracts.Contract]) -> DataFrame:
+    cluster_by, spread = LAYOUT[name]
+    out[name] = publish(df, mart_path(root, name), checks, cluster_by, spread)
+    return out[name]
+
+
 def publish_attribution(chain: AttributionChain, root: str, channels: int) -> dict[str, DataFrame]:
-    """Publish the attribution tables in order, each behind its contracts.
+    """Publish facts, dimensions and marts in order, each behind its contracts.
 
     A later table is built from the published earlier ones, never from an unchecked build.
     """
     out: dict[str, DataFrame] = {}
-
-    def put(name: str, df: DataFrame, checks, after, cluster_by, spread=None) -> DataFrame:
-        out[name] = publish(df, mart_path(root, name), checks, after, cluster_by, spread)
-        return out[name]
+    put = lambda name, df, checks: _put(out, root, name, df, checks)
+    days = chain.config.lookback_days
 
     tx = put(
         "fct_transactions",
         transaction_ops.fct_transactions(chain.staged, chain.skew),
-        contracts.transaction_contracts(),
-        [contracts.Contract.unique("transaction_key is unique", "transaction_key")],
-        ["transaction_date", "transaction_key_method", "user_pseudo_id"],
-        "transaction_key",
+        contracts.transaction_contracts(chain.staged),
     )
+    put("fct_transaction_items", entities.fct_transaction_items(tx, chain.items), contracts.item_contracts(tx))
     sessions = put(
-        "fct_sessions",
-        session_ops.fct_sessions(chain.staged, tx),
-        contracts.session_contracts(chain.staged, tx),
-        [contracts.Contract.unique("session_key is unique", "session_key")],
-        ["session_date", "session_channel_group", "user_pseudo_id"],
-        "session_key",
+        "fct_sessions", session_ops.fct_sessions(chain.staged, tx), contracts.session_contracts(chain.staged, tx)
+    )
+    put("dim_pseudo_users", entities.dim_pseudo_users(sessions, tx), contracts.user_contracts(tx))
+    put(
+        "dim_date",
+        entities.dim_date(sessions, "session_date"),
+        [contracts.Contract.unique("days are unique", "date_day"), contracts.Contract.not_null("days are set", "date_day")],
     )
+    put("dim_channel", entities.dim_channel(sessions), contracts.dimension_contracts(sessions, "channel_group"))
+    put("dim_geo", entities.dim_geo(sessions), contracts.dimension_contracts(sessions, "geo_country", "geo_region"))
     bridge = put(
         "bridge_transaction_touchpoints",
         attribution.bridge_touchpoints(tx, sessions, chain.config, chain.skew),
-        contracts.bridge_contracts(tx, chain.config.lookback_days),
-        [contracts.Contract.unique("pairs are unique", "transaction_key", "touchpoint_session_key")],
-        ["transaction_date", "touchpoint_channel_group", "user_pseudo_id"],
-        "touchpoint_session_key",
+        contracts.bridge_contracts(tx, days),
     )
-    credits = put(
-        "fct_attribution_credits",
-        attribution.attribution_credits(bridge, chain.config),
-        contracts.credit_contracts(),
-        contracts.credit_contracts(),
-        ["transaction_date", "attribution_model", "touchpoint_channel_group", "user_pseudo_id"],
-        "touchpoint_session_key",
+    put("mart_attribution_paths", entities.mart_attribution_paths(bridge), contracts.path_contracts(tx))
+    credits = attribution.attribution_credits(bridge, chain.config)
+    put("fct_attribution_credits", credits, contracts.credit_contracts(bridge))
+    contracts.enforce(
+        attribution.credit_summary(out["fct_attribution_credits"]), contracts.credit_total_contracts(tx)
     )
-    contracts.enforce(attribution.credit_summary(credits), contracts.credit_total_contracts(tx))
-    put(
+    mart = put(
         "mart_attribution_channel_comparison",
-        comparison.channel_comparison(credits),
-        contracts.comparison_contracts(channels),
-        [],
-        ["analysis_population", "attribution_model", "touchpoint_channel_group"],
+        comparison.channel_comparison(out["fct_attribution_credits"]),
+        contracts.comparison_contracts(channels, bridge),
     )
+    put("mart_attribution_channel_shifts", comparison.shift_analysis(mart), contracts.shift_contracts(channels))
     return out
 
 
 def publish_geo(chain: GeoChain, root: str) -> DataFrame:
     """Publish the region-week outcome table behind its contracts."""
     window = chain.config.window
-    return publish(
-        chain.outcomes,
-        mart_path(root, "fct_geo_weekly_outcomes"),
-        contracts.geo_contracts(
-            panel.target_sessions(chain.sessions, chain.config), window.week_count, window.pre_week_count
-        ),
-        [contracts.Contract.unique("region-weeks are unique", "geo_region", "week_start_date")],
-        ["geo_region", "period_name"],
-        "geo_key",
+    checks = contracts.geo_contracts(
+        panel.target_sessions(chain.sessions, chain.config), window.week_count, window.pre_week_count
     )
+    region_weeks = contracts.Contract.unique("region-weeks are unique", "geo_region", "week_start_date")
+    return _put({}, root, "fct_geo_weekly_outcomes", chain.outcomes, [*checks, region_weeks])

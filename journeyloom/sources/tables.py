@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from journeyloom.functions.calendar import weekly_dates
+from journeyloom.sources.publish import read_published
 
 # Leaf paths the staging views read.
 REQUIRED_PATHS = [
@@ -66,7 +67,8 @@ def mart_path(root: str, name: str) -> str:
 
 
 def read_mart(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(mart_path(root, name))
+    """The current version of a published table."""
+    return read_published(spark, mart_path(root, name))
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:

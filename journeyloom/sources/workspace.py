@@ -93,3 +93,36 @@ def release(spark: SparkSession) -> None:
 def _located(spark: SparkSession, name: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_small_file(spark: SparkSession, name: str) -> str | None:
+    """Text of a small file, None where it is missing."""
+    path, system = _located(spark, name)
+    if not system.exists(path):
+        return None
+    stream = system.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_small_file(spark: SparkSession, name: str, text: str) -> None:
+    """Write a file beside its place and rename it over the old one, which readers see until then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path, system = _located(spark, name)
+    path = system.makeQualified(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.{uuid.uuid4().hex}")
+    stream = system.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), conf).rename(beside, path, options)
+
+
+def list_folder(spark: SparkSession, name: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    path, system = _located(spark, name)
+    return [x.getPath().getName() for x in system.listStatus(path)] if system.exists(path) else []

@@ -3,12 +3,21 @@ from pyspark.sql import functions as F
 
 from journeyloom.config import AttributionConfig
 from journeyloom.operators import reconcile
-from journeyloom.operators.contracts import Contract, ContractViolation, check
+from journeyloom.operators.contracts import (
+    Contract,
+    ContractViolation,
+    bridge_contracts,
+    check,
+    comparison_contracts,
+    credit_contracts,
+    session_contracts,
+    transaction_contracts,
+)
 from journeyloom.operators.staging import stage_events, stage_items
 from journeyloom.plans.warehouse import AttributionChain, publish_attribution
-from journeyloom.sources.publish import publish
+from journeyloom.sources.publish import NotPublished, current_version, layout_report, publish, read_published
 from journeyloom.sources.tables import read_events, read_mart
-from journeyloom.sources.workspace import application_folder, settle
+from journeyloom.sources.workspace import application_folder, list_folder, settle
 from tests.fixtures import event, events, session, text
 
 
@@ -55,13 +64,95 @@ def test_contracts_count_violations(spark):
     }
 
 
+def test_a_set_of_contracts_reads_each_frame_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "id int, k string, v double").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([("a", 5.0)], "k string, v double").write.parquet(str(tmp_path / "s"))
+    df, source = (spark.read.parquet(str(tmp_path / x)) for x in "ts")
+    report = check(
+        df,
+        [
+            Contract.unique("unique", "id"),
+            Contract.unique("pair", "id", "k"),
+            Contract.not_null("set", "v"),
+            Contract.equals("sum", F.sum("v"), 5.0),
+            Contract.key_count("keys", 2, "k"),
+            Contract.reconcile("revenue", F.sum("v"), source, F.sum("v")),
+            Contract.reconcile("rows", F.count(F.lit(1)), source, F.count(F.lit(1))),
+            Contract.reconcile_keys("all keys", ("k",), source, F.count_distinct("k")),
+        ],
+    )
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+    assert {r.contract for r in report.collect() if not r.passed} == {"rows", "all keys"}
+
+
+def test_contracts_on_an_empty_frame(spark):
+    df = spark.createDataFrame([], "k string, v double")
+    checks = [
+        Contract.unique("unique", "k"),
+        Contract.equals("no rows", F.count(F.lit(1)), 0),
+        Contract.equals("some rows", F.count(F.lit(1)), 3),
+        Contract.key_count("keys", 0, "k"),
+        Contract.reconcile("rows", F.count(F.lit(1)), df, F.count(F.lit(1))),
+    ]
+    assert {r.contract for r in check(df, checks).collect() if not r.passed} == {"some rows"}
+    assert {r.contract for r in check(df, checks[1:3]).collect() if not r.passed} == {"some rows"}
+
+
 def test_a_failing_contract_leaves_the_old_table(spark, tmp_path):
     path = str(tmp_path / "t")
     good = spark.range(5).withColumn("day", F.col("id") % 2)
-    publish(good, path, [Contract.unique("unique", "id")], [Contract.not_null("set", "id")], ["day"], "id")
+    publish(good, path, [Contract.unique("unique", "id"), Contract.not_null("set", "id")], ["day"], "id")
+    first = current_version(spark, path)
     with pytest.raises(ContractViolation, match="unique"):
         publish(good.union(good), path, [Contract.unique("unique", "id")])
-    assert spark.read.parquet(path).count() == 5
+    assert current_version(spark, path) == first and read_published(spark, path).count() == 5
+    # The failed build is gone as well.
+    assert [x for x in list_folder(spark, path) if x.startswith("v-")] == [first.rsplit("/", 1)[1]]
+
+
+def test_a_build_that_is_killed_before_the_switch_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    publish(spark.range(5), path)
+    first = current_version(spark, path)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr("journeyloom.sources.publish.switch", killed)
+        with pytest.raises(KeyboardInterrupt):
+            publish(spark.range(7), path)
+        # Half-written files without a pointer are no table at all.
+        with pytest.raises(KeyboardInterrupt):
+            publish(spark.range(7), str(tmp_path / "new"))
+    assert current_version(spark, path) == first and read_published(spark, path).count() == 5
+    with pytest.raises(NotPublished):
+        read_published(spark, str(tmp_path / "new"))
+    held = read_published(spark, path)
+    publish(spark.range(9), path)
+    # Who reads the version before goes on; what the killed build left goes once it is older than that.
+    assert held.count() == 5 and read_published(spark, path).count() == 9
+    publish(read_published(spark, path).where("id > 1"), path)
+    assert read_published(spark, path).count() == 7
+    assert len([x for x in list_folder(spark, path) if x.startswith("v-")]) == 2
+
+
+def test_files_are_laid_out_in_ranges(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("id", "pmod(xxhash64(id), 10) AS day", "pmod(hash(id), 7) AS k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        publish(rows, str(tmp_path / "ranged"), [], ["day", "k"], "id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    publish(rows.repartition(4), str(tmp_path / "mixed"))
+    ranged = layout_report(spark, str(tmp_path / "ranged"), ["day", "k"]).first()
+    assert (ranged.row_count, ranged.overlapping_files, ranged.overlapping_blocks) == (40_000, 0, 0) and ranged.file_count == 4
+    mixed = layout_report(spark, str(tmp_path / "mixed"), ["day", "k"]).first()
+    assert mixed.overlapping_files == 3 and mixed.row_count == 40_000
+    one = rows.coalesce(1)
+    publish(one, str(tmp_path / "unsorted"))
+    assert layout_report(spark, str(tmp_path / "unsorted"), ["day"]).first().overlapping_blocks == 3
 
 
 def test_tables_are_published_in_order(spark, chain, tmp_path):
@@ -69,13 +160,42 @@ def test_tables_are_published_in_order(spark, chain, tmp_path):
     counts = {name: read_mart(spark, str(tmp_path), name).count() for name in out}
     assert counts == {
         "fct_transactions": 3,
+        "fct_transaction_items": 0,
         "fct_sessions": 3,
+        "dim_pseudo_users": 2,
+        "dim_date": 4,
+        "dim_channel": 10,
+        "dim_geo": 1,
         "bridge_transaction_touchpoints": 4,
+        "mart_attribution_paths": 3,
         "fct_attribution_credits": 3 * 3 + 2 * 4,
         "mart_attribution_channel_comparison": 2 * 5 * 3,
+        "mart_attribution_channel_shifts": 4 * 3,
     }
 
 
+def test_session_contracts_read_their_inputs_once(chain):
+    report = check(chain.sessions, session_contracts(settle(chain.staged, "staged"), chain.transactions))
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+
+
+def test_seeded_defects_fail_their_contracts(chain):
+    tx, bridge, credits = chain.transactions, chain.settled_bridge, chain.settled_credits
+    failing = lambda df, checks: {r.contract for r in check(df, checks).collect() if not r.passed}
+    assert failing(tx, transaction_contracts(chain.staged)) == set()
+    assert failing(tx.limit(1), transaction_contracts(chain.staged)) == {"all purchase events are kept or counted as duplicates"}
+    # A flag on another row of the journey hides nothing: transactions are counted by their keys.
+    lost = bridge.where(F.col("transaction_key") != tx.agg(F.min("transaction_key")).first()[0])
+    assert "all transactions are represented" in failing(lost, bridge_contracts(tx, 30))
+    assert failing(credits, credit_contracts(bridge)) == set()
+    assert failing(credits.where("not (attribution_model = 'linear' and touchpoint_position_asc = 1)"), credit_contracts(bridge)) == {
+        "credit rows follow from the bridge", "weights of a transaction sum to one",
+    }
+    doubled = chain.comparison.withColumn("attributed_revenue_usd", 2 * F.col("attributed_revenue_usd"))
+    assert "totals are those of the population" in failing(doubled, comparison_contracts(3, bridge))
+    assert failing(chain.comparison, comparison_contracts(3, bridge)) == set()
+
+
 def test_reconciliation_passes_and_fails_on_a_seeded_defect(chain):
     staged, tx, se, bridge = chain.staged, chain.transactions, chain.sessions, chain.settled_bridge
     assert reconcile.reconcile_events(chain.events, staged).first().reconciliation_status == "PASS"

@@ -1665,17 +1665,43 @@ GROUP BY b.transaction_key
 """,
     dates="transaction_date",
 )
+_published = {
+    "fct_transactions": "tx",
+    "fct_transaction_items": "tx t JOIN stg_items i ON i.source_event_fingerprint = t.canonical_source_event_fingerprint",
+    "fct_sessions": "ses",
+    "dim_pseudo_users": "(SELECT DISTINCT user_pseudo_id FROM ses)",
+    "dim_date": "(SELECT unnest(generate_series(min(session_date)::TIMESTAMP, max(session_date)::TIMESTAMP, INTERVAL 1 DAY)) FROM ses)",
+    "dim_channel": "generate_series(1, 10)",
+    "dim_geo": "(SELECT DISTINCT geo_country, geo_region FROM ses)",
+    "bridge_transaction_touchpoints": "bridge",
+    "mart_attribution_paths": "tx",
+    "fct_attribution_credits": "credit",
+    "mart_attribution_channel_comparison": "mart",
+    "mart_attribution_channel_shifts": "shift",
+    "fct_geo_weekly_outcomes": "outcome",
+}
+
+
+step(
+    "shift",
+    """
+SELECT f.attribution_model, f.touchpoint_channel_group, f.revenue_delta_vs_last_touch_usd AS x,
+  c.revenue_delta_vs_last_touch_usd AS y
+FROM mart f JOIN mart c USING (attribution_model, touchpoint_channel_group)
+WHERE f.attribution_model <> 'last_touch' AND f.analysis_population = 'all_observed'
+  AND c.analysis_population = 'complete_window'
+""",
+)
 ORACLES["published_tables"] = query(
     " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {relation}"
-        for name, relation in {
-            "fct_transactions": "tx",
-            "fct_sessions": "ses",
-            "bridge_transaction_touchpoints": "bridge",
-            "fct_attribution_credits": "credit",
-            "mart_attribution_channel_comparison": "mart",
-            "fct_geo_weekly_outcomes": "outcome",
-        }.items()
+        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {relation}" for name, relation in _published.items()
+    )
+)
+ORACLES["published_layout"] = query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST(0 AS BIGINT) AS overlapping_files, "
+        f"CAST(0 AS BIGINT) AS overlapping_blocks FROM {relation}"
+        for name, relation in _published.items()
     )
 )
 
@@ -1705,15 +1731,9 @@ def _report(rows: list[tuple[str, str, str]]) -> str:
     return query(f"SELECT *, violations = 0 AS passed FROM (\n{union}\n)")
 
 
-step(
-    "shift",
-    """
-SELECT f.attribution_model, f.touchpoint_channel_group, f.revenue_delta_vs_last_touch_usd AS x,
-  c.revenue_delta_vs_last_touch_usd AS y
-FROM mart f JOIN mart c USING (attribution_model, touchpoint_channel_group)
-WHERE f.attribution_model <> 'last_touch' AND f.analysis_population = 'all_observed'
-  AND c.analysis_population = 'complete_window'
-""",
+_items_of_tx = (
+    "(SELECT t.transaction_key, i.item_offset, i.item_record_fingerprint, i.item_quantity "
+    "FROM tx t JOIN stg_items i ON i.source_event_fingerprint = t.canonical_source_event_fingerprint)"
 )
 _cells_of = "analysis_population, attribution_model"
 ORACLES["attribution_contracts"] = _report(
@@ -1729,6 +1749,16 @@ ORACLES["attribution_contracts"] = _report(
                 "OR transaction_id_distinct_revenue_values > 1)",
             ),
         ),
+        (
+            "fct_transactions",
+            "all purchase events are kept or counted as duplicates",
+            _holds("(SELECT sum(measurement_event_rows) FROM tx) = (SELECT count(*) FROM stg WHERE is_purchase_event)"),
+        ),
+        (
+            "fct_sessions",
+            "sessions do not end before they start",
+            _bad_rows("ses", "session_start_timestamp_utc > session_end_timestamp_utc"),
+        ),
         ("fct_sessions", "session_key is unique", _bad_groups("ses", "session_key", "count(*) > 1")),
         ("fct_sessions", "session_key is set", _bad_rows("ses", "session_key IS NULL")),
         (
@@ -1792,6 +1822,11 @@ ORACLES["attribution_contracts"] = _report(
             "all models are present",
             _holds("(SELECT count(DISTINCT attribution_model) FROM credit) = 5"),
         ),
+        (
+            "fct_attribution_credits",
+            "credit rows follow from the bridge",
+            _holds("(SELECT count(*) FROM credit) = 3 * (SELECT count(*) FROM tx) + 2 * (SELECT count(*) FROM bridge)"),
+        ),
         (
             "fct_attribution_credits",
             "weights lie in (0, 1]",
@@ -1843,6 +1878,16 @@ ORACLES["attribution_contracts"] = _report(
             "credit is not negative",
             _bad_rows("mart", "least(attributed_conversion_credit, attributed_revenue_usd) < 0"),
         ),
+        (
+            "mart_attribution_channel_comparison",
+            "totals are those of the population",
+            "SELECT count(*) FROM (SELECT analysis_population AS p, sum(attributed_conversion_credit) AS c, "
+            "sum(attributed_revenue_usd) AS v FROM mart GROUP BY analysis_population, attribution_model) JOIN "
+            "(SELECT 'all_observed' AS p, count(*) AS n, sum(transaction_revenue_usd) AS r FROM bridge WHERE is_last_touchpoint "
+            "UNION ALL SELECT 'complete_window', count(*), sum(transaction_revenue_usd) FROM bridge "
+            "WHERE is_last_touchpoint AND NOT is_lookback_left_censored) USING (p) "
+            "WHERE abs(c - n) > 1e-6 OR abs(v - r) > 0.01",
+        ),
         (
             "mart_attribution_channel_comparison",
             "shares sum to one",
@@ -1915,6 +1960,55 @@ ORACLES["attribution_contracts"] = _report(
             "transactions reconcile",
             _bad_rows("tx", "user_pseudo_id NOT IN (SELECT user_pseudo_id FROM ses)"),
         ),
+        (
+            "fct_transaction_items",
+            "transaction_item_key is unique",
+            _bad_groups(_items_of_tx, "transaction_key, item_offset", "count(*) > 1"),
+        ),
+        ("fct_transaction_items", "items are linked", _bad_rows(_items_of_tx, "transaction_key IS NULL OR item_record_fingerprint IS NULL")),
+        ("fct_transaction_items", "quantities are not negative", _bad_rows(_items_of_tx, "item_quantity < 0")),
+        (
+            "fct_transaction_items",
+            "all items of transactions are present",
+            _holds(f"(SELECT count(*) FROM {_items_of_tx}) = (SELECT sum(item_record_count) FROM tx)"),
+        ),
+        (
+            "fct_transaction_items",
+            "transactions with items are present",
+            _holds(f"(SELECT count(DISTINCT transaction_key) FROM {_items_of_tx}) = (SELECT count(*) FROM tx WHERE item_record_count > 0)"),
+        ),
+        ("mart_attribution_paths", "journeys are unique", _bad_groups("tx", "transaction_key", "count(*) > 1")),
+        (
+            "mart_attribution_paths",
+            "paths are set",
+            _bad_rows("tx", "transaction_key NOT IN (SELECT transaction_key FROM bridge WHERE touchpoint_channel_group IS NOT NULL)"),
+        ),
+        (
+            "mart_attribution_paths",
+            "all transactions have a path",
+            _holds("(SELECT count(DISTINCT transaction_key) FROM bridge) = (SELECT count(*) FROM tx)"),
+        ),
+        (
+            "mart_attribution_paths",
+            "revenue is represented",
+            _holds(
+                "abs((SELECT sum(transaction_revenue_usd) FROM bridge WHERE is_first_touchpoint) - "
+                "(SELECT sum(transaction_revenue_usd) FROM tx)) <= 0.01"
+            ),
+        ),
+        *[
+            row
+            for name, key in (("dim_channel", "session_channel_group"), ("dim_geo", "geo_country, geo_region"))
+            for row in (
+                (name, "members are unique", _bad_groups(f"(SELECT DISTINCT {key} FROM ses)", key, "count(*) > 1")),
+                (name, "members are named", _bad_rows("ses", _any_null(key.replace(",", "")))),
+                (
+                    name,
+                    "all sessions have a member",
+                    _holds(f"(SELECT sum(n) FROM (SELECT count(*) AS n FROM ses GROUP BY {key})) = (SELECT count(*) FROM ses)"),
+                ),
+            )
+        ],
     ]
 )
 _corrs = "session_correlation revenue_correlation"

@@ -30,8 +30,9 @@ from journeyloom.operators import (
     staging,
     transactions,
 )
-from journeyloom.plans.warehouse import AttributionChain, GeoChain, publish_attribution, publish_geo
+from journeyloom.plans.warehouse import LAYOUT, AttributionChain, GeoChain, publish_attribution, publish_geo
 from journeyloom.sources import tables
+from journeyloom.sources.publish import layout_report
 from journeyloom.sources.workspace import results_folder, settle
 from workloads.adapter import geo_sessions, nested_events
 
@@ -118,19 +119,38 @@ def verify_schema(spark: SparkSession, sf: str) -> DataFrame:
     return plain(tables.verify_schema([early, late], wanted, count_rows=True))
 
 
-def published_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Publish the attribution tables and the geo table behind their contracts; count their rows."""
+def _published(spark: SparkSession, sf: str) -> tuple[str, list[str]]:
     root = f"{results_folder(spark)}/marts"
-    chain = _chain(spark, sf)
-    out = publish_attribution(chain, root, channels=7)
-    out["fct_geo_weekly_outcomes"] = publish_geo(_geo(spark, sf), root)
-    counted = None
-    for name in out:
-        one = tables.read_mart(spark, root, name).agg(
-            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count")
+    names = list(publish_attribution(_chain(spark, sf), root, channels=7))
+    publish_geo(_geo(spark, sf), root)
+    return root, [*names, "fct_geo_weekly_outcomes"]
+
+
+def published_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Publish all tables behind their contracts; count the rows that readers find."""
+    root, names = _published(spark, sf)
+    return plain(
+        _union(
+            [
+                tables.read_mart(spark, root, name).agg(
+                    F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count")
+                )
+                for name in names
+            ]
         )
-        counted = one if counted is None else counted.unionByName(one)
-    return plain(counted)
+    )
+
+
+def published_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of the clustering columns in the files of the published tables."""
+    root, names = _published(spark, sf)
+    reports = [
+        layout_report(spark, tables.mart_path(root, name), LAYOUT[name][0]).select(
+            F.lit(name).alias("table_name"), "row_count", "overlapping_files", "overlapping_blocks"
+        )
+        for name in names
+    ]
+    return plain(_union(reports))
 
 
 def csv_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,18 +239,22 @@ def attribution_contracts(chain: AttributionChain) -> DataFrame:
     mart = settle(comparison.channel_comparison(cr), "comparison")
     days = chain.config.lookback_days
     reports = [
-        _named("fct_transactions", tx, contracts.transaction_contracts()),
+        _named("fct_transactions", tx, contracts.transaction_contracts(chain.staged)),
         _named("fct_sessions", se, contracts.session_contracts(chain.staged, tx)),
         _named("bridge_transaction_touchpoints", br, contracts.bridge_contracts(tx, days)),
-        _named("fct_attribution_credits", cr, contracts.credit_contracts()),
+        _named("fct_attribution_credits", cr, contracts.credit_contracts(br)),
         _named(
             "attribution_credit_totals",
             attribution.credit_summary(cr),
             contracts.credit_total_contracts(tx),
         ),
-        _named("mart_attribution_channel_comparison", mart, contracts.comparison_contracts(7)),
+        _named("mart_attribution_channel_comparison", mart, contracts.comparison_contracts(7, br)),
         _named("channel_shift_analysis", comparison.shift_analysis(mart), contracts.shift_contracts(7)),
         _named("dim_pseudo_users", entities.dim_pseudo_users(se, tx), contracts.user_contracts(tx)),
+        _named("fct_transaction_items", entities.fct_transaction_items(tx, chain.items), contracts.item_contracts(tx)),
+        _named("mart_attribution_paths", entities.mart_attribution_paths(br), contracts.path_contracts(tx)),
+        _named("dim_channel", entities.dim_channel(se), contracts.dimension_contracts(se, "channel_group")),
+        _named("dim_geo", entities.dim_geo(se), contracts.dimension_contracts(se, "geo_country", "geo_region")),
     ]
     return _union(reports)
 
@@ -330,6 +354,7 @@ QUERIES: dict[str, Query] = {
     "verify_schema": verify_schema,
     "register_views": register_views,
     "published_tables": published_tables,
+    "published_layout": published_layout,
     "csv_export": csv_export,
     "week_spine": week_spine,
     # profiling
