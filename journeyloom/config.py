@@ -12,6 +12,8 @@ class AttributionConfig:
     # Width of the time cells of the lookback join.  None means "as wide as the lookback",
     # which copies every transaction into at most two cells.
     cell_days: int | None = None
+    # Rows of one side of a (user, time cell) that may meet in one place of the lookback join.
+    lane_rows: int = 20_000
     end_share: float = 0.4
     middle_share: float = 0.2
     pair_share: float = 0.5

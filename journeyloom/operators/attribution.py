@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from journeyloom.config import AttributionConfig, SkewConfig
+from journeyloom.config import AttributionConfig
 from journeyloom.functions.calendar import DAY_MICROS, HOUR_MICROS, whole_seconds
 from journeyloom.functions.numeric import ratio, rows_where
 from journeyloom.operators.sessions import (
@@ -20,7 +20,8 @@ from journeyloom.operators.sessions import (
     OTHER_CHANNEL,
     UNSET,
 )
-from journeyloom.operators.skew import hot_keys, running_offsets
+from journeyloom.operators.skew import running_offsets
+from journeyloom.sources.workspace import settle
 
 # Bridge column -> column of the transaction fact.
 FROM_TRANSACTION = {
@@ -96,53 +97,90 @@ def data_bounds(sessions: DataFrame) -> DataFrame:
     )
 
 
-def _cells(transactions: DataFrame, sessions: DataFrame, config: AttributionConfig, skew: SkewConfig):
-    """Give both sides the equi-join columns user, time cell and lane.
+def _time_cell(micros: Column, config: AttributionConfig) -> Column:
+    return F.floor(micros / (config.cell_width_days * DAY_MICROS))
 
-    A session lies in the one cell of its start, a transaction in every cell its lookback window
-    touches.  Cells of (user, time) with very many sessions are cut further into lanes: a session
-    takes one lane by its key, a transaction of such a cell takes all of them.  Each pair still
-    meets exactly once.
+
+def _sides(transactions: DataFrame, sessions: DataFrame, config: AttributionConfig) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the user and time cell they meet in.
+
+    A session lies in the one cell of its start, a transaction in every cell its lookback window touches.
     """
-    width = config.cell_width_days * DAY_MICROS
     reach = config.lookback_days * DAY_MICROS
-    cell_of = lambda micros: F.floor(micros / width)
-
     right = sessions.select(
         F.col("user_pseudo_id").alias("_user"),
-        cell_of(F.unix_micros("session_start_timestamp_utc")).alias("_cell"),
+        _time_cell(F.unix_micros("session_start_timestamp_utc"), config).alias("_cell"),
         *[F.col(c).alias(name) for name, c in FROM_SESSION.items()],
     ).where(F.col("_user").isNotNull())
     at = F.unix_micros("transaction_timestamp_utc")
     left = transactions.select(
         *[F.col(c).alias(name) for name, c in FROM_TRANSACTION.items()]
     ).where(F.col("user_pseudo_id").isNotNull()).withColumn(
-        "_at_cell", F.explode(F.sequence(cell_of(at - reach), cell_of(at)))
+        "_at_cell", F.explode(F.sequence(_time_cell(at - reach, config), _time_cell(at, config)))
     )
+    return left, right
 
-    crowded = (
-        hot_keys(
-            right.groupBy("_user", "_cell").agg(F.count(F.lit(1)).alias("_n")), ["_user", "_cell"], "_n", skew
-        ).select(
-            F.col("_user").alias("_hu"),
-            F.col("_cell").alias("_hc"),
-            F.ceil(F.col("_n") / skew.min_hot_rows).cast("int").alias("_lanes"),
-        )
+
+def crowded_cells(left: DataFrame, right: DataFrame, config: AttributionConfig) -> DataFrame:
+    """All (user, cell) with more rows of a side than ``lane_rows``, and into how many parts it is cut.
+
+    ``_lanes`` cuts the sessions, ``_slots`` the transactions; both are twice what the limit asks for, as
+    rows find their part by a hash.  The counts are combined before the exchange, and the result has at
+    most one row per ``lane_rows`` rows of the input.  It is written, so that the joins to it are planned by
+    its real size.
+    """
+    one, none = F.lit(1), F.lit(0)
+    counts = right.select("_user", "_cell", one.alias("_s"), none.alias("_t")).unionByName(
+        left.select(F.col("user_pseudo_id").alias("_user"), F.col("_at_cell").alias("_cell"), none.alias("_s"), one.alias("_t"))
+    )
+    parts = lambda n: F.when(n > config.lane_rows, F.ceil(2 * n / config.lane_rows)).otherwise(1).cast("int")
+    cells = counts.groupBy("_user", "_cell").agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"))
+    return settle(
+        cells.where((F.col("_s") > config.lane_rows) | (F.col("_t") > config.lane_rows)).select(
+            "_user", "_cell", parts(F.col("_s")).alias("_lanes"), parts(F.col("_t")).alias("_slots")
+        ),
+        "crowded_cells",
     )
-    lanes = F.coalesce("_lanes", F.lit(1))
+
+
+def _cut(rows: DataFrame, user: str, cell: str, key: str, crowded: DataFrame) -> DataFrame:
+    """``rows`` with the parts of their cell.  The join is salted, so a crowded cell does not crowd it."""
+    salts = 32
+    spread = crowded.select(
+        F.col("_user").alias("_cu"), F.col("_cell").alias("_cc"), "_lanes", "_slots",
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+    )
+    met = (F.col(user) == F.col("_cu")) & (F.col(cell) == F.col("_cc")) & (F.col("_own") == F.col("_salt"))
+    salted = rows.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    return (
+        salted.join(spread, met, "left")
+        .withColumns({"_lanes": F.coalesce("_lanes", F.lit(1)), "_slots": F.coalesce("_slots", F.lit(1))})
+        .drop("_cu", "_cc", "_salt", "_own")
+    )
+
+
+def cut_into_lanes(left: DataFrame, right: DataFrame, config: AttributionConfig) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the parts of a crowded cell as further columns to meet on.
+
+    A session takes one lane by its key and stands in every slot; a transaction takes one slot and
+    stands in every lane.  Each pair still meets exactly once, and where a cell is crowded at most
+    ``lane_rows`` rows of either side meet in one place.
+    """
+    crowded = crowded_cells(left, right, config)
+    # Of its own for each side: seeds differ from the ones that deal out rows.
+    part = lambda key, n: F.pmod(F.xxhash64(key, F.lit(17)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     right = (
-        right.join(F.broadcast(crowded), (F.col("_user") == F.col("_hu")) & (F.col("_cell") == F.col("_hc")), "left")
-        .withColumn("_lane", F.pmod(F.xxhash64("touchpoint_session_key"), lanes).cast("int"))
-        .drop("_hu", "_hc", "_lanes")
+        _cut(right, "_user", "_cell", "touchpoint_session_key", crowded)
+        .withColumn("_lane", part("touchpoint_session_key", "_lanes"))
+        .withColumn("_slot", every("_slots"))
+        .drop("_lanes", "_slots")
     )
     left = (
-        left.join(
-            F.broadcast(crowded),
-            (F.col("user_pseudo_id") == F.col("_hu")) & (F.col("_at_cell") == F.col("_hc")),
-            "left",
-        )
-        .withColumn("_at_lane", F.explode(F.sequence(F.lit(0), lanes - 1)))
-        .drop("_hu", "_hc", "_lanes")
+        _cut(left, "user_pseudo_id", "_at_cell", "transaction_key", crowded)
+        .withColumn("_at_slot", part("transaction_key", "_slots"))
+        .withColumn("_at_lane", every("_lanes"))
+        .drop("_lanes", "_slots")
     )
     return left, right
 
@@ -151,10 +189,9 @@ def eligible_touchpoints(
     transactions: DataFrame,
     sessions: DataFrame,
     config: AttributionConfig = AttributionConfig(),
-    skew: SkewConfig = SkewConfig(),
 ) -> DataFrame:
     """All sessions of the buyer that start inside the lookback window, both ends included."""
-    left, right = _cells(transactions, sessions, config, skew)
+    left, right = cut_into_lanes(*_sides(transactions, sessions, config), config)
     start, at = F.col("touchpoint_start_timestamp_utc"), F.col("transaction_timestamp_utc")
     window_start = F.timestamp_micros(F.unix_micros(at) - config.lookback_days * DAY_MICROS)
     met = left.join(
@@ -162,8 +199,9 @@ def eligible_touchpoints(
         (F.col("user_pseudo_id") == F.col("_user"))
         & (F.col("_at_cell") == F.col("_cell"))
         & (F.col("_at_lane") == F.col("_lane"))
+        & (F.col("_at_slot") == F.col("_slot"))
         & start.between(window_start, at),
-    ).drop("_user", "_at_cell", "_cell", "_at_lane", "_lane")
+    ).drop("_user", "_at_cell", "_cell", "_at_lane", "_lane", "_at_slot", "_slot")
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     direct = (F.col("touchpoint_channel_group") == DIRECT_CHANNEL) | (
         (low("touchpoint_source") == DIRECT_SOURCE) & (low("touchpoint_medium") == DIRECT_MEDIUM)
@@ -194,7 +232,8 @@ def rank_touchpoints(touchpoints: DataFrame) -> DataFrame:
     A journey is ranked hour by hour: the hour totals of a journey (at most one row per hour of
     the lookback) give the offset of each hour, and the sort runs inside an hour only.  A journey
     of millions of touchpoints is thereby spread over its hours, and the positions from the back
-    follow from the totals without a second sort.
+    follow from the totals without a second sort.  The touchpoints are read twice, three columns
+    of them the first time, and should be a written frame.
     """
     non_direct = ~F.col("is_direct_touchpoint")
     timed = touchpoints.withColumn(
@@ -244,10 +283,16 @@ def bridge_touchpoints(
     transactions: DataFrame,
     sessions: DataFrame,
     config: AttributionConfig = AttributionConfig(),
-    skew: SkewConfig = SkewConfig(),
 ) -> DataFrame:
-    """The bridge: one row per transaction and touchpoint with its role in the journey."""
-    ranked = rank_touchpoints(eligible_touchpoints(transactions, sessions, config, skew))
+    """The bridge: one row per transaction and touchpoint with its role in the journey.
+
+    The touchpoints in reach are written once, so the lookback join runs once.
+    """
+    return with_roles(rank_touchpoints(settle(eligible_touchpoints(transactions, sessions, config), "touchpoints")))
+
+
+def with_roles(ranked: DataFrame) -> DataFrame:
+    """Ranked touchpoints with their role in the journey."""
     at_one = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
     last = at_one("touchpoint_position_desc")
     last_named = at_one("non_direct_touchpoint_position_desc")

@@ -54,7 +54,7 @@ class AttributionChain:
 
     @cached_property
     def bridge(self) -> DataFrame:
-        return attribution.bridge_touchpoints(self.transactions, self.sessions, self.config, self.skew)
+        return attribution.bridge_touchpoints(self.transactions, self.sessions, self.config)
 
     @cached_property
     def settled_bridge(self) -> DataFrame:
@@ -202,7 +202,7 @@ def publish_attribution(chain: AttributionChain, root: str, channels: int) -> di
     put("dim_geo", entities.dim_geo(sessions), contracts.dimension_contracts(sessions, "geo_country", "geo_region"))
     bridge = put(
         "bridge_transaction_touchpoints",
-        attribution.bridge_touchpoints(tx, sessions, chain.config, chain.skew),
+        attribution.bridge_touchpoints(tx, sessions, chain.config),
         contracts.bridge_contracts(tx, days),
     )
     put("mart_attribution_paths", entities.mart_attribution_paths(bridge), contracts.path_contracts(tx))

@@ -3,7 +3,9 @@ import random
 
 import pytest
 
-from journeyloom.config import AttributionConfig, SkewConfig
+from pyspark.sql import functions as F
+
+from journeyloom.config import AttributionConfig
 from journeyloom.operators import attribution as A, comparison as C
 from tests.fixtures import SESSION_SCHEMA, TX_SCHEMA, transaction, visit
 
@@ -80,16 +82,16 @@ def brute_bridge(tx, visits, days):
     return out
 
 
-@pytest.mark.parametrize("cell_days,skew", [(None, SkewConfig()), (1, SkewConfig(5, 3)), (3, SkewConfig(2, 1))])
-def test_bridge_equals_nested_loops_with_a_hot_user(spark, cell_days, skew):
+@pytest.mark.parametrize("cell_days,lane_rows", [(None, 20_000), (1, 5), (3, 2), (None, 1)])
+def test_bridge_equals_nested_loops_with_a_hot_user(spark, cell_days, lane_rows):
     """One user holds most rows; cells and lanes must neither lose nor repeat a pair."""
     rng = random.Random(7)
     user = lambda: "hot" if rng.random() < 0.7 else f"u{rng.randrange(5)}"
     at = lambda: T0 + dt.timedelta(seconds=rng.randrange(20 * 86400))
     visits = [visit(f"s{i}", user(), at()) for i in range(150)]
     tx = [transaction(f"t{i}", user(), at(), None) for i in range(40)]
-    config = AttributionConfig(lookback_days=6, cell_days=cell_days)
-    got = A.bridge_touchpoints(*frames(spark, tx, visits), config, skew).collect()
+    config = AttributionConfig(lookback_days=6, cell_days=cell_days, lane_rows=lane_rows)
+    got = A.bridge_touchpoints(*frames(spark, tx, visits), config).collect()
     assert {
         (r.transaction_key, r.touchpoint_session_key): (r.touchpoint_position_asc, r.touchpoint_count) for r in got
     } == brute_bridge(tx, visits, 6)
@@ -97,6 +99,39 @@ def test_bridge_equals_nested_loops_with_a_hot_user(spark, cell_days, skew):
     assert all(r.touchpoint_position_desc == r.touchpoint_count + 1 - r.touchpoint_position_asc for r in got)
 
 
+def test_every_crowded_cell_is_cut_and_no_part_is_above_the_limit(spark):
+    """More crowded cells than any list of hot keys would hold, one with a third of all rows."""
+    config = AttributionConfig(lookback_days=2, lane_rows=100)
+    micros = T0.timestamp()
+    rows = spark.range(30_000).selectExpr("id", "case when id % 3 = 0 then 'hot' else concat('u', id % 100) end AS user")
+    at = F.timestamp_seconds(F.lit(micros) + F.pmod(F.xxhash64("id"), F.lit(86400)))
+    names = [c for c in dict.fromkeys(A.FROM_SESSION.values()) if c not in ("session_key", "session_start_timestamp_utc")]
+    sessions = rows.select(F.concat(F.lit("s"), "id").alias("session_key"), F.col("user").alias("user_pseudo_id"), at.alias("session_start_timestamp_utc"), *[F.lit(None).cast("string").alias(c) for c in names])
+    more = [c for c in A.FROM_TRANSACTION.values() if c not in ("transaction_key", "user_pseudo_id", "transaction_timestamp_utc")]
+    tx = rows.where("id % 10 = 0").select(F.concat(F.lit("t"), "id").alias("transaction_key"), F.col("user").alias("user_pseudo_id"), at.alias("transaction_timestamp_utc"), *[F.lit(None).cast("string").alias(c) for c in more])
+    left, right = A._sides(tx, sessions, config)
+    crowded = A.crowded_cells(left, right, config)
+    assert crowded.count() > 60 and crowded.agg(F.max("_lanes")).first()[0] > 50
+    left, right = A.cut_into_lanes(left, right, config)
+    for side, keys, kept in ((right, ["_user", "_cell", "_lane", "_slot"], "_slot = 0"), (left, ["user_pseudo_id", "_at_cell", "_at_lane", "_at_slot"], "_at_lane = 0")):
+        assert side.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 100
+        # Every row is in one part, and stands in each part of the other side.
+        assert side.where(kept).count() == (sessions.count() if side is right else left.select("transaction_key", "_at_cell").distinct().count())
+    plan = right._jdf.queryExecution().optimizedPlan().toString()
+    assert "hint" not in plan.lower()  # how the join to the crowded cells runs is up to their size
+
+
+def test_the_lookback_join_runs_once(spark, five_touches):
+    tx, sessions = five_touches
+    touchpoints = A.eligible_touchpoints(tx, sessions)
+    plan = touchpoints._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("touchpoint_start_timestamp_utc") and plan.count("Join Inner, ") == 1
+    bridge = A.bridge_touchpoints(tx, sessions)
+    plan = bridge._jdf.queryExecution().optimizedPlan().toString()
+    # Hour totals and rows come from the written touchpoints; one join puts them together.
+    assert plan.count("Join ") == 1 and plan.count("Relation [") == 2
+
+
 def test_conservation_laws(spark):
     rng = random.Random(3)
     channels = [("Email", "n", "email"), ("Direct", "(direct)", "(none)"), ("Referral", "p", "referral")]

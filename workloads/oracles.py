@@ -769,6 +769,7 @@ _secs = "touchpoint_engagement_seconds"
 ORACLES["eligible_touchpoints"] = fin(
     "SELECT * FROM pairs_in_window", dates=_bridge_dates, stamps=_more_stamps, floats=_secs
 )
+ORACLES["eligible_touchpoints_cut"] = ORACLES["eligible_touchpoints"]
 ORACLES["rank_touchpoints"] = query(
     "SELECT transaction_key, touchpoint_session_key, touchpoint_count, non_direct_touchpoint_count, "
     "touchpoint_position_asc, touchpoint_position_desc, non_direct_touchpoint_position_asc, "

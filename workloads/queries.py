@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -396,6 +397,10 @@ QUERIES: dict[str, Query] = {
     "eligible_touchpoints": _on_chain(
         lambda c: attribution.eligible_touchpoints(c.transactions, c.sessions, c.config)
     ),
+    # As above, with every cell of more than two rows cut into lanes and slots.
+    "eligible_touchpoints_cut": _on_chain(
+        lambda c: attribution.eligible_touchpoints(c.transactions, c.sessions, replace(c.config, lane_rows=2))
+    ),
     "rank_touchpoints": _on_chain(
         lambda c: c.bridge.select(
             "transaction_key",
