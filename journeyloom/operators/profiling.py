@@ -97,9 +97,8 @@ SLOTS = {
 def parameter_profile(events: DataFrame, samples: int = 3) -> DataFrame:
     """Data dictionary of the event parameters, one row per key.
 
-    Counting goes by (key, event name) first, which is small before it is shuffled.  The samples
-    come from a ranked distinct list; Spark keeps only the leading rows of each task before the
-    rank is shuffled, so no key is gathered in full.
+    Counting goes by (key, event name) first, which is small before it is shuffled.  For the samples see
+    ``leading_values``.
     """
     entries = events.select("event_name", F.explode("event_params").alias("p")).select(
         "event_name", F.col("p.key").alias("parameter_key"), F.col("p.value").alias("v")
@@ -117,18 +116,8 @@ def parameter_profile(events: DataFrame, samples: int = 3) -> DataFrame:
         F.array_sort(F.collect_list("event_name")).alias("event_names"),
         *[F.sum(name).alias(name) for name in counters],
     )
-    distinct = (
-        entries.select("parameter_key", READERS["sample"](F.col("v")).alias("value"))
-        .where(F.col("value").isNotNull())
-        .distinct()
-    )
-    place = F.row_number().over(Window.partitionBy("parameter_key").orderBy("value"))
-    leading = (
-        distinct.withColumn("_place", place)
-        .where(F.col("_place") <= samples)
-        .groupBy("parameter_key")
-        .agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
-    )
+    told = entries.select("parameter_key", READERS["sample"](F.col("v")).alias("value"))
+    leading = leading_values(told, "parameter_key", "value", samples, "sample_values")
     kinds = F.array_compact(
         F.array(*[F.when(F.col(rows) > 0, F.lit(label)) for rows, label in SLOTS.values()])
     )
@@ -151,6 +140,38 @@ def parameter_profile(events: DataFrame, samples: int = 3) -> DataFrame:
     )
 
 
+def leading_values(rows: DataFrame, key: str, value: str, k: int, name: str, buckets: int = 64) -> DataFrame:
+    """Per key the ``k`` smallest distinct values as a sorted array; keys with NULLs only have no row.
+
+    Two reads, neither of which shuffles the distinct values.  The first takes the smallest value of every
+    hash bucket of a key, one row per task, key and bucket.  The k-th of these minima is no
+    smaller than the k-th value asked for, as k distinct values lie up to it.  The second read keeps what lies
+    up to that bound: k values and the few that shared a bucket with one of them.  The bounds, one row per
+    key, are written first, so the join to them is planned by their size.
+    """
+    held = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    lows = held.groupBy("_key", F.pmod(F.xxhash64("_value"), F.lit(buckets)).alias("_bucket")).agg(F.min("_value").alias("_low"))
+    # At most `buckets` minima per key.
+    ordered = lows.groupBy("_key").agg(F.array_sort(F.collect_list("_low")).alias("_lows"))
+    bounds = settle(
+        ordered.select(
+            F.col("_key").alias("_of"),
+            F.element_at("_lows", F.least(F.lit(k), F.size("_lows"))).alias("_bound"),
+            (F.size("_lows") < k).alias("_few"),
+        ),
+        "leading_bounds",
+    )
+    near = held.join(bounds, F.col("_key") == F.col("_of")).where(F.col("_few") | (F.col("_value") <= F.col("_bound")))
+    found = near.groupBy("_key", "_value").agg(F.lit(1).alias("_one"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_value"))
+    return (
+        found.withColumn("_place", place)
+        .where(F.col("_place") <= k)
+        .groupBy(F.col("_key").alias(key))
+        .agg(F.array_sort(F.collect_list("_value")).alias(name))
+    )
+
+
 def _purchases(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_name") == "purchase")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from journeyloom.functions.numeric import rows_where, sum_where
 from journeyloom.operators.attribution import MODELS, journeys
 from journeyloom.operators.comparison import POPULATIONS
-from journeyloom.operators.onepass import attach_row
+from journeyloom.operators.onepass import attach_row, distinct, one_pass
 from journeyloom.functions.calendar import day_from_suffix
 from journeyloom.operators.transactions import CONFLICTING, MISSING, NOT_SET, RELIABLE
 from journeyloom.sources.tables import const_relation
@@ -61,37 +61,37 @@ def reconcile_events(
     day = day_from_suffix(F.col("event_date"))
     bought = F.col("is_purchase_event")
     missing = lambda c: F.col(c).isNull()
-    src = _measures(
+    src = one_pass(
         source,
-        source_event_rows=F.count(F.lit(1)),
-        source_first_event_date=F.min(day),
-        source_last_event_date=F.max(day),
-        source_purchase_event_rows=rows_where(F.col("event_name") == "purchase"),
-    )
-    stg = _measures(
+        {
+            "source_event_rows": F.count(F.lit(1)),
+            "source_first_event_date": F.min(day),
+            "source_last_event_date": F.max(day),
+            "source_purchase_event_rows": rows_where(F.col("event_name") == "purchase"),
+        },
+        [distinct("source_unique_users", "user_pseudo_id"), distinct("source_distinct_event_names", "event_name")],
+    )
+    stg = one_pass(
         staged,
-        staging_event_rows=F.count(F.lit(1)),
-        staging_first_event_date=F.min("event_date"),
-        staging_last_event_date=F.max("event_date"),
-        staging_purchase_event_rows=rows_where(bought),
-        staging_purchase_events_with_session_id=rows_where(bought & F.col("has_session_id")),
-        staging_purchase_events_with_currency=rows_where(bought & F.col("currency").isNotNull()),
-        null_event_date_rows=rows_where(missing("event_date")),
-        null_event_timestamp_rows=rows_where(missing("event_timestamp_utc")),
-        invalid_session_key_rows=rows_where(
-            F.col("has_user_pseudo_id") & F.col("has_session_id") & missing("session_key")
-        ),
-        invalid_transaction_normalization_rows=rows_where(
-            (F.col("transaction_id_status") == "VALID") & missing("transaction_id_normalized")
-        ),
-    )
-    # Distinct counts get aggregates of their own: combined, they would multiply the event rows.
-    distinct = [
-        _measures(df, **{f"{side}_{what}": F.count_distinct(c)})
-        for side, df in (("source", source), ("staging", staged))
-        for what, c in (("unique_users", "user_pseudo_id"), ("distinct_event_names", "event_name"))
-    ]
-    m = _side_by_side(src, stg, *distinct)
+        {
+            "staging_event_rows": F.count(F.lit(1)),
+            "staging_first_event_date": F.min("event_date"),
+            "staging_last_event_date": F.max("event_date"),
+            "staging_purchase_event_rows": rows_where(bought),
+            "staging_purchase_events_with_session_id": rows_where(bought & F.col("has_session_id")),
+            "staging_purchase_events_with_currency": rows_where(bought & F.col("currency").isNotNull()),
+            "null_event_date_rows": rows_where(missing("event_date")),
+            "null_event_timestamp_rows": rows_where(missing("event_timestamp_utc")),
+            "invalid_session_key_rows": rows_where(
+                F.col("has_user_pseudo_id") & F.col("has_session_id") & missing("session_key")
+            ),
+            "invalid_transaction_normalization_rows": rows_where(
+                (F.col("transaction_id_status") == "VALID") & missing("transaction_id_normalized")
+            ),
+        },
+        [distinct("staging_unique_users", "user_pseudo_id"), distinct("staging_distinct_event_names", "event_name")],
+    )
+    m = _side_by_side(src, stg)
     dates = _same("source_first_event_date", "staging_first_event_date") & _same(
         "source_last_event_date", "staging_last_event_date"
     )
@@ -290,38 +290,40 @@ def reconcile_sessions(
 ) -> DataFrame:
     """Do sessions represent all events, users, transactions and revenue?"""
     missing = lambda c: F.col(c).isNull()
-    src = _measures(
+    src = one_pass(
         staged,
-        source_event_rows=F.count(F.lit(1)),
-        source_events_without_session_key=rows_where(missing("session_key")),
-        source_purchase_measurement_events=rows_where(F.col("event_name") == "purchase"),
+        {
+            "source_event_rows": F.count(F.lit(1)),
+            "source_events_without_session_key": rows_where(missing("session_key")),
+            "source_purchase_measurement_events": rows_where(F.col("event_name") == "purchase"),
+        },
+        [distinct("source_distinct_sessions", "session_key"), distinct("source_unique_users", "user_pseudo_id")],
     )
-    src_keys = _measures(staged, source_distinct_sessions=F.count_distinct("session_key"))
-    src_users = _measures(staged, source_unique_users=F.count_distinct("user_pseudo_id"))
     tx = _measures(
         transactions,
         source_canonical_transactions=F.count(F.lit(1)),
         source_canonical_revenue_usd=F.sum("transaction_revenue_usd"),
         transactions_without_session_key=rows_where(missing("session_key")),
     )
-    fact = _measures(
+    fact = one_pass(
         sessions,
-        fact_session_rows=F.count(F.lit(1)),
-        distinct_fact_session_keys=F.count_distinct("session_key"),
-        represented_event_rows=F.sum("event_count"),
-        represented_purchase_measurement_events=F.sum("raw_purchase_measurement_event_count"),
-        represented_canonical_transactions=F.sum("canonical_transaction_count"),
-        represented_canonical_revenue_usd=F.sum("canonical_revenue_usd"),
-        duplicate_purchase_measurement_rows=F.sum("duplicate_purchase_measurement_rows"),
-        converting_sessions=rows_where(F.col("is_converting_session")),
-        sessions_with_multiple_transactions=rows_where(F.col("canonical_transaction_count") > 1),
-        sessions_without_session_start_event=rows_where(F.col("session_start_event_count") == 0),
-        negative_session_duration_rows=rows_where(F.col("session_duration_seconds") < 0),
-        null_session_source_rows=rows_where(missing("session_source")),
-        null_session_medium_rows=rows_where(missing("session_medium")),
-        null_session_channel_group_rows=rows_where(missing("session_channel_group")),
-    )
-    fact_users = _measures(sessions, fact_unique_users=F.count_distinct("user_pseudo_id"))
+        {
+            "fact_session_rows": F.count(F.lit(1)),
+            "represented_event_rows": F.sum("event_count"),
+            "represented_purchase_measurement_events": F.sum("raw_purchase_measurement_event_count"),
+            "represented_canonical_transactions": F.sum("canonical_transaction_count"),
+            "represented_canonical_revenue_usd": F.sum("canonical_revenue_usd"),
+            "duplicate_purchase_measurement_rows": F.sum("duplicate_purchase_measurement_rows"),
+            "converting_sessions": rows_where(F.col("is_converting_session")),
+            "sessions_with_multiple_transactions": rows_where(F.col("canonical_transaction_count") > 1),
+            "sessions_without_session_start_event": rows_where(F.col("session_start_event_count") == 0),
+            "negative_session_duration_rows": rows_where(F.col("session_duration_seconds") < 0),
+            "null_session_source_rows": rows_where(missing("session_source")),
+            "null_session_medium_rows": rows_where(missing("session_medium")),
+            "null_session_channel_group_rows": rows_where(missing("session_channel_group")),
+        },
+        [distinct("distinct_fact_session_keys", "session_key"), distinct("fact_unique_users", "user_pseudo_id")],
+    )
     pairs = {
         "all_events_represented": _same("source_event_rows", "represented_event_rows"),
         "session_counts_match": _same("source_distinct_sessions", "fact_session_rows"),
@@ -351,7 +353,7 @@ def reconcile_sessions(
         _expected(expected),
     )
     shown = lambda name: pairs[name].alias(name)
-    return _side_by_side(src, src_keys, src_users, tx, fact, fact_users).select(
+    return _side_by_side(src, tx, fact).select(
         "source_event_rows",
         "represented_event_rows",
         shown("all_events_represented"),

@@ -13,6 +13,8 @@ from journeyloom.operators.contracts import (
     session_contracts,
     transaction_contracts,
 )
+from journeyloom.operators.onepass import distinct, one_pass
+from journeyloom.operators.profiling import leading_values
 from journeyloom.operators.staging import stage_events, stage_items
 from journeyloom.plans.warehouse import AttributionChain, publish_attribution
 from journeyloom.sources.publish import NotPublished, current_version, layout_report, publish, read_published
@@ -241,3 +243,34 @@ def test_settled_frames_live_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert application_folder(spark).startswith(shared)
     assert held.inputFiles()[0].startswith(f"file://{shared}")
+
+
+def test_leading_values_do_not_shuffle_all_distinct_values(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("concat('k', id % 3) AS k", "case when id % 3 = 2 then 'only' else cast(hash(id) AS string) end AS v")
+    rows = rows.unionByName(spark.createDataFrame([("k9", None), ("k1", None)], "k string, v string"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    found = leading_values(rows, "k", "v", 3, "first")
+    got = {r.k: r.first for r in found.collect()}
+    expected = {}
+    for r in rows.where("v is not null").distinct().collect():
+        expected.setdefault(r.k, []).append(r.v)
+    assert got == {k: sorted(v)[:3] for k, v in expected.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # The last exchanges carry what is left behind the bound, and nothing is exchanged before it.
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    near = rows.join(found.select(F.col("k").alias("of"), F.element_at("first", -1).alias("bound")), F.col("k") == F.col("of")).where("v <= bound")
+    assert near.select("k", "v").distinct().count() <= 12
+
+
+def test_one_pass_equals_separate_aggregates(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "b", 2.0), (2, None, 3.0), (2, None, 4.0)], "i int, k string, v double")
+    row = one_pass(df, {"n": F.count(F.lit(1)), "s": F.sum("v"), "nulls": F.count_if(F.col("k").isNull())}, [distinct("ks", "k"), distinct("pairs", "i", "k"), distinct("vs", "v")]).first()
+    assert row.asDict() == {"n": 4, "s": 9.0, "nulls": 2, "ks": 2, "pairs": 2, "vs": 3}
+
+
+def test_reconciliation_reads_each_side_once(spark, chain):
+    staged, tx, se = settle(chain.staged, "staged"), chain.transactions, chain.sessions
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(reconcile.reconcile_sessions(staged, tx, se)).count("Relation [") == 3
+    assert plan(reconcile.reconcile_events(chain.events, staged)).count("Relation [") == 2
