@@ -25,15 +25,9 @@ class AttributionConfig:
 
 @dataclass(frozen=True)
 class SkewConfig:
-    """When a key counts as hot.
-
-    At most ``max_hot_keys`` keys are treated apart, always the most frequent ones.  A key
-    outside of that set therefore holds less than 1/max_hot_keys of the rows, and the set
-    itself is small enough to broadcast whatever the data volume.
-    """
+    """From how many rows on a key counts as hot."""
 
     min_hot_rows: int = 200_000
-    max_hot_keys: int = 2_000
 
 
 @dataclass(frozen=True)

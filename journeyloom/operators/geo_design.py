@@ -283,13 +283,15 @@ def _euclid(columns: list[str]) -> Column:
     return F.sqrt(reduce(lambda x, y: x + y, [g * g for g in gaps]))
 
 
-def pair_metrics(profiles: DataFrame, panel: DataFrame, blocks: int = 4) -> DataFrame:
+def pair_metrics(profiles: DataFrame, panel: DataFrame, block_regions: int = 64) -> DataFrame:
     """Similarity of every unordered pair of regions.
 
-    Regions are hashed into blocks and meet by an equi-join on the pair of blocks, so the work is
-    cut into blocks x (blocks + 1) / 2 even parts instead of one nested loop.  A region carries
-    its weekly series as arrays: a pair is one row from the start and nothing is regrouped.
+    Regions are hashed into blocks of about ``block_regions`` and meet by an equi-join on the pair of
+    blocks, so the work is cut into blocks x (blocks + 1) / 2 even parts, as many as the regions ask for.
+    A region carries its weekly series as arrays: a pair is one row from the start and nothing is
+    regrouped.  Starts a job that counts the regions.
     """
+    blocks = 1 + profiles.count() // block_regions
     regions = profiles.join(_trajectories(panel), "geo_region").withColumn(
         "_block", F.pmod(F.xxhash64("geo_region"), F.lit(blocks)).cast("int")
     )
@@ -354,7 +356,11 @@ def _keep_ladder(df: DataFrame) -> DataFrame:
 def with_percentile_ranks(
     pairs: DataFrame, ranks: dict[str, str], skew: SkewConfig = SkewConfig(), hold=_keep_ladder
 ) -> DataFrame:
-    """Add average-tie percentile ranks: ``ranks`` maps measure -> output column."""
+    """Add average-tie percentile ranks: ``ranks`` maps measure -> output column.
+
+    The pairs are written first: a measure that is looked up is bit by bit the one that was ranked.
+    """
+    pairs = settle(pairs, "ranked_pairs")
     ladder = hold(value_ladder(long_measures(pairs, list(ranks))))
     out = pairs
     for measure, name in ranks.items():

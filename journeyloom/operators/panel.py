@@ -301,9 +301,8 @@ def region_candidates(profile: DataFrame) -> DataFrame:
         F.col("geo_country"),
         F.col("geo_region"),
     ]
-    level = F.when(F.col("meets_initial_eligibility"), 0).otherwise(1)
     in_country = Window.partitionBy("geo_country").orderBy(F.desc("pre_revenue_usd"))
-    listed = numbered(profile, level, F.col("pre_revenue_usd"), order, "display_order")
+    listed = numbered(profile, order, "display_order")
     return (
         listed.withColumn("country_pre_revenue_rank", F.dense_rank().over(in_country))
         .select(

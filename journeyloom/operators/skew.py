@@ -8,18 +8,17 @@ from journeyloom.config import SkewConfig
 from journeyloom.sources.workspace import settle
 
 
-def hot_keys(counted: DataFrame, keys: list[str], weight: str, skew: SkewConfig) -> DataFrame:
-    """The most frequent keys of ``counted``, never more than ``skew.max_hot_keys``.
+# Parts a hot key's rows are dealt into while they look their key up.
+HOT_PARTS = 64
 
-    The bound makes the result safe to broadcast; every key left out is behind
-    ``max_hot_keys`` more frequent ones and so cannot hold more than 1/max_hot_keys of the rows.
-    The order is total, so that two evaluations choose the same keys.
+
+def hot_keys(counted: DataFrame, weight: str, skew: SkewConfig) -> DataFrame:
+    """All keys of ``counted`` with ``skew.min_hot_rows`` rows or more, however many they are.
+
+    There is at most one per ``min_hot_rows`` rows of the input.  The result is written, so that joins to
+    it are planned by its real size.
     """
-    return (
-        counted.where(F.col(weight) >= skew.min_hot_rows)
-        .orderBy(F.desc(weight), *keys)
-        .limit(skew.max_hot_keys)
-    )
+    return settle(counted.where(F.col(weight) >= skew.min_hot_rows), "hot_keys")
 
 
 def lookup_join(
@@ -32,16 +31,20 @@ def lookup_join(
 ) -> DataFrame:
     """Left join of ``rows`` to a lookup with one row per ``key``, exact under skew.
 
-    ``weight`` is the lookup column with the number of rows behind a key.  Hot keys are answered
-    from a broadcast of bounded size.  All other rows meet the rest of the lookup in a shuffle
-    join; rows without a partner there (NULL or hot keys) are spread over the partitions by
-    ``spread`` rather than sent to one.
+    ``weight`` is the lookup column with the number of rows behind a key.  Every hot key stands in the
+    hot part of the lookup ``HOT_PARTS`` times, and a row asks for one of them by ``spread``: the join
+    is a broadcast where that part is small, else a shuffle that has no crowded key.  All other rows
+    meet the rest of the lookup in a shuffle join; rows without a partner there (NULL or hot keys) are
+    spread over the partitions rather than sent to one.
     """
     values = [c for c in lookup.columns if c != key]
-    hot = hot_keys(lookup, [key], weight, skew).select(
-        F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")
+    hot = hot_keys(lookup, weight, skew).select(
+        F.col(key).alias("_hot_key"),
+        F.struct(*values).alias("_hot"),
+        F.explode(F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).alias("_hot_part"),
     )
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS)).cast("int"))
+    marked = dealt.join(hot, (F.col(key) == F.col("_hot_key")) & (F.col("_part") == F.col("_hot_part")), "left")
 
     searched = F.col(key).isNotNull() & F.col("_hot").isNull()
     # Zero, but not a literal: a constant would be folded out of the join keys.
@@ -52,7 +55,7 @@ def lookup_join(
             "_lane": F.when(searched, nought).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))),
         }
     )
-    right = lookup.select(
+    right = lookup.where(F.coalesce(F.col(weight) < skew.min_hot_rows, F.lit(True))).select(
         F.col(key).alias("_found"),
         nought.alias("_found_lane"),
         F.struct(*values).alias("_cold"),
@@ -79,39 +82,30 @@ def running_offsets(
     )
 
 
-def _cell_edges(values: DataFrame, buckets: int) -> DataFrame:
-    """Per metric, the inner edges of cells that hold about equally many of the given rows.
+def in_global_order(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``_at``, a number that grows with ``order``, and ``_cell``, the range it lies in; written.
 
-    The sketch behind the approximate percentiles has a fixed size.  The edges are written down,
-    because all users of a cell number must see the same edges; that they are approximate only
-    makes the cells a little uneven.
+    Rows are dealt into ranges and sorted inside of them.  How many ranges there are follows from the size
+    of the data.  Ranges and places are written down together with the rows: whatever is read later,
+    also after a lost executor, sees the same values in the same places.  ``_at`` has no gaps in a cell and
+    cells follow one another; a total ``order`` makes it repeatable.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    return settle(
-        values.groupBy("metric").agg(F.array_distinct(F.percentile_approx("value", shares, 10_000)).alias("_edges")),
-        "cell_edges",
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return settle(placed.withColumn("_at", F.monotonically_increasing_id()), name).withColumn(
+        "_cell", F.shiftright("_at", 33)
     )
 
 
-def _cell_of(value: Column) -> Column:
-    """Number of the cell of a value; it grows with the value, equal values share a cell."""
-    return F.size(F.filter("_edges", lambda edge: edge < value))
-
-
-def value_ladder(values: DataFrame, buckets: int = 64) -> DataFrame:
+def value_ladder(values: DataFrame) -> DataFrame:
     """Distinct values in global order, without a global sort in one task.
 
     Input: rows (metric, value) without NULLs, for a handful of metrics.  Output, one row per
     metric and distinct value: ``copies``, ``below`` (rows with a smaller value) and ``total``.
-    The values of a metric are cut into cells of about equal size; cell totals (``buckets`` rows
-    per metric) give the offsets, the order inside a cell is a local window.  Copies of one value
-    are one row beforehand, so neither ties nor a crowded value range can overload a cell.
+    Copies of one value are one row before the values are dealt into ranges, so ties cannot overload
+    a range.  Range totals, one row per metric and range, give the offsets.
     """
     distinct = values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("copies"))
-    edges = _cell_edges(distinct, buckets)
-    placed = distinct.join(F.broadcast(edges), "metric").select(
-        "metric", "value", "copies", _cell_of(F.col("value")).alias("_cell")
-    )
+    placed = in_global_order(distinct, [F.col("metric"), F.col("value")], "value_ladder")
     cells = placed.groupBy("metric", "_cell").agg(F.sum("copies").alias("_in_cell"))
     offsets = running_offsets(cells, ["metric"], "_cell", {"_before_cell": "_in_cell"}).select(
         "metric",
@@ -121,7 +115,7 @@ def value_ladder(values: DataFrame, buckets: int = 64) -> DataFrame:
     )
     inside = (
         Window.partitionBy("metric", "_cell")
-        .orderBy("value")
+        .orderBy("_at")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
@@ -158,25 +152,12 @@ def quantiles(ladder: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def numbered(
-    rows: DataFrame, level: Column, amount: Column, order: list[Column], name: str, buckets: int = 64
-) -> DataFrame:
-    """Global row number over ``order`` without a window over the whole frame.
-
-    ``level`` (a few small integers, ascending) and ``amount`` (double, descending inside a
-    level) must be the leading sort keys and free of NULLs.
-    """
-    keyed = rows.withColumns({"metric": level.cast("int"), "value": -amount.cast("double")})
-    edges = _cell_edges(keyed.select("metric", "value").distinct(), buckets)
-    placed = keyed.join(F.broadcast(edges), "metric").withColumn(
-        "_cell", F.col("metric") * buckets + _cell_of(F.col("value"))
-    )
-    # One row per cell: at most levels x buckets rows share the constant group.
-    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_in_cell")).withColumn("_all", F.lit(0))
-    offsets = running_offsets(cells, ["_all"], "_cell", {"_before": "_in_cell"}).select("_cell", "_before")
-    local = Window.partitionBy("_cell").orderBy(*order)
-    return (
-        placed.join(F.broadcast(offsets), "_cell")
-        .withColumn(name, F.col("_before") + F.row_number().over(local))
-        .select(name, *rows.columns)
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Global row number over a total ``order`` without a window over the whole frame."""
+    placed = in_global_order(rows, order, "numbered")
+    # One row per range; they share the constant group.
+    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_in_cell"), F.min("_at").alias("_first")).withColumn("_all", F.lit(0))
+    offsets = running_offsets(cells, ["_all"], "_cell", {"_before": "_in_cell"}).select("_cell", "_first", "_before")
+    return placed.join(offsets, "_cell").select(
+        (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name), *rows.columns
     )

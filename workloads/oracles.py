@@ -718,6 +718,7 @@ ORACLES["transaction_id_profile"] = query("SELECT * FROM id_prof")
 ORACLES["classify_key_method"] = query(
     f"SELECT source_event_fingerprint, transaction_key_method, {_id_profile} FROM keyed"
 )
+ORACLES["classify_key_method_hot"] = ORACLES["classify_key_method"]
 ORACLES["assign_transaction_key"] = query(
     "SELECT source_event_fingerprint, transaction_key_method, transaction_key FROM keyed"
 )

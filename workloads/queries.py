@@ -17,6 +17,7 @@ from journeyloom.config import (
     EligibilityThresholds,
     ExperimentWindow,
     GeoConfig,
+    SkewConfig,
 )
 from journeyloom.operators import (
     attribution,
@@ -198,13 +199,13 @@ def _purchases(chain: AttributionChain) -> DataFrame:
     return transactions.purchase_events(chain.staged)
 
 
-def _classified(chain: AttributionChain) -> DataFrame:
+def _classified(chain: AttributionChain, skew: SkewConfig = SkewConfig()) -> DataFrame:
     bought = settle(_purchases(chain), "purchase_events")
-    return transactions.classify_key_method(bought, transactions.transaction_id_profile(bought))
+    return transactions.classify_key_method(bought, transactions.transaction_id_profile(bought), skew)
 
 
-def classify_key_method(chain: AttributionChain) -> DataFrame:
-    return _classified(chain).select(
+def classify_key_method(chain: AttributionChain, skew: SkewConfig = SkewConfig()) -> DataFrame:
+    return _classified(chain, skew).select(
         "source_event_fingerprint", "transaction_key_method", *transactions.PROFILE_COLUMNS
     )
 
@@ -378,6 +379,8 @@ QUERIES: dict[str, Query] = {
     # transactions
     "transaction_id_profile": _on_chain(lambda c: transactions.transaction_id_profile(_purchases(c))),
     "classify_key_method": _on_chain(classify_key_method),
+    # As above, with every ID of two purchases or more taken for a hot key.
+    "classify_key_method_hot": _on_chain(lambda c: classify_key_method(c, SkewConfig(min_hot_rows=2))),
     "assign_transaction_key": _on_chain(assign_transaction_key),
     "fct_transactions": _on_chain(lambda c: transactions.fct_transactions(c.staged)),
     # sessions
