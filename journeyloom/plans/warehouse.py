@@ -133,12 +133,12 @@ class GeoChain:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return geo_design.match_pairs(self.edges)
+        return settle(geo_design.match_pairs(self.edges), "matched_pairs")
 
     @cached_property
     def extended(self) -> DataFrame:
-        """The larger design: ``matched`` and what alternating paths win."""
-        return geo_design.extended_pairs(self.edges, self.matched)
+        """The same design reached from the pairs taken lightest first."""
+        return geo_design.extended_pairs(self.edges, geo_design.greedy_pairs(self.edges))
 
 
 # Published table -> columns its files are laid out by, and the key that cuts ranges of equal values.

@@ -24,7 +24,7 @@ def query(sql: str) -> str:
             text += STEPS[name]
     if not chosen:
         return sql
-    recursive = "RECURSIVE " if {"walk", "covered"} & set(chosen) else ""
+    recursive = "RECURSIVE " if {"walk"} & set(chosen) else ""
     return f"WITH {recursive}" + ",\n".join(f"{n} AS (\n{STEPS[n]}\n)" for n in chosen) + "\n" + sql
 
 
@@ -1150,22 +1150,36 @@ step(
         f"s.{c} {'<=' if t.startswith('max') else '>='} l.{t}" for t, (c, _) in _limits.items()
     ),
 )
+# The largest matching of least weight, region by region: of all ways to deal with the regions so far
+# that leave the same later regions taken, the best one is kept.
 step(
-    "queue",
-    "SELECT *, row_number() OVER (PARTITION BY design_name ORDER BY composite_dissimilarity, pair_id) AS turn FROM edge",
+    "spot",
+    """
+SELECT design_name, region, row_number() OVER (PARTITION BY design_name ORDER BY region) - 1 AS b
+FROM (SELECT design_name, region_a AS region FROM edge UNION SELECT design_name, region_b FROM edge)
+""",
+)
+step(
+    "choice",
+    """
+SELECT design_name, b AS turn, CAST(0 AS BIGINT) AS taken, 0 AS won, 0e0 AS weight, CAST([] AS VARCHAR[]) AS pair FROM spot
+UNION ALL
+SELECT e.design_name, least(x.b, y.b), 1::BIGINT << greatest(x.b, y.b), 1, e.composite_dissimilarity, [e.pair_id]
+FROM edge e JOIN spot x ON x.design_name = e.design_name AND x.region = e.region_a
+JOIN spot y ON y.design_name = e.design_name AND y.region = e.region_b
+""",
 )
-# Edges one at a time, lightest first: taken when both of its regions are still free.
 step(
     "walk",
     """
-SELECT DISTINCT design_name, CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS used, CAST([] AS VARCHAR[]) AS picked
-FROM queue
+SELECT DISTINCT design_name, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS mask, 0 AS n, 0e0 AS w, CAST([] AS VARCHAR[]) AS picked
+FROM spot
 UNION ALL
-SELECT w.design_name, q.turn,
-  CASE WHEN list_has_any(w.used, [q.region_a, q.region_b]) THEN w.used
-    ELSE list_concat(w.used, [q.region_a, q.region_b]) END,
-  CASE WHEN list_has_any(w.used, [q.region_a, q.region_b]) THEN w.picked ELSE list_append(w.picked, q.pair_id) END
-FROM walk w JOIN queue q ON q.design_name = w.design_name AND q.turn = w.turn + 1
+SELECT s.design_name, s.turn + 1, (s.mask & ~(1::BIGINT << s.turn)) | c.taken AS later, s.n + c.won, s.w + c.weight, list_concat(s.picked, c.pair)
+FROM walk s JOIN choice c ON c.design_name = s.design_name AND c.turn = s.turn
+WHERE s.mask & c.taken = 0 AND (c.won = 0 OR (s.mask >> s.turn) & 1 = 0)
+QUALIFY row_number() OVER (
+  PARTITION BY s.design_name, s.turn, (s.mask & ~(1::BIGINT << s.turn)) | c.taken ORDER BY s.n + c.won DESC, s.w + c.weight) = 1
 """,
 )
 step(
@@ -1369,27 +1383,8 @@ FROM (SELECT {_pct('category_balanced_feature_distance')} AS p, {_pct('six_featu
 )
 ORACLES["threshold_summary"] = fin("SELECT * FROM limits", floats=" ".join(_limits))
 ORACLES["candidate_edges"] = fin("SELECT * FROM edge", floats=_score_floats)
-# Every set of regions that some matching covers, edge by edge: the largest matching by enumeration.
-step(
-    "numbered_edge",
-    """
-WITH bits AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS b FROM (SELECT region_a AS region FROM edge UNION SELECT region_b FROM edge))
-SELECT q.design_name, q.turn, (1::BIGINT << x.b) | (1::BIGINT << y.b) AS mask
-FROM queue q JOIN bits x ON x.region = q.region_a JOIN bits y ON y.region = q.region_b
-""",
-)
-step(
-    "covered",
-    """
-SELECT DISTINCT design_name, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS mask FROM numbered_edge
-UNION
-SELECT c.design_name, c.at + 1, CASE WHEN way THEN c.mask | e.mask ELSE c.mask END
-FROM covered c JOIN numbered_edge e ON e.design_name = c.design_name AND e.turn = c.at + 1, (VALUES (true), (false)) w(way)
-WHERE NOT way OR c.mask & e.mask = 0
-""",
-)
-ORACLES["matching_sizes"] = fin(
-    "SELECT design_name, CAST(max(bit_count(mask)) / 2 AS BIGINT) AS pair_count FROM covered GROUP BY design_name"
+ORACLES["matching_sizes"] = query(
+    "SELECT design_name, CAST(count(*) AS BIGINT) AS pair_count FROM chosen GROUP BY design_name"
 )
 ORACLES["match_pairs"] = fin("SELECT * FROM chosen", floats=_score_floats)
 ORACLES["design_summary"] = fin(
@@ -1407,6 +1402,9 @@ GROUP BY ALL
     "mean_revenue_correlation mean_session_scale_ratio mean_revenue_scale_ratio",
 )
 
+ORACLES["extended_pairs"] = ORACLES["match_pairs"]
+ORACLES["extended_design_summary"] = ORACLES["design_summary"]
+
 # ---- reconciliation -----------------------------------------------------------------------------
 
 ORACLES["reconcile_events"] = fin(
