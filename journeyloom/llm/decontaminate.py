@@ -173,7 +173,8 @@ class Items:
             if not words:
                 continue
             sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
-            answer = [word_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", sentences[-1])]
+            # Words of wider white space alone make no sentence: the whole item is its answer then.
+            answer = [word_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", sentences[-1])] if sentences else words
             self.first.append(len(self.owner))
             n = min(3, len(words))
             keys = _grams(np.array(words, np.uint32), n)
