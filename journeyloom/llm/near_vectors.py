@@ -110,6 +110,9 @@ class Hashing:
         return out
 
 
+QUERIES_A_TASK = 100
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, vector double) without null, zero or non-finite vectors, of the most frequent dimension."""
     cast = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
@@ -124,9 +127,17 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the k best by scores, and their inner products summed row by row (no blocking effects)."""
-    most = min(len(scores), k + 8)
-    at = np.argpartition(-scores, most - 1)[:most] if most < len(scores) else np.arange(len(scores))
+    """Positions of the k best, with all that tie with the last of them, and their inner products.
+
+    The products of the whole block differ from those summed row by row in the last bits, so everything
+    within a margin of the k-th score is summed anew.
+    """
+    if k < len(scores):
+        last = np.partition(scores, len(scores) - k)[len(scores) - k]
+        margin = 1e-12 * len(query) * np.abs(query).max() * np.abs(vectors).max()
+        at = np.flatnonzero(scores >= last - margin)
+    else:
+        at = np.arange(len(scores))
     return at, (vectors[at] * query).sum(1)
 
 
@@ -195,6 +206,7 @@ def search_vectors(vectors: DataFrame, id_column: str, vector_column: str, is_qu
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if not facts["n"]:
         return empty
+    usable_ids = rows.count()  # copies count: a vector of many ids can serve a query alone
     hashing = Hashing(search, facts["d"], facts["n"], facts["norm"])
     sample = queries.orderBy(F.xxhash64("id"), "id").limit(search.sample_queries).collect()
     if not sample:
@@ -227,11 +239,12 @@ def search_vectors(vectors: DataFrame, id_column: str, vector_column: str, is_qu
     dealt = in_buckets.join(blocks, "bucket").select(
         F.concat("bucket", F.lit("/"), F.pmod(F.xxhash64("id"), "blocks").cast("string")).alias("block"), F.lit(False).alias("is_query"), "id", "vector", "ids"
     )
-    visited = queries.select("id", "vector").mapInArrow(visit, "id bigint, vector array<double>, keys array<string>")
+    # Visiting costs far more than a query weighs, so queries are dealt out by number.
+    visited = queries.select("id", "vector").repartition(1 + queries.count() // QUERIES_A_TASK, "id").mapInArrow(visit, "id bigint, vector array<double>, keys array<string>")
     probed = visited.select("id", "vector", F.explode("keys").alias("bucket"))
     found = settle(_rank(dealt, probed, blocks, k), "vector_candidates")
     # Queries that met fewer candidates than there are visit every block of the first table.
-    short = queries.join(found.where(F.size("ids") > min(k, facts["n"] - 1)).select(F.col("query").alias("id")), "id", "left_anti")
+    short = queries.join(found.where(F.size("ids") > min(k, usable_ids - 1)).select(F.col("query").alias("id")), "id", "left_anti")
     short = settle(short, "short_queries")
     if not short.isEmpty():
         every = short.withColumn("_t", F.lit("0")).join(blocks.withColumn("_t", F.substring_index("bucket", ":", 1)).select("_t", "bucket"), "_t")
