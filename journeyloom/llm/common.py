@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,14 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[s
     return codes, words, starts
 
 
+def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of a text column with about ``size`` bytes each, at least one row."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    bucket = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(column)]
+    return ((a, b) for a, b in zip(cuts[:-1], cuts[1:]) if a < b)
+
+
 def spread(codes: np.ndarray, pieces: list[bytes], width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of 32-bit words, one per distinct code, laid out in the order of ``codes``.
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from journeyloom.llm.common import prepare_workers, spread, table, word_codes
+from journeyloom.llm.common import prepare_workers, slices, spread, table, word_codes
 
 TOKENIZER = "word_bpe_49k.json"
 SLICE_BYTES = 8 << 20
@@ -222,14 +222,6 @@ def _pieces(path: str) -> pa.Array:
     return pa.array([strings.get(i) for i in range(max(strings) + 1)], pa.string())
 
 
-def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a text column with about ``size`` bytes each, at least one row."""
-    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    bucket = np.cumsum(lengths, dtype=np.int64) // size
-    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(column)]
-    return ((a, b) for a, b in zip(cuts[:-1], cuts[1:]) if a < b)
-
-
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) per row, as the tokenizer gives them without special tokens around.
 
@@ -242,7 +234,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path or tokenizer_path())
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), SLICE_BYTES):
                 codes, words, starts = word_codes(batch.column(1).slice(a, b - a))
                 flat, at = spread(codes, encoder.of(words))
                 ids = pa.ListArray.from_arrays(pa.array(at[starts], pa.int32()), pa.array(flat.astype(np.int32)))

@@ -1,6 +1,7 @@
 """Token counts of a unigram tokenizer without its tokens.
 
-Words are runs without ASCII white space, each with the word mark in front.  Aho-Corasick lists the
+Every blank is a word mark, and a text that does not begin with one gets one; a segment is a mark and what
+follows up to the next.  All other white space stays in its segment.  Aho-Corasick lists the
 vocabulary entries that end at each place of a word; dynamic programming keeps, per place, the best
 score and the number of pieces on the way there.  Rules as in the tokenizer itself: scores add up
 from the left in double precision; of equal scores the entry that starts first (the longest) stays; a
@@ -14,13 +15,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from journeyloom.llm.common import prepare_workers, table, word_codes
+from journeyloom.llm.common import prepare_workers, slices, table
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
+SLICE_BYTES = 4 << 20
 
 
 def load_vocabulary(path: str | None = None) -> tuple[list[tuple[str, float]], int]:
@@ -33,9 +37,12 @@ def load_vocabulary(path: str | None = None) -> tuple[list[tuple[str, float]], i
 
 
 class PieceCounter:
-    """Counts pieces per word; at most ``2 * keep`` words of up to 40 characters are remembered."""
+    """Counts pieces per segment; segments are remembered up to ``known_bytes``, then the memory begins anew."""
 
-    def __init__(self, pieces: list[tuple[str, float]], unknown: int, byte_fallback: bool = True, keep: int = 300_000):
+    # What one remembered segment costs besides its characters.
+    ENTRY_BYTES = 160
+
+    def __init__(self, pieces: list[tuple[str, float]], unknown: int, byte_fallback: bool = True, known_bytes: int = 48 << 20):
         import ahocorasick
 
         self.entries = ahocorasick.Automaton()
@@ -46,7 +53,7 @@ class PieceCounter:
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         names = {piece for piece, _ in pieces}
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
-        self.keep, self.young, self.old = keep, {}, {}
+        self.known_bytes, self.held, self.known = known_bytes, 0, {}
 
     def count(self, word: str) -> int:
         n = len(word)
@@ -75,33 +82,55 @@ class PieceCounter:
     def _unknown_pieces(self, text: str, after_unknown: bool) -> int:
         return len(text.encode()) if self.bytes else int(not after_unknown)
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self.young) > self.keep:
-            self.young, self.old = {}, self.young
-        known, old = self.young, self.old
-        out = [known.get(w) for w in words]
+    def of(self, segments: list[str]) -> np.ndarray:
+        """Pieces of each segment, given without its mark."""
+        if self.held > self.known_bytes:
+            self.known, self.held = {}, 0
+        out = [self.known.get(s) for s in segments]
         for k, n in enumerate(out):
             if n is None:
-                word = words[k]
-                out[k] = n = old[word] if word in old else self.count(MARK + word)
-                if len(word) <= 40:
-                    known[word] = n
+                segment = segments[k]
+                out[k] = self.known[segment] = self.count(MARK + segment)
+                self.held += self.ENTRY_BYTES + 4 * len(segment)
         return np.array(out, np.int64)
 
 
+def _segments(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Segments of all texts as codes into a list of distinct ones, and where each text's segments begin."""
+    lists = pc.split_pattern(pc.replace_substring(texts, MARK, " ").cast(pa.large_string()), " ")
+    coded = lists.flatten().dictionary_encode()
+    starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    # A text that begins with a blank begins with its own mark; an empty text has nothing.
+    kept = np.ones(len(codes), bool)
+    leading = starts[:-1][np.diff(starts) > 0]
+    if "" in words:
+        kept[leading[codes[leading] == words.index("")]] = False
+    return codes[kept], words, np.concatenate(([0], np.cumsum(kept)))[starts]
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, byte_fallback: bool = True) -> DataFrame:
-    """doc_id, n_words, n_tokens per row; null and empty texts have none, repeated rows count alike."""
+    """doc_id, n_words, n_tokens per row; null and empty texts have none, repeated rows count alike.
+
+    Words are runs of anything but U+0020 and U+0009 to U+000D; tokens are those of the whole text.  A null
+    doc_id stays null, further columns are left out.
+    """
     prepare_workers(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(*load_vocabulary(path), byte_fallback)
         for batch in batches:
-            codes, words, starts = word_codes(batch.column(1))
-            sums = np.concatenate(([0], np.cumsum(counter.of(words)[codes])))
-            columns = [batch.column(0), pa.array(np.diff(starts).astype(np.int64)), pa.array(np.diff(sums[starts]))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint")
+            for a, b in slices(batch.column(1), SLICE_BYTES):
+                texts = pc.fill_null(batch.column(1).slice(a, b - a), "")
+                codes, segments, starts = _segments(texts)
+                sums = np.concatenate(([0], np.cumsum(counter.of(segments)[codes])))
+                n_words = pc.count_substring_regex(texts, r"[^\x20\x09-\x0D]+").cast(pa.int64())
+                columns = [batch.column(0).slice(a, b - a), n_words, pa.array(np.diff(sums[starts]), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_tokens"])
+
+    out = StructType([docs.schema["doc_id"], *StructType.fromDDL("n_words bigint, n_tokens bigint")])
+    return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,17 +277,18 @@ def test_forward_recursion_and_expected_counts_by_enumeration():
 
 @pytest.mark.parametrize("fallback", [True, False])
 def test_token_counts_equal_the_tokenizer(spark, fallback):
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     pieces, unknown = token_counts.load_vocabulary()
     exact = Tokenizer(models.Unigram(pieces, unk_id=unknown, byte_fallback=fallback))
-    exact.pre_tokenizer = pre_tokenizers.Sequence(
-        [pre_tokenizers.Split(Regex(r"[\x20\x09-\x0D]+"), "removed"), pre_tokenizers.Metaspace(prepend_scheme="always")]
-    )
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
     rng = random.Random(8)
-    texts = [(k, prose(rng, 60)) for k in range(30)] + AWKWARD[:-1] + [(90, "日本語 🎉🎉x a\x00b ▁▁x <unk> <s> <0x41> ​" + "z" * 5000)]
-    docs = frame(spark, texts)
-    got = sorted(((r["doc_id"] or -1, r["n_tokens"]) for r in token_counts.count_tokens(docs, byte_fallback=fallback).collect()))
+    texts = [(k, prose(rng, 60)) for k in range(30)] + AWKWARD + [(92, "a\nb  c\td"), (93, "  x\r\n\n y "), (94, "▁"), (95, " ▁ "), (90, "日本語 🎉🎉x a\x00b ▁▁x <unk> <s> <0x41> ​" + "z" * 5000)]
+    clash = [(i, t, 7, "n") for i, t in texts]
+    docs = spark.createDataFrame(clash, "doc_id int, text string, n_tokens int, n_words string")
+    rows = token_counts.count_tokens(docs, byte_fallback=fallback).collect()
+    got = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in rows)
+    assert {(r["doc_id"] or -1, r["n_words"]) for r in rows} == {(d or -1, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t in texts}
     assert got == sorted((d or -1, len(exact.encode(t or "").ids)) for d, t in texts)
     assert token_counts.count_tokens(docs.where("false")).count() == 0
 
@@ -425,3 +426,36 @@ def test_near_vectors(spark):
     few = near_vectors.search_vectors(df.where("vec_id < 5"), "vec_id", "embedding", F.col("id") % 20 == 0).collect()
     assert len(few) == 4
     assert near_vectors.search_vectors(df.where("false"), "vec_id", "embedding", F.col("id") % 20 == 0).count() == 0
+
+
+def test_near_vectors_with_ties_and_copies(spark):
+    """199 different vectors with one inner product, and few vectors with copies."""
+    import pyspark.sql.functions as F
+
+    rows = [(0, [1.0] + [0.0] * 9)] + [(k, [0.5] + [0.0] * (k % 9) + [float(k)] + [0.0] * (8 - k % 9)) for k in range(1, 200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = near_vectors.search_vectors(df, "vec_id", "embedding", F.col("id") == 0).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(k, k, 0.5) for k in range(1, 21)]
+    copies = [(2 * k + c, [float(k + 1), 1.0, float(-k)]) for k in range(15) for c in range(2)]
+    df = spark.createDataFrame(copies, "vec_id bigint, embedding array<double>")
+    got = near_vectors.search_vectors(df, "vec_id", "embedding", F.col("id") % 20 == 0).collect()
+    for q in (0, 20):
+        own = dict(copies)[q]
+        best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in copies if i != q)[:20]
+        assert [(r["rank"], r["vec_id"]) for r in sorted(got) if r["query_id"] == q] == [(k, i) for k, (_, i) in enumerate(best, 1)]
+
+
+def test_items_without_a_sentence_do_not_end_the_search(spark):
+    docs = frame(spark, [(1, "some words and nothing else of note here"), (2, "\u00a0 \u00a0")])
+    items = spark.createDataFrame([(1, "\u00a0"), (2, "\u001c \u00a0"), (3, None)], "item_id bigint, text string")
+    found = decontaminate.contaminated(docs, items).collect()
+    assert all(r["doc_id"] == 2 for r in found)
+
+
+def test_bundles_are_read_back_by_many_tasks(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(concat('x', id), 30) AS html")
+    index = warc_bundles.archive_pages(pages, f"file://{tmp_path}/w", warc_bundles.BundleLayout(frame_bytes=200, bundle_bytes=4_000))
+    frames = index.select("bundle", "frame").distinct().count()
+    records = warc_bundles.read_records(index)
+    assert records.count() == 400
+    assert frames > 64 and records.rdd.getNumPartitions() == 1 + frames // warc_bundles.FRAMES_A_TASK

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from journeyloom.llm import pair_index_bpe as bpe
-from journeyloom.llm.common import word_codes
+from journeyloom.llm.common import slices, word_codes
 
 STRANGE = [
     None, "", " \n\t ", "aaaa aaaaaaaaa aaa", "Hello, World's it's 'll THE <|endoftext|>x<|startoftext|> y12 don't're …!?!",
@@ -103,6 +103,6 @@ def test_decoding_passes_over_unknown_ids(spark, library):
 
 def test_slices_cover_all_rows():
     column = pa.array(["a" * n for n in (5, 5, 0, 30, 1, 1)] + [None])
-    cuts = list(bpe.slices(column, 10))
+    cuts = list(slices(column, 10))
     assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and cuts[0][0] == 0 and cuts[-1][1] == 7 and len(cuts) > 2
-    assert list(bpe.slices(pa.array([], pa.string()))) == []
+    assert list(slices(pa.array([], pa.string()), 10)) == []
