@@ -182,11 +182,16 @@ def write_bundles(records: DataFrame, folder: str, layout: BundleLayout = Bundle
     return settle(chosen.mapInArrow(run, INDEX), "warc_index")
 
 
+FRAMES_A_TASK = 32
+
+
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records an index names, read frame by frame; a response whose digest does not fit is an error."""
     prepare_workers(index.sparkSession)
-    # One row per frame, dealt out evenly; a frame holds a bounded number of bytes or one record.
+    # One row per frame.  It weighs a hundred bytes and stands for a megabyte, so frames are dealt out by number.
     frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    tasks = 1 + index.select("bundle", "frame").distinct().count() // FRAMES_A_TASK
+    frames = frames.repartition(tasks, "bundle", "frame")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, reader = [x.split()[0] for x in READ.split(", ")], (None, None)
