@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from journeyloom.llm.common import prepare_workers, spread, table, word_codes
+from journeyloom.llm.common import prepare_workers, slices, spread, table, word_codes
 from journeyloom.sources.workspace import settle
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
+SLICE_BYTES = 2 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -45,32 +46,33 @@ class WordIds:
     The tokenizer drops white space and never joins characters across it, so the ids of a text are
     those of its words one after the other.  A word of letters with full stops or commas behind it
     is two steps of the tokenizer's own split; its letters go straight to the merges when folding
-    and composition leave nothing to do.  Every other word takes the whole tokenizer.  At most
-    ``2 * keep`` words of up to 40 characters are remembered.
+    and composition leave nothing to do.  Every other word takes the whole tokenizer.  Words are
+    remembered up to ``known_bytes``; then the memory begins anew.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    # What one remembered word costs besides its characters and ids, and words the tokenizer gets at once:
+    # its own result of a word is some hundred times the ids.
+    ENTRY_BYTES, AT_ONCE = 240, 4_000
+
+    def __init__(self, path: str, known_bytes: int = 160 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.keep, self.young, self.old = keep, {}, {}
+        self.known_bytes, self.held, self.known = known_bytes, 0, {}
 
     def of(self, words: list[str]) -> list[bytes]:
-        if len(self.young) > self.keep:
-            self.young, self.old = {}, self.young
-        known, old = self.young, self.old
+        if self.held > self.known_bytes:
+            self.known, self.held = {}, 0
+        known = self.known
         out = list(map(known.get, words))
         open_at = [k for k, ids in enumerate(out) if ids is None]
         parts: list[tuple[int, str, str]] = []
         plain, odd = set(), set()
         for k in open_at:
             word = words[k]
-            if word in old:
-                known[word] = out[k] = old[word]
-                continue
             stem = word.rstrip(".,")
             tail, head = word[len(stem) :], stem.lower()
             direct = stem.isalpha() and head.isalpha() and (stem.isascii() or _settled_form(stem))
@@ -84,12 +86,13 @@ class WordIds:
         for todo, coder in ((plain, self.merges), (odd, self.whole)):
             fresh |= {head: known[head] for head in todo if head in known}
             left = [head for head in todo if head not in fresh]
-            for head, got in zip(left, coder.encode_batch_fast(left, add_special_tokens=False)):
-                fresh[head] = array("I", got.ids).tobytes()
+            for at in range(0, len(left), self.AT_ONCE):
+                some = left[at : at + self.AT_ONCE]
+                for head, got in zip(some, coder.encode_batch_fast(some, add_special_tokens=False)):
+                    fresh[head] = array("I", got.ids).tobytes()
         for k, head, tail in parts:
-            out[k] = ids = fresh[head] + fresh[tail]
-            if len(words[k]) <= 40:
-                known[words[k]] = ids
+            out[k] = known[words[k]] = ids = fresh[head] + fresh[tail]
+            self.held += self.ENTRY_BYTES + 4 * len(words[k]) + len(ids)
         return out
 
 
@@ -109,18 +112,20 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(path or tokenizer_path())
         for batch in batches:
-            codes, words, starts = word_codes(batch.column(1))
-            flat, at = spread(codes, ids.of(words))
-            ends = at[starts]
-            rows: list[tuple] = []
-            for doc, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:]):
-                body = np.append(flat[a:b], np.uint32(END_ID)).astype("<u4")
-                for k, begin in enumerate(range(0, len(body), capacity)):
-                    cut = body[begin : begin + capacity]
-                    rows.append((doc, k, begin, len(cut), zlib.crc32(cut)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            for first, last in slices(batch.column(1), SLICE_BYTES):
+                texts = batch.slice(first, last - first)
+                codes, words, starts = word_codes(texts.column(1))
+                flat, at = spread(codes, ids.of(words))
+                ends = at[starts]
+                rows: list[tuple] = []
+                for doc, a, b in zip(texts.column(0).to_pylist(), ends[:-1], ends[1:]):
+                    body = np.append(flat[a:b], np.uint32(END_ID)).astype("<u4")
+                    for k, begin in enumerate(range(0, len(body), capacity)):
+                        cut = body[begin : begin + capacity]
+                        rows.append((doc, k, begin, len(cut), zlib.crc32(cut)))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
