@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,25 @@ def prepare_workers(spark: SparkSession, size: str = "8m") -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH")) if x)
 
 
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, which hands free memory back to the system when its partition is done.
+
+    Workers are kept for later tasks; what their allocators hold back would count against the executor
+    while other stages run.
+    """
+
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library than glibc
+
+    return tidied
+
+
 def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Words of all texts as codes into a list of distinct words, and where each text's words begin.
 

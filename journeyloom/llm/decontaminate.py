@@ -21,7 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from journeyloom.llm.common import prepare_workers, summed_arrays, table, word_codes
+from journeyloom.llm.common import prepare_workers, summed_arrays, table, tidy, word_codes
 from journeyloom.sources.workspace import settle
 
 _TRIM = ".,;:!?\"'()[]{}<>|*&%$#@~`_-+=/\\"
@@ -57,7 +57,7 @@ def hashed_words(docs: DataFrame) -> DataFrame:
             rows = [stream[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "words"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, words binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, words binary")
 
 
 def _passages(batches: Iterable[pa.RecordBatch], r: Retrieval, most: int = 1000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -101,7 +101,7 @@ def inverse_frequency(streams: DataFrame, r: Retrieval) -> np.ndarray:
             n += rows
         yield _emit([np.append(found, n)])
 
-    got = summed_arrays(streams.select("words").mapInArrow(run, "lane bigint, part bigint, counts array<double>")).get(0, np.zeros(r.terms + 1))
+    got = summed_arrays(streams.select("words").mapInArrow(tidy(run), "lane bigint, part bigint, counts array<double>")).get(0, np.zeros(r.terms + 1))
     return np.log((got[-1] + 1) / (got[:-1] + 1)) + 0.1
 
 
@@ -126,7 +126,7 @@ def latent_space(streams: DataFrame, r: Retrieval) -> np.ndarray:
                 total += a.T @ (a @ basis)
             yield _emit([total])
 
-        got = summed_arrays(streams.select("words").mapInArrow(run, "lane bigint, part bigint, counts array<double>"))
+        got = summed_arrays(streams.select("words").mapInArrow(tidy(run), "lane bigint, part bigint, counts array<double>"))
         return got[0].reshape(basis.shape) if got else np.zeros(basis.shape)
 
     sketch = np.random.default_rng(r.seed).standard_normal((r.terms, r.rank + r.oversample))
@@ -290,7 +290,7 @@ def search(streams: DataFrame, items: Items, space: np.ndarray, r: Retrieval) ->
                 check(n, i, at, rows_at[n] + p // half, min(state["first"][i] + q // half, state["last"][i] - 1))
         return [(texts[n][0], state["ids"][item], *found) for (n, item), found in best.items()]
 
-    return streams.select("doc_id", "words").mapInArrow(run, HIT)
+    return streams.select("doc_id", "words").mapInArrow(tidy(run), HIT)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, r: Retrieval = Retrieval()) -> DataFrame:

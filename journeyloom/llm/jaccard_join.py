@@ -23,7 +23,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from journeyloom.llm.common import prepare_workers, table, word_codes
+from journeyloom.llm.common import prepare_workers, table, tidy, word_codes
 from journeyloom.sources.workspace import settle
 
 
@@ -130,7 +130,7 @@ def described(docs: DataFrame, join: Join) -> DataFrame:
                 uid += batch.num_rows
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SETS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SETS)
 
 
 def descend(nodes: DataFrame, join: Join) -> DataFrame:
@@ -155,7 +155,7 @@ def descend(nodes: DataFrame, join: Join) -> DataFrame:
                 [batch.column(0).take(pa.array(again)), batch.column(1).take(pa.array(again)), pa.array(np.concatenate(paths))], ["uid", "signature", "path"]
             )
 
-    return nodes.select("uid", "signature", "path").mapInArrow(run, "uid bigint, signature binary, path bigint")
+    return nodes.select("uid", "signature", "path").mapInArrow(tidy(run), "uid bigint, signature binary, path bigint")
 
 
 def by_group(work: Callable[[list[tuple[list, ...]]], list[tuple]], kinds: list[pa.DataType], names: list[str]):

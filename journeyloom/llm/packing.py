@@ -24,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from journeyloom.llm.common import prepare_workers, slices, spread, table, word_codes
+from journeyloom.llm.common import prepare_workers, slices, spread, table, tidy, word_codes
 from journeyloom.sources.workspace import settle
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)
 
 
 def fullest(counts: dict[int, int], order: list[int], room: int) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from journeyloom.llm.common import prepare_workers, table, word_codes
+from journeyloom.llm.common import prepare_workers, table, tidy, word_codes
 from journeyloom.llm.hmm_lm import Lockstep, remainder
 
 _TRIM = ".,;:!?\"'()[]{}<>|*&%$#@~`_-+=/\\"
@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Chai
                 [pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)]], ["form", "bad", "good"]
             )
 
-    counted = texts.select("text", "toxic").mapInArrow(count, "form string, bad bigint, good bigint").groupBy("form").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = texts.select("text", "toxic").mapInArrow(tidy(count), "form string, bad bigint, good bigint").groupBy("form").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     sizes = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
     odds = F.log((F.col("bad") + 0.1) / n_bad) - F.log((F.col("good") + 0.5) / n_good)
@@ -271,7 +271,7 @@ def score_texts(docs: DataFrame, chain: Chain, group: int = 400_000) -> DataFram
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, {SCORED}")
+    return docs.mapInArrow(tidy(run), f"{kinds}, {SCORED}")
 
 
 def _ranges(text: str, bad: np.ndarray) -> tuple[int, str]:
