@@ -19,6 +19,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def _tokenizers(path: str):
+    """The whole tokenizer and its merges alone; a worker reads the file once for all of its tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    merges = Tokenizer(whole.model)
+    merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return whole, merges
+
+
 class WordIds:
     """Token ids of distinct words as little-endian 32-bit words, remembered between batches.
 
@@ -55,12 +68,7 @@ class WordIds:
     ENTRY_BYTES, AT_ONCE = 240, 4_000
 
     def __init__(self, path: str, known_bytes: int = 160 << 20):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.whole = Tokenizer.from_file(path)
-        self.merges = Tokenizer(self.whole.model)
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole, self.merges = _tokenizers(path)
         self.known_bytes, self.held, self.known = known_bytes, 0, {}
 
     def of(self, words: list[str]) -> list[bytes]:
