@@ -71,13 +71,25 @@ def _matches(word: Column, how: str, wanted: tuple[str, ...]) -> Column:
     return hit
 
 
-def channel_group(source: Column, medium: Column) -> Column:
-    """Channel label of a session; the first rule that applies wins."""
+def _first_rule(source: Column, medium: Column, direct: str, values: dict[str, str], other: str) -> Column:
+    """The value of the first rule that applies."""
     word = F.lower(medium)
-    label = F.when((source == DIRECT_SOURCE) & (medium == DIRECT_MEDIUM), DIRECT_CHANNEL)
+    out = F.when((source == DIRECT_SOURCE) & (medium == DIRECT_MEDIUM), direct)
     for name, how, wanted in CHANNEL_RULES:
-        label = label.when(_matches(word, how, wanted), name)
-    return label.otherwise(OTHER_CHANNEL)
+        out = out.when(_matches(word, how, wanted), values[name])
+    return out.otherwise(other)
+
+
+def channel_group(source: Column, medium: Column) -> Column:
+    """Channel label of a session; the first rule that applies wins."""
+    return _first_rule(source, medium, DIRECT_CHANNEL, {name: name for name, _, _ in CHANNEL_RULES}, OTHER_CHANNEL)
+
+
+def channel_rule(source: Column, medium: Column) -> Column:
+    """The rule behind ``channel_group``, in words."""
+    verbs = {"is": "medium is", "has": "medium has", "re": "medium matches"}
+    told = {name: f"{verbs[how]} {', '.join(wanted)}" for name, how, wanted in CHANNEL_RULES}
+    return _first_rule(source, medium, f"{DIRECT_SOURCE} / {DIRECT_MEDIUM}", told, "no rule")
 
 
 def session_source_medium(source: Column, medium: Column, campaign: Column) -> dict[str, Column]:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from journeyloom.config import AttributionConfig
-from journeyloom.operators import reconcile
+from journeyloom.operators import entities, reconcile
 from journeyloom.operators.contracts import (
     Contract,
     ContractViolation,
@@ -15,6 +15,7 @@ from journeyloom.operators.contracts import (
 )
 from journeyloom.operators.onepass import distinct, one_pass
 from journeyloom.operators.profiling import leading_values
+from journeyloom.operators.sessions import channel_group
 from journeyloom.operators.staging import stage_events, stage_items
 from journeyloom.plans.warehouse import AttributionChain, publish_attribution
 from journeyloom.sources.publish import NotPublished, current_version, layout_report, publish, read_published
@@ -274,3 +275,18 @@ def test_reconciliation_reads_each_side_once(spark, chain):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(reconcile.reconcile_sessions(staged, tx, se)).count("Relation [") == 3
     assert plan(reconcile.reconcile_events(chain.events, staged)).count("Relation [") == 2
+
+
+def test_channel_mapping_tells_rules_and_retargeting(spark):
+    rows = [
+        ("(direct)", "(none)", "(not set)"), ("g", "CPC", "x"), ("g", "cpc", "Remarketing May"), ("s", "paid-social", "x"),
+        ("s", "Social", "x"), ("d", "banner", "retargeting"), ("n", "email", "x"), ("z", "podcast", "x"), ("z", "podcast", "x"),
+    ]
+    df = spark.createDataFrame(rows, "session_source string, session_medium string, session_campaign string")
+    df = df.withColumn("session_channel_group", channel_group(F.col("session_source"), F.col("session_medium")))
+    got = {(r.session_source, r.session_medium): (r.channel_group, r.reporting_channel, r.mapping_rule, r.session_count) for r in entities.dim_channel_mapping(df).collect()}
+    assert got["(direct)", "(none)"] == ("Direct", "Direct", "(direct) / (none)", 1)
+    assert got["g", "CPC"][:2] == ("Paid Search", "Paid Search") and got["g", "cpc"][:2] == ("Paid Search", "Retargeting")
+    assert got["s", "paid-social"][:3] == ("Paid Social", "Paid Social", "medium matches paid.*social|social.*paid")
+    assert got["s", "Social"][:2] == ("Organic Social", "Organic Social") and got["d", "banner"][:2] == ("Display", "Retargeting")
+    assert got["z", "podcast"] == ("Other", "Other or Unassigned", "no rule", 2) and len(got) == 8

@@ -1633,6 +1633,20 @@ LEFT JOIN ses ON session_channel_group = channel_group GROUP BY ALL
 """,
     dates="first_session_date",
 )
+ORACLES["dim_channel_mapping"] = query(
+    """
+SELECT session_source, session_medium, session_channel_group AS channel_group,
+  CASE session_channel_group WHEN 'Direct' THEN '(direct) / (none)'
+    WHEN 'Paid Search' THEN 'medium is cpc, ppc, paid search, paid_search, paidsearch'
+    WHEN 'Organic Search' THEN 'medium has organic' WHEN 'Email' THEN 'medium has email'
+    WHEN 'Affiliate' THEN 'medium has affiliate' WHEN 'Referral' THEN 'medium has referral' ELSE 'no rule' END AS mapping_rule,
+  regexp_matches(lower(session_medium || ' ' || session_campaign), 'retarget|remarket') AS is_retargeting,
+  CASE WHEN regexp_matches(lower(session_medium || ' ' || session_campaign), 'retarget|remarket') THEN 'Retargeting'
+    WHEN session_channel_group = 'Other' THEN 'Other or Unassigned' ELSE session_channel_group END AS reporting_channel,
+  count(*) AS session_count
+FROM ses GROUP BY ALL
+"""
+)
 ORACLES["dim_geo"] = query(
     "SELECT geo_country || ' | ' || geo_region AS geo_key, geo_country, geo_region, "
     "geo_country <> '(not set)' AS is_valid_geography, count(*) AS session_count FROM ses GROUP BY ALL"
