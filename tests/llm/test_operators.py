@@ -344,7 +344,7 @@ def words(text: str) -> int:
 
 def plain_chunks(text: str | None) -> list[str]:
     """The cut into chunks, written once more in plain Python."""
-    lines = [u for u in re.split(r"(?<=\n)|(?<=[.!?,;:|26BFJNRVZbfjnrvz] )", (text or "").replace("\u0001", "\u0001\u0003")) if u]
+    lines = [u for u in re.split(r"(?<=\n)|(?<=[.!?,;:|26BFJNRVZbfjnrvzª²º¾ÂÆÊÎÒÖÚÞâæêîòöúþ] )", (text or "").replace("\u0001", "\u0001\u0003")) if u]
     hashes = [xxhash.xxh64_intdigest(u.encode(), 42) for u in lines]
     signed = lambda h: h - 2**64 if h >= 2**63 else h
     roll, last = [], 42
@@ -369,7 +369,7 @@ def plain_line_dedup(rows: list[tuple], reach: int = 12) -> list[tuple]:
     for k, chunks in zip(key, cut):
         for c in chunks:
             first[c] = min(first.get(c, k), k)
-    wrap = lambda t: [u for u in re.split(r"(?<=\n)|(?<=[.!?,;:|26BFJNRVZbfjnrvz] )", t) if u]
+    wrap = lambda t: [u for u in re.split(r"(?<=\n)|(?<=[.!?,;:|26BFJNRVZbfjnrvzª²º¾ÂÆÊÎÒÖÚÞâæêîòöúþ] )", t) if u]
     states = [
         [("" if number[c] == 1 else "k" if first[c] == k and c not in chunks[:n] else "o") for n, c in enumerate(chunks)] for k, chunks in zip(key, cut)
     ]
