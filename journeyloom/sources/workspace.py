@@ -53,7 +53,7 @@ def results_folder(spark: SparkSession) -> str:
     return f"{application_folder(spark)}/results"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a frame once to the shared folder and go on from the written table.
 
     Later stages read it as often as they like, column by column, with real size statistics, and
@@ -61,12 +61,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").parquet(path, compression=codec)
     for seen in _watchers:
         seen.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames nobody refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which a driver with little to do puts off.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def watched_frames() -> Iterator[list[str]]:
     """The paths of all frames settled inside the block, for ``drop_frames`` later on."""
