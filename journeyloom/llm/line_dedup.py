@@ -11,6 +11,7 @@ Chunks are grouped over all documents by hash, and what is grouped is compared b
 document with the smallest doc_id keeps a repeated chunk, at its first place.  Runs of repeated chunks
 are then extended line by line: the lines beside a run, up to ``reach`` of them, belong to it where
 they stand beside the same chunk elsewhere too, so a passage goes up to the line its border lies in.
+Chunks under ``telling`` octets are no evidence by themselves; they go as part of an extension.
 A run goes if it has at least ``min_words`` words with its extension.
 
 All steps are linear in the length of a text but for a short list per run: lists are cut and aligned
@@ -22,14 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from journeyloom.llm.common import table
-from journeyloom.sources.workspace import settle
+from journeyloom.sources.workspace import free_shuffles, settle
 
 # An escape character, what stands for it inside a text, and the markers between parts.
 _ESCAPE, _ESCAPED, _MARK, _TURN = "\u0001", "\u0001\u0003", "\u0001\u0002", "\u0001\u0004"
+# Texts are written down densely: disk is what this operator takes most of.
+_CODEC = "zstd"
 # Where lines end: behind a line break, and behind a blank that follows punctuation or every fourth
 # letter or digit of Latin-1; words of other scripts wrap at punctuation alone.
 _ENDINGS = "".join(c for c in map(chr, range(2, 256, 4)) if c.isalnum())
-_WRAP = rf"(?<=\n)|(?<=[.!?,;:|{_ENDINGS}] )"
+_WRAP = rf"(?<=[ \n])(?<=\n|[.!?,;:|{_ENDINGS}] )"
 
 
 def _before(values: Column, kind: str = "bigint") -> Column:
@@ -48,36 +51,36 @@ def _lines(text: Column) -> Column:
 def chunks_of(docs: DataFrame, text: str = "text", long_line: int = 50) -> DataFrame:
     """Adds ``_chunks``: the (escaped) text cut at content-defined boundaries; null where the text is null."""
     # Two octets a word are the least, so only long enough lines need counting.
-    is_long = lambda u: F.when(
-        F.octet_length(u) >= 2 * long_line - 1, F.regexp_count(u, F.lit(r"\S+")) >= long_line
-    ).otherwise(F.lit(False))
+    is_long = lambda u: (F.octet_length(u) >= 2 * long_line - 1) & (F.regexp_count(u, F.lit(r"\S+")) >= long_line)
     cut = (
         docs.withColumn("_lines", _lines(F.replace(F.col(text), F.lit(_ESCAPE), F.lit(_ESCAPED))))
         .withColumn("_hash", F.transform("_lines", lambda u: F.xxhash64(u)))
-        .withColumn("_long", F.transform("_lines", is_long))
         .withColumn("_roll", F.zip_with(_before(F.col("_hash")), F.col("_hash"), lambda a, b: F.xxhash64(a, b)))
         .withColumn("_near", F.zip_with(_before(F.col("_roll")), _behind(F.col("_roll")), lambda a, b: F.least(a, b)))
         .withColumn("_low", F.zip_with("_roll", "_near", lambda r, near: r < near))
-        .withColumn("_forced", F.zip_with(_before(F.col("_long"), "boolean"), F.col("_long"), lambda a, b: F.coalesce(a, F.lit(False)) | b))
-        .withColumn("_opens", F.zip_with("_low", "_forced", lambda a, b: F.coalesce(a, F.lit(False)) | b))
     )
-    marked = F.zip_with("_lines", "_opens", lambda u, opens: F.when(opens, F.concat(F.lit(_MARK), u)).otherwise(u))
+    marked = F.zip_with(
+        "_lines",
+        "_low",
+        lambda u, low: F.when(is_long(u), F.concat(F.lit(_MARK), u, F.lit(_MARK))).when(low, F.concat(F.lit(_MARK), u)).otherwise(u),
+    )
     parts = F.split(F.array_join(marked, ""), _MARK, -1)
     return cut.withColumn("_chunks", F.filter(parts, lambda c: F.octet_length(c) > 0)).drop(
-        "_lines", "_hash", "_long", "_roll", "_near", "_low", "_forced", "_opens"
+        "_lines", "_hash", "_roll", "_near", "_low"
     )
 
 
-def cut_rows(docs: DataFrame, long_line: int) -> DataFrame:
+def cut_rows(docs: DataFrame, long_line: int, telling: int) -> DataFrame:
     """Every row with a number, its document key, its other columns, its chunks and their hashes, written once.
 
-    A row without a doc_id is a document of its own, behind all others.
+    A row without a doc_id is a document of its own, behind all others.  Chunks under ``telling``
+    octets have no hash.
     """
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(F.monotonically_increasing_id().alias("_id"), F.col("doc_id").cast("bigint").alias("_given"), rest.alias("_rest"), F.col("text").alias("_text"))
     rows = rows.withColumn("_doc", F.coalesce("_given", F.lit(2**62) + F.col("_id")))
-    cut = chunks_of(rows, "_text", long_line).withColumn("_sums", F.transform("_chunks", lambda c: F.xxhash64(c)))
-    return settle(cut.select("_id", "_doc", "_rest", "_chunks", "_sums"), "chunks")
+    cut = chunks_of(rows, "_text", long_line).withColumn("_sums", F.transform("_chunks", lambda c: F.when(F.octet_length(c) >= telling, F.xxhash64(c))))
+    return settle(cut.select("_id", "_doc", "_rest", "_chunks", "_sums"), "chunks", _CODEC)
 
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def with_states(rows: DataFrame, marks: DataFrame) -> DataFrame:
     )
     states = F.split(F.array_join(gaps, ""), _MARK, -1)
     aligned = F.zip_with("_chunks", states, lambda c, s: F.when(s != "", s))
-    return settle(rows.join(marks, "_id").withColumn("_state", aligned).drop("_marks"), "marked_rows")
+    return settle(rows.join(marks, "_id").withColumn("_state", aligned).drop("_marks"), "marked_rows", _CODEC)
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -154,26 +157,29 @@ def in_stretches(rows: DataFrame) -> DataFrame:
 
 def extensions(rows: DataFrame, reach: int) -> DataFrame:
     """Per row ``_more``: border number to the characters beside it that are repeated with the chunk there."""
-    border = rows.select("_id", "_doc", "_parts", F.posexplode("_anchors").alias("_b", "_anchor"))
     # Even borders open a repeated stretch, the text before it is meant; behind odd ones the next.
+    beside = F.transform(
+        "_anchors", lambda a, b: F.struct(a.alias("_anchor"), F.element_at("_parts", b + 1 + b % 2).alias("_beside"))
+    )
+    border = rows.select("_id", "_doc", F.posexplode(beside).alias("_b", "_x")).select("_id", "_doc", "_b", "_x.*")
     opens = F.col("_b") % 2 == 0
-    beside = F.element_at("_parts", F.col("_b") + F.when(opens, 1).otherwise(2))
     lines = _lines(F.col("_beside"))
     near = F.slice(F.when(opens, F.reverse("_all")).otherwise(F.col("_all")), 1, reach)
-    taken = lambda j: F.array_join(F.slice("_near", F.lit(1), j), _MARK)
+    taken = lambda name, j: F.slice(name, F.lit(1), j)
     keys = F.transform(
         F.sequence(F.lit(1), F.size("_near")),
         lambda j: F.struct(
-            F.xxhash64(opens, F.col("_anchor"), taken(j)).alias("key"),
-            F.xxhash64(F.lit("second"), taken(j), F.col("_anchor")).alias("again"),
-            F.length(F.array_join(F.slice("_near", F.lit(1), j), "")).alias("size"),
+            F.xxhash64(opens, F.col("_anchor"), taken("_codes", j)).alias("key"),
+            F.xxhash64(F.lit("second"), taken("_codes", j), F.col("_anchor")).alias("again"),
+            F.aggregate(taken("_sizes", j), F.lit(0), lambda a, b: a + b).alias("size"),
         ),
     )
     tried = (
-        border.select("_id", "_doc", "_b", "_anchor", beside.alias("_beside"))
-        .where("_beside <> ''")
+        border.where("_beside <> ''")
         .withColumn("_all", lines)
         .withColumn("_near", near)
+        .withColumn("_codes", F.transform("_near", lambda u: F.xxhash64(u)))
+        .withColumn("_sizes", F.transform("_near", lambda u: F.length(u)))
         .select("_id", "_doc", "_b", F.explode(keys).alias("_k"))
         .select("_id", "_doc", "_b", "_k.*")
     )
@@ -213,7 +219,7 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit(_ESCAPED), F.lit(_ESCAPE))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50, reach: int = 12) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50, reach: int = 8, telling: int = 30) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; all rows and all other columns stay.
 
     Null and empty texts stay as they are.  Rows with one doc_id count as one document, so an exactly
@@ -221,8 +227,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50, reach
     whose chunks are kept elsewhere becomes empty.  Columns may have any names; only doc_id and text
     are used.  Starts jobs.
     """
-    rows = cut_rows(docs, long_line)
-    marks = settle(repeated_chunks(rows), "marks")
+    spark = docs.sparkSession
+    rows = cut_rows(docs, long_line, telling)
+    marks = settle(repeated_chunks(rows), "marks", _CODEC)
+    free_shuffles(spark)
     rows = with_bitmap(rows, marks, "_id")
 
     def columns(clean: Column) -> list[Column]:
@@ -230,7 +238,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50, reach
 
     # Only texts with a repeated chunk are shuffled.
     untouched = rows.where("not _marked").select(*columns(_plain(F.array_join("_chunks", ""))))
-    parted = in_stretches(compared(with_states(rows.where("_marked").drop("_marked"), marks)))
+    marked = with_states(rows.where("_marked").drop("_marked"), marks)
+    free_shuffles(spark)
+    parted = in_stretches(compared(marked))
     cut = parted.drop("_anchors").join(extensions(parted, reach), "_id", "left")
     start = lambda i: F.coalesce(F.try_element_at("_more", i - 1), F.lit(0))
     end = lambda i: F.coalesce(F.try_element_at("_more", i), F.lit(0))

@@ -360,18 +360,18 @@ def plain_chunks(text: str | None) -> list[str]:
     return chunks
 
 
-def plain_line_dedup(rows: list[tuple], reach: int = 12) -> list[tuple]:
+def plain_line_dedup(rows: list[tuple], reach: int = 8) -> list[tuple]:
     """Chunks kept by the smallest document, runs extended by the lines they share with another place."""
     cut = [plain_chunks(t) for _, t in rows]
     key = [(0, d) if d is not None else (1, n) for n, (d, _) in enumerate(rows)]
-    number = collections.Counter(c for chunks in cut for c in chunks)
+    number = collections.Counter(c for chunks in cut for c in chunks if len(c.encode()) >= 30)
     first: dict[str, tuple] = {}
     for k, chunks in zip(key, cut):
         for c in chunks:
             first[c] = min(first.get(c, k), k)
     wrap = lambda t: [u for u in re.split(r"(?<=\n)|(?<=[.!?,;:|26BFJNRVZbfjnrvzª²º¾ÂÆÊÎÒÖÚÞâæêîòöúþ] )", t) if u]
     states = [
-        [("" if number[c] == 1 else "k" if first[c] == k and c not in chunks[:n] else "o") for n, c in enumerate(chunks)] for k, chunks in zip(key, cut)
+        [("" if number[c] < 2 else "k" if first[c] == k and c not in chunks[:n] else "o") for n, c in enumerate(chunks)] for k, chunks in zip(key, cut)
     ]
     stretches = [[(bool(r), list(g)) for r, g in itertools.groupby(zip(chunks, state), lambda x: bool(x[1]))] for chunks, state in zip(cut, states)]
 
