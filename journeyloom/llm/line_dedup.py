@@ -1,21 +1,20 @@
 """Line dedup on content-defined chunks of lines, in DataFrame functions only.
 
-A text is a list of lines.  A line ends at a line break and is wrapped behind punctuation and behind
-words that end in every fourth letter or digit, so a passage inside a paragraph has lines of its own,
-about three words each.  Every line is hashed, a rolling hash over two line hashes slides over the list, and a local
-minimum of it opens a chunk, every third line or so.  A boundary depends on four lines around it and
-nothing else, so the chunks of a passage are the same wherever it stands.  A line of ``long_line`` words
-or more is a chunk by itself.
-
-Chunks are grouped over all documents by hash, and what is grouped is compared by its bytes.  The
-document with the smallest doc_id keeps a repeated chunk, at its first place.  Runs of repeated chunks
-are then extended line by line: the lines beside a run, up to ``reach`` of them, belong to it where
-they stand beside the same chunk elsewhere too, so a passage goes up to the line its border lies in.
-Chunks under ``telling`` octets are no evidence by themselves; they go as part of an extension.
-A run goes if it has at least ``min_words`` words with its extension.
-
-All steps are linear in the length of a text but for a short list per run: lists are cut and aligned
-by writing markers into the text and splitting at them.
+A text is a list of lines; lines are wrapped behind punctuation, so a passage that fills one line has
+lines of its own.  Every line is hashed, a rolling hash over two line hashes slides over the list, and
+a local minimum of it opens a chunk.  Behind a line of 16 octets or more and before one of 48 or more a
+chunk opens as well, so most lines are chunks of their own and only very short ones are put together: a
+passage that is repeated loses its first few words and its last short lines at most.  A boundary
+depends on four lines around it and nothing else, so the chunks of a passage are the same wherever it
+stands.  A long line is a
+chunk by itself.
+
+Chunks are grouped over all documents by their bytes.  The document with the smallest doc_id keeps a
+repeated chunk, at its first place; everywhere else it goes, if the run of repeated chunks it stands
+in has at least ``min_words`` words.
+
+All steps are linear in the length of a text: lists are cut and aligned by writing markers into the
+text and splitting at them, never by looking up list elements one by one.
 """
 
 from __future__ import annotations
@@ -23,191 +22,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from journeyloom.llm.common import table
-from journeyloom.sources.workspace import free_shuffles, settle
+from journeyloom.sources.workspace import settle
 
-# An escape character, what stands for it inside a text, and the markers between parts.
-_ESCAPE, _ESCAPED, _MARK, _TURN = "\u0001", "\u0001\u0003", "\u0001\u0002", "\u0001\u0004"
-# Texts are written down densely: disk is what this operator takes most of.
-_CODEC = "zstd"
-# Where lines end: behind a line break, and behind a blank that follows punctuation or every fourth
-# letter or digit of Latin-1; words of other scripts wrap at punctuation alone.
-_ENDINGS = "".join(c for c in map(chr, range(2, 256, 4)) if c.isalnum())
-_WRAP = rf"(?<=[ \n])(?<=\n|[.!?,;:|{_ENDINGS}] )"
+# An escape character, what stands for it inside a text, and the marker between parts.
+_ESCAPE, _ESCAPED, _MARK = "\u0001", "\u0001\u0003", "\u0001\u0002"
+# Octets of a line from which it ends a chunk, and from which it opens one.
+_ENDS, _OPENS = 16, 48
 
 
-def _before(values: Column, kind: str = "bigint") -> Column:
+def _before(values: Column) -> Column:
     """The list moved by one place: element i is what was i - 1."""
-    return F.slice(F.concat(F.array(F.lit(None).cast(kind)), values), F.lit(1), F.size(values))
+    return F.slice(F.concat(F.array(F.lit(None).cast("bigint")), values), F.lit(1), F.size(values))
 
 
 def _behind(values: Column) -> Column:
     return F.slice(F.concat(values, F.array(F.lit(None).cast("bigint"))), F.lit(2), F.size(values))
 
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, _WRAP, -1), lambda u: F.octet_length(u) > 0)
-
-
-def chunks_of(docs: DataFrame, text: str = "text", long_line: int = 50) -> DataFrame:
-    """Adds ``_chunks``: the (escaped) text cut at content-defined boundaries; null where the text is null."""
-    # Two octets a word are the least, so only long enough lines need counting.
-    is_long = lambda u: (F.octet_length(u) >= 2 * long_line - 1) & (F.regexp_count(u, F.lit(r"\S+")) >= long_line)
+def chunks_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``_chunks``: the (escaped) text cut at content-defined boundaries; a null text has none."""
+    escaped = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(_ESCAPE), F.lit(_ESCAPED))
+    lines = F.filter(F.split(escaped, r"(?<=[ \n])(?<=\n|[.!?,;:|] )", -1), lambda u: F.octet_length(u) > 0)
     cut = (
-        docs.withColumn("_lines", _lines(F.replace(F.col(text), F.lit(_ESCAPE), F.lit(_ESCAPED))))
+        docs.withColumn("_lines", lines)
         .withColumn("_hash", F.transform("_lines", lambda u: F.xxhash64(u)))
         .withColumn("_roll", F.zip_with(_before(F.col("_hash")), F.col("_hash"), lambda a, b: F.xxhash64(a, b)))
         .withColumn("_near", F.zip_with(_before(F.col("_roll")), _behind(F.col("_roll")), lambda a, b: F.least(a, b)))
         .withColumn("_low", F.zip_with("_roll", "_near", lambda r, near: r < near))
+        .withColumn("_size", F.transform("_lines", lambda u: F.octet_length(u).cast("bigint")))
+        .withColumn("_dense", F.zip_with(_before(F.col("_size")), F.col("_size"), lambda a, b: (a >= _ENDS) | (b >= _OPENS)))
+        .withColumn("_opens", F.zip_with("_low", "_dense", lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))))
     )
-    marked = F.zip_with(
-        "_lines",
-        "_low",
-        lambda u, low: F.when(is_long(u), F.concat(F.lit(_MARK), u, F.lit(_MARK))).when(low, F.concat(F.lit(_MARK), u)).otherwise(u),
-    )
+    marked = F.zip_with("_lines", "_opens", lambda u, opens: F.when(opens, F.concat(F.lit(_MARK), u)).otherwise(u))
     parts = F.split(F.array_join(marked, ""), _MARK, -1)
     return cut.withColumn("_chunks", F.filter(parts, lambda c: F.octet_length(c) > 0)).drop(
-        "_lines", "_hash", "_roll", "_near", "_low"
+        "_lines", "_hash", "_roll", "_near", "_low", "_size", "_dense", "_opens"
     )
 
 
-def cut_rows(docs: DataFrame, long_line: int, telling: int) -> DataFrame:
-    """Every row with a number, its document key, its other columns, its chunks and their hashes, written once.
-
-    A row without a doc_id is a document of its own, behind all others.  Chunks under ``telling``
-    octets have no hash.
-    """
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    rows = docs.select(F.monotonically_increasing_id().alias("_id"), F.col("doc_id").cast("bigint").alias("_given"), rest.alias("_rest"), F.col("text").alias("_text"))
-    rows = rows.withColumn("_doc", F.coalesce("_given", F.lit(2**62) + F.col("_id")))
-    cut = chunks_of(rows, "_text", long_line).withColumn("_sums", F.transform("_chunks", lambda c: F.when(F.octet_length(c) >= telling, F.xxhash64(c))))
-    return settle(cut.select("_id", "_doc", "_rest", "_chunks", "_sums"), "chunks", _CODEC)
+def _second_hash(chunk: Column) -> Column:
+    """Another hash than ``xxhash64(chunk)``: it starts from another seed."""
+    return F.xxhash64(F.lit("second"), chunk)
 
 
-def repeated_chunks(rows: DataFrame) -> DataFrame:
-    """Per row its chunks that occur elsewhere as well: ``_marks`` of (no, state), by number.
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """Per document key the repeated chunks that are not the kept one: ``_marks`` of (no, hash).
 
-    State ``k`` is the place that keeps the chunk, ``o`` any other.  Rows that share a doc_id are one
-    document: each of them keeps a chunk at its first place, if that document does.
+    Chunks are grouped by their bytes.  Their places carry a 64-bit hash only; whoever applies the
+    marks compares a second, independent hash of the chunk it has before it.
     """
+    keyed = docs.select(document_key(), "text")
     # The outer form, else the optimizer derives a filter on the list and repeats its steps below it.
-    places = rows.select("_id", "_doc", F.posexplode_outer("_sums").alias("_no", "_sum")).where("_sum is not null")
-    # Same hash, same group; the partial aggregate leaves one row per task of however hot a chunk.
-    kept = places.groupBy("_sum").agg(F.count("*").alias("_n"), F.min("_doc").alias("_first")).where("_n > 1").select("_sum", "_first")
-    found = places.join(kept, "_sum").groupBy("_id").agg(
-        F.collect_list(F.struct("_sum", "_no", (F.col("_doc") == F.col("_first")).alias("_own"))).alias("_found")
+    chunks = (
+        chunks_of(keyed, "text")
+        .select("_doc", F.posexplode_outer("_chunks").alias("_no", "_chunk"))
+        .where("_chunk is not null")
+    )
+    # Same bytes, same group; the partial aggregate leaves one row per task of however hot a chunk.
+    kept = (
+        chunks.groupBy("_chunk")
+        .agg(F.count("*").alias("_n"), F.min("_doc").alias("_first"))
+        .where("_n > 1")
+        .select(F.xxhash64("_chunk").alias("_hash"), _second_hash(F.col("_chunk")).alias("_again"), "_first")
+    )
+    places = chunks.select("_doc", "_no", F.xxhash64("_chunk").alias("_hash"))
+    found = places.join(kept, "_hash").groupBy("_doc").agg(
+        F.collect_set(F.struct("_again", "_no", (F.col("_doc") == F.col("_first")).alias("_own"))).alias("_found")
     )
     # In the keeping document all but the first place of a chunk count as repeats.
-    ordered = found.withColumn("_found", F.sort_array("_found")).withColumn("_last", _before(F.col("_found._sum")))
-    marks = F.zip_with(
-        "_found",
-        "_last",
-        lambda x, last: F.struct(
-            x["_no"].alias("no"), F.when(x["_own"] & ~x["_sum"].eqNullSafe(last), F.lit("k")).otherwise(F.lit("o")).alias("state")
-        ),
-    )
-    return ordered.select("_id", F.sort_array(marks).alias("_marks"))
-
-
-def with_states(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows with marks, and ``_state`` per chunk: null, ``k`` or ``o``; written once."""
-    # As many markers as numbers passed since the mark before.
-    gaps = F.zip_with(
-        "_marks",
-        F.slice(F.concat(F.array(F.lit(0)), F.col("_marks.no")), F.lit(1), F.size("_marks")),
-        lambda m, last: F.concat(F.repeat(F.lit(_MARK), m["no"] - last), m["state"]),
-    )
-    states = F.split(F.array_join(gaps, ""), _MARK, -1)
-    aligned = F.zip_with("_chunks", states, lambda c, s: F.when(s != "", s))
-    return settle(rows.join(marks, "_id").withColumn("_state", aligned).drop("_marks"), "marked_rows", _CODEC)
-
-
-def compared(rows: DataFrame) -> DataFrame:
-    """Repeated chunks compared by their bytes: chunks of one hash but other bytes lose their state."""
-    each = rows.select("_id", F.explode(F.arrays_zip("_sums", "_chunks", "_state")).alias("_c")).where("_c._state is not null")
-    sums = each.select(F.col("_c._sums").alias("_sum"), F.col("_c._chunks").alias("_chunk"))
-    unequal = sums.distinct().groupBy("_sum").count().where("count > 1").select("_sum")
-    unequal = settle(unequal, "unequal_chunks")
-    hit = each.select("_id", F.col("_c._sums").alias("_sum")).join(unequal, "_sum")
-    hit = settle(hit.groupBy("_id").agg(F.collect_set("_sum").alias("_unequal")), "rows_of_unequal_chunks")
-    held = F.zip_with("_state", "_sums", lambda s, x: F.when(~F.coalesce(F.array_contains("_unequal", x), F.lit(False)), s))
-    return rows.join(hit, "_id", "left").withColumn("_state", F.when(F.col("_unequal").isNull(), F.col("_state")).otherwise(held)).drop("_unequal")
-
-
-def in_stretches(rows: DataFrame) -> DataFrame:
-    """Adds ``_parts``, stretches without and with repeated chunks in turn, and ``_anchors``.
-
-    An anchor is the hash of the repeated chunk at a border between two stretches.  Inside a repeated
-    stretch the chunks that stay are marked.
-    """
-    pieces = F.zip_with("_chunks", "_state", lambda c, s: F.when(s == "k", F.concat(F.lit(_MARK), c, F.lit(_MARK))).otherwise(c))
-    edge = F.zip_with(
-        "_state",
-        _before(F.col("_state"), "string"),
-        lambda s, last: F.when(s.isNotNull() & last.isNull(), F.lit(1)).when(s.isNull() & last.isNotNull(), F.lit(2)),
-    )
-    sides = F.zip_with("_sums", _before(F.col("_sums")), lambda own, last: F.struct(own.alias("own"), last.alias("last")))
-    anchor = F.zip_with("_sides", "_edge", lambda x, e: F.when(e == 1, x["own"]).when(e == 2, x["last"]))
-    turned = F.zip_with("_pieces", "_edge", lambda p, e: F.when(e.isNotNull(), F.concat(F.lit(_TURN), p)).otherwise(p))
-    return (
-        rows.withColumns({"_pieces": pieces, "_edge": edge, "_sides": sides})
-        .withColumns({"_parts": F.split(F.array_join(turned, ""), _TURN, -1), "_anchors": F.filter(anchor, lambda a: a.isNotNull())})
-        .drop("_pieces", "_edge", "_sides")
-    )
-
-
-def extensions(rows: DataFrame, reach: int) -> DataFrame:
-    """Per row ``_more``: border number to the characters beside it that are repeated with the chunk there."""
-    # Even borders open a repeated stretch, the text before it is meant; behind odd ones the next.
-    beside = F.transform(
-        "_anchors", lambda a, b: F.struct(a.alias("_anchor"), F.element_at("_parts", b + 1 + b % 2).alias("_beside"))
-    )
-    border = rows.select("_id", "_doc", F.posexplode(beside).alias("_b", "_x")).select("_id", "_doc", "_b", "_x.*")
-    opens = F.col("_b") % 2 == 0
-    lines = _lines(F.col("_beside"))
-    near = F.slice(F.when(opens, F.reverse("_all")).otherwise(F.col("_all")), 1, reach)
-    taken = lambda name, j: F.slice(name, F.lit(1), j)
-    keys = F.transform(
-        F.sequence(F.lit(1), F.size("_near")),
-        lambda j: F.struct(
-            F.xxhash64(opens, F.col("_anchor"), taken("_codes", j)).alias("key"),
-            F.xxhash64(F.lit("second"), taken("_codes", j), F.col("_anchor")).alias("again"),
-            F.aggregate(taken("_sizes", j), F.lit(0), lambda a, b: a + b).alias("size"),
+    ordered = found.withColumn("_found", F.sort_array("_found")).withColumn("_last", _before(F.col("_found._again")))
+    loose = F.filter(
+        F.zip_with(
+            "_found",
+            "_last",
+            lambda x, last: F.struct(x["_no"].alias("no"), x["_again"].alias("hash"), (~x["_own"] | x["_again"].eqNullSafe(last)).alias("out")),
         ),
+        lambda x: x["out"],
     )
-    tried = (
-        border.where("_beside <> ''")
-        .withColumn("_all", lines)
-        .withColumn("_near", near)
-        .withColumn("_codes", F.transform("_near", lambda u: F.xxhash64(u)))
-        .withColumn("_sizes", F.transform("_near", lambda u: F.length(u)))
-        .select("_id", "_doc", "_b", F.explode(keys).alias("_k"))
-        .select("_id", "_doc", "_b", "_k.*")
-    )
-    tried = settle(tried, "lines_beside")
-    shared = tried.groupBy("key", "again").agg(F.count("*").alias("_n"), F.min("_doc").alias("_first")).where("_n > 1")
-    longest = tried.join(shared, ["key", "again"]).where("_doc <> _first").groupBy("_id", "_b").agg(F.max("size").alias("_size"))
-    return settle(longest.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_size"))).alias("_more")), "extensions")
+    return ordered.select("_doc", F.sort_array(loose).alias("_marks")).where(F.size("_marks") > 0)
 
 
 def document_key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_doc")
 
 
-def with_bitmap(rows: DataFrame, marks: DataFrame, key: str = "_doc") -> DataFrame:
-    """Adds ``_marked``: whether the key of a row occurs among the marks (exact: a bit per key).
+def with_bitmap(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Adds ``_marked``: whether a row's document may have marks (exact: a bit per key).
 
     32,768 keys share a row of 4 KB, so the bitmap is a small part of the marks; Spark sends it to all
     tasks or shuffles for it, by its size at run time.
     """
-    bits = marks.groupBy(F.bitmap_bucket_number(key).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("_bits")
+    bits = marks.groupBy(F.bitmap_bucket_number("_doc").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_doc")).alias("_bits")
     )
-    bits = settle(bits, "marked_keys")  # so its size is known when the join is planned
-    at = F.bitmap_bit_position(key)
+    bits = settle(bits, "marked_documents")  # so its size is known when the join is planned
+    at = F.bitmap_bit_position("_doc")
     octet = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = F.expr("shiftright(_octet, _shift) & 1") == 1
     return (
-        rows.withColumn("_bucket", F.bitmap_bucket_number(key))
+        rows.withColumn("_bucket", F.bitmap_bucket_number("_doc"))
         .join(bits, "_bucket", "left")
         .withColumns({"_octet": F.coalesce(octet, F.lit(0)), "_shift": (at % 8).cast("int")})
         .withColumn("_marked", held)
@@ -215,48 +128,45 @@ def with_bitmap(rows: DataFrame, marks: DataFrame, key: str = "_doc") -> DataFra
     )
 
 
-def _plain(text: Column) -> Column:
-    return F.replace(text, F.lit(_ESCAPED), F.lit(_ESCAPE))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50, reach: int = 8, telling: int = 30) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; all rows and all other columns stay.
 
-    Null and empty texts stay as they are.  Rows with one doc_id count as one document, so an exactly
-    repeated row keeps its text; every row without a doc_id is a document of its own.  A text all of
-    whose chunks are kept elsewhere becomes empty.  Columns may have any names; only doc_id and text
-    are used.  Starts jobs.
+    Null and empty texts stay as they are.  Rows with one doc_id count as one document (rows without
+    as the last one), so an exactly repeated row keeps its text.  A text all of whose chunks are kept
+    elsewhere becomes empty.  Columns may have any names; only doc_id and text are used.  Starts jobs.
     """
-    spark = docs.sparkSession
-    rows = cut_rows(docs, long_line, telling)
-    marks = settle(repeated_chunks(rows), "marks", _CODEC)
-    free_shuffles(spark)
-    rows = with_bitmap(rows, marks, "_id")
-
-    def columns(clean: Column) -> list[Column]:
-        return [(clean if c == "text" else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns]
-
-    # Only texts with a repeated chunk are shuffled.
-    untouched = rows.where("not _marked").select(*columns(_plain(F.array_join("_chunks", ""))))
-    marked = with_states(rows.where("_marked").drop("_marked"), marks)
-    free_shuffles(spark)
-    parted = in_stretches(compared(marked))
-    cut = parted.drop("_anchors").join(extensions(parted, reach), "_id", "left")
-    start = lambda i: F.coalesce(F.try_element_at("_more", i - 1), F.lit(0))
-    end = lambda i: F.coalesce(F.try_element_at("_more", i), F.lit(0))
-    kept = lambda p, a, b: F.concat(
-        F.substring(p, F.lit(1), a), F.lit(_MARK), F.substring(p, a + 1, F.length(p) - a - b), F.lit(_MARK), F.substring(p, F.length(p) - b + 1, b)
+    marks = settle(repeated_chunks(docs), "marks")
+    names = docs.columns
+    rows = docs.select(document_key(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
+    rows = with_bitmap(rows, marks)
+    # Only texts that lose something are shuffled.
+    untouched = rows.where("not _marked").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    cut = chunks_of(rows.where("_marked").join(marks, "_doc"), "_text")
+    # Expected hash per chunk number: as many markers as numbers passed since the mark before.
+    gaps = F.zip_with(
+        "_marks",
+        F.slice(F.concat(F.array(F.lit(0)), F.col("_marks.no")), F.lit(1), F.size("_marks")),
+        lambda m, last: F.concat(F.repeat(F.lit(_MARK), m["no"] - last), m["hash"].cast("string")),
     )
-    # What stays stands between two marks: even parts go if they are long enough, odd parts stay.
-    apart = F.transform(
-        "_parts", lambda p, i: F.when((i % 2 == 1) | (start(i) + end(i) >= F.length(p)), p).otherwise(kept(p, start(i), end(i)))
+    expected = F.split(F.array_join(gaps, ""), _MARK, -1)
+    kept_apart = F.zip_with(
+        "_chunks",
+        "_expected",
+        lambda c, e: F.when(c.isNull(), F.lit("")).when(_second_hash(c).cast("string").eqNullSafe(e), c).otherwise(F.concat(F.lit(_MARK), c, F.lit(_MARK))),
     )
+    # Even parts are runs of repeated chunks, odd parts are kept chunks.
+    parts = F.split(F.array_join(kept_apart, ""), _MARK, -1)
     rest = F.transform(
-        F.split(F.array_join("_apart", ""), _MARK, -1),
+        "_parts",
         lambda p, i: F.when((i % 2 == 0) & (F.regexp_count(p, F.lit(r"\S+")) >= min_words), F.lit("")).otherwise(p),
     )
-    done = cut.withColumn("_apart", apart).withColumn("_clean", _plain(F.array_join(rest, "")))
-    return untouched.unionByName(done.select(*columns(F.col("_clean"))))
+    clean = F.replace(F.array_join(rest, ""), F.lit(_ESCAPED), F.lit(_ESCAPE))
+    done = (
+        cut.withColumn("_expected", expected)
+        .withColumn("_parts", parts)
+        .withColumn("_clean", clean)
+    )
+    return untouched.unionByName(done.select(*[(F.col("_clean") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in names]))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

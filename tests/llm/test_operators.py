@@ -5,12 +5,10 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
-import itertools
 import math
 import random
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pytest
@@ -338,110 +336,64 @@ def test_fullest_combination_is_the_best_one():
 # ---- 9 ------------------------------------------------------------------------------------------
 
 
-def words(text: str) -> int:
-    return len(re.findall(r"\S+", text, re.A))
-
-
 def plain_chunks(text: str | None) -> list[str]:
     """The cut into chunks, written once more in plain Python."""
-    lines = [u for u in re.split(r"(?<=\n)|(?<=[.!?,;:|26BFJNRVZbfjnrvzª²º¾ÂÆÊÎÒÖÚÞâæêîòöúþ] )", (text or "").replace("\u0001", "\u0001\u0003")) if u]
+    lines = [u for u in re.split(r"(?<=\n)|(?<=[.!?,;:|] )", (text or "").replace("\u0001", "\u0001\u0003")) if u]
     hashes = [xxhash.xxh64_intdigest(u.encode(), 42) for u in lines]
+    octets = lambda h: h.to_bytes(8, "little")
     signed = lambda h: h - 2**64 if h >= 2**63 else h
-    roll, last = [], 42
-    for h in hashes:
-        roll.append(signed(xxhash.xxh64_intdigest(h.to_bytes(8, "little"), xxhash.xxh64_intdigest(last.to_bytes(8, "little"), 42) if roll else 42)))
-        last = h
+    roll = [signed(xxhash.xxh64_intdigest(octets(h), xxhash.xxh64_intdigest(octets(hashes[k - 1]), 42) if k else 42)) for k, h in enumerate(hashes)]
     chunks: list[str] = []
     for k, line in enumerate(lines):
         low = k > 0 and roll[k] < min(roll[k - 1 : k] + roll[k + 1 : k + 2])
-        if not chunks or low or any(words(x) >= 50 for x in lines[max(0, k - 1) : k + 1]):
+        if k == 0 or low or len(lines[k - 1].encode()) >= 16 or len(line.encode()) >= 48:
             chunks.append("")
         chunks[-1] += line
     return chunks
 
 
-def plain_line_dedup(rows: list[tuple], reach: int = 8) -> list[tuple]:
-    """Chunks kept by the smallest document, runs extended by the lines they share with another place."""
-    cut = [plain_chunks(t) for _, t in rows]
-    key = [(0, d) if d is not None else (1, n) for n, (d, _) in enumerate(rows)]
-    number = collections.Counter(c for chunks in cut for c in chunks if len(c.encode()) >= 30)
-    first: dict[str, tuple] = {}
-    for k, chunks in zip(key, cut):
-        for c in chunks:
-            first[c] = min(first.get(c, k), k)
-    wrap = lambda t: [u for u in re.split(r"(?<=\n)|(?<=[.!?,;:|26BFJNRVZbfjnrvzª²º¾ÂÆÊÎÒÖÚÞâæêîòöúþ] )", t) if u]
-    states = [
-        [("" if number[c] < 2 else "k" if first[c] == k and c not in chunks[:n] else "o") for n, c in enumerate(chunks)] for k, chunks in zip(key, cut)
-    ]
-    stretches = [[(bool(r), list(g)) for r, g in itertools.groupby(zip(chunks, state), lambda x: bool(x[1]))] for chunks, state in zip(cut, states)]
-
-    def tries(parts: list) -> Iterator[tuple]:
-        for n, (repeated, part) in enumerate(parts):
-            text = "".join(c for c, _ in part)
-            if not repeated and n + 1 < len(parts):
-                lines = wrap(text)[::-1][:reach]
-                yield from ((n, "end", (parts[n + 1][1][0][0], True, *lines[:j]), len("".join(lines[:j]))) for j in range(1, len(lines) + 1))
-            if not repeated and n:
-                lines = wrap(text)[:reach]
-                yield from ((n, "start", (parts[n - 1][1][-1][0], False, *lines[:j]), len("".join(lines[:j]))) for j in range(1, len(lines) + 1))
-
-    groups = collections.defaultdict(list)
-    for k, parts in zip(key, stretches):
-        for _, _, x, _ in tries(parts):
-            groups[x].append(k)
-    done = []
-    for (doc, text), k, parts in zip(rows, key, stretches):
-        more: dict[tuple, int] = collections.defaultdict(int)
-        for n, side, x, size in tries(parts):
-            if len(groups[x]) > 1 and min(groups[x]) != k:
-                more[n, side] = max(more[n, side], size)
-        flat = []
-        for n, (repeated, part) in enumerate(parts):
-            if repeated:
-                flat += [(c, s == "o") for c, s in part]
-                continue
-            whole = "".join(c for c, _ in part)
-            a, b = more[n, "start"], more[n, "end"]
-            flat += [(whole, True)] if a + b >= len(whole) else [(whole[:a], True), (whole[a : len(whole) - b], False), (whole[len(whole) - b :], True)]
-        out = ""
-        for goes, run in itertools.groupby((x for x in flat if x[0]), lambda x: x[1]):
-            joined = "".join(c for c, _ in run)
-            out += "" if goes and words(joined) >= 20 else joined
-        done.append((doc, None if text is None else out.replace("\u0001\u0003", "\u0001")))
-    return done
-
-
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(12)
     passage = prose(rng, 120)
     texts = [(k, f"{prose(rng, 80)}\n{passage}\n{prose(rng, 60)}" if k % 3 == 0 else prose(rng, 150)) for k in range(30)]
-    flat = passage.replace("\n", " ")
-    texts += [(50 + k, f"{prose(rng, 40)} {' '.join(flat.split()[9 * k : 9 * k + 60])} {prose(rng, 40)}") for k in range(6)]
-    texts += [(40, texts[1][1]), (None, texts[2][1]), (None, texts[2][1]), (3, texts[3][1])] + AWKWARD
-    docs = frame(spark, texts).withColumnRenamed("source", "_chunks").withColumnRenamed("lang", "_id")
+    texts += [(40, texts[1][1])] + AWKWARD
+    docs = frame(spark, texts).withColumnRenamed("source", "_chunks")
     clean = line_dedup.dedup_lines(docs)
     assert clean.columns == docs.columns and clean.count() == len(texts)
     plan = clean._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    cut = line_dedup.chunks_of(frame(spark, texts)).select("text", "_chunks").collect()
-    assert all((r["_chunks"] or []) == plain_chunks(r["text"]) for r in cut) and sum(r["_chunks"] is None for r in cut) == sum(t is None for _, t in texts)
+    cut = line_dedup.chunks_of(frame(spark, texts)).select("doc_id", "text", "_chunks").collect()
+    free = lambda c: c.replace("\u0001\u0003", "\u0001")
+    assert all("".join(map(free, r["_chunks"])) == (r["text"] or "") for r in cut)
+    key = lambda d: 2**63 - 1 if d is None else d
+    assert all(r["_chunks"] == plain_chunks(r["text"]) for r in cut)
+    places = collections.defaultdict(set)
+    number = collections.Counter()
+    for r in cut:
+        for k, c in enumerate(r["_chunks"]):
+            places[c].add((key(r["doc_id"]), k))
+            number[c] += 1
+    want = collections.Counter()
+    for r in cut:
+        out, run = [], []
+        for k, c in enumerate([*r["_chunks"], None]):
+            if c is not None and number[c] > 1 and (key(r["doc_id"]), k) != min(places[c]):
+                run.append(c)
+                continue
+            joined = "".join(run)
+            out += [joined] if len(joined.split()) < 20 else []
+            out += [c] if c is not None else []
+            run = []
+        want[r["doc_id"], None if r["text"] is None else free("".join(out))] += 1
     got = collections.Counter((r["doc_id"], r["text"]) for r in clean.collect())
-    assert got == collections.Counter(plain_line_dedup(texts))
-    windows = collections.Counter(tuple(t.split()[k : k + 60]) for (_, t), n in got.items() if t for k in range(len(t.split()) - 59) if "word" not in t)
+    nulls = lambda c: collections.Counter({(d, t or ""): n for (d, t), n in c.items()})
+    assert nulls(got) == nulls(want)
+    windows = collections.Counter(tuple(t.split()[k : k + 60]) for (_, t) in got if t for k in range(len(t.split()) - 59) if "word" not in t)
     assert all(n == 1 for n in windows.values())
-    assert (1, texts[1][1]) in got and got[3, texts[3][1]] == 0
+    assert (1, texts[1][1]) in got
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
 
 
-def test_line_dedup_compares_bytes(spark):
-    """Chunks of one hash but other bytes are no repeats."""
-    rows = spark.createDataFrame(
-        [(1, ["a", "b"], [7, 8], ["k", "k"]), (2, ["a", "x"], [7, 8], ["o", "o"])], "_id bigint, _chunks array<string>, _sums array<bigint>, _state array<string>"
-    )
-    got = {r["_id"]: r["_state"] for r in line_dedup.compared(rows).collect()}
-    assert got == {1: ["k", None], 2: ["o", None]}
-
-
 @pytest.mark.parametrize("own_lines", [True, False])
 def test_line_dedup_finds_passages_of_51_to_100_words(spark, own_lines):
     rng = random.Random(31)
