@@ -20,7 +20,7 @@ from journeyloom.operators.sessions import (
     OTHER_CHANNEL,
     UNSET,
 )
-from journeyloom.operators.skew import running_offsets
+from journeyloom.operators.skew import BROADCAST_ROWS, running_offsets
 from journeyloom.sources.workspace import settle
 
 # Bridge column -> column of the transaction fact.
@@ -90,6 +90,10 @@ TOUCHPOINT_FILL = {
 }
 
 
+# Salts the rows of a crowded cell look their parts up by.
+CELL_SALTS = 32
+
+
 def data_bounds(sessions: DataFrame) -> DataFrame:
     return sessions.agg(
         F.min("session_date").alias("source_data_start_date"),
@@ -121,37 +125,55 @@ def _sides(transactions: DataFrame, sessions: DataFrame, config: AttributionConf
     return left, right
 
 
+def _salt(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(CELL_SALTS)).cast("int")
+
+
 def crowded_cells(left: DataFrame, right: DataFrame, config: AttributionConfig) -> DataFrame:
     """All (user, cell) with more rows of a side than ``lane_rows``, and into how many parts it is cut.
 
     ``_lanes`` cuts the sessions, ``_slots`` the transactions; both are twice what the limit asks for, as
-    rows find their part by a hash.  The counts are combined before the exchange, and the result has at
-    most one row per ``lane_rows`` rows of the input.  It is written, so that the joins to it are planned by
-    its real size.
+    rows find their part by a hash.  A cell stands there once per salt that its own rows have, so the
+    result has no more rows than the crowded cells.  The counts are combined before the exchange.
+    The result is written, so that the joins to it are planned by its real size; as files say little about
+    rows that repeat one another, many rows are never broadcast.
     """
     one, none = F.lit(1), F.lit(0)
-    counts = right.select("_user", "_cell", one.alias("_s"), none.alias("_t")).unionByName(
-        left.select(F.col("user_pseudo_id").alias("_user"), F.col("_at_cell").alias("_cell"), none.alias("_s"), one.alias("_t"))
+    counts = right.select(
+        "_user", "_cell", _salt("touchpoint_session_key").alias("_salt"), one.alias("_s"), none.alias("_t")
+    ).unionByName(
+        left.select(
+            F.col("user_pseudo_id").alias("_user"),
+            F.col("_at_cell").alias("_cell"),
+            _salt("transaction_key").alias("_salt"),
+            none.alias("_s"),
+            one.alias("_t"),
+        )
     )
     parts = lambda n: F.when(n > config.lane_rows, F.ceil(2 * n / config.lane_rows)).otherwise(1).cast("int")
-    cells = counts.groupBy("_user", "_cell").agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"))
-    return settle(
+    bit = F.expr("shiftleft(1L, _salt)")
+    cells = counts.groupBy("_user", "_cell").agg(
+        F.sum("_s").alias("_s"), F.sum("_t").alias("_t"), F.bit_or(bit).alias("_salts")
+    )
+    has = lambda salt: F.getbit(F.col("_salts"), salt) == 1
+    crowded = settle(
         cells.where((F.col("_s") > config.lane_rows) | (F.col("_t") > config.lane_rows)).select(
-            "_user", "_cell", parts(F.col("_s")).alias("_lanes"), parts(F.col("_t")).alias("_slots")
+            "_user",
+            "_cell",
+            parts(F.col("_s")).alias("_lanes"),
+            parts(F.col("_t")).alias("_slots"),
+            F.explode(F.filter(F.sequence(F.lit(0), F.lit(CELL_SALTS - 1)), has)).alias("_salt"),
         ),
         "crowded_cells",
     )
+    return crowded.hint("merge") if crowded.count() > BROADCAST_ROWS else crowded
 
 
 def _cut(rows: DataFrame, user: str, cell: str, key: str, crowded: DataFrame) -> DataFrame:
     """``rows`` with the parts of their cell.  The join is salted, so a crowded cell does not crowd it."""
-    salts = 32
-    spread = crowded.select(
-        F.col("_user").alias("_cu"), F.col("_cell").alias("_cc"), "_lanes", "_slots",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    )
+    spread = crowded.select(F.col("_user").alias("_cu"), F.col("_cell").alias("_cc"), "_lanes", "_slots", "_salt")
     met = (F.col(user) == F.col("_cu")) & (F.col(cell) == F.col("_cc")) & (F.col("_own") == F.col("_salt"))
-    salted = rows.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("_own", _salt(key))
     return (
         salted.join(spread, met, "left")
         .withColumns({"_lanes": F.coalesce("_lanes", F.lit(1)), "_slots": F.coalesce("_slots", F.lit(1))})

@@ -10,6 +10,8 @@ from journeyloom.sources.workspace import settle
 
 # Parts a hot key's rows are dealt into while they look their key up.
 HOT_PARTS = 64
+# A lookup of more rows than this is never broadcast, however small its files are.
+BROADCAST_ROWS = 100_000
 
 
 def hot_keys(counted: DataFrame, weight: str, skew: SkewConfig) -> DataFrame:

@@ -159,3 +159,20 @@ def test_a_channel_without_credit_stays_in_the_grid(spark):
     row = grid.where("attribution_model = 'first_touch' and touchpoint_channel_group = 'Direct' and analysis_population = 'all_observed'").first()
     assert (row.credited_touchpoint_rows, row.attributed_revenue_usd, row.attributed_average_order_value_usd) == (0, 0.0, None)
     assert row.revenue_delta_vs_last_touch_usd == -100.0
+
+
+def test_a_crowded_cell_stands_once_per_salt_of_its_rows_and_many_are_not_broadcast(spark, monkeypatch):
+    """Small cells by the thousand: their lookup must not outgrow their rows nor go through the driver."""
+    visits = [visit(f"s{u}-{i}", f"u{u}", T0 - i * DAY) for u in range(40) for i in range(3)]
+    tx = [transaction(f"t{u}", f"u{u}", T0, f"s{u}-0") for u in range(40)]
+    config = AttributionConfig(lookback_days=6, lane_rows=1)
+    left, right = A._sides(*frames(spark, tx, visits), config)
+    assert 0 < A.crowded_cells(left, right, config).count() <= left.count() + right.count()
+    monkeypatch.setattr(A, "BROADCAST_ROWS", 10, raising=False)
+    _, cut = A.cut_into_lanes(left, right, config)
+    assert "BroadcastHashJoin" not in cut._jdf.queryExecution().sparkPlan().toString()
+    got = A.bridge_touchpoints(*frames(spark, tx, visits), config).collect()
+    assert {
+        (r.transaction_key, r.touchpoint_session_key): (r.touchpoint_position_asc, r.touchpoint_count) for r in got
+    } == brute_bridge(tx, visits, 6)
+    assert len(got) == len(brute_bridge(tx, visits, 6))
