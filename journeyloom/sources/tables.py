@@ -52,6 +52,16 @@ REQUIRED_PATHS = [
 ]
 
 
+def write_events(events: DataFrame, path: str) -> None:
+    """Events as a dataset partitioned by ``event_date``, in place of what was there.
+
+    Writing by day sorts the events of a task by day.  They are rebalanced by day first: small days share a
+    task and a large one is cut over many, so a task sorts a piece of the advisory size however many events
+    there are, and a day has few files.
+    """
+    events.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(path)
+
+
 def read_events(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """Events of the days start..end (yyyyMMdd), from a dataset partitioned by ``event_date``.
 

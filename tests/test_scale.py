@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from journeyloom.sources.tables import read_events, write_events
+from tests.fixtures import event, events
 from workloads import adapter
 
 
@@ -25,3 +27,15 @@ def test_lines_of_an_event_are_gathered_behind_the_exchange_only(spark, tmp_path
     plan = gathered._jdf.queryExecution().sparkPlan().toString()
     before, exchange, behind = plan.partition("REPARTITION_BY_COL")
     assert exchange and "collect_list" in before and "collect_list" not in behind
+
+
+def test_days_are_written_by_few_tasks(spark, tmp_path):
+    rows = [event(i, day=1 + i % 2, user=f"u{i}") for i in range(40)]
+    dealt = events(spark, rows).repartition(8)
+    for _ in range(2):  # the second time in place of the first
+        write_events(dealt, f"{tmp_path}/days")
+    for day in ("20201101", "20201102"):
+        assert len(list((tmp_path / "days" / f"event_date={day}").glob("*.parquet"))) == 1
+    back = read_events(spark, f"{tmp_path}/days", "20201101", "20201102")
+    by_name = lambda df: sorted(map(str, df.select(*dealt.columns).collect()))
+    assert by_name(back) == by_name(dealt)

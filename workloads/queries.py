@@ -100,9 +100,7 @@ def _on_geo(op: Callable[[GeoChain], DataFrame], one_market: bool = True) -> Que
 def read_events_pruned(spark: SparkSession, sf: str) -> DataFrame:
     """Write the events by day, read two weeks of them back through the partition filter."""
     path = f"{results_folder(spark)}/events-by-day"
-    nested_events(spark, sf).write.mode("overwrite").partitionBy(
-        "event_date"
-    ).parquet(path)
+    tables.write_events(nested_events(spark, sf), path)
     back = tables.read_events(spark, path, "20240108", "20240121")
     return plain(
         back.groupBy("event_date").agg(
