@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from journeyloom.functions.numeric import ratio
 from journeyloom.operators.sessions import DIRECT_CHANNEL
+from journeyloom.sources.workspace import settle
 
 ALL_OBSERVED, COMPLETE_WINDOW = "all_observed", "complete_window"
 BASELINE, SECOND_BASELINE = "last_touch", "last_non_direct"
@@ -91,9 +92,10 @@ def _filled(kinds: DataFrame) -> DataFrame:
 def channel_comparison(credits: DataFrame) -> DataFrame:
     """Shares, deltas against two baseline models and rank, per population, model and channel.
 
-    After the aggregate a few dozen rows are left; totals and baselines are windows over them.
+    After the aggregate a few dozen rows are left; totals and baselines are windows over them.  These
+    rows are written: the grid and the sums both read them, and the credits are built once.
     """
-    grid = _filled(channel_credit(credits))
+    grid = _filled(settle(channel_credit(credits), "channel_credit"))
     model = Window.partitionBy("analysis_population", "attribution_model")
     channel = Window.partitionBy("analysis_population", "touchpoint_channel_group")
     conv, rev = F.col("attributed_conversion_credit"), F.col("attributed_revenue_usd")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from journeyloom.operators.comparison import channel_comparison
 from journeyloom.sources.tables import read_events, write_events
 from tests.fixtures import event, events
 from workloads import adapter
@@ -39,3 +40,19 @@ def test_days_are_written_by_few_tasks(spark, tmp_path):
     back = read_events(spark, f"{tmp_path}/days", "20201101", "20201102")
     by_name = lambda df: sorted(map(str, df.select(*dealt.columns).collect()))
     assert by_name(back) == by_name(dealt)
+
+
+def test_credits_are_built_once_for_the_comparison(spark, tmp_path):
+    rows = [(True, 1, "last_touch", "Email", "A", 1.0, 8.0), (False, 1, "last_touch", "Other", "B", 1.0, 2.0)]
+    names = "is_complete_lookback_window boolean, attribution_model_order int, attribution_model string, "
+    names += "touchpoint_channel_group string, transaction_key string, attributed_conversion_credit double, attributed_revenue_usd double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/credits")
+    mart = channel_comparison(spark.read.parquet(f"{tmp_path}/credits"))
+    got = {(r["analysis_population"], r["touchpoint_channel_group"]): r["attributed_revenue_usd"] for r in mart.collect()}
+    assert got == {
+        ("all_observed", "Email"): 8.0,
+        ("all_observed", "Other"): 2.0,
+        ("complete_window", "Email"): 8.0,
+        ("complete_window", "Other"): 0.0,
+    }
+    assert not [f for f in mart.inputFiles() if "/credits/" in f]
