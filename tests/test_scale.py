@@ -3,6 +3,7 @@
 import datetime as dt
 
 from journeyloom.operators.comparison import channel_comparison
+from journeyloom.operators.staging import stage_events
 from journeyloom.sources.tables import read_events, write_events
 from tests.fixtures import event, events
 from workloads import adapter
@@ -42,6 +43,16 @@ def test_days_are_written_by_few_tasks(spark, tmp_path):
     assert by_name(back) == by_name(dealt)
 
 
+def test_items_are_counted_by_one_leaf(spark, tmp_path):
+    item = ("P1", None, None, None, None, 1.0, 1.0, None, 1.0, 1.0)
+    rows = [event(1), event(2, items=[]), event(3, items=[item, None, item]), event(4, items=[item])]
+    events(spark, rows).write.parquet(f"{tmp_path}/events")
+    counted = stage_events(spark.read.parquet(f"{tmp_path}/events")).select("event_bundle_sequence_id", "item_record_count")
+    assert {r[0]: r[1] for r in counted.collect()} == {1: 0, 2: 0, 3: 3, 4: 1}
+    read = counted._jdf.queryExecution().executedPlan().toString()
+    assert "items:array<struct<quantity:bigint>>" in read
+
+
 def test_credits_are_built_once_for_the_comparison(spark, tmp_path):
     rows = [(True, 1, "last_touch", "Email", "A", 1.0, 8.0), (False, 1, "last_touch", "Other", "B", 1.0, 2.0)]
     names = "is_complete_lookback_window boolean, attribution_model_order int, attribution_model string, "
