@@ -60,27 +60,50 @@ def hashed_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, words binary")
 
 
-def _passages(batches: Iterable[pa.RecordBatch], r: Retrieval, most: int = 1000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Number of passages, and per word its term and its cell in a (passages x terms) table; what is left at the end of a text is a passage."""
-    sizes, held, size = [], [], 0
+def _passages(batches: Iterable[pa.RecordBatch], r: Retrieval, most: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of each passage, and the term of every word; what is left at the end of a text is a passage."""
+    sizes, held = [], []
     for batch in batches:
         for body in batch.column(batch.num_columns - 1).to_pylist():
             stream = np.frombuffer(body, "<u4")
             for a in range(0, len(stream), r.passage * most):
                 part = stream[a : a + r.passage * most]
                 held.append(part)
-                sizes += [min(r.passage, len(part) - b) for b in range(0, len(part), r.passage)]
+                whole, rest = divmod(len(part), r.passage)
+                sizes += [r.passage] * whole + [rest] * (rest > 0)
                 if len(sizes) >= most:
-                    yield _cells(held, sizes, r)
+                    yield np.array(sizes), _terms(np.concatenate(held), r)
                     sizes, held = [], []
     if sizes:
-        yield _cells(held, sizes, r)
+        yield np.array(sizes), _terms(np.concatenate(held), r)
 
 
-def _cells(held: list[np.ndarray], sizes: list[int], r: Retrieval) -> tuple[int, np.ndarray, np.ndarray]:
-    term = (np.concatenate(held) % np.uint32(r.terms)).astype(np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    return len(sizes), term, row * r.terms + term
+def _terms(words: np.ndarray, r: Retrieval) -> np.ndarray:
+    return (words % np.uint32(r.terms)).astype(np.int64)
+
+
+def _cells(sizes: np.ndarray, term: np.ndarray, r: Retrieval) -> np.ndarray:
+    """Per word its cell in a (passages x terms) table."""
+    return np.repeat(np.arange(len(sizes)), sizes) * r.terms + term
+
+
+def _row_sums(values: np.ndarray, sizes: np.ndarray, rows: np.ndarray, longest: int) -> np.ndarray:
+    """Sums of consecutive rows of ``values``, ``sizes`` of them each; the last row has to be zero.
+
+    Goes by the place inside a sum, so each step adds whole tables of ``rows`` looked up.
+    """
+    places = np.full((len(sizes), longest), len(values) - 1)
+    places[np.arange(longest) < sizes[:, None]] = rows
+    places = np.ascontiguousarray(places.T)
+    total = values[places[0]]
+    held = np.empty_like(total)
+    for at in places[1:]:
+        total += np.take(values, at, axis=0, out=held, mode="clip")
+    return total
+
+
+def _with_zero(values: np.ndarray) -> np.ndarray:
+    return np.vstack([values, np.zeros((1, values.shape[1]), values.dtype)])
 
 
 def _emit(lane_arrays: list[np.ndarray]) -> pa.RecordBatch:
@@ -94,11 +117,11 @@ def _emit(lane_arrays: list[np.ndarray]) -> pa.RecordBatch:
 def inverse_frequency(streams: DataFrame, r: Retrieval) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = np.zeros(r.terms), 0
-        for rows, _, cell in _passages(batches, r):
-            seen = np.zeros(rows * r.terms, bool)
-            seen[cell] = True
-            found += seen.reshape(rows, r.terms).sum(0)
-            n += rows
+        for sizes, term in _passages(batches, r):
+            seen = np.zeros(len(sizes) * r.terms, bool)
+            seen[_cells(sizes, term, r)] = True
+            found += seen.reshape(-1, r.terms).sum(0)
+            n += len(sizes)
         yield _emit([np.append(found, n)])
 
     got = summed_arrays(streams.select("words").mapInArrow(tidy(run), "lane bigint, part bigint, counts array<double>")).get(0, np.zeros(r.terms + 1))
@@ -115,15 +138,17 @@ def latent_space(streams: DataFrame, r: Retrieval) -> np.ndarray:
 
     def product(basis: np.ndarray) -> np.ndarray:
         basis = basis.astype(np.float32)
+        weighted = _with_zero(weight[:, None] * basis)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(basis.shape)
-            for rows, term, cell in _passages(batches, r):
-                a = np.zeros(rows * r.terms, np.float32)
-                np.add.at(a, cell, weight[term])
-                a = a.reshape(rows, r.terms)
-                a /= np.maximum(np.sqrt(np.einsum("ij,ij->i", a, a)), 1e-9)[:, None]
-                total += a.T @ (a @ basis)
+            for sizes, term in _passages(batches, r):
+                a = np.zeros(len(sizes) * r.terms, np.float32)
+                np.add.at(a, _cells(sizes, term, r), weight[term])
+                a = a.reshape(-1, r.terms)
+                # A passage has few of the terms, so its product with the basis is a sum of rows.
+                square = np.maximum(np.einsum("ij,ij->i", a, a), np.float32(1e-18))
+                total += a.T @ (_row_sums(weighted, sizes, term, r.passage) / square[:, None])
             yield _emit([total])
 
         got = summed_arrays(streams.select("words").mapInArrow(tidy(run), "lane bigint, part bigint, counts array<double>"))
@@ -162,6 +187,13 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+_SIEVE = 20
+
+
+def _sieve_place(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _SIEVE)
+
+
 class Items:
     """A block of benchmark items: word hashes, answers, and latent vectors of their windows."""
 
@@ -195,6 +227,10 @@ class Items:
             keys, item, place = map(np.concatenate, zip(*parts))
             order = np.argsort(keys, kind="stable")
             self.grams[n] = keys[order], item[order], place[order]
+        self.sieves = {}
+        for n, (keys, _, _) in self.grams.items():
+            self.sieves[n] = np.zeros(1 << _SIEVE, bool)
+            self.sieves[n][_sieve_place(keys)] = True
         self.last = [*self.first[1:], len(self.owner)]
         self.bits = [_bits(w) for w in self.words]
         self.answer_bits = [_bits(w) for w in self.answers]
@@ -206,23 +242,47 @@ HIT = "doc_id bigint, item_id bigint, overlap double, answer double, cosine doub
 def search(streams: DataFrame, items: Items, space: np.ndarray, r: Retrieval) -> DataFrame:
     """(doc_id, item_id, overlap, answer, cosine) of contaminated documents; copies of a row repeat."""
     half = r.window // 2
-    state = items.__dict__
+    state, places = items.__dict__, _with_zero(space)
 
-    def judge(stream: np.ndarray, item: int, at: int) -> tuple[float, float]:
+    def judge(stream: list[int], item: int, at: int) -> tuple[float, float]:
         words, reach = state["words"][item], len(state["words"][item]) // 2 + half
-        span = stream[max(0, at - reach) : at + len(words) + reach].tolist()
+        span = stream[max(0, at - reach) : at + len(words) + reach]
         bits = state["bits"][item]
-        # No common subsequence is longer than the number of words that occur in both.
-        if sum(map(bits.__contains__, span)) < r.overlap * len(words):
+        # No other word is in a common subsequence, and none is longer than their number.
+        shared = list(filter(bits.__contains__, span))
+        if len(shared) < r.overlap * len(words):
             return 0.0, 0.0
-        overlap = common_length(bits, len(words), span) / len(words)
+        overlap = common_length(bits, len(words), shared) / len(words)
         if overlap < r.overlap:
             return overlap, 0.0
         answer = state["answers"][item]
         return overlap, common_length(state["answer_bits"][item], len(answer), span) / len(answer)
 
+    lengths = np.array([len(w) for w in items.words], np.int64)
+
+    def word_places(words: np.ndarray) -> np.ndarray:
+        return (words * np.uint32(0x9E3779B1)) >> np.uint32(32 - 12)
+
+    def promising(flat: np.ndarray, table: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which of the spans low to high may share enough words with their items: none is lost, some are kept in vain."""
+        size, kept, at = high - low, [], 0
+        ends, place = np.cumsum(size), word_places(flat)
+        while at < len(size):
+            # About a million words at once.
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000)))
+            n = size[at:to]
+            first = np.cumsum(n) - n
+            spot = np.arange(n.sum()) + np.repeat(low[at:to] - first, n)
+            shared = np.add.reduceat(table[np.repeat(item[at:to], n), place[spot]].astype(np.int64), first)
+            kept.append(shared >= r.overlap * lengths[item[at:to]])
+            at = to
+        return np.concatenate(kept) if kept else np.zeros(0, bool)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        table = np.zeros((len(lengths), 1 << 12), bool)
+        for k, words in enumerate(state["words"]):
+            table[k, word_places(np.array(words, np.uint32))] = True
         for batch in batches:
             docs, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             held, size = [], 0
@@ -231,7 +291,7 @@ def search(streams: DataFrame, items: Items, space: np.ndarray, r: Retrieval) ->
                     held.append((k, np.frombuffer(body, "<u4")))
                     size += len(held[-1][1])
                 if held and (body is None and k == len(bodies) or size >= 100_000):
-                    rows += compare([(docs[d], stream) for d, stream in held])
+                    rows += compare([(docs[d], stream) for d, stream in held], table)
                     held, size = [], 0
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
@@ -242,52 +302,60 @@ def search(streams: DataFrame, items: Items, space: np.ndarray, r: Retrieval) ->
         """Places in ``flat``, items and places in them where both have the same words in a row."""
         for n, (keys, item, place) in state["grams"].items():
             own = _grams(flat, n)
-            low = np.searchsorted(keys, own)
-            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == own)
-            low, times = low[hit], np.searchsorted(keys, own[hit], side="right") - low[hit]
+            # Most keys are told by a few of their bits; the others are looked up.
+            hit = np.flatnonzero(state["sieves"][n][_sieve_place(own)])
+            low = np.searchsorted(keys, own[hit])
+            same = keys[np.minimum(low, len(keys) - 1)] == own[hit]
+            hit, low = hit[same], low[same]
+            times = np.searchsorted(keys, own[hit], side="right") - low
             which = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
             yield np.repeat(hit, times), item[which], place[which]
 
-    def compare(texts: list[tuple]) -> list[tuple]:
-        blocks, owner, place = [], [], []
+    def compare(texts: list[tuple], table: np.ndarray) -> list[tuple]:
+        owner, place = [], []
         flat = np.concatenate([s for _, s in texts])
-        starts, at, begins, rows_at = [], 0, [], []
+        sizes, at, begins, rows_at = [], 0, [], []
         for n, (_, stream) in enumerate(texts):
             cuts = range(0, len(stream), half)
             begins.append(at)
-            rows_at.append(len(starts))
-            starts += [at + c for c in cuts]
+            rows_at.append(len(sizes))
+            sizes += [min(half, len(stream) - c) for c in cuts]
             owner += [n] * len(cuts)
             place += list(cuts)
             at += len(stream)
-        blocks = np.add.reduceat(space[flat % np.uint32(r.terms)], starts, axis=0)
+        blocks = _row_sums(places, np.array(sizes), _terms(flat, r), half)
         owner, place = np.array(owner), np.array(place)
         joined = blocks.copy()
         same = np.flatnonzero(owner[:-1] == owner[1:])
         joined[same] += blocks[same + 1]
         joined /= np.maximum(np.linalg.norm(joined, axis=1, keepdims=True), 1e-9)
         best: dict[tuple[int, int], tuple] = {}
-        done: set[tuple[int, int, int]] = set()
         cos = joined @ state["vectors"].T
-
-        def check(n: int, item: int, begin: int, row: int, column: int) -> None:
-            if (n, item, begin // half) in done:
-                return
-            done.add((n, item, begin // half))
-            overlap, answer = judge(texts[n][1], item, begin)
-            if overlap >= r.certain or overlap >= r.overlap and answer >= r.answer:
-                best[n, item] = max(best.get((n, item), (0.0,)), (overlap, answer, float(cos[row, column])))
-
-        for row, column in zip(*np.nonzero(cos >= r.cosine)):
-            begin = max(0, int(place[row]) - state["shift"][column])
-            check(int(owner[row]), state["owner"][column], begin, row, column)
+        first, last, owners, shift, begins, rows_at = (np.array(x, np.int64) for x in (*map(state.get, ("first", "last", "owner", "shift")), begins, rows_at))
+        # Candidates: text, item, place in the text where the item would begin, row and column of the cosine.
+        row, column = np.divmod(np.flatnonzero(cos >= r.cosine), max(1, cos.shape[1]))
+        parts = [(owner[row], owners[column], np.maximum(0, place[row] - shift[column]), row, column)]
         for spot, item, inside in shared_grams(flat):
             text = np.searchsorted(begins, spot, side="right") - 1
-            local = spot - np.array(begins)[text]
-            begin = np.maximum(0, local - inside)
-            _, one = np.unique(np.stack([text, item, begin // half]), axis=1, return_index=True)
-            for n, i, at, p, q in zip(*(x[one].tolist() for x in (text, item, begin, local, inside))):
-                check(n, i, at, rows_at[n] + p // half, min(state["first"][i] + q // half, state["last"][i] - 1))
+            local = spot - begins[text]
+            column = np.minimum(first[item] + inside // half, last[item] - 1)
+            parts.append((text, item, np.maximum(0, local - inside), rows_at[text] + local // half, column))
+        text, item, begin, row, column = (np.concatenate(x) for x in zip(*parts))
+        # The first of those that begin close to each other.
+        order = np.lexsort((begin // half, item, text))
+        at = np.stack([text, item, begin // half])[:, order]
+        one = np.sort(order[np.append(True, (at[:, 1:] != at[:, :-1]).any(0))[: len(order)]])
+        text, item, begin, row, column = (x[one] for x in (text, item, begin, row, column))
+        reach, sizes = lengths[item] // 2 + half, np.array([len(stream) for _, stream in texts])
+        low, high = np.maximum(0, begin - reach), np.minimum(sizes[text], begin + lengths[item] + reach)
+        kept = promising(flat, table, item, begins[text] + low, begins[text] + high)
+        lists: dict[int, list[int]] = {}
+        for n, i, from_, p, q in zip(*(x[kept].tolist() for x in (text, item, begin, row, column))):
+            if n not in lists:
+                lists[n] = texts[n][1].tolist()
+            overlap, answer = judge(lists[n], i, from_)
+            if overlap >= r.certain or overlap >= r.overlap and answer >= r.answer:
+                best[n, i] = max(best.get((n, i), (0.0,)), (overlap, answer, float(cos[p, q])))
         return [(texts[n][0], state["ids"][item], *found) for (n, item), found in best.items()]
 
     return streams.select("doc_id", "words").mapInArrow(tidy(run), HIT)

@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -109,6 +110,44 @@ def test_common_length():
         assert decontaminate.common_length(decontaminate._bits(a), len(a), b) == best[-1][-1]
 
 
+class Streams:
+    """Stands for a frame of word streams; what would run in tasks is kept."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_search_follows_only_words_an_item_has(monkeypatch):
+    rng = random.Random(8)
+    r, streams = decontaminate.Retrieval(), Streams()
+    space = np.random.default_rng(8).standard_normal((r.terms, r.rank)).astype(np.float32)
+    item = [f"item{k}" for k in range(40)]
+    text = [f"text{rng.randrange(10**6)}" for _ in range(400)]
+    text[100:160] = [w for k, w in enumerate(item) for w in ([w, "between"] if k % 2 else [w])]
+    words = np.array([decontaminate.word_hash(w) for w in text], "<u4")
+    items = decontaminate.Items([(1, " ".join(item)), (2, " \t"), (3, None)], space, r)
+    decontaminate.search(streams, items, space, r)
+    followed, plain = [], decontaminate.common_length
+    monkeypatch.setattr(decontaminate, "common_length", lambda bits, size, words: followed.append((bits, list(words))) or plain(bits, size, words))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([words.tobytes(), b""], pa.binary())], ["doc_id", "words"])
+    found = [(x["doc_id"], x["item_id"], x["overlap"]) for b in streams.run([batch]) for x in b.to_pylist()]
+    assert found == [(7, 1, 1.0)]
+    assert all(w in bits for bits, words in followed[::2] for w in words)
+    decontaminate.search(streams, decontaminate.Items([(2, None)], space, r), space, r)
+    assert sum(b.num_rows for b in streams.run([batch])) == 0
+
+
+def test_row_sums():
+    values = np.vstack([np.random.default_rng(0).random((9, 3)), np.zeros((1, 3))])
+    sizes, rows = np.array([2, 4, 1]), np.array([3, 3, 0, 8, 1, 5, 7])
+    want = [values[rows[a:b]].sum(0) for a, b in ((0, 2), (2, 6), (6, 7))]
+    assert np.allclose(decontaminate._row_sums(values, sizes, rows, 4), want)
+
+
 # ---- 3 ------------------------------------------------------------------------------------------
 
 
