@@ -8,8 +8,9 @@ chance model (how a neighbour's projection spreads around the query's) and the l
 wanted recall are fitted on the true neighbours of a bounded sample of queries, found among all rows.
 
 Equal vectors are one entry with their smallest ids (one more than asked for is all that can ever be
-returned), equal queries are searched once.  A crowded bucket is cut into blocks; vectors of a block
-sit in memory while any number of queries streams by.
+returned), equal queries are searched once.  A crowded bucket is cut into blocks.  Blocks are dealt out
+over lanes of a bounded number of vectors: these sit in memory while any number of queries streams by,
+and a query comes once to a lane, with the list of the blocks it visits there.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class Search:
     recall: float = 0.96  # of the sampled queries' true neighbours; sets how many buckets are visited
     width: float = 2.0  # of a cell, in standard deviations of the projections
     block_rows: int = 2048
+    lane_rows: int = 8192
     sample_queries: int = 64
     seed: int = 11
 
@@ -51,6 +53,7 @@ class Hashing:
         self.search, self.norm, self.tables = search, norm, search.tables
         self.directions = rng.standard_normal((search.tables * self.functions, dimension + 1))
         self.shift = rng.random(len(self.directions))
+        self.mix = rng.integers(-(2**63), 2**63 - 1, len(self.directions)) | 1
         self.spread, self.slope, self.noise, self.success = 1.0, 1.0, 0.5, LEVELS[-1]
 
     def project(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
@@ -70,23 +73,24 @@ class Hashing:
         self.noise = max(float((y - self.slope * x).std()), 1e-3)
         # The lowest level at which enough of the true neighbours lie in a visited bucket.
         distinct, which = np.unique(queries, axis=0, return_inverse=True)
-        projected, keys = self.project(distinct, True), self.keys(neighbours)
+        projected, keys = self.project(distinct, True), self.keys(neighbours).tolist()
         for level in LEVELS:
             self.success = level
-            visited = [set(self.probes(p)) for p in projected]
-            hits = [any(pair in visited[q] for pair in enumerate(own)) for q, own in zip(which.ravel().tolist(), keys)]
+            visited = [set(self.probes(p).tolist()) for p in projected]
+            hits = [not visited[q].isdisjoint(own) for q, own in zip(which.ravel().tolist(), keys)]
             if np.mean(hits) >= self.search.recall:
                 break
 
     def cells(self, projections: np.ndarray) -> np.ndarray:
         return np.floor(projections / (self.search.width * self.spread) + self.shift).astype(np.int64)
 
-    def keys(self, vectors: np.ndarray) -> list[list[str]]:
-        cells = self.cells(self.project(vectors)).reshape(len(vectors), self.tables, self.functions)
-        return [[",".join(map(str, row)) for row in one] for one in cells.tolist()]
+    def keys(self, vectors: np.ndarray) -> np.ndarray:
+        """Vectors x tables: the buckets as 64-bit numbers; buckets that share one are visited together."""
+        mixed = self.cells(self.project(vectors)) * self.mix
+        return mixed.reshape(len(vectors), self.tables, self.functions).sum(2)
 
-    def probes(self, projection: np.ndarray) -> list[tuple[int, str]]:
-        """(table, bucket) in the order of their chances, per table until ``success`` is reached."""
+    def probes(self, projection: np.ndarray) -> np.ndarray:
+        """Buckets in the order of their chances, per table until ``success`` is reached."""
         width, out = self.search.width * self.spread, []
         for t in range(self.tables):
             options = []
@@ -95,19 +99,24 @@ class Hashing:
                 low = math.floor((mean - 4 * self.noise) / width + self.shift[f])
                 high = math.floor((mean + 4 * self.noise) / width + self.shift[f])
                 edge = [0.5 * (1 + math.erf(((c - self.shift[f]) * width - mean) / self.noise / math.sqrt(2))) for c in range(low, high + 2)]
-                options.append(sorted(((edge[c + 1] - edge[c], low + c) for c in range(high + 1 - low)), reverse=True))
-            first = (0,) * self.functions
-            heap, seen, total = [(-math.prod(o[0][0] for o in options), first)], {first}, 0.0
-            while heap and total < self.success:
-                chance, at = heapq.heappop(heap)
-                total -= chance
-                out.append((t, ",".join(str(o[k][1]) for o, k in zip(options, at))))
-                for f, k in enumerate(at):
-                    step = at[:f] + (k + 1,) + at[f + 1 :]
-                    if k + 1 < len(options[f]) and options[f][k + 1][0] > 0 and step not in seen:
-                        seen.add(step)
-                        heapq.heappush(heap, (chance * options[f][k + 1][0] / options[f][k][0], step))
-        return out
+                chance = np.diff(edge)
+                some = chance > 0
+                options.append((chance[some], np.arange(low, high + 1)[some] * self.mix[f]))
+            best = np.cumprod([1.0] + [o[0].max(initial=0.0) for o in reversed(options)])[::-1]
+            # All buckets above a floor, which is lowered until their chances add up.
+            floor = best[0] / 16
+            while True:
+                chance, code = np.ones(1), np.zeros(1, np.int64)
+                for (more, cell), rest in zip(options, best[1:]):
+                    chance, code = np.outer(chance, more).ravel(), np.add.outer(code, cell).ravel()
+                    likely = chance * rest >= floor
+                    chance, code = chance[likely], code[likely]
+                if floor == 0 or chance.sum() >= self.success:
+                    break
+                floor = floor / 4 if floor > best[0] * 1e-12 else 0.0
+            order = np.argsort(-chance, kind="stable")
+            out.append(code[order[: np.searchsorted(np.cumsum(chance[order]), self.success) + 1]])
+        return np.concatenate(out)
 
 
 QUERIES_A_TASK = 100
@@ -126,29 +135,48 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(np.float64)
 
 
-def _best(scores: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(scores: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int, largest: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the k best, with all that tie with the last of them, and their inner products.
 
-    The products of the whole block differ from those summed row by row in the last bits, so everything
-    within a margin of the k-th score is summed anew.
+    The products of a whole block differ from those summed row by row in the last bits, so everything
+    within a margin of the k-th score is summed anew.  Rows that are not visited score minus infinity.
     """
-    if k < len(scores):
+    visited = scores > -np.inf
+    if k < visited.sum():
         last = np.partition(scores, len(scores) - k)[len(scores) - k]
-        margin = 1e-12 * len(query) * np.abs(query).max() * np.abs(vectors).max()
+        margin = 1e-12 * len(query) * np.abs(query).max() * largest
         at = np.flatnonzero(scores >= last - margin)
     else:
-        at = np.arange(len(scores))
+        at = np.flatnonzero(visited)
     return at, (vectors[at] * query).sum(1)
 
 
 FOUND = "query bigint, scores array<double>, ids array<bigint>"
+QUERIES_AT_ONCE = 128
 
 
-def _rank_blocks(k: int):
-    """Streams rows (block, is_query, id, vector, ids), vectors of a block first, to the best per query."""
+def _visit(queries: np.ndarray, blocks: list[list[int]], vectors: np.ndarray, names: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Queries x vectors: inner products where a query visits the vector's block; block by block."""
+    scores = np.full((len(queries), len(vectors)), -np.inf)
+    who = np.repeat(np.arange(len(queries)), [len(x) for x in blocks])
+    asked = np.concatenate([np.array(x, np.int64) for x in blocks])
+    which = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    here = names[which] == asked
+    who, which = who[here], which[here]
+    order = np.argsort(which, kind="stable")
+    who, which = who[order], which[order]
+    cuts = np.flatnonzero(np.diff(which, prepend=-1, append=-1)) if len(which) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        low, high = begins[which[a]], begins[which[a] + 1]
+        scores[who[a:b], low:high] = queries[who[a:b]] @ vectors[low:high].T
+    return scores
+
+
+def _rank_lanes(k: int):
+    """Streams rows (lane, is_query, block, id, vector, ids, blocks), vectors of a lane first and by block, to the best per query."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, ids, stacked = None, [], [], None
+        lane, held, ids, blocks, ready = None, [], [], [], None
         best: dict[int, list[tuple[float, int]]] = {}
 
         def flush() -> pa.RecordBatch:
@@ -158,26 +186,36 @@ def _rank_blocks(k: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["query", "scores", "ids"])
 
         for batch in batches:
-            names, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keys, lists = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-            matrix, at = _matrix(batch.column(3), batch.num_rows), 0
-            while at < batch.num_rows:
-                end = at
-                while end < batch.num_rows and names[end] == names[at] and kinds[end] == kinds[at]:
-                    end += 1
-                if names[at] != block:
-                    block, held, ids, stacked = names[at], [], [], None
+            if not batch.num_rows:
+                continue
+            names, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            own, keys = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()
+            matrix = _matrix(batch.column(4), batch.num_rows)
+            change = np.flatnonzero((names[1:] != names[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for at, end in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if names[at] != lane:
+                    lane, held, ids, blocks, ready = names[at], [], [], [], None
                 if not kinds[at]:
                     held.append(matrix[at:end])
-                    ids += lists[at:end]
-                elif held:
-                    stacked = np.vstack(held) if stacked is None else stacked
-                    for row, scores in zip(range(at, end), matrix[at:end] @ stacked.T):
-                        where, exact = _best(scores, stacked, matrix[row], k + 1)
+                    ids += batch.column(5).slice(at, end - at).to_pylist()
+                    blocks.append(own[at:end].astype(np.int64))
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    vectors, block = np.vstack(held), np.concatenate(blocks)
+                    begins = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                    ready = vectors, block[begins], np.append(begins, len(block)), np.abs(vectors).max()
+                vectors, found_names, begins, largest = ready
+                asked = batch.column(6).slice(at, end - at).to_pylist()
+                for a in range(at, end, QUERIES_AT_ONCE):
+                    b = min(end, a + QUERIES_AT_ONCE)
+                    scores = _visit(matrix[a:b], asked[a - at : b - at], vectors, found_names, begins)
+                    for row, one in zip(range(a, b), scores):
+                        where, exact = _best(one, vectors, matrix[row], k + 1, largest)
                         found = {(-s, i) for p, s in zip(where.tolist(), exact.tolist()) for i in ids[p]}
                         found.update(best.get(keys[row], ()))
                         best[keys[row]] = heapq.nsmallest(k + 1, found)
-                at = end
             if len(best) > 100_000:
                 yield flush()
         if best:
@@ -201,7 +239,7 @@ def search_vectors(vectors: DataFrame, id_column: str, vector_column: str, is_qu
     entries = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = settle(entries.withColumn("id", F.col("ids")[0]), "vector_entries")
     asked = rows.where(is_query)
-    queries = asked.groupBy("vector").agg(F.min("id").alias("id"))
+    queries = settle(asked.groupBy("vector").agg(F.min("id").alias("id")), "vector_queries")
     facts = entries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).first()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if not facts["n"]:
@@ -222,33 +260,32 @@ def search_vectors(vectors: DataFrame, id_column: str, vector_column: str, is_qu
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = restored()
         for batch in batches:
-            keys = h.keys(_matrix(batch.column(1), batch.num_rows)) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.string()))], ["id", "vector", "ids", "keys"])
+            keys = h.keys(_matrix(batch.column(1), batch.num_rows)).tolist() if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], ["id", "vector", "ids", "keys"])
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = restored()
         for batch in batches:
             probes = [h.probes(p) for p in h.project(_matrix(batch.column(1), batch.num_rows), True)] if batch.num_rows else []
-            keys = [[f"{t}:{b}" for t, b in p] for p in probes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.string()))], ["id", "vector", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probes, pa.list_(pa.int64()))], ["id", "keys"])
 
-    placed = entries.select("id", "vector", "ids").mapInArrow(place, "id bigint, vector array<double>, ids array<bigint>, keys array<string>")
-    in_buckets = placed.select("id", "vector", "ids", F.posexplode("keys").alias("_t", "_b")).select("id", "vector", "ids", F.concat("_t", F.lit(":"), "_b").alias("bucket"))
+    placed = entries.select("id", "vector", "ids").mapInArrow(place, "id bigint, vector array<double>, ids array<bigint>, keys array<bigint>")
+    in_buckets = placed.select("id", "vector", "ids", F.posexplode("keys").alias("_t", "bucket"))
     in_buckets = settle(in_buckets, "vector_buckets")
-    blocks = in_buckets.groupBy("bucket").agg(F.ceil(F.count("*") / search.block_rows).cast("int").alias("blocks"))
-    dealt = in_buckets.join(blocks, "bucket").select(
-        F.concat("bucket", F.lit("/"), F.pmod(F.xxhash64("id"), "blocks").cast("string")).alias("block"), F.lit(False).alias("is_query"), "id", "vector", "ids"
-    )
+    blocks = in_buckets.groupBy("bucket").agg(F.ceil(F.count("*") / search.block_rows).cast("int").alias("blocks"), F.min("_t").alias("_t"))
+    lanes = 1 + facts["n"] * search.tables // search.lane_rows
+    block = F.xxhash64("bucket", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = in_buckets.join(blocks.drop("_t"), "bucket").select("id", "vector", "ids", block.alias("block"))
     # Visiting costs far more than a query weighs, so queries are dealt out by number.
-    visited = queries.select("id", "vector").repartition(1 + queries.count() // QUERIES_A_TASK, "id").mapInArrow(visit, "id bigint, vector array<double>, keys array<string>")
-    probed = visited.select("id", "vector", F.explode("keys").alias("bucket"))
-    found = settle(_rank(dealt, probed, blocks, k), "vector_candidates")
+    visited = queries.select("id", "vector").repartition(1 + queries.count() // QUERIES_A_TASK, "id").mapInArrow(visit, "id bigint, keys array<bigint>")
+    probed = visited.select("id", F.explode("keys").alias("bucket")).join(blocks, "bucket")
+    found = settle(_rank(dealt, probed, queries, lanes, k), "vector_candidates")
     # Queries that met fewer candidates than there are visit every block of the first table.
     short = queries.join(found.where(F.size("ids") > min(k, usable_ids - 1)).select(F.col("query").alias("id")), "id", "left_anti")
     short = settle(short, "short_queries")
     if not short.isEmpty():
-        every = short.withColumn("_t", F.lit("0")).join(blocks.withColumn("_t", F.substring_index("bucket", ":", 1)).select("_t", "bucket"), "_t")
-        more = _rank(dealt, every.select("id", "vector", "bucket"), blocks, k)
+        every = short.select("id", F.lit(0).alias("_t")).join(blocks, "_t")
+        more = _rank(dealt, every, queries, lanes, k)
         found = found.join(more.select("query"), "query", "left_anti").unionByName(more)
     mine = asked.join(queries.select("vector", F.col("id").alias("query")), "vector").select(F.col("id").alias("query_id"), "query")
     pairs = F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id"))
@@ -256,17 +293,18 @@ def search_vectors(vectors: DataFrame, id_column: str, vector_column: str, is_qu
     return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
-def _rank(dealt: DataFrame, probed: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """(query, scores, ids): the k + 1 best of all visited blocks, ordered."""
-    spread = probed.join(blocks, "bucket").select(
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.concat("bucket", F.lit("/"), b.cast("string")))).alias("block"),
-        F.lit(True).alias("is_query"),
-        "id",
-        "vector",
-        F.lit(None).cast("array<bigint>").alias("ids"),
+def _rank(dealt: DataFrame, probed: DataFrame, queries: DataFrame, lanes: int, k: int) -> DataFrame:
+    """(query, scores, ids): the k + 1 best of all visited blocks, ordered.
+
+    ``probed`` names the buckets of every query, and of how many blocks they are; vectors travel once per lane.
+    """
+    lane = F.pmod("block", F.lit(lanes)).alias("lane")
+    visits = probed.select("id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_no"), "bucket").select("id", F.xxhash64("bucket", "_no").alias("block"))
+    asked = visits.groupBy("id", lane).agg(F.collect_list("block").alias("blocks")).join(queries, "id")
+    stream = dealt.select(lane, F.lit(False).alias("is_query"), "block", "id", "vector", "ids", F.lit(None).cast("array<bigint>").alias("blocks")).unionByName(
+        asked.select("lane", F.lit(True).alias("is_query"), F.lit(0).cast("bigint").alias("block"), "id", "vector", F.lit(None).cast("array<bigint>").alias("ids"), "blocks")
     )
-    stream = dealt.unionByName(spread).repartition("block").sortWithinPartitions("block", "is_query")
-    part = stream.mapInArrow(_rank_blocks(k), FOUND)
+    part = stream.repartition(lanes, "lane").sortWithinPartitions("lane", "is_query", "block").mapInArrow(_rank_lanes(k), FOUND)
     pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))))
     merged = part.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(pairs)), 1, k + 1).alias("_top"))
     return merged.select("query", F.transform("_top", lambda x: -x["s"]).alias("scores"), F.col("_top.i").alias("ids"))

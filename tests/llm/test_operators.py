@@ -485,6 +485,54 @@ def test_near_vectors(spark):
     assert near_vectors.search_vectors(df.where("false"), "vec_id", "embedding", F.col("id") % 20 == 0).count() == 0
 
 
+def test_near_vectors_come_once_to_a_lane(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))]
+    search = near_vectors.Search(block_rows=40, lane_rows=100)
+    sent, plain = spark.sparkContext.accumulator(0), near_vectors._rank_lanes
+
+    def counting(k):
+        run = plain(k)
+
+        def counted(batches):
+            def seen():
+                for batch in batches:
+                    sent.add(sum(batch.column(1).to_pylist()))
+                    yield batch
+
+            yield from run(seen())
+
+        return counted
+
+    monkeypatch.setattr(near_vectors, "_rank_lanes", counting)
+    got = near_vectors.search_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding", F.col("id") % 20 == 0, search)
+    assert got.count() == 15 * 20
+    lanes = 1 + 300 * search.tables // search.lane_rows
+    assert 15 <= sent.value <= 15 * lanes
+
+
+def test_probes_are_the_likeliest_buckets():
+    h = near_vectors.Hashing(near_vectors.Search(), 6, 1000, 1.0)
+    h.spread, h.success = 0.5, 0.97
+    projection = h.project(np.random.default_rng(2).standard_normal((1, 6)), True)[0]
+    width, got = h.search.width * h.spread, iter(h.probes(projection).tolist())
+    for t in range(h.tables):
+        buckets = [(1.0, 0)]
+        for f in range(t * h.functions, (t + 1) * h.functions):
+            below = lambda c: 0.5 * (1 + math.erf(((c - h.shift[f]) * width - projection[f]) / h.noise / math.sqrt(2)))  # noqa: B023, E731
+            near = [math.floor((projection[f] + side * 4 * h.noise) / width + h.shift[f]) for side in (-1, 1)]
+            buckets = [(p * (below(c + 1) - below(c)), code + c * int(h.mix[f])) for p, code in buckets for c in range(near[0], near[1] + 1)]
+        total = 0.0
+        for p, code in sorted(buckets, reverse=True):
+            if total >= h.success:
+                break
+            total += p
+            assert (code - next(got)) % 2**64 == 0
+    assert next(got, None) is None
+
+
 def test_near_vectors_with_ties_and_copies(spark):
     """199 different vectors with one inner product, and few vectors with copies."""
     import pyspark.sql.functions as F
