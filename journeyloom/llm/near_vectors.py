@@ -54,6 +54,7 @@ class Hashing:
         self.directions = rng.standard_normal((search.tables * self.functions, dimension + 1))
         self.shift = rng.random(len(self.directions))
         self.mix = rng.integers(-(2**63), 2**63 - 1, len(self.directions)) | 1
+        self.base = rng.integers(-(2**63), 2**63 - 1, search.tables)  # else cells of zeros were one bucket in all tables
         self.spread, self.slope, self.noise, self.success = 1.0, 1.0, 0.5, LEVELS[-1]
 
     def project(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
@@ -87,7 +88,7 @@ class Hashing:
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """Vectors x tables: the buckets as 64-bit numbers; buckets that share one are visited together."""
         mixed = self.cells(self.project(vectors)) * self.mix
-        return mixed.reshape(len(vectors), self.tables, self.functions).sum(2)
+        return mixed.reshape(len(vectors), self.tables, self.functions).sum(2) + self.base
 
     def probes(self, projection: np.ndarray) -> np.ndarray:
         """Buckets in the order of their chances, per table until ``success`` is reached."""
@@ -106,7 +107,7 @@ class Hashing:
             # All buckets above a floor, which is lowered until their chances add up.
             floor = best[0] / 16
             while True:
-                chance, code = np.ones(1), np.zeros(1, np.int64)
+                chance, code = np.ones(1), self.base[t : t + 1]
                 for (more, cell), rest in zip(options, best[1:]):
                     chance, code = np.outer(chance, more).ravel(), np.add.outer(code, cell).ravel()
                     likely = chance * rest >= floor
@@ -273,19 +274,19 @@ def search_vectors(vectors: DataFrame, id_column: str, vector_column: str, is_qu
     in_buckets = placed.select("id", "vector", "ids", F.posexplode("keys").alias("_t", "bucket"))
     in_buckets = settle(in_buckets, "vector_buckets")
     blocks = in_buckets.groupBy("bucket").agg(F.ceil(F.count("*") / search.block_rows).cast("int").alias("blocks"), F.min("_t").alias("_t"))
-    lanes = 1 + facts["n"] * search.tables // search.lane_rows
+    lanes = 1 + facts["n"] // search.lane_rows  # per table: a vector is in a lane once
     block = F.xxhash64("bucket", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = in_buckets.join(blocks.drop("_t"), "bucket").select("id", "vector", "ids", block.alias("block"))
+    dealt = in_buckets.join(blocks.drop("_t"), "bucket").select("id", "vector", "ids", "_t", block.alias("block"))
     # Visiting costs far more than a query weighs, so queries are dealt out by number.
     visited = queries.select("id", "vector").repartition(1 + queries.count() // QUERIES_A_TASK, "id").mapInArrow(visit, "id bigint, keys array<bigint>")
     probed = visited.select("id", F.explode("keys").alias("bucket")).join(blocks, "bucket")
-    found = settle(_rank(dealt, probed, queries, lanes, k), "vector_candidates")
+    found = settle(_rank(dealt, probed, queries, (search.tables, lanes), k), "vector_candidates")
     # Queries that met fewer candidates than there are visit every block of the first table.
     short = queries.join(found.where(F.size("ids") > min(k, usable_ids - 1)).select(F.col("query").alias("id")), "id", "left_anti")
     short = settle(short, "short_queries")
     if not short.isEmpty():
         every = short.select("id", F.lit(0).alias("_t")).join(blocks, "_t")
-        more = _rank(dealt, every, queries, lanes, k)
+        more = _rank(dealt, every, queries, (search.tables, lanes), k)
         found = found.join(more.select("query"), "query", "left_anti").unionByName(more)
     mine = asked.join(queries.select("vector", F.col("id").alias("query")), "vector").select(F.col("id").alias("query_id"), "query")
     pairs = F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id"))
@@ -293,18 +294,19 @@ def search_vectors(vectors: DataFrame, id_column: str, vector_column: str, is_qu
     return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
-def _rank(dealt: DataFrame, probed: DataFrame, queries: DataFrame, lanes: int, k: int) -> DataFrame:
+def _rank(dealt: DataFrame, probed: DataFrame, queries: DataFrame, lanes: tuple[int, int], k: int) -> DataFrame:
     """(query, scores, ids): the k + 1 best of all visited blocks, ordered.
 
     ``probed`` names the buckets of every query, and of how many blocks they are; vectors travel once per lane.
     """
-    lane = F.pmod("block", F.lit(lanes)).alias("lane")
-    visits = probed.select("id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_no"), "bucket").select("id", F.xxhash64("bucket", "_no").alias("block"))
+    tables, each = lanes
+    lane = (F.pmod("block", F.lit(each)) * tables + F.col("_t")).alias("lane")
+    visits = probed.select("id", "_t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_no"), "bucket").select("id", "_t", F.xxhash64("bucket", "_no").alias("block"))
     asked = visits.groupBy("id", lane).agg(F.collect_list("block").alias("blocks")).join(queries, "id")
     stream = dealt.select(lane, F.lit(False).alias("is_query"), "block", "id", "vector", "ids", F.lit(None).cast("array<bigint>").alias("blocks")).unionByName(
         asked.select("lane", F.lit(True).alias("is_query"), F.lit(0).cast("bigint").alias("block"), "id", "vector", F.lit(None).cast("array<bigint>").alias("ids"), "blocks")
     )
-    part = stream.repartition(lanes, "lane").sortWithinPartitions("lane", "is_query", "block").mapInArrow(_rank_lanes(k), FOUND)
+    part = stream.repartition(tables * each, "lane").sortWithinPartitions("lane", "is_query", "block").mapInArrow(_rank_lanes(k), FOUND)
     pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))))
     merged = part.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(pairs)), 1, k + 1).alias("_top"))
     return merged.select("query", F.transform("_top", lambda x: -x["s"]).alias("scores"), F.col("_top.i").alias("ids"))

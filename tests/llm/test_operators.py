@@ -509,7 +509,7 @@ def test_near_vectors_come_once_to_a_lane(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "_rank_lanes", counting)
     got = near_vectors.search_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding", F.col("id") % 20 == 0, search)
     assert got.count() == 15 * 20
-    lanes = 1 + 300 * search.tables // search.lane_rows
+    lanes = (1 + 300 // search.lane_rows) * search.tables
     assert 15 <= sent.value <= 15 * lanes
 
 
@@ -519,7 +519,7 @@ def test_probes_are_the_likeliest_buckets():
     projection = h.project(np.random.default_rng(2).standard_normal((1, 6)), True)[0]
     width, got = h.search.width * h.spread, iter(h.probes(projection).tolist())
     for t in range(h.tables):
-        buckets = [(1.0, 0)]
+        buckets = [(1.0, int(h.base[t]))]
         for f in range(t * h.functions, (t + 1) * h.functions):
             below = lambda c: 0.5 * (1 + math.erf(((c - h.shift[f]) * width - projection[f]) / h.noise / math.sqrt(2)))  # noqa: B023, E731
             near = [math.floor((projection[f] + side * 4 * h.noise) / width + h.shift[f]) for side in (-1, 1)]
@@ -531,6 +531,9 @@ def test_probes_are_the_likeliest_buckets():
             total += p
             assert (code - next(got)) % 2**64 == 0
     assert next(got, None) is None
+    # The same cells are another bucket in each table.
+    h.directions, h.shift = np.zeros_like(h.directions), np.zeros_like(h.shift)
+    assert len(set(h.keys(np.ones((1, 6)) / 9)[0].tolist())) == h.tables
 
 
 def test_near_vectors_with_ties_and_copies(spark):
