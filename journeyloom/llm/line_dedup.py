@@ -14,7 +14,8 @@ repeated chunk, at its first place; everywhere else it goes, if the run of repea
 in has at least ``min_words`` words.
 
 All steps are linear in the length of a text: lists are cut and aligned by writing markers into the
-text and splitting at them, never by looking up list elements one by one.
+text and splitting at them, never by looking up list elements one by one.  Texts are cut once and written
+as their chunks, which every later step reads.
 """
 
 from __future__ import annotations
@@ -65,19 +66,15 @@ def _second_hash(chunk: Column) -> Column:
     return F.xxhash64(F.lit("second"), chunk)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Per document key the repeated chunks that are not the kept one: ``_marks`` of (no, hash).
+def repeated_chunks(cut: DataFrame) -> DataFrame:
+    """Per document key the repeated chunks that are not the kept one: their numbers ``_nos``, ascending, and ``_hashes``.
 
-    Chunks are grouped by their bytes.  Their places carry a 64-bit hash only; whoever applies the
-    marks compares a second, independent hash of the chunk it has before it.
+    ``cut`` has ``_doc`` and ``_chunks``.  Chunks are grouped by their bytes.  Their places carry a 64-bit
+    hash only; whoever applies the marks compares a second, independent hash of the chunk it has before it.
+    Starts jobs.
     """
-    keyed = docs.select(document_key(), "text")
     # The outer form, else the optimizer derives a filter on the list and repeats its steps below it.
-    chunks = (
-        chunks_of(keyed, "text")
-        .select("_doc", F.posexplode_outer("_chunks").alias("_no", "_chunk"))
-        .where("_chunk is not null")
-    )
+    chunks = cut.select("_doc", F.posexplode_outer("_chunks").alias("_no", "_chunk")).where("_chunk is not null")
     # Same bytes, same group; the partial aggregate leaves one row per task of however hot a chunk.
     kept = (
         chunks.groupBy("_chunk")
@@ -85,6 +82,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         .where("_n > 1")
         .select(F.xxhash64("_chunk").alias("_hash"), _second_hash(F.col("_chunk")).alias("_again"), "_first")
     )
+    # Written before the places are shuffled, so that the chunks' own shuffle is gone by then.
+    kept = settle(kept, "kept_chunks")
     places = chunks.select("_doc", "_no", F.xxhash64("_chunk").alias("_hash"))
     found = places.join(kept, "_hash").groupBy("_doc").agg(
         F.collect_set(F.struct("_again", "_no", (F.col("_doc") == F.col("_first")).alias("_own"))).alias("_found")
@@ -99,15 +98,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         ),
         lambda x: x["out"],
     )
-    return ordered.select("_doc", F.sort_array(loose).alias("_marks")).where(F.size("_marks") > 0)
+    marks = ordered.select("_doc", F.sort_array(loose).alias("_marks")).where(F.size("_marks") > 0)
+    return marks.select("_doc", F.col("_marks.no").alias("_nos"), F.col("_marks.hash").alias("_hashes"))
 
 
 def document_key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_doc")
 
 
-def with_bitmap(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """Adds ``_marked``: whether a row's document may have marks (exact: a bit per key).
+def bitmap(marks: DataFrame) -> DataFrame:
+    """A bit per key of ``marks``, written, so its size is known when a join to it is planned.
 
     32,768 keys share a row of 4 KB, so the bitmap is a small part of the marks; Spark sends it to all
     tasks or shuffles for it, by its size at run time.
@@ -115,7 +115,11 @@ def with_bitmap(rows: DataFrame, marks: DataFrame) -> DataFrame:
     bits = marks.groupBy(F.bitmap_bucket_number("_doc").alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_doc")).alias("_bits")
     )
-    bits = settle(bits, "marked_documents")  # so its size is known when the join is planned
+    return settle(bits, "marked_documents")
+
+
+def marked_by(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Adds ``_marked``: whether a row's document has its bit set (exact)."""
     at = F.bitmap_bit_position("_doc")
     octet = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = F.expr("shiftright(_octet, _shift) & 1") == 1
@@ -128,6 +132,11 @@ def with_bitmap(rows: DataFrame, marks: DataFrame) -> DataFrame:
     )
 
 
+def with_bitmap(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Adds ``_marked``: whether a row's document may have marks."""
+    return marked_by(rows, bitmap(marks))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; all rows and all other columns stay.
 
@@ -135,19 +144,21 @@ def dedup_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     as the last one), so an exactly repeated row keeps its text.  A text all of whose chunks are kept
     elsewhere becomes empty.  Columns may have any names; only doc_id and text are used.  Starts jobs.
     """
-    marks = settle(repeated_chunks(docs), "marks")
     names = docs.columns
-    rows = docs.select(document_key(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
-    rows = with_bitmap(rows, marks)
+    others = [c for c in names if c != "text"]
+    # Texts are cut once; what is written takes the place of the text, so no step carries both.
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
+    cut = chunks_of(docs.select(document_key(), rest.alias("_rest"), F.col("text").alias("_text")), "_text").drop("_text")
+    cut = settle(cut, "chunks", codec="zstd")
+    marks = settle(repeated_chunks(cut), "marks")
+    bits = bitmap(marks)
     # Only texts that lose something are shuffled.
-    untouched = rows.where("not _marked").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
-    cut = chunks_of(rows.where("_marked").join(marks, "_doc"), "_text")
+    whole = docs.select(document_key(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    untouched = marked_by(whole, bits).where("not _marked").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    touched = marked_by(cut, bits).where("_marked").join(marks, "_doc")
     # Expected hash per chunk number: as many markers as numbers passed since the mark before.
-    gaps = F.zip_with(
-        "_marks",
-        F.slice(F.concat(F.array(F.lit(0)), F.col("_marks.no")), F.lit(1), F.size("_marks")),
-        lambda m, last: F.concat(F.repeat(F.lit(_MARK), m["no"] - last), m["hash"].cast("string")),
-    )
+    steps = F.zip_with("_nos", F.slice(F.concat(F.array(F.lit(0)), F.col("_nos")), F.lit(1), F.size("_nos")), lambda no, last: no - last)
+    gaps = F.zip_with("_hashes", steps, lambda h, step: F.concat(F.repeat(F.lit(_MARK), step), h.cast("string")))
     expected = F.split(F.array_join(gaps, ""), _MARK, -1)
     kept_apart = F.zip_with(
         "_chunks",
@@ -156,17 +167,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     )
     # Even parts are runs of repeated chunks, odd parts are kept chunks.
     parts = F.split(F.array_join(kept_apart, ""), _MARK, -1)
-    rest = F.transform(
+    left = F.transform(
         "_parts",
         lambda p, i: F.when((i % 2 == 0) & (F.regexp_count(p, F.lit(r"\S+")) >= min_words), F.lit("")).otherwise(p),
     )
-    clean = F.replace(F.array_join(rest, ""), F.lit(_ESCAPED), F.lit(_ESCAPE))
-    done = (
-        cut.withColumn("_expected", expected)
-        .withColumn("_parts", parts)
-        .withColumn("_clean", clean)
-    )
-    return untouched.unionByName(done.select(*[(F.col("_clean") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in names]))
+    clean = F.replace(F.array_join(left, ""), F.lit(_ESCAPED), F.lit(_ESCAPE))
+    done = touched.withColumn("_expected", expected).withColumn("_parts", parts).withColumn("_clean", clean)
+    places = {c: F.col(f"_rest.c{k}") for k, c in enumerate(others)} | {"text": F.col("_clean")}
+    return untouched.unionByName(done.select(*[places[c].alias(c) for c in names]))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

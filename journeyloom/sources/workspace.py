@@ -53,15 +53,16 @@ def results_folder(spark: SparkSession) -> str:
     return f"{application_folder(spark)}/results"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a frame once to the shared folder and go on from the written table.
 
     Later stages read it as often as they like, column by column, with real size statistics, and
-    a lost executor costs a re-read instead of the whole lineage.
+    a lost executor costs a re-read instead of the whole lineage.  ``codec`` compresses this frame otherwise
+    than the session does.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").parquet(path, compression=codec)
     for seen in _watchers:
         seen.append(path)
     return spark.read.schema(df.schema).parquet(path)

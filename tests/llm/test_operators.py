@@ -433,6 +433,24 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_line_dedup_cuts_texts_once(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 120)
+    texts = [(k, f"{prose(rng, 40)}\n{passage}\n") for k in range(6)] + [(6, None), (7, "")]
+    docs = frame(spark, texts).selectExpr("n_chars as `a.b`", "text", "named_struct('x', source, 'y', array(doc_id)) as _rest", "doc_id")
+    clean = line_dedup.dedup_lines(docs)
+    # What is left to do reads the chunks: no text is split into lines again, none travels beside its chunks.
+    plan = clean._jdf.queryExecution().toString()
+    assert "(?<=" not in plan and "_text" not in plan
+    assert clean.schema.simpleString() == docs.schema.simpleString()
+    others = lambda rows: sorted((r["doc_id"], r["a.b"], r["_rest"]) for r in rows)
+    rows = clean.collect()
+    assert others(rows) == others(docs.collect())
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert got[0] == texts[0][1] and got[6] is None and got[7] == ""
+    assert all(len(got[k]) < len(texts[k][1]) - len(passage) // 2 for k in range(1, 6))
+
+
 @pytest.mark.parametrize("own_lines", [True, False])
 def test_line_dedup_finds_passages_of_51_to_100_words(spark, own_lines):
     rng = random.Random(31)
