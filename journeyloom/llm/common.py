@@ -92,7 +92,9 @@ def spread(codes: np.ndarray, pieces: list[bytes], width: int = 4) -> tuple[np.n
     begins = np.concatenate(([0], np.cumsum(sizes)))
     each = sizes[codes]
     at = np.concatenate(([0], np.cumsum(each)))
-    index = np.arange(at[-1]) + np.repeat(begins[codes] - at[:-1], each)
+    # Added in place: these arrays are the largest ones of a slice.
+    index = np.repeat(begins[codes] - at[:-1], each)
+    index += np.arange(at[-1])
     return flat[index], at
 
 

@@ -31,7 +31,8 @@ from journeyloom.sources.workspace import settle
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-SLICE_BYTES = 8 << 20
+# Text whose words, ids and places are in memory at once, beside the remembered words; results do not depend on it.
+SLICE_BYTES = 2 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
