@@ -48,9 +48,14 @@ class AttributionChain:
     def transactions(self) -> DataFrame:
         return settle(transaction_ops.fct_transactions(self.staged, self.skew), "fct_transactions")
 
+    @cached_property
+    def session_rows(self) -> DataFrame:
+        """The session fact for a step that reads it once: not written, so columns not asked for are not built."""
+        return session_ops.fct_sessions(self.staged, self.transactions)
+
     @cached_property
     def sessions(self) -> DataFrame:
-        return settle(session_ops.fct_sessions(self.staged, self.transactions), "fct_sessions")
+        return settle(self.session_rows, "fct_sessions")
 
     @cached_property
     def bridge(self) -> DataFrame:

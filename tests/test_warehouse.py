@@ -277,6 +277,21 @@ def test_reconciliation_reads_each_side_once(spark, chain):
     assert plan(reconcile.reconcile_events(chain.events, staged)).count("Relation [") == 2
 
 
+def test_dim_channel_does_not_write_the_session_fact(spark, chain, monkeypatch):
+    from journeyloom.plans import warehouse
+    from workloads import queries
+
+    written = []
+    monkeypatch.setattr(warehouse, "settle", lambda df, name: written.append(name) or settle(df, name))
+    fresh = AttributionChain(chain.events, chain.config)
+    monkeypatch.setattr(queries, "_chain", lambda spark, sf: fresh)
+    got = queries.QUERIES["dim_channel"](spark, "").collect()
+    assert written == ["fct_transactions"]
+    assert {r.channel_group: r.session_count for r in got if r.session_count} == {"Email": 1, "Paid Search": 1, "Direct": 1}
+    by_order = lambda df: sorted(map(tuple, queries.plain(df).collect()))
+    assert sorted(map(tuple, got)) == by_order(entities.dim_channel(chain.sessions))
+
+
 def test_channel_mapping_tells_rules_and_retargeting(spark):
     rows = [
         ("(direct)", "(none)", "(not set)"), ("g", "CPC", "x"), ("g", "cpc", "Remarketing May"), ("s", "paid-social", "x"),

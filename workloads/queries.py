@@ -480,7 +480,7 @@ QUERIES: dict[str, Query] = {
     ),
     "dim_pseudo_users": _on_chain(lambda c: entities.dim_pseudo_users(c.sessions, c.transactions)),
     "dim_date": _on_events(lambda ev: entities.dim_date(staging.stage_events(ev), "event_date")),
-    "dim_channel": _on_chain(lambda c: entities.dim_channel(c.sessions)),
+    "dim_channel": _on_chain(lambda c: entities.dim_channel(c.session_rows)),
     "dim_channel_mapping": _on_chain(lambda c: entities.dim_channel_mapping(c.sessions)),
     "dim_geo": _on_chain(lambda c: entities.dim_geo(c.sessions)),
     "attribution_path_steps": _on_chain(lambda c: entities.attribution_path_steps(c.settled_bridge)),
