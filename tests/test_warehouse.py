@@ -1,8 +1,13 @@
+import datetime as dt
+import time
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from journeyloom.config import AttributionConfig
 from journeyloom.operators import entities, reconcile
+from journeyloom.operators.attribution import attribution_credits, bridge_touchpoints, day_slices
 from journeyloom.operators.contracts import (
     Contract,
     ContractViolation,
@@ -17,10 +22,10 @@ from journeyloom.operators.onepass import distinct, one_pass
 from journeyloom.operators.profiling import leading_values
 from journeyloom.operators.sessions import channel_group
 from journeyloom.operators.staging import stage_events, stage_items
-from journeyloom.plans.warehouse import AttributionChain, publish_attribution
+from journeyloom.plans.warehouse import LAYOUT, AttributionChain, publish_attribution
 from journeyloom.sources.publish import NotPublished, current_version, layout_report, publish, read_published
 from journeyloom.sources.tables import read_events, read_mart
-from journeyloom.sources.workspace import application_folder, list_folder, settle
+from journeyloom.sources.workspace import application_folder, list_folder, scratch_folder, settle
 from tests.fixtures import event, events, session, text
 
 
@@ -177,6 +182,52 @@ def test_tables_are_published_in_order(spark, chain, tmp_path):
     }
 
 
+def test_runs_of_days_have_every_row_once(spark):
+    day = lambda d: dt.date(2020, 11, d)
+    dates = [None, None, *[day(1)] * 2, *[day(2)] * 7, day(3), day(5), *[day(9)] * 3]
+    rows = spark.createDataFrame([(d,) for d in dates], "day date")
+    taken = lambda most: [
+        sorted((r[0] for r in rows.where(run).collect()), key=str) for run in day_slices(rows, "day", most)
+    ]
+    assert taken(100) == [sorted(dates, key=str)]
+    assert taken(4) == [[day(1)] * 2 + [None] * 2, [day(2)] * 7 + [day(3), day(5)], [day(9)] * 3]
+    assert taken(1) == [[day(1)] * 2 + [None] * 2, [day(2)] * 7, [day(3)], [day(5)], [day(9)] * 3]
+    assert len(day_slices(rows.where("false"), "day", 4)) == len(day_slices(rows.where("day is null"), "day", 4)) == 1
+
+
+def test_publishing_holds_one_run_of_days_at_a_time(spark, chain, tmp_path):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    frames, before, own = list_folder(spark, scratch_folder(spark)), shuffles(), spark.conf.get(setting, None)
+    out = publish_attribution(replace(chain, config=replace(chain.config, slice_rows=1)), str(tmp_path), channels=3)
+    # Nothing is left of the way there; shuffle files are deleted in the background.
+    assert sorted(list_folder(spark, scratch_folder(spark))) == sorted(frames)
+    assert spark.conf.get(setting, None) == own
+    end = time.monotonic() + 20
+    while shuffles() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+
+    bridge = bridge_touchpoints(out["fct_transactions"], out["fct_sessions"], chain.config)
+    whole = {
+        "bridge_transaction_touchpoints": bridge,
+        "fct_attribution_credits": attribution_credits(bridge, chain.config),
+    }
+    by_name = lambda df, names: sorted(map(str, df.select(*names).collect()))
+    for name, df in whole.items():
+        assert by_name(out[name], df.columns) == by_name(df, df.columns)
+        report = layout_report(spark, f"{tmp_path}/{name}", LAYOUT[name][0]).first()
+        assert (report.file_count, report.overlapping_files, report.overlapping_blocks) == (3, 0, 0)
+        days = out[name].groupBy(F.col("_metadata.file_path")).agg(F.count_distinct("transaction_date"))
+        assert [n for _, n in days.collect()] == [1, 1, 1]
+
+
 def test_session_contracts_read_their_inputs_once(chain):
     report = check(chain.sessions, session_contracts(settle(chain.staged, "staged"), chain.transactions))
     assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
